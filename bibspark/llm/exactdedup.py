@@ -18,6 +18,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no preallocated log files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 FILES_PER_BATCH = 10_000
 
