@@ -115,15 +115,16 @@ def head_tail(c: Column, n: int = 120_000) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n // 2), F.lit(CUT_MARK), F.right(c, F.lit(n - n // 2))))
 
 
-def first_of_each(words: Column) -> Column:
-    """Words without those that repeat an earlier one in another case."""
-    return F.filter(words, lambda w, i: F.array_position(F.transform(words, F.lower), F.lower(w)) == i + 1)
+def first_of_each(words: Column, keep: int) -> Column:
+    """The first words, at most keep, without those that repeat an earlier one in another case."""
+    low = F.transform(words, F.lower)
+    return F.transform(F.slice(F.array_distinct(low), 1, keep), lambda k: F.element_at(words, F.array_position(low, k).cast("int")))
 
 
 def clean_query(c: Column, keep: int = 22) -> Column:
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\b(title|venue|abstract|document title|publication title)\s*:\s*", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)\b(AND|OR|NOT)\b", " "), r"[()\"']", " ")
-    return F.array_join(F.slice(first_of_each(F.filter(F.split(t, r"\s+"), lambda w: w != "")), 1, keep), " ")
+    return F.array_join(first_of_each(F.filter(F.split(t, r"\s+"), lambda w: w != ""), keep), " ")
 
 
 def portable_path(c: Column) -> Column:
