@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +22,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 
 VOCABULARY, WINDOW, END_ID = "word_bpe_49k.json", 4096, 2
 #: Words whose ids a worker remembers.
@@ -60,17 +61,18 @@ class Tokens:
     def ids(self, text: str) -> np.ndarray:
         if _OTHER.search(text):
             return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
-        out: list[int] = []
-        known = self.known
-        for word in _WORD.findall(text.lower()):
-            got = known.get(word)
-            if got is None:
-                got = tuple(self.fast.encode_ordinary(word + _MARK))
-                if len(known) < WORDS_KEPT:
-                    known[word] = got
-            out += got
-        out.append(END_ID)
-        return np.array(out, np.uint32)
+        known, words = self.known, _WORD.findall(text.lower())
+        try:
+            each = [known[w] for w in words]
+        except KeyError:
+            each = [known.get(w) or self.learn(w) for w in words]
+        return np.fromiter(chain(chain.from_iterable(each), (END_ID,)), np.uint32)
+
+    def learn(self, word: str) -> tuple[int, ...]:
+        got = tuple(self.fast.encode_ordinary(word + _MARK))
+        if len(self.known) < WORDS_KEPT:
+            self.known[word] = got
+        return got
 
 
 def _byte_characters() -> dict[str, int]:
@@ -182,6 +184,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
         if out:
             yield flush(out)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
