@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import bounded_batches, small, table
 
 #: Bounds of the learning sample and of the model; all parameters of `learn`.
 SAMPLE_PER_LANG, GRAMS_PER_LANG, SLOT_BITS, HASHES, MIN_DF = 1500, 20_000, 19, 3, 2
@@ -93,8 +93,12 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, grams_per_lang: int
     Rows with a null lang, text or doc_id teach nothing. The driver receives at most grams_per_lang n-grams a language.
     Languages are ordered by learned documents, then name; ties of a prediction go to the earlier.
     """
+    bounded_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # by the language's count, hashes that can't be among the first are left out before rows meet
+    share = labelled.groupBy("lang").agg((2.0 * per_lang / F.count("*")).alias("share"))
+    labelled = labelled.join(small(share), "lang").where((F.xxhash64("doc_id") / 2.0**64 + 0.5 < F.col("share")) | (F.col("share") > 0.5))
     sample = labelled.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("doc_id", "lang").distinct()
     texts = docs.where("text is not null").select("doc_id", "lang", "text").join(small(sample), ["doc_id", "lang"])
 
@@ -124,15 +128,16 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, grams_per_lang: int
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep plus lang_pred and score, a row for each row of docs, from the whole text alone."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [predict(t.as_py(), shared.value) for t in batch.column(len(keep))]
+            out = [predict(t.as_py(), shared.value) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:
