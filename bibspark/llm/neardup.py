@@ -7,9 +7,9 @@ A document's tokens are 64-bit hashes of its distinct word shingles. Three steps
    no partner and drop out. Occurrences are met in hash buckets of packed arrays; each task sends a token once at most.
 2. Groups. Documents with a min-hash in common are compared with the smallest of them; those that link, and what
    hangs together by such links, form a group. The matrix holds the union of each group's tokens.
-3. Opening. A document can link into another group only if the group's union holds n - n / 5 of its tokens. Its rarest
-   n / 5 + 1 tokens, by number of groups, name the groups to bound; groups within the bound are opened and their
-   members compared exactly. Pairs inside a group need no comparison: they are already connected.
+3. Opening. A document can link to one of its size or larger in another group only if the group's union holds n - n / 9
+   of its tokens. Its rarest tokens, by number of groups, name the groups to bound; groups within the bound are opened
+   and their members compared exactly. Pairs inside a group need no comparison: they are already connected.
 
 Nothing is approximate but the equality of tokens by a 64-bit hash, and no group, list or bucket is capped.
 """
@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small, table
+from .common import bounded_batches, connected_components, discard, materialize, small, table
 
 WORDS, KEYS = 5, 4
 #: Documents under SMALL tokens have all tokens met, larger ones the share SAMPLED of the hash range. SMALL_SELF is the
 #: size up to which every possible partner is under SMALL.
 SMALL, SMALL_SELF, SAMPLED = 128, 100, 0.4
 #: Documents for each hash bucket, tokens that a task holds before it sends them, word hashes a worker remembers.
-DOCS_PER_BUCKET, HELD, REMEMBERED = 50_000, 2_000_000, 400_000
+DOCS_PER_BUCKET, HELD, REMEMBERED = 50_000, 500_000, 100_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NOBODY = -(2**63)
 _LIMIT = np.uint64(int(SAMPLED * 2**64))
@@ -203,10 +203,15 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.join(left, "a").join(right, "b").withColumn("common", common).where("100 * common >= 80 * (an + bn - common)").select("a", "b")
 
 
-def groups_and_links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups (id, g) of similar documents, and the links that made them, through shared min-hash keys."""
+def groups_and_links(sets: DataFrame, standing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (id, g) of similar documents, and the links that made them, through shared min-hash keys.
+
+    The leader of a key is the document most of whose tokens occur elsewhere, then the one with most copies: where many
+    documents are edits of one text, that is the text itself. standing has id, share and copies.
+    """
     keyed = sets.select("id", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1")
+    ranked = keyed.join(standing, "id")
+    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("share", "copies", -F.col("id"))).alias("b"), F.count("*").alias("c")).where("c > 1")
     pairs = keyed.join(leaders, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     links = materialize(linked(materialize(pairs, "pairs"), sets), "links")
     groups = connected_components(links)
@@ -214,24 +219,42 @@ def groups_and_links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def links_between(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (a, b) between documents of different groups, by the token-group matrix."""
+    """Links (a, b) between documents of different groups, by the token-group matrix.
+
+    Every pair is looked for from its smaller document (n tokens), at most n / 9 of whose tokens a partner of n tokens
+    or more can lack. So of its rarest n / 9 + e tokens, by number of groups, a group to open holds e at least. A
+    partner of m tokens, c of them in other groups, can only be that of a document with 4 n <= 9 c - 4 m; the matrix
+    keeps, with each group, the largest n that any of its documents allows.
+    """
     tokens = sets.select("id", "n", F.explode("tokens").alias("token")).join(groups, "id")
-    matrix = materialize(tokens.select("token", "g").distinct(), "matrix")
-    spread = matrix.groupBy("token").agg(F.count("*").alias("gdf")).where("gdf > 1")
-    seen = materialize(tokens.join(spread, "token").select("id", "n", "g", "token", "gdf"), "spread")
-    able = seen.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c >= n - floor(n / 5)").select("id", (F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.col("c"))).alias("take"))
-    asking = materialize(seen.join(small(materialize(able, "able")), "id"), "asking")
+    spread = tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
+    seen = materialize(tokens.join(spread, "token").select("id", "n", "g", "token"), "seen")
+    known = materialize(seen.groupBy("id", "n", "g").agg(F.count("*").alias("c")).withColumn("most", F.floor((9 * F.col("c") - 4 * F.col("n")) / 4)).withColumn("most", F.least("most", F.col("n").cast("long"))), "known")
+    reach = known.groupBy("g").agg(F.max("most").alias("most")).where("most > 0")
+    matrix = materialize(seen.select("token", "g").distinct().join(reach.select("g", "most"), "g"), "matrix")
+    able = known.where("c >= n - floor(n / 9)").withColumn("e", F.floor(F.col("n") / 18) + 1).select("id", "e", (F.floor(F.col("n") / 9) - (F.col("n") - F.col("c")) + F.col("e")).alias("take"))
+    spread_of = matrix.groupBy("token").agg(F.count("*").alias("gdf"))
+    asking = materialize(seen.join(small(materialize(able, "able")), "id").join(spread_of, "token", "left").withColumn("gdf", F.coalesce("gdf", F.lit(0))), "asking")
+    discard(seen)
     rare = asking.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("gdf", "token"))).where("r <= take")
-    named = rare.select("id", "token", F.col("g").alias("own")).join(matrix, "token").where("g <> own").select("id", "g").distinct()
+    met = rare.select("id", F.col("n").alias("qn"), "e", "token", F.col("g").alias("own")).join(matrix, "token").where("g <> own and most >= qn")
+    members = groups.groupBy("g").agg(F.count("*").alias("members"))
+    named = materialize(met.groupBy("id", "g", "qn", "e").agg(F.count("*").alias("c")).where("c >= e").join(members, "g").select("id", "g", "qn", "members"), "named")
+    # the union of a single document is the document: comparing it is the bound
     bound = (
-        named.join(asking.select("id", "n", "token"), "id")
-        .join(matrix, ["token", "g"])
-        .groupBy("id", "g")
-        .agg(F.count("*").alias("c"), F.first("n").alias("n"))
-        .where("c >= n - floor(n / 5)")
+        named.where("members > 1")
+        .join(asking.select("id", "token"), "id")
+        .join(matrix.select("token", "g"), ["token", "g"])
+        .groupBy("id", "g", "qn")
+        .agg(F.count("*").alias("c"))
+        .where("c >= qn - floor(qn / 9)")
     )
-    opened = materialize(bound.select("id", "g"), "opened").join(groups.select(F.col("id").alias("other"), "g"), "g")
-    return linked(materialize(opened.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct(), "open_pairs"), sets)
+    opened = materialize(named.where("members = 1").select("id", "g", "qn").unionByName(bound.select("id", "g", "qn")), "opened")
+    partners = known.select(F.col("id").alias("other"), "g", "n", "most")
+    pairs = opened.join(partners, "g").where("n >= qn and most >= qn")
+    found = materialize(linked(materialize(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct(), "open_pairs"), sets), "between")
+    discard(matrix, asking)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,21 +264,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are one node until the end, so copies cost a row each. Rows that share a doc_id are one node. A row without a
     doc_id links with equal sets only, and its component_id is null if none of them has an id.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
+    rows, sharing, _ = sharing_rows(base)
+    reps = materialize(sharing.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "reps")
+    # once more among one document of each equal set: what only copies share doesn't count
+    ids = reps.where("id is not null").select(F.col("id").alias("doc_id")).distinct()
+    once = base.join(small(materialize(ids, "ids")), "doc_id", "left_semi")
+    _, still, met = sharing_rows(once)
+    again = materialize(still.groupBy("doc_id").agg(F.max(F.round(F.col("met") / F.col("m"), 3)).alias("share")), "again")
+    discard(met)
+    sets = materialize(token_sets(once.join(small(again.select("doc_id")), "doc_id", "left_semi")), "sets")
+    standing = again.withColumnRenamed("doc_id", "id").join(reps.groupBy("id").agg(F.max("copies").alias("copies")), "id")
+    groups, inside = groups_and_links(sets, standing)
+    between = links_between(sets, groups)
+    discard(sets)
+    of = connected_components(inside.unionByName(between))
+    of_digest = reps.join(of, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
+    return rows.join(materialize(of_digest, "of_digest"), "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def sharing_rows(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, m, digest) of all rows, and of those that share enough tokens, with met, how many of m they share; and
+    the scratch table that both read."""
     buckets = 64 + -(-base.count() // DOCS_PER_BUCKET)
     met = base.mapInArrow(send(buckets), MET).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, ANSWER)
     met = materialize(met, "met")
     rows = met.where("n is not null")
     counts = met.where("n is null").groupBy("doc_id").agg(F.sum("shared").alias("more"))
-    sharing = rows.where("n > 0").join(counts, "doc_id", "left").where("shared + coalesce(more, 0) >= m - floor(n / 5)")
-    reps = materialize(sharing.groupBy("digest").agg(F.min("doc_id").alias("id")), "reps")
-    ids = reps.where("id is not null").select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(token_sets(base.join(small(ids), "doc_id", "left_semi")), "sets")
-    groups, inside = groups_and_links(sets)
-    between = materialize(links_between(sets, groups), "between")
-    of = connected_components(inside.unionByName(between))
-    of_digest = reps.join(of, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
-    return rows.join(materialize(of_digest, "of_digest"), "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    known = rows.where("n > 0").join(counts, "doc_id", "left").withColumn("met", F.col("shared") + F.coalesce("more", F.lit(0)))
+    return rows, known.where("met >= m - floor(n / 5)"), met
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
