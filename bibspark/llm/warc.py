@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 CHUNK_BYTES, MIN_REVISIT_BYTES = 1 << 20, 0
 CHUNK_SCHEMA = "page_id long, archive int, record long, chunk int, last boolean, data binary, sha1_so_far binary"
@@ -157,6 +157,7 @@ def read_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def archive_pages(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """The written chunk table, in the shared folder. Rows with null html have an empty payload."""
+    bounded_batches(pages.sparkSession)
     return materialize(write_records(plan_records(pages, min_bytes), chunk_bytes), "warc")
 
 
