@@ -15,8 +15,9 @@ def _names() -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.TERM_NAMES.items()) + "}"
 
 
-def _first_each(words: str) -> str:
-    return f"list_filter({words}, lambda w, i: list_position(list_transform({words}, lambda y: lower(y)), lower(w)) = i)"
+def _first_each(words: str, n: int) -> str:
+    """The first n words without those that repeat an earlier one in another case, joined by blanks."""
+    return f"(SELECT coalesce(string_agg(w, ' ' ORDER BY i), '') FROM (SELECT arg_min(w, i) AS w, min(i) AS i FROM (SELECT unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT {words} AS l)) GROUP BY lower(w) ORDER BY 2 LIMIT {n}))"
 
 
 #: name: (view, input SQL in both engines, rule, the rule in DuckDB SQL over x)
@@ -35,7 +36,7 @@ SPECS = {
     "b9_truncate_ellipsis": ("documents", "text", lambda c: T.truncate(c, 86, "ellipsis"), rf"(SELECT CASE WHEN length(t) <= 86 THEN t ELSE regexp_replace(substr(t, 1, 85), '\s+$', '') || '…' END FROM (SELECT {_INLINE.format('x')} AS t))"),
     "b9_truncate_label": ("documents", "text", lambda c: T.truncate(c, 54, "label"), "CASE WHEN length(x) <= 54 THEN x ELSE substr(x, 1, 51) || '...' END"),
     "b10_head_tail": ("documents", "text", lambda c: T.head_tail(c, 1000), f"CASE WHEN length(x) <= 1000 THEN x ELSE substr(x, 1, 500) || '{T.CUT_MARK}' || right(x, 500) END"),
-    "b11_clean_query": ("documents", "'Title: (' || text || ') AND NOT venue :x'", T.clean_query, "array_to_string(list_slice(" + _first_each(r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\b(title|venue|abstract|document title|publication title)\s*:\s*', ' ', 'g'), '(?i)\b(AND|OR|NOT)\b', ' ', 'g'), '[()"'']', ' ', 'g'), '\s+'), lambda q: q <> '')""") + ", 1, 22), ' ')"),
+    "b11_clean_query": ("documents", "'Title: (' || text || ') AND NOT venue :x'", T.clean_query, _first_each(r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\b(title|venue|abstract|document title|publication title)\s*:\s*', ' ', 'g'), '(?i)\b(AND|OR|NOT)\b', ' ', 'g'), '[()"'']', ' ', 'g'), '\s+'), lambda q: q <> '')""", 22)),
     "b12_portable_path": ("papers", "CASE paper_id % 6 WHEN 0 THEN replace(pdf_path, '/', chr(92)) WHEN 1 THEN '/a/library' ELSE pdf_path END", T.portable_path, r"""(SELECT CASE WHEN x IS NULL OR r = '' THEN NULL WHEN list_contains(p, 'library') THEN nullif(array_to_string(p[len(p) - list_position(list_reverse(p), 'library') + 2:], '/'), '')
       WHEN list_contains(p, 'pdfs') THEN array_to_string(p[len(p) - list_position(list_reverse(p), 'pdfs') + 1:], '/') WHEN len(p) = 1 AND lower(p[1]) LIKE '%.pdf' THEN 'pdfs/' || p[1] ELSE r END
       FROM (SELECT trim(x) AS r, list_filter(string_split(replace(trim(x), chr(92), '/'), '/'), lambda q: q <> '') AS p))"""),
