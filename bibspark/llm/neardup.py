@@ -9,7 +9,8 @@ A document's tokens are 64-bit hashes of its distinct word shingles. Three steps
    hangs together by such links, form a group. The matrix holds the union of each group's tokens.
 3. Opening. A document can link to one of its size or larger in another group only if the group's union holds n - n / 9
    of its tokens. Its rarest tokens, by number of groups, name the groups to bound; groups within the bound are opened
-   and their members compared exactly. Pairs inside a group need no comparison: they are already connected.
+   and their members compared exactly. Pairs inside a group need no comparison: they are already connected. Documents
+   around one text, but outside its group, are bounded by their overlaps with that text instead.
 
 Nothing is approximate but the equality of tokens by a 64-bit hash, and no group, list or bucket is capped.
 """
@@ -194,17 +195,25 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, n int, tokens array<long>, keys array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= 80 * union."""
+SIMILAR = "100 * common >= 80 * (an + bn - common)"
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, an, bn, common) of the pairs whose sizes allow a link."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
     common: Column = F.size(F.array_intersect("at", "bt"))
     near = pairs.join(left.select("a", "an"), "a").join(right.select("b", "bn"), "b").where("5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b")
-    return near.join(left, "a").join(right, "b").withColumn("common", common).where("100 * common >= 80 * (an + bn - common)").select("a", "b")
+    return near.join(left, "a").join(right, "b").select("a", "b", "an", "bn", common.alias("common"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which 100 * intersection >= 80 * union."""
+    return overlaps(pairs, sets).where(SIMILAR).select("a", "b")
 
 
-def groups_and_links(sets: DataFrame, standing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups (id, g) of similar documents, and the links that made them, through shared min-hash keys.
+def groups_and_links(sets: DataFrame, standing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups (id, g) of similar documents, the links that made them, and the overlaps with leaders that were counted.
 
     The leader of a key is the document most of whose tokens occur elsewhere, then the one with most copies: where many
     documents are edits of one text, that is the text itself. standing has id, share and copies.
@@ -213,32 +222,74 @@ def groups_and_links(sets: DataFrame, standing: DataFrame) -> tuple[DataFrame, D
     ranked = keyed.join(standing, "id")
     leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("share", "copies", -F.col("id"))).alias("b"), F.count("*").alias("c")).where("c > 1")
     pairs = keyed.join(leaders, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = materialize(linked(materialize(pairs, "pairs"), sets), "links")
+    counted = materialize(overlaps(materialize(pairs, "pairs"), sets), "counted")
+    links = counted.where(SIMILAR).select("a", "b")
     groups = connected_components(links)
-    return materialize(sets.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("g")), "groups"), links
+    return materialize(sets.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("g")), "groups"), links, counted
 
 
-def links_between(sets: DataFrame, groups: DataFrame) -> DataFrame:
+def references(counted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, ref, rn, common): of the leaders that share half of their union with a document, the one with most followers.
+
+    A leader refers to itself, or to a leader with more followers. An id with several rows has no reference.
+    """
+    several = small(materialize(sets.groupBy("id").count().where("count > 1").select("id"), "several"))
+    near = counted.where("3 * common >= an + bn").join(several, F.col("a") == several["id"], "left_anti").join(several, F.col("b") == several["id"], "left_anti")
+    followers = materialize(near.groupBy("b").agg(F.count("*").alias("f"), F.max("bn").alias("bn")), "followers")
+    own = followers.select(F.col("b").alias("a"), "b", "bn", F.col("bn").alias("common"), "f")
+    ranked = near.select("a", "b", "bn", "common").join(small(followers.select("b", "f")), "b").unionByName(own)
+    best = ranked.groupBy("a").agg(F.max_by(F.struct("b", "bn", "common"), F.struct("f", -F.col("b"))).alias("r"))
+    return materialize(best.select(F.col("a").alias("id"), F.col("r.b").alias("ref"), F.col("r.bn").alias("rn"), F.col("r.common").alias("common")), "refs")
+
+
+def pairs_of_one_reference(known: DataFrame, refs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups with the same reference that its overlaps don't rule out.
+
+    Let d be the tokens by which a document and the reference differ, and s those of them that another group may share.
+    Two documents differ in d + d' - 2 min(s, s') tokens at least; linked ones in a ninth of their sizes' sum at most,
+    and they have four ninths of that sum in common, which is no more than either shares with other groups.
+    """
+    at = groups.select(F.col("id").alias("ref"), F.col("g").alias("rg"))
+    shared = known.select(F.col("id").alias("ref"), F.col("c").alias("rc"))
+    own = F.col("n") - F.col("c") - F.when(F.col("g") == F.col("rg"), F.col("rn") - F.least(F.coalesce("rc", F.lit(0)), "rn")).otherwise(0)
+    placed = known.where("most > 0").join(refs, "id").join(at, "ref").join(shared, "ref", "left")
+    placed = placed.withColumn("d", F.col("n") + F.col("rn") - 2 * F.col("common")).withColumn("s", F.col("d") - F.when(F.col("id") == F.col("ref"), 0).otherwise(F.greatest(own, F.lit(0))))
+    placed = materialize(placed.select("ref", "rg", "id", "g", "n", "c", "d", "s"), "placed")
+    # of two groups, one isn't the reference's
+    x = placed.where("g <> rg").select("ref", *(F.col(k).alias(f"x{k}") for k in ("id", "g", "n", "c", "d", "s")))
+    may = "xg <> g and 5 * least(xn, n) >= 4 * greatest(xn, n) and 9 * least(xc, c) >= 4 * (xn + n) and 9 * (xd + d - 2 * least(xs, s)) <= xn + n"
+    met = x.join(placed.withColumnRenamed("ref", "pref"), (F.col("ref") == F.col("pref")) & F.expr(may))
+    return met.select(F.greatest("xid", "id").alias("a"), F.least("xid", "id").alias("b"))
+
+
+def links_between(sets: DataFrame, groups: DataFrame, refs: DataFrame) -> DataFrame:
     """Links (a, b) between documents of different groups, by the token-group matrix.
 
     Every pair is looked for from its smaller document (n tokens), at most n / 9 of whose tokens a partner of n tokens
     or more can lack. So of its rarest n / 9 + e tokens, by number of groups, a group to open holds e at least. A
     partner of m tokens, c of them in other groups, can only be that of a document with 4 n <= 9 c - 4 m; the matrix
     keeps, with each group, the largest n that any of its documents allows.
+
+    Where many documents are edits of one text, too far from it to be of its group, each shares nearly all tokens with
+    each other. Their overlaps with that text, their reference, are known, and bound those among them. So a document
+    doesn't ask about groups all of whose documents have its own reference: such pairs come from those bounds.
     """
     tokens = sets.select("id", "n", F.explode("tokens").alias("token")).join(groups, "id")
     spread = tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
     seen = materialize(tokens.join(spread, "token").select("id", "n", "g", "token"), "seen")
     known = materialize(seen.groupBy("id", "n", "g").agg(F.count("*").alias("c")).withColumn("most", F.floor((9 * F.col("c") - 4 * F.col("n")) / 4)).withColumn("most", F.least("most", F.col("n").cast("long"))), "known")
-    reach = known.groupBy("g").agg(F.max("most").alias("most")).where("most > 0")
-    matrix = materialize(seen.select("token", "g").distinct().join(reach.select("g", "most"), "g"), "matrix")
+    one_ref = F.when((F.count("*") == F.count("ref")) & (F.min("ref") == F.max("ref")), F.min("ref"))
+    of_group = groups.join(refs.select("id", "ref"), "id", "left").groupBy("g").agg(one_ref.alias("only"), F.count("*").alias("members"))
+    reach = known.groupBy("g").agg(F.max("most").alias("most")).where("most > 0").join(of_group.select("g", "only"), "g")
+    matrix = materialize(seen.select("token", "g").distinct().join(reach.select("g", "most", "only"), "g"), "matrix")
     able = known.where("c >= n - floor(n / 9)").withColumn("e", F.floor(F.col("n") / 18) + 1).select("id", "e", (F.floor(F.col("n") / 9) - (F.col("n") - F.col("c")) + F.col("e")).alias("take"))
     spread_of = matrix.groupBy("token").agg(F.count("*").alias("gdf"))
     asking = materialize(seen.join(small(materialize(able, "able")), "id").join(spread_of, "token", "left").withColumn("gdf", F.coalesce("gdf", F.lit(0))), "asking")
     discard(seen)
     rare = asking.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("gdf", "token"))).where("r <= take")
-    met = rare.select("id", F.col("n").alias("qn"), "e", "token", F.col("g").alias("own")).join(matrix, "token").where("g <> own and most >= qn")
-    members = groups.groupBy("g").agg(F.count("*").alias("members"))
+    rare = rare.select("id", F.col("n").alias("qn"), "e", "token", F.col("g").alias("own")).join(small(refs.select("id", "ref")), "id", "left")
+    met = rare.join(matrix, "token").where("g <> own and most >= qn and not coalesce(ref = only, false)")
+    members = of_group.select("g", "members")
     named = materialize(met.groupBy("id", "g", "qn", "e").agg(F.count("*").alias("c")).where("c >= e").join(members, "g").select("id", "g", "qn", "members"), "named")
     # the union of a single document is the document: comparing it is the bound
     bound = (
@@ -251,8 +302,9 @@ def links_between(sets: DataFrame, groups: DataFrame) -> DataFrame:
     )
     opened = materialize(named.where("members = 1").select("id", "g", "qn").unionByName(bound.select("id", "g", "qn")), "opened")
     partners = known.select(F.col("id").alias("other"), "g", "n", "most")
-    pairs = opened.join(partners, "g").where("n >= qn and most >= qn")
-    found = materialize(linked(materialize(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct(), "open_pairs"), sets), "between")
+    pairs = opened.join(partners, "g").where("n >= qn and most >= qn").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
+    pairs = pairs.unionByName(pairs_of_one_reference(known, refs, groups)).distinct()
+    found = materialize(linked(materialize(pairs, "open_pairs"), sets), "between")
     discard(matrix, asking)
     return found
 
@@ -276,8 +328,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     discard(met)
     sets = materialize(token_sets(once.join(small(again.select("doc_id")), "doc_id", "left_semi")), "sets")
     standing = again.withColumnRenamed("doc_id", "id").join(reps.groupBy("id").agg(F.max("copies").alias("copies")), "id")
-    groups, inside = groups_and_links(sets, standing)
-    between = links_between(sets, groups)
+    groups, inside, counted = groups_and_links(sets, standing)
+    between = links_between(sets, groups, references(counted, sets))
     discard(sets)
     of = connected_components(inside.unionByName(between))
     of_digest = reps.join(of, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))

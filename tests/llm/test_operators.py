@@ -226,6 +226,24 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_around_one_text(spark):
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = [(1000 + i, " ".join(text)) for i in range(3)]
+    made = [text]
+    for i in range(160):
+        words = list(rng.choice(made) if i % 3 == 0 else text)
+        for _ in range(rng.randrange(1, 8)):
+            words[rng.randrange(0, len(words), 3)] = f"e{rng.randrange(12)}"
+        if i % 5 == 0:
+            words = words[: rng.randrange(120, 150)]
+        made.append(words)
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows).repartition(4)).collect()}
+    want = brute_components(rows)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 150
+
+
 def test_near_duplicates_on_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.op5_jaccard_join(spark, "/root/testdata/sf0.001").collect()}
