@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Rows of a narrow side (an id or a digest per row) up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -22,6 +25,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], T]) -> T:
+    """What make() returned for key. A Python worker, which outlives a stage, keeps one such object at a time."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def vacate() -> None:
+    """A task that needs its worker's memory for its own rows frees what an earlier stage has left there."""
+    _resident.clear()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, discard, materialize, small, table
+from .common import bounded_batches, connected_components, discard, materialize, small, table, vacate
 
 WORDS, KEYS = 5, 4
 #: Documents under SMALL tokens have all tokens met, larger ones the share SAMPLED of the hash range. SMALL_SELF is the
@@ -109,6 +109,7 @@ def send(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MET_TYPES, strict=True)], names=_MET_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         shingler = Shingler()
         rows, found, who, held = [], [], [], 0
         for batch in batches:
@@ -183,6 +184,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
     """(id, n, tokens array<long>, keys array<long>) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         shingler = Shingler()
         for batch in batches:
             sets = [shingler.tokens(t.as_py()) for t in batch.column("text")]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
@@ -22,7 +21,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches, table
+from .common import bounded_batches, resident, table
 
 VOCABULARY, WINDOW, END_ID = "word_bpe_49k.json", 4096, 2
 #: Words whose ids a worker remembers.
@@ -83,9 +82,8 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return resident(("words", path), lambda: Tokens(path))
 
 
 class Levels:
