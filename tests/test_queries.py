@@ -1,6 +1,7 @@
 """Every registered query of the library against DuckDB on the same tables."""
 
 import decimal
+import numbers
 import os
 
 import duckdb
@@ -24,7 +25,7 @@ def duck():
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
         return "null"
-    if isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool):
+    if isinstance(v, (numbers.Real, decimal.Decimal)) and not isinstance(v, bool):
         return repr(float(v))
     return str(v)
 
