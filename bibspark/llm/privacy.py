@@ -30,6 +30,8 @@ PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[P
 #: shares of the entity's information content from which a term is generalised and removed.
 NEAR_TERMS, NEAR_CHARS, CONTEXTS, GENERALISE, REMOVE = 5, 120, 5, 0.8, 0.95
 TERM = r"\p{L}{3,}+"
+#: Characters each side whose words tell an edit of a passage from an independent context.
+PASSAGE_CHARS = 400
 
 
 def matches(text: Column, pattern: str, kind: int | Callable[[Column], Column]) -> Column:
@@ -84,28 +86,48 @@ def found_in(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
 
 
+def edits(a: Column, b: Column) -> Column:
+    """Two sets of words share more than half of all their words: edits of one passage."""
+    return 3 * F.size(F.array_intersect(a, b)) > F.size(a) + F.size(b)
+
+
+def independent(each: DataFrame, contexts: int) -> DataFrame:
+    """(entity, term) of the pairs in at least that many contexts of which no two are edits of one passage.
+
+    A pair takes its contexts by their hash; each that is no edit of those taken before is taken, until there are enough.
+    A round takes one context for every pair, with a minimum that is grouped map-side, so neither a frequent entity nor a
+    large group of edits meets itself.
+    """
+    each = materialize(each, "each")
+    counted = each.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= contexts)
+    taken = materialize(counted.select("entity", "term", F.lit([]).cast("array<array<long>>").alias("taken")), "taken")
+    rows = each.select("entity", F.explode("terms").alias("term"), "context", "passage")
+    for _ in range(contexts):
+        other = rows.join(small(taken), ["entity", "term"]).where(~F.exists("taken", lambda t: edits(t, F.col("passage"))))
+        first = other.groupBy("entity", "term").agg(F.min(F.struct("context", "passage")).alias("c"), F.first("taken").alias("taken"))
+        taken = materialize(first.select("entity", "term", F.concat("taken", F.array("c.passage")).alias("taken")), "taken")
+    return taken.select("entity", "term")
+
+
 def disclosing_terms(docs: DataFrame, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, kind): terms to generalise or remove.
 
     A pair of entity and neighbouring term counts the different contexts (words around the entity) in which it occurs,
-    so copies of a passage count once; if more than half of a context's words are in most contexts of the entity, these
-    are edits of one passage and give no evidence. Pairs in enough contexts are scored over all documents: PMI(entity, term)
-    against IC(entity). Everything is grouped with map-side partial counts; term frequencies are counted for the terms
-    of such pairs only. A null or empty corpus has none.
+    so copies and edits of a passage count once (`independent`). Pairs in enough contexts are scored over all documents:
+    PMI(entity, term) against IC(entity). Everything is grouped with map-side partial counts; term frequencies are counted
+    for the terms of such pairs only. A null or empty corpus has none.
     """
     spans = found_in(docs).where(F.size("base") > 0).select("doc_id", "text_key", "text", F.explode("base").alias("s"))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
     left = words(F.expr(f"substring(text, greatest(s.start - {NEAR_CHARS}, 0) + 1, least(s.start, {NEAR_CHARS}))"))
     right = words(F.expr(f"substring(text, s.end + 1, {NEAR_CHARS})"))
-    near = spans.select(F.sha2(F.col("s.value"), 256).alias("entity"), F.slice(left, F.greatest(F.size(left) - NEAR_TERMS + 1, F.lit(1)), NEAR_TERMS).alias("l"), F.slice(right, 1, NEAR_TERMS).alias("r"), "text_key")
-    context = near.select("entity", "text_key", F.xxhash64("l", "r").alias("context"), F.array_distinct(F.concat("l", "r")).alias("terms"))
+    around = F.concat(words(F.expr(f"substring(text, greatest(s.start - {PASSAGE_CHARS}, 0) + 1, least(s.start, {PASSAGE_CHARS}))")), words(F.expr(f"substring(text, s.end + 1, {PASSAGE_CHARS})")))
+    passage = F.array_sort(F.array_distinct(F.transform(around, lambda w: F.xxhash64(w)))).alias("passage")
+    near = spans.select(F.sha2(F.col("s.value"), 256).alias("entity"), F.slice(left, F.greatest(F.size(left) - NEAR_TERMS + 1, F.lit(1)), NEAR_TERMS).alias("l"), F.slice(right, 1, NEAR_TERMS).alias("r"), "text_key", passage)
+    context = near.select("entity", "text_key", F.xxhash64("l", "r").alias("context"), F.array_distinct(F.concat("l", "r")).alias("terms"), "passage")
     context = materialize(context, "contexts")
-    each = context.select("entity", "context", "terms").dropDuplicates(["entity", "context"])
-    counted = each.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= contexts)
-    total = each.groupBy("entity").agg(F.count("*").alias("total")).where(F.col("total") >= contexts)
-    known = materialize(counted.join(total, "entity"), "counted")
-    varied = known.groupBy("entity").agg(F.count_if(2 * F.col("n") >= F.col("total")).alias("core")).where(F.col("core") <= NEAR_TERMS)
-    pairs = materialize(known.join(varied, "entity").select("entity", "term"), "pairs")
+    each = context.groupBy("entity", "context").agg(F.first("terms").alias("terms"), F.min("passage").alias("passage"))
+    pairs = independent(each, contexts)
     terms = pairs.select("term").distinct()
     text = docs.select(F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     by_word = text.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))

@@ -330,6 +330,20 @@ def test_disclosing_terms(spark):
     assert privacy.disclosing_terms(docs(spark, [])).count() == 0
 
 
+def test_disclosing_terms_beside_steady_neighbours_and_boilerplate(spark):
+    """Terms of an entity with six steady neighbours, and of one with half of its contexts in edits of one passage."""
+    w = lambda i, k: " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}word" for j in range(k))
+    rows = [(i, f"{w(i, 3)} janet maria doering surgeon jd@corp.org wexhospital northtown {w(i + 50, 8)}") for i in range(12)]
+    passage = [f"pass{chr(97 + j)}age" for j in range(20)]
+    for i in range(12):
+        edit = [f"edit{chr(97 + i)}x" if j == i % 5 + 7 else x for j, x in enumerate(passage)]
+        rows.append((100 + i, " ".join([*edit[:10], "bob@corp.org", *edit[10:]])))
+        rows.append((200 + i, f"{w(i + 100, 9)} bob@corp.org projectx {w(i + 150, 9)}"))
+    rows += [(1000 + i, f"{w(i + 200, 12)}") for i in range(400)]
+    terms = {r.term: r.kind for r in privacy.disclosing_terms(docs(spark, rows)).collect()}
+    assert set(terms) == {"janet", "maria", "doering", "surgeon", "wexhospital", "northtown", "projectx"}
+
+
 def test_redaction(spark):
     df = docs(spark, [(1, "mail a@b.cd, +1 (017) 555-7713."), (2, "none")])
     found = privacy.with_spans(df, spark.createDataFrame([("none", 5), ("mail", 4)], "term string, kind int"))
