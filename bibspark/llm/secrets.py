@@ -1,8 +1,8 @@
 """Operator 8, secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 A string that a tokenizer's vocabulary can't compress, so that it spends few characters a token, is likely random.
-Known digests (hex of a usual length) and identifiers (UUIDs, dotted or camel-case names, paths, plain numbers) are
-excluded before the test.
+Runs of key characters and their parts between separators are tested. UUIDs, digests (hex of a usual length), numbers,
+words and camel-case names under 20 letters, and runs of mostly such parts, like paths, are excluded before the test.
 """
 
 from __future__ import annotations
@@ -24,24 +24,60 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 _KEYWORD = re.compile(r"(?ai)password|passwd|secret|token|api_?key")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_PART = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+|[A-Za-z]?")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Hex lengths of common digests: CRC-64, MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = frozenset((16, 32, 40, 56, 64, 96, 128))
 #: A candidate with fewer characters a token than this is random.
 CHARS_PER_TOKEN = 2.2
+#: Characters from which the ratio tells random strings (at 12, 99 in 100 stay at 2.0 or less) and word-like ones.
+LEAST, LEAST_WORD = 12, 20
+
+
+def known(part: str) -> bool:
+    """A number or a digest."""
+    return part.isdigit() or len(part) in DIGEST_LENGTHS and _DIGEST.fullmatch(part) is not None
 
 
 def is_random(s: str, enc, ratio: float = CHARS_PER_TOKEN) -> bool:
-    """Digits, upper and lower case all occur, it is no digest or identifier, and the vocabulary barely compresses it."""
-    if not (any(c.isdigit() for c in s) and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s)):
+    """It is no digest or identifier, and the vocabulary barely compresses it."""
+    if len(s) < LEAST:
         return False
-    if _UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and _DIGEST.fullmatch(s):
+    parts = _PART.findall(s)
+    if _WORD.fullmatch(s):  # a word in capitals compresses as it does in lower case
+        if len(s) < LEAST_WORD:
+            return False
+        s = s.lower()
+    elif _UUID.search(s):
         return False
+    else:
+        size = sum(map(len, parts))
+        odd = size - sum(len(p) for p in parts if known(p))
+        if len(parts) > 1 and not (len(s) >= LEAST_WORD and any(c.isdigit() for c in s) and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s)):
+            odd -= sum(len(p) for p in parts if _WORD.fullmatch(p))
+        if 2 * odd <= size:
+            return False
     return len(s) / max(1, len(enc.encode_ordinary(s))) < ratio
 
 
+def random_spans(text: str, enc, ratio: float, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Random runs, or else the random parts of a run, that don't meet a taken span."""
+    free = lambda start, end: not any(s < end and start < e for _, s, e in taken)
+    for m in _CANDIDATE.finditer(text):
+        if free(*m.span()) and is_random(m.group(), enc, ratio):
+            yield "random", m.start(), m.end()
+            continue
+        uuids = [u.span() for u in _UUID.finditer(m.group())]
+        for p in _PART.finditer(m.group()):
+            start, end = m.start() + p.start(), m.start() + p.end()
+            within = any(s < p.end() and p.start() < e for s, e in uuids)
+            if p.span() != (0, len(m.group())) and not within and free(start, end) and is_random(p.group(), enc, ratio):
+                yield "random", start, end
+
+
 def scan(text: str | None, enc, ratio: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points: base spans by start and kind, then, among them, the method's own.
 
@@ -56,8 +92,7 @@ def scan(text: str | None, enc, ratio: float = CHARS_PER_TOKEN) -> list[tuple[st
         base += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if _LONG_HEX.search(text):
         base += [("hex", m.start(), m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 24]
-    own = [("random", m.start(), m.end()) for m in _CANDIDATE.finditer(text) if is_random(m.group(), enc, ratio)]
-    own = [x for x in own if not any(s < x[2] and x[1] < e for _, s, e in base)]
+    own = list(random_spans(text, enc, ratio, base))
     return sorted(base + own, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
