@@ -121,28 +121,32 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, rows_per_range: int = 5_000) -> DataFrame:
     """Rows in ranges of ascending doc_id, sorted within: (rng, key, tail, doc_id, text).
 
-    Ranges are cut at document ids that are there (quantiles of the narrow id column), and the first row of each range
-    is also sent, as its tail, to the range before it; the first of all goes to the last. So every row's successor is in
+    Ranges are cut at document ids that are there (near quantiles of the narrow id column, which are doubles: the smallest
+    id from each on), and the first row of each range is also sent, as its tail, to the range before it; the first of all
+    goes to the last. So every row's successor is in
     its own range, and nothing is sorted as a whole. Rows with a null doc_id come first; ties go by text.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     n = base.count()
     parts = max(1, -(-n // rows_per_range))
     cuts = sorted(set(base.stat.approxQuantile("key", [i / parts for i in range(parts)], 0.1 / parts))) if n else []
-    low = base.agg(F.min("key").alias("k")).first().k
-    cuts = sorted({low, *(int(c) for c in cuts if c > low)}) if n else [0]
     # a few numbers a range: an array literal that is searched per row
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    ranged = base.withColumn("rng", F.size(F.filter(bounds, lambda c: c <= F.col("key"))) - 1).withColumn("tail", F.lit(False))
+    literal = lambda cuts: F.array(*[F.lit(c).cast("long") for c in cuts])
+    at = lambda bounds: F.size(F.filter(bounds, lambda c: c <= F.col("key"))) - 1
+    rough = literal(sorted({-(2**63), *(min(int(c), 2**63 - 1) for c in cuts)}))
+    cuts = sorted(r.k for r in base.groupBy(at(rough).alias("rng")).agg(F.min("key").alias("k")).collect()) if n else [0]
+    bounds = literal(cuts)
+    ranged = base.withColumn("rng", at(bounds)).withColumn("tail", F.lit(False))
     firsts = F.array_contains(bounds, F.col("key"))
     tails = ranged.where(firsts).withColumn("rng", F.pmod(F.col("rng") - 1, F.lit(len(cuts)))).withColumn("tail", F.lit(True))
     return ranged.unionByName(tails).repartition(4 * parts, "rng").sortWithinPartitions("rng", "tail", "key", "text")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, rows_per_range: int = 5_000) -> DataFrame:
     """Fingerprints and likenesses of each row (null text: empty), its edited text and the next row.
 
     The next of the last row is the first one; of a single row, itself. Repeated rows are neighbours of each other.
+    A range that ends without a successor for its last row is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +159,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             print_of_new = fingerprint(data)
             return doc_id, len(text), hashlib.sha256(data).hexdigest(), own, print_of_new, likeness(own, print_of_new), likeness(own, following[4])
 
+        def ended(row: tuple | None) -> None:
+            if row is not None:
+                raise ValueError(f"no row follows doc_id {row[2]} in range {row[0]}")
+
         for batch in batches:
             out = []
             for rng, tail, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -163,12 +171,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     out.append(done(held, row))
                     held = None if tail else row
                 else:
+                    ended(held)
                     held = None if tail else row
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=NAMES)
+        ended(held)
 
     bounded_batches(docs.sparkSession)
-    return with_next(docs).select("rng", "tail", "doc_id", "text").mapInArrow(run, SCHEMA)
+    return with_next(docs, rows_per_range).select("rng", "tail", "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

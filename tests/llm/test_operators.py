@@ -94,6 +94,13 @@ def test_fingerprints_follow_the_order(spark):
     assert fuzzyhash.fingerprints(docs(spark, [])).count() == 0
 
 
+def test_fingerprints_of_ids_beyond_doubles(spark):
+    rows = [(i, f"text number {i} " * 3) for k in range(120) for i in (2**62 + 37 * k + 1, -(2**62) - 41 * k - 3)] + [(2**63 - 1, "last"), (None, "no id")]
+    got = {r.doc_id: r.edited_sha256 for r in fuzzyhash.fingerprints(docs(spark, rows), 20).collect()}
+    ordered = sorted(rows, key=lambda x: -(2**63) if x[0] is None else x[0])
+    assert got == {a[0]: hashlib.sha256(fuzzyhash.edited(a[1], b[1]).encode()).hexdigest() for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True)}
+
+
 def test_fingerprint_by_hand():
     r = random.Random(3)
     for _ in range(20):
