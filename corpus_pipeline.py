@@ -16,9 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: a null text or one without a letter."""
+    """Drops documents without a language: a null text or one without a letter, also if no language was learned."""
     model = langid.learn(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
-    return langid.identify(docs, model, COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+    named = F.col("lang_pred") != "und" if model.langs else F.col("text").rlike(r"\p{L}")
+    return langid.identify(docs, model, COLUMNS).where(named).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

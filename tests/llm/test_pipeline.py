@@ -39,6 +39,12 @@ def test_stages(spark):
             assert docs.select("doc_id").distinct().count() == before.count()
 
 
+def test_language_without_labels(spark):
+    rows = [(1, "some words", None, "s", 10), (2, "", None, None, 0), (3, None, None, None, None), (4, "12 ...", None, "s", 6), (5, "中文", None, None, 2), (None, "no id", None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.text for r in cp.language(spark, docs, SF).collect()} == {"some words", "中文", "no id"}
+
+
 def test_run_is_the_stages(spark):
     out = cp.run(spark, SF)
     assert out.count() > 0 and [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "near_duplicates", "personal_data", "packing"]
