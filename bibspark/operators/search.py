@@ -31,9 +31,11 @@ SUFFIXES = ("", " optimization methods", " survey review")
 FIRST_TOP, MERGED_TOP, FOLLOWUP_FROM = 12, 18, 6
 
 
-def normalize_plan(queries: DataFrame, max_q: int = 6) -> DataFrame:
-    """Per round, the first max_q queries that aren't blank; query trimmed, source lower-case, openalex by default."""
+def normalize_plan(queries: DataFrame, max_q: int | None = 6) -> DataFrame:
+    """Per round, the first max_q queries (None: all) that aren't blank; query trimmed, source lower-case, openalex by default."""
     q = queries.withColumn("query", F.trim("query")).withColumn("source", F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("openalex"))).where("query <> ''")
+    if max_q is None:
+        return q
     return q.withColumn("r", F.row_number().over(Window.partitionBy("round").orderBy("q_pos"))).where(F.col("r") <= max_q).drop("r")
 
 

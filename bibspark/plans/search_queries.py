@@ -13,7 +13,7 @@ _CLEAN = SPECS["b11_clean_query"][3]
 _KEY = r"CASE WHEN doi <> '' THEN 'doi:' || lower(doi) WHEN arxiv_id <> '' THEN 'arxiv:' || arxiv_id WHEN ieee_id <> '' THEN 'ieee:' || ieee_id ELSE 'title:' || regexp_replace(lower(regexp_replace(title, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') END"
 
 
-def _plan(spark, sf_dir, n=1_000_000):
+def _plan(spark, sf_dir, n=None):
     return S.normalize_plan(view(spark, sf_dir, "plan_queries"), n)
 
 

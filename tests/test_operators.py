@@ -303,3 +303,9 @@ def test_windowed_telemetry(spark):
 def test_clean_corpus_counts(spark):
     cleaned, counts = T.clean_corpus(spark.createDataFrame([("a  b", "x"), ("c", "x")], "t string, u string"), {"t": "clean_inline", "k": ("u", T.title_key)})
     assert sorted(tuple(r) for r in counts.collect()) == [("k", 0), ("t", 1)] and sorted(r.t for r in cleaned.collect()) == ["a b", "c"]
+
+
+def test_plan_without_a_cap(spark):
+    rows = spark.range(1_000_013).selectExpr("0L round", "id q_pos", "if(id % 500000 = 1, ' ', concat(' q', id)) query", "'X ' source")
+    assert S.normalize_plan(rows, None).count() == 1_000_010 and S.normalize_plan(rows).count() == 6
+    assert "Window" not in S.normalize_plan(rows, None)._jdf.queryExecution().executedPlan().toString()
