@@ -9,14 +9,14 @@ still open are filled from the emptiest ones, so that at most one window of a pa
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,21 +24,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches, resident, table
 
 VOCABULARY, WINDOW, END_ID = "word_bpe_49k.json", 4096, 2
-#: Words whose ids a worker remembers.
-WORDS_KEPT = 250_000
 _MARK = "\x00"
-#: The vocabulary's own pre-tokenising pattern (a fixed value).
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Texts with other characters (controls, far scripts) go through the tokenizer itself.
-_OTHER = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+#: Texts of other characters (controls, far scripts) go through the tokenizer itself.
+_PLAIN = "\t\n\r" + "".join(map(chr, (*range(0x20, 0x7F), *range(0xA1, 0x250))))
+
+
+def _class(kind: str) -> str:
+    """The lower-case forms of the plain characters that are of a Unicode category, as a character class's content."""
+    return re.escape("".join(sorted({c for c in _PLAIN.lower() if unicodedata.category(c)[0] == kind})))
+
+
+_OTHER = re.compile(f"[^{re.escape(_PLAIN)}]")
+#: The vocabulary's own pre-tokenising pattern (a fixed value), its classes spelled out for plain characters.
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
 
 
 class Tokens:
     """Ids of a text by a word vocabulary of the tokenizers library, end id included.
 
-    Common words come from a bounded memory. Other words of plain Latin text are merged by tiktoken, the word end being
-    written as a byte that such text doesn't hold; any other text is encoded by the tokenizers library as a whole. All
-    three give the same ids (tests compare them).
+    The words of plain Latin text are merged by tiktoken in one call, each word's end being written as a byte that such
+    text doesn't hold; any other text is encoded by the tokenizers library as a whole. Both give the same ids (tests
+    compare them). Nothing is remembered from one text to the next.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,23 +61,14 @@ class Tokens:
                 end = token.endswith("</w>")
                 ranks[bytes(byte_of[c] for c in token.removesuffix("</w>")) + b"\x00" * end] = i
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, tuple[int, ...]] = {}
 
     def ids(self, text: str) -> np.ndarray:
         if _OTHER.search(text):
-            return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
-        known, words = self.known, _WORD.findall(text.lower())
-        try:
-            each = [known[w] for w in words]
-        except KeyError:
-            each = [known.get(w) or self.learn(w) for w in words]
-        return np.fromiter(chain(chain.from_iterable(each), (END_ID,)), np.uint32)
-
-    def learn(self, word: str) -> tuple[int, ...]:
-        got = tuple(self.fast.encode_ordinary(word + _MARK))
-        if len(self.known) < WORDS_KEPT:
-            self.known[word] = got
-        return got
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(_MARK.join([*_WORD.findall(text.lower()), ""]))
+        ids.append(END_ID)
+        return np.array(ids, np.uint32)
 
 
 def _byte_characters() -> dict[str, int]:
