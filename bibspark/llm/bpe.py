@@ -1,4 +1,8 @@
-"""Operator 2, byte-level BPE: overlapping chunks are pre-tokenised apart, stitched where their boundaries agree, then encoded."""
+"""Operator 2, byte-level BPE: overlapping chunks are pre-tokenised apart, stitched where their boundaries agree, then encoded.
+
+Every text goes this way. A text within a task's fair share has its chunks cut, stitched and encoded where it is read;
+the chunks of a longer one are dealt out over the cluster, and its pieces come together as ids and bytes.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Code points of a chunk, and of the overlap with the next one.
-CHUNK, OVERLAP = 65_536, 512
+#: Code points of a chunk and of the overlap with the next one; and those of a chunk that is sent to another task, which
+#: is also what a text may have at most to stay in one task.
+CHUNK, OVERLAP = 2_048, 128
+SENT_CHUNK, SENT_OVERLAP = 65_536, 512
 
 
 @lru_cache(maxsize=4)
@@ -47,22 +53,55 @@ def boundaries(text: str, low: int, high: int) -> list[int]:
     return out
 
 
-def encode_rows(path: str):
+def common_ends(part: str, start: int, n: int, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Ends of pre-tokens, as places in a text of n code points, that a chunk sees in the overlap with the chunk before
+    it and with the one after it. part starts at start. What lies at a chunk's own end is left out, and so are ends of
+    blanks, which the pattern, looking ahead, would take in another way at the end of a piece."""
+    last = start + len(part) >= n
+    found = boundaries(part, 0, len(part) + 1)
+    sure = len(part) if last else len(part) - 2  # the end of a cut chunk may split a match
+    if not last and found and found[-1] >= len(part):
+        found.pop()
+    found = [p for p in found if 0 < p < sure and not part[p - 1].isspace()]
+    return [start + p for p in found if p < overlap] if start else [], [start + p for p in found if p > chunk]
+
+
+def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """text as pieces that can be encoded apart: cut at the last pre-token end that two neighbouring chunks both see.
+    After chunks without a common one nothing vouches for later boundaries, so what is left is one piece."""
+    n, tail, at, out = len(text), None, 0, []
+    for start in range(0, n if n > chunk else 0, chunk):
+        head, following = common_ends(text[start : start + chunk + overlap], start, n, chunk, overlap)
+        if tail is not None:
+            common = set(tail).intersection(head)
+            if not common:
+                break
+            out.append(text[at : max(common)])
+            at = max(common)
+        tail = following
+    return [*out, text[at:]]
+
+
+def encode_rows(path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dec = encoding(path), decimals(path)
         for batch in batches:
             n, ids_sha, raw_sha = [], [], []
             for x in batch.column("text"):
-                ids = enc.encode_ordinary(x.as_py() or "")
+                ids, raw = [], hashlib.sha256()
+                for piece in stitched(x.as_py() or "", chunk, overlap):
+                    got = enc.encode_ordinary(piece)
+                    ids += got
+                    raw.update(enc.decode_bytes(got))
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join([dec[i] for i in ids]).encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+                raw_sha.append(raw.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def pieces(long_docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def pieces(long_docs: DataFrame, chunk: int = SENT_CHUNK, overlap: int = SENT_OVERLAP) -> DataFrame:
     """(row, no, piece): whole texts as stretches that can be encoded apart.
 
     Chunk i covers [i * chunk, (i + 1) * chunk + overlap). Both it and chunk i + 1 give the boundaries they see in the
@@ -78,14 +117,9 @@ def pieces(long_docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) ->
         for batch in batches:
             heads, tails = [], []
             for no, n, part in zip(batch.column("no").to_pylist(), batch.column("n").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                start = no * chunk
-                last = start + len(part) >= n
-                found = boundaries(part, 0, len(part) + 1)
-                sure = len(part) if last else len(part) - 2  # the end of a cut chunk may split a match
-                if not last and found and found[-1] >= len(part):
-                    found.pop()
-                heads.append([start + p for p in found if 0 < p < overlap and p < sure] if no else [])
-                tails.append([start + p for p in found if chunk < p < sure])
+                head, tail = common_ends(part, no * chunk, n, chunk, overlap)
+                heads.append(head)
+                tails.append(tail)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*batch.schema.names, "head", "tail"])
 
     seen = cut.mapInArrow(see, "row string, no long, n int, part string, head array<long>, tail array<long>")
@@ -120,18 +154,18 @@ def encode_pieces(parts: DataFrame, path: str) -> DataFrame:
     return parts.mapInArrow(run, "row string, no long, n long, ids string, raw binary")
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, sent_chunk: int = SENT_CHUNK, sent_overlap: int = SENT_OVERLAP, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (null text: empty). Repeated rows stay apart.
 
-    Texts of at most one chunk are encoded where they are read; longer ones are dealt out by chunk, and only their
-    pieces are shuffled.
+    Texts of at most sent_chunk code points stay in the task that reads them, in chunks of chunk; of longer ones chunks
+    of sent_chunk are dealt out, and only they and their pieces are shuffled.
     """
     bounded_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
-    short = base.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(encode_rows(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    tall = base.where(F.length("text") > chunk).withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)))
+    short = base.where(F.coalesce(F.length("text"), F.lit(0)) <= sent_chunk).mapInArrow(encode_rows(path, chunk, overlap), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    tall = base.where(F.length("text") > sent_chunk).withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)))
     copies = tall.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    done = encode_pieces(pieces(tall.dropDuplicates(["row"]), chunk, overlap), path)
+    done = encode_pieces(pieces(tall.dropDuplicates(["row"]), sent_chunk, sent_overlap), path)
     ordered = F.array_sort(F.collect_list(F.struct("no", "ids", "raw")))
     whole = done.groupBy("row").agg(F.sum("n").alias("n_tokens"), ordered.alias("p")).select(
         "row",
