@@ -2,7 +2,8 @@
 
 Documents arrive as a file stream. Keyed state in RocksDB, which never expires, keeps for each digest the stable
 identifier (the largest doc_id), the count, and the content locator (the file and the id of the row that holds the
-bytes). Rows whose digest has been seen are hits; the bytes of hits are compared in full before they count as equal.
+bytes). Rows whose digest has been seen are hits. The locator finds the bytes that the state stands for, and each hit's
+bytes are compared with them in full before the state's answer holds for it.
 """
 
 from __future__ import annotations
@@ -21,22 +22,26 @@ ROCKSDB = {
     # many small stores: no preallocated log files
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-FILES_PER_BATCH = 10_000
+#: Micro-batches that a table is read in at least (if it has so many files), and the files of one at most.
+BATCHES, FILES_PER_BATCH = 3, 10_000
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
-    """Null texts count as empty; nothing else is changed."""
+    """Null texts count as empty; nothing else is changed. docs is read from Parquet: file is the row's own."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.col("_metadata.file_path").alias("file"))
 
 
-def digest_state(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+def digest_state(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     """(digest, keep_id, group_size, keep_file) of all files of a Parquet table, read as a stream to its end.
 
     Rows are combined per task before they reach the state, so a text with a third of all rows costs a row a task. The
     stream checkpoint and each batch's changed keys are in the shared folder; a batch that is run again overwrites its
-    own output, and the last version of a key is the one with the largest count.
+    own output, and the last version of a key is the one with the largest count. Without files_per_batch a table is
+    read in BATCHES batches or more, so that rows meet the state of earlier ones.
     """
+    if files_per_batch is None:
+        files_per_batch = min(FILES_PER_BATCH, max(1, -(-len(spark.read.schema(schema).parquet(path).inputFiles()) // BATCHES)))
     at = scratch_dir(spark)
     # as a pattern, the path may name a file or a folder
     old = {k: spark.conf.get(k, None) for k in ROCKSDB}
@@ -67,32 +72,39 @@ def digest_state(spark: SparkSession, path: str, schema: StructType, files_per_b
 
 
 def classes_of_hits(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """(digest, text_key, keep_id, group_size, texts): hits grouped by their full bytes; texts over 1 means a collision."""
-    hits = state.where("group_size > 1").select("digest")
-    rows = with_digest(docs).join(small(hits), "digest", "left_semi")
-    by_bytes = rows.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return by_bytes.groupBy("digest").agg(F.count("*").alias("texts"), F.collect_list(F.struct(F.md5("text").alias("text_key"), "keep_id", "group_size")).alias("c"))
+    """(digest, classes): the hits of each digest by their full bytes, the class of the stored bytes first.
+
+    The locator says which row holds the stored bytes: it and the hits, combined per task, meet by digest and bytes. More
+    than one class means a collision. It is an error if no row is where the state's locator says, or if the hits aren't
+    as many as the state has counted.
+    """
+    hits = state.where("group_size > 1").select("digest", F.col("keep_id").alias("at_id"), F.col("keep_file").alias("at_file"), F.col("group_size").alias("counted"))
+    rows = with_digest(docs).join(small(hits), "digest")
+    stored = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("file") == F.col("at_file"))
+    by_bytes = rows.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(stored).alias("stored"), F.max("counted").alias("counted"))
+    one = F.struct((~F.col("stored")).alias("other"), F.md5("text").alias("text_key"), "keep_id", "group_size")
+    classes = by_bytes.groupBy("digest").agg(F.sort_array(F.collect_list(one)).alias("c"), F.max("stored").alias("found"), F.sum("group_size").alias("n"), F.max("counted").alias("counted"))
+    lost = F.raise_error(F.concat(F.lit("the state is of another table: digest "), F.hex("digest")))
+    return classes.select("digest", F.when(F.col("found") & (F.col("n") == F.col("counted")), F.col("c")).otherwise(lost.cast(classes.schema["c"].dataType)).alias("c"))
 
 
 def deduplicate(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of each row.
+    """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs, which is read from the table of the state.
 
     Of equal texts the row with the largest doc_id stays; rows without a doc_id stay only if no row of the group has
-    one, and rows that repeat the largest doc_id all count as staying. An empty table gives no rows.
+    one, and rows that repeat the largest doc_id all count as staying. An empty table gives no rows. The state decides
+    for each digest; only where the bytes of hits differ from the stored ones do the classes of bytes stand in for it.
     """
-    hits = classes_of_hits(docs, state)
-    checked = materialize(hits, "hits")
-    # state rows of hits are replaced by what the bytes say
-    single = state.where("group_size = 1").select("digest", F.lit(None).cast("string").alias("text_key"), "keep_id", "group_size")
-    sure = checked.where("texts = 1").select("digest", F.lit(None).cast("string").alias("text_key"), F.col("c")[0]["keep_id"].alias("keep_id"), F.col("c")[0]["group_size"].alias("group_size"))
-    split = checked.where("texts > 1").select("digest", F.explode("c").alias("c")).select("digest", "c.text_key", "c.keep_id", "c.group_size")
-    known = single.unionByName(sure).unionByName(split)
+    checked = materialize(classes_of_hits(docs, state), "hits")
+    split = checked.where("size(c) > 1").select("digest", F.explode("c").alias("c")).select("digest", "c.text_key", "c.keep_id", "c.group_size")
+    split = materialize(split, "split")
+    whole = state.join(small(split.select("digest").distinct()), "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("text_key"), "keep_id", "group_size")
     rows = with_digest(docs).select("doc_id", "digest", F.md5("text").alias("own_key"))
-    joined = rows.join(known, "digest").where("text_key is null or text_key = own_key")
+    joined = rows.join(whole.unionByName(split), "digest").where("text_key is null or text_key = own_key")
     return joined.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def op6_exact_dedup(spark: SparkSession, sf_dir: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+def op6_exact_dedup(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return deduplicate(docs, materialize(digest_state(spark, f"{sf_dir}/documents.parquet", docs.schema, files_per_batch), "state"))
 
