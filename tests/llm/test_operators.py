@@ -76,6 +76,18 @@ def test_bpe_equals_whole(spark, chunk, overlap):
     assert bpe.encode(docs(spark, []), RANKS).count() == 0
 
 
+@pytest.mark.parametrize(("chunk", "overlap"), [(9, 7), (40, 12), (bpe.CHUNK, bpe.OVERLAP)])
+def test_bpe_pieces_of_a_task(chunk, overlap):
+    """Pieces join to the text, and their ids to the whole text's; ordinary texts have several."""
+    r, enc, n = random.Random(chunk), bpe.encoding(RANKS), []
+    made = ["".join(r.choice(["don't", "we'll", "'re", " ", "  ", "\n", "\n\n", "a", "bc", "12", "é", "...", "'l", "l", "中", "\t"]) for _ in range(r.randint(1, 60) * max(1, chunk // 40))) for _ in range(150)]
+    for text in [*made, *(t or "" for _, t in odd_rows()), " " * 9000, "x y" * 5000]:
+        pieces = bpe.stitched(text, chunk, overlap)
+        assert "".join(pieces) == text and [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+        n.append(len(pieces))
+    assert max(n) > (3 if chunk >= 40 else 1) and n[-2] == 1  # an endless run of blanks has no boundaries
+
+
 # 3
 def test_fingerprints_follow_the_order(spark):
     rows = [(i * 3, f"text number {i} " * (i % 9 + 1)) for i in range(200)] + [(1, None), (2, ""), (300, "tie"), (300, "tie"), (None, "no id")]
@@ -278,14 +290,32 @@ def test_exact_dedup(spark, tmp_path):
     assert got[0] == got[1] == sorted(want, key=repr)
 
 
-def test_exact_dedup_checks_bytes(spark):
-    """Two texts under one digest, as if SHA-256 had failed, come apart."""
-    df = docs(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "c")])
+def test_exact_dedup_state_meets_later_batches(spark, tmp_path, monkeypatch):
+    """A table of several files is read in several batches; the state carries what earlier ones have seen."""
+    docs(spark, [(i, f"t{i % 7}") for i in range(60)]).repartition(6, "doc_id").write.parquet(str(tmp_path / "d"))
+    back, seen = spark.read.parquet(str(tmp_path / "d")), []
+    fixed = exactdedup.scratch_dir(spark)
+    monkeypatch.setattr(exactdedup, "scratch_dir", lambda _: fixed)
+    state = exactdedup.digest_state(spark, str(tmp_path / "d"), back.schema)
+    seen = [r.batch for r in spark.read.parquet(f"{fixed}/changes").select("batch").distinct().collect()]
+    assert len(seen) >= 3 and state.count() == 7
+    located = back.select("doc_id", "text", F.col("_metadata.file_path").alias("file")).join(state.select(F.col("keep_id").alias("doc_id"), F.col("keep_file").alias("file")), ["doc_id", "file"])
+    assert sorted(r.text for r in located.collect()) == [f"t{i}" for i in range(7)]
+
+
+def test_exact_dedup_checks_bytes(spark, tmp_path):
+    """Two texts under one digest, as if SHA-256 had failed, come apart; a state of another table is an error."""
+    docs(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "c")]).coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    (file,) = (r.f for r in df.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
     forged = exactdedup.with_digest
+    made = lambda n, file: spark.createDataFrame([(b"same", 4, n, file)], "digest binary, keep_id long, group_size long, keep_file string")
     try:
         exactdedup.with_digest = lambda d: forged(d).withColumn("digest", F.lit("same").cast("binary"))
-        state = spark.createDataFrame([(b"same", 4, 4, "f")], "digest binary, keep_id long, group_size long, keep_file string")
-        got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.deduplicate(df, state).collect())
+        got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.deduplicate(df, made(4, file)).collect())
+        for state in (made(4, "elsewhere"), made(3, file)):
+            with pytest.raises(Exception, match="another table"):
+                exactdedup.deduplicate(df, state).collect()
     finally:
         exactdedup.with_digest = forged
     assert got == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True)]
@@ -326,19 +356,75 @@ def test_personal_data_equals_plain_patterns(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def plain_terms(rows, documents=2, chance=0.05):
+    """Disclosing terms by counting, for rows of different ids."""
+    beside, words, held = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
+            words[w].add(i)
+        for s in plain_base(t):
+            kind, start, end = s.split(":")
+            start, end = int(start), int(end)
+            value = t[start:end]
+            digits = re.sub("[^0-9]", "", value)
+            group = {"email": value.split("@")[-1].lower(), "ip": ".".join(value.split(".")[:3])}.get(kind, digits[:6])
+            left = re.findall(r"[^\W\d_]{3,}", t[max(0, start - 120) : start].lower())[-5:]
+            right = re.findall(r"[^\W\d_]{3,}", t[end : end + 120].lower())[:5]
+            for e in (("value", kind, value), ("class", kind, group)):
+                held[e].add(i)
+                for w in left + right:
+                    beside[e, w].add(i)
+    n, best = len(rows), {}
+    for (e, w), ids in beside.items():
+        k, df, of = len(ids), max(len(words[w]), len(ids)), len(held[e])
+        if k < documents or of == n:
+            continue
+        expected = of * df / n
+        if k * np.log(k / expected) - k + expected >= np.log(len(beside) / chance):
+            best[w] = max(best.get(w, 0), np.log2(k / expected) / np.log2(n / of))
+    return {w: 5 if s >= 0.99 else 4 for w, s in best.items() if s >= 0.95}
+
+
+def test_disclosing_terms_equal_counting(spark):
+    r = random.Random(77)
+    vocabulary = [a + b + c for a in ("ba", "do", "ki", "zu") for b in ("la", "me", "no") for c in ("rt", "ss", "nk", "ff")]
+    names = {f"{x}@{d}.org": [f"{x}son", f"{x}ville"] for x, d in zip("abcdefgh", ["one", "one", "two", "two", "six", "six", "six", "ten"], strict=True)}
+    rows = []
+    for i in range(500):
+        w = r.choices(vocabulary, k=r.randint(3, 40))
+        if i % 4 == 0:
+            e = r.choice(list(names))
+            at = r.randrange(len(w) + 1)
+            w[at:at] = [*r.sample(names[e], r.randint(0, 2)), e, *r.sample(["sixteam", "office"] if "six" in e else ["office"], 1)]
+        if i % 9 == 0:
+            w[0:0] = [f"10.0.7.{i % 5}", "serverroom" if r.random() < 0.9 else "else"]
+        if i % 50 == 1:
+            w.insert(0, r.choice(names["a@one.org"]))  # now and then without the entity
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, "copied words near zed@copies.org here") for i in range(20)]
+    rows += [(2000 + i, f"edited words near yan@edits.org here variant{chr(97 + i)}") for i in range(9)]
+    want = plain_terms(rows)
+    got = {x.term: x.kind for x in privacy.disclosing_terms(docs(spark, rows)).collect()}
+    assert got == want
+    assert set(want.values()) <= {4, 5}
+    assert {"bson", "bville", "sixteam", "serverroom", "edited", "copied"} <= set(want) and not {"else", "office"} & set(want)
+
+
 def test_disclosing_terms(spark):
-    rows = [(i, f"zeta{chr(97 + i)} writes to ann@corp.org about projectx {'yk' * (i + 1)}") for i in range(8)] + [(100 + i, f"a writes to all about thing {'vw' * (i + 1)}") for i in range(40)]
-    rows += [(200 + i, "copied words near bob@corp.org here") for i in range(20)]  # one context only
-    df = docs(spark, rows)
+    rows = [(i, f"zeta{chr(97 + i)} writes to ann@corp.org about projectx {'yk' * (i + 1)}") for i in range(8)] + [(100 + i, f"a writes to all about thing {'vw' * (i + 1)}") for i in range(400)]
+    rows += [(200, "words once near bob@corpus.org here")]  # one document is no evidence
+    df = docs(spark, [*rows, (None, None), (None, ""), (900, None)])
     terms = {r.term: r.kind for r in privacy.disclosing_terms(df).collect()}
     assert terms == {"projectx": 5}
     out = {r.doc_id: r.s for r in privacy.with_spans(df, privacy.disclosing_terms(df)).select("doc_id", privacy.written(F.col("spans")).alias("s")).collect()}
-    assert out[0] == "email:16:28,remove:35:43" and out[200] == "email:18:30" and out[100] == ""
+    assert out[0] == "email:16:28,remove:35:43" and out[100] == ""
     assert privacy.disclosing_terms(docs(spark, [])).count() == 0
+    plan = privacy.neighbours(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_disclosing_terms_beside_steady_neighbours_and_boilerplate(spark):
-    """Terms of an entity with six steady neighbours, and of one with half of its contexts in edits of one passage."""
+    """Terms of an entity with six steady neighbours, and of one that also stands in edits of a passage found elsewhere."""
     w = lambda i, k: " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}word" for j in range(k))
     rows = [(i, f"{w(i, 3)} janet maria doering surgeon jd@corp.org wexhospital northtown {w(i + 50, 8)}") for i in range(12)]
     passage = [f"pass{chr(97 + j)}age" for j in range(20)]
@@ -346,9 +432,10 @@ def test_disclosing_terms_beside_steady_neighbours_and_boilerplate(spark):
         edit = [f"edit{chr(97 + i)}x" if j == i % 5 + 7 else x for j, x in enumerate(passage)]
         rows.append((100 + i, " ".join([*edit[:10], "bob@corp.org", *edit[10:]])))
         rows.append((200 + i, f"{w(i + 100, 9)} bob@corp.org projectx {w(i + 150, 9)}"))
+        rows += [(300 + 20 * i + j, " ".join([*passage, w(i, 2), w(j, 3)])) for j in range(4)]
     rows += [(1000 + i, f"{w(i + 200, 12)}") for i in range(400)]
     terms = {r.term: r.kind for r in privacy.disclosing_terms(docs(spark, rows)).collect()}
-    assert set(terms) == {"janet", "maria", "doering", "surgeon", "wexhospital", "northtown", "projectx"}
+    assert terms == plain_terms(rows) and set(terms) == {"janet", "maria", "doering", "surgeon", "wexhospital", "northtown", "projectx"}
 
 
 def test_redaction(spark):
