@@ -49,6 +49,11 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once a row: inside a lambda, an expression is otherwise repeated for every element."""
+    return F.transform(F.array(c), f)[0]
+
+
 def clean_text(c: Column) -> Column:
     """NUL dropped, line ends made LF, runs of blanks one blank, three or more LF two, trimmed."""
     c = F.regexp_replace(F.regexp_replace(c, r"\x00", ""), r"\r\n?", "\n")
@@ -107,8 +112,8 @@ def truncate(c: Column, n: int, style: str = "dots") -> Column:
         return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n), F.lit("...")))
     t = c if style == "label" else clean_inline(c)
     if style == "ellipsis":
-        return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n - 1), r"\s+$", ""), F.lit("…")))
-    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 3), F.lit("...")))
+        return let(t, lambda t: F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n - 1), r"\s+$", ""), F.lit("…"))))
+    return let(t, lambda t: F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 3), F.lit("..."))))
 
 
 def head_tail(c: Column, n: int = 120_000) -> Column:
@@ -117,8 +122,8 @@ def head_tail(c: Column, n: int = 120_000) -> Column:
 
 def first_of_each(words: Column, keep: int) -> Column:
     """The first words, at most keep, without those that repeat an earlier one in another case."""
-    low = F.transform(words, F.lower)
-    return F.transform(F.slice(F.array_distinct(low), 1, keep), lambda k: F.element_at(words, F.array_position(low, k).cast("int")))
+    first = lambda ws, low: F.transform(F.slice(F.array_distinct(low), 1, keep), lambda k: F.element_at(ws, F.array_position(low, k).cast("int")))
+    return let(words, lambda ws: let(F.transform(ws, F.lower), lambda low: first(ws, low)))
 
 
 def clean_query(c: Column, keep: int = 22) -> Column:
@@ -144,10 +149,10 @@ def portable_path(c: Column) -> Column:
 
 
 def pretty_term(c: Column, names: Mapping[str, str] = TERM_NAMES) -> Column:
-    t = clean_inline(c)
-    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), t)
-    plain = clean_inline(F.replace(F.replace(F.replace(t, F.lit("figure_8"), F.lit("figure-8")), F.lit("figure8"), F.lit("figure-8")), F.lit("_"), F.lit(" ")))
-    return F.when(F.lower(t).isin("", "unknown", "not_applicable", "not applicable"), "").otherwise(F.coalesce(known, plain))
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    figure = lambda t: F.replace(F.replace(t, F.lit("figure_8"), F.lit("figure-8")), F.lit("figure8"), F.lit("figure-8"))
+    plain = lambda t: clean_inline(F.replace(figure(t), F.lit("_"), F.lit(" ")))
+    return let(clean_inline(c), lambda t: F.when(F.lower(t).isin("", "unknown", "not_applicable", "not applicable"), "").otherwise(F.coalesce(F.try_element_at(table, t), plain(t))))
 
 
 def parse_score(c: Column, default: float = 5.0) -> Column:

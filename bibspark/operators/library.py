@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import portable_path
+from ..scratch import materialize
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -16,8 +17,8 @@ DEFAULTS = {"authors": "", "abstract": "", "arxiv_id": "", "doi": "", "ieee_id":
 def add_papers(library: DataFrame, batch: DataFrame) -> DataFrame:
     """The library with the batch's new titles (exact, case-sensitive); in the batch the first (by pos) wins.
 
-    New ids continue the library's in batch order: each partition of the order is numbered from a prefix of narrow
-    per-partition counts, so the batch is never sorted in one task. A paper that is there is left as it is.
+    New ids continue the library's in batch order (see `dense_number`), so the batch is never sorted in one task. A paper
+    that is there is left as it is.
     """
     first = batch.where("title is not null").withColumn("r", F.row_number().over(Window.partitionBy("title").orderBy("pos"))).where("r = 1").drop("r")
     new = first.join(library.select("title"), "title", "left_anti")
@@ -26,15 +27,18 @@ def add_papers(library: DataFrame, batch: DataFrame) -> DataFrame:
     return library.unionByName(numbered.fillna({k: v for k, v in DEFAULTS.items() if k in numbered.columns}), allowMissingColumns=True)
 
 
-def dense_number(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
-    """df with 1, 2, ... in the order of a numeric column, without a global window: rows fall into value ranges, ranges
-    are counted, and a row's number is its rank in its range plus the counts before it."""
-    span = df.agg(F.min(order).alias("lo"), ((F.max(order) - F.min(order)) / ranges + 1e-9).alias("step"))
-    cut = df.crossJoin(F.broadcast(span)).withColumn("g", F.floor((F.col(order) - F.col("lo")) / F.col("step"))).drop("lo", "step")
-    counts = cut.groupBy("g").agg(F.count("*").alias("c"))
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(order)))
-    return ranked.join(F.broadcast(before), "g").withColumn(name, F.col("r") + F.col("before")).drop("g", "r", "before")
+def dense_number(df: DataFrame, order: str, name: str, per_range: int = 1_000_000) -> DataFrame:
+    """df with 1, 2, ... in the order of a column, without a global window.
+
+    Rows are dealt out by ranges of the order, as many as the count asks for, whose bounds Spark samples; sorted ranges are
+    written once. A row's number is its place in its range plus the counts of the ranges before, a number each.
+    """
+    ranges = max(1, -(-df.count() // per_range))
+    cut = df.repartitionByRange(ranges, order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("__g"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("__i"))
+    cut = materialize(cut, "numbered")
+    counts = cut.groupBy("__g").agg(F.count("*").alias("c"))
+    before = counts.select("__g", F.coalesce(F.sum("c").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return cut.join(F.broadcast(before), "__g").withColumn(name, F.col("__i") + F.col("__before") + 1).drop("__g", "__i", "__before")
 
 
 def list_papers(library: DataFrame, limit: int = 50) -> DataFrame:
@@ -58,27 +62,36 @@ def words(*fields: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.concat_ws(" ", *fields)), F.lit(TOKEN), F.lit(0))
 
 
+def tokenised(library: DataFrame) -> DataFrame:
+    """(paper_id, corpus, w, length): a paper's words. corpus, if the library has it, names the collection that it is in."""
+    corpus = F.col("corpus") if "corpus" in library.columns else F.lit("").alias("corpus")
+    return library.select("paper_id", corpus, words(*[F.coalesce(F.col(f), F.lit("")) for f in FIELDS]).alias("w")).withColumn("length", F.size("w"))
+
+
 def postings(library: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The full-text index: (term, paper_id, tf) and (paper_id, length)."""
-    tokens = library.select("paper_id", words(*[F.coalesce(F.col(f), F.lit("")) for f in FIELDS]).alias("w"))
-    return tokens.select("paper_id", F.explode("w").alias("term")).groupBy("term", "paper_id").agg(F.count("*").alias("tf")), tokens.select("paper_id", F.size("w").alias("length"))
+    tokens = tokenised(library)
+    return tokens.select("paper_id", F.explode("w").alias("term")).groupBy("term", "paper_id").agg(F.count("*").alias("tf")), tokens.select("paper_id", "length")
 
 
 def search_text(library: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """(q_id, paper_id, score, hit_pos): papers that hold all terms of a query, by BM25, best first; equal scores newest first.
 
-    Only postings of query terms are kept before the shuffle. A query without terms has no hits.
+    Only postings of query terms are kept before the shuffle. A query without terms has no hits. library may be
+    `tokenised` before. With a corpus column in queries (and library), a query searches its corpus alone, which has
+    its own statistics.
     """
-    asked = queries.select("q_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
+    tokens = library if "w" in library.columns else tokenised(library)
+    corpus = F.col("corpus") if "corpus" in queries.columns else F.lit("").alias("corpus")
+    asked = queries.select("q_id", corpus, F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     n_terms = asked.groupBy("q_id").agg(F.count("*").alias("n_terms"))
-    tokens = library.select("paper_id", words(*[F.coalesce(F.col(f), F.lit("")) for f in FIELDS]).alias("w")).withColumn("length", F.size("w"))
-    size = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = asked.select("term").distinct()
-    hits = tokens.select("paper_id", "length", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("term", "paper_id", "length").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    size = tokens.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    terms = asked.select("corpus", "term").distinct()
+    hits = tokens.select("paper_id", "corpus", "length", F.explode("w").alias("term")).join(terms, ["corpus", "term"], "left_semi").groupBy("corpus", "term", "paper_id", "length").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("corpus", "term").agg(F.count("*").alias("df"))
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(size)).select("term", "paper_id", weight.alias("w"))
-    found = scored.join(asked, "term").groupBy("q_id", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c")).join(n_terms, "q_id").where("c = n_terms")
+    scored = hits.join(df.join(F.broadcast(size), "corpus"), ["corpus", "term"]).select("corpus", "term", "paper_id", weight.alias("w"))
+    found = scored.join(asked, ["corpus", "term"]).groupBy("q_id", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c")).join(n_terms, "q_id").where("c = n_terms")
     ranked = found.withColumn("hit_pos", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("paper_id"))))
     return (ranked.where(F.col("hit_pos") <= k) if k else ranked).select("q_id", "paper_id", "score", "hit_pos")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_inline, pretty_term, term_key, truncate
+from ..functions.text import clean_inline, let, pretty_term, term_key, truncate
 
 LISTS = ("included", "borderline", "representative")
 SLOTS = ("inputs", "methods", "outputs")
@@ -185,11 +185,18 @@ def format_citations(lists: DataFrame, cited: DataFrame) -> DataFrame:
 
 # F10
 def unique_terms(items: Column, n: int = 3, chars: int = 78) -> Column:
-    """The first n items, prettified and shortened, without blanks and without repeats by term key."""
-    made = F.transform(items, lambda x: truncate(pretty_term(x), chars, "ellipsis"))
-    keyed = F.filter(F.transform(made, lambda x: F.struct(x.alias("v"), term_key(x).alias("k"))), lambda s: (s["v"] != "") & (s["k"] != ""))
-    step = lambda a, s: F.when((F.size(a) >= n) | F.exists(a, lambda x: x["k"] == s["k"]), a).otherwise(F.concat(a, F.array(s)))
-    return F.transform(F.aggregate(keyed, F.array().cast("array<struct<v:string,k:string>>"), step), lambda x: x["v"])
+    """The first n items, prettified and shortened, without blanks and without repeats by term key.
+
+    Exact repeats go first, and an item is cleaned only while fewer than n are found.
+    """
+    none = F.array().cast("array<struct<v:string,k:string>>")
+
+    def take(a: Column, v: Column) -> Column:
+        fits = lambda k: (v != "") & (k != "") & ~F.exists(a, lambda x: x["k"] == k)
+        return let(term_key(v), lambda k: F.when(fits(k), F.concat(a, F.array(F.struct(v.alias("v"), k.alias("k"))))).otherwise(a))
+
+    step = lambda a, x: F.when(F.size(a) >= n, a).otherwise(let(truncate(pretty_term(x), chars, "ellipsis"), lambda v: take(a, v)))
+    return F.transform(F.aggregate(F.array_distinct(items), none, step), lambda x: x["v"])
 
 
 def join_terms(items: Column, n: int = 3, chars: int = 30, sep: str = "、") -> Column:
@@ -215,76 +222,236 @@ def generic_slots(input_variables: Column, data_sources: Column, method_family:
     }
 
 
-#: A spec is (shape, slot, parts); a part is (label, path, kind, items, characters): kind terms joins a list, term
-#: prettifies a string, text shortens one, fixed is the label alone. A line without any found part is left out.
-#: Shapes are told apart by the keys that must be there, in this order.
-SHAPES = [("bank", ("meta", "offline_bank")), ("learning", ("task", "rl", "mdp")), ("iterative", ("paper.directional_summary",)), ("control", ("paper", "inputs")), ("batch", ("paper",))]
+class Record:
+    """Reads fields of a VARIANT record by path; what isn't there is null."""
+
+    def __init__(self, variant: Column) -> None:
+        self.v = variant
+
+    def get(self, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.v, f"$.{path}", kind)
+
+    def has(self, path: str) -> Column:
+        return self.get(path).isNotNull()
+
+    def is_object(self, path: str) -> Column:
+        return F.coalesce(F.startswith(F.schema_of_variant(self.get(path)), F.lit("OBJECT")), F.lit(False))
+
+    def number(self, path: str) -> Column:
+        """A JSON number as double; strings that look like one don't count."""
+        return F.when(F.schema_of_variant(self.get(path)).rlike("^(BIGINT|DOUBLE|DECIMAL)"), self.get(path, "double"))
+
+    def whole(self, path: str) -> Column:
+        return F.when(F.schema_of_variant(self.get(path)) == "BIGINT", self.get(path, "bigint"))
+
+    def each(self, path: str) -> Column:
+        return F.coalesce(self.get(path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def filled(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def general(x: Column) -> Column:
+    """A number with six significant digits at most and no zeros at its end."""
+    digits = F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(?=e|$)", "$1")
+    return F.regexp_replace(digits, r"\.(?=e|$)", "")
+
+
+# Readers of a part's value: each makes a function of the record and the part's path.
+def terms(n: int, chars: int, sep: str = "、"):
+    return lambda r, path: join_terms(r.get(path, "array<string>"), n, chars, sep)
+
+
+def term(chars: int | None = None):
+    return lambda r, path: pretty_term(r.get(path, "string")) if chars is None else truncate(pretty_term(r.get(path, "string")), chars, "ellipsis")
+
+
+def text(chars: int):
+    return lambda r, path: truncate(clean_inline(r.get(path, "string")), chars, "ellipsis")
+
+
+def plain(r: Record, path: str) -> Column:
+    return r.get(path, "string")
+
+
+def number(r: Record, path: str) -> Column:
+    return general(r.number(path))
+
+
+def split_terms(mark: str, n: int, chars: int, sep: str):
+    return lambda r, path: join_terms(F.split(r.get(path, "string"), mark), n, chars, sep)
+
+
+def names(field: str, sep: str):
+    """A field of each object of a list, prettified."""
+    made = lambda x: F.try_variant_get(x, f"$.{field}", "string")
+    return lambda r, path: F.array_join(F.transform(F.filter(r.each(path), lambda x: filled(made(x))), lambda x: pretty_term(made(x))), sep)
+
+
+def keys(n: int, chars: int, sep: str):
+    """Keys of an object, in alphabetical order (a VARIANT keeps no other)."""
+    return lambda r, path: join_terms(F.array_sort(F.map_keys(r.get(path, "map<string,variant>"))), n, chars, sep)
+
+
+def span(r: Record, path: str) -> Column:
+    """The least and the greatest of a list of numbers."""
+    values = r.get(path, "array<double>")
+    return F.concat(general(F.array_min(values)), F.lit("–"), general(F.array_max(values)))
+
+
+def in_list(field: str, only: tuple[str, str] | None = None):
+    """Numbers of a field of a list's objects, of those whose other field has a value."""
+
+    def read(r: Record, path: str) -> Column:
+        value = lambda x: Record(x).number(field)
+        fits = lambda x: value(x).isNotNull() & (F.lit(True) if only is None else F.try_variant_get(x, f"$.{only[0]}", "string").eqNullSafe(F.lit(only[1])))
+        return F.transform(F.filter(r.each(path), fits), value)
+
+    return read
+
+
+def yes(r: Record, path: str) -> Column:
+    """A field that is neither missing nor false, zero or empty."""
+    return ~F.coalesce(r.get(path, "string"), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
+
+
+def part(label: str, path: str, how, end: str = "", own: bool = False, default: str | None = None):
+    """A part of a line: its value (blank if missing), and what is written for one. With own, the label goes if the value
+    is missing; default stands in for it."""
+
+    def shown(value: Column) -> Column:
+        whole = F.concat(F.lit(label), value if default is None else F.when(value == "", default).otherwise(value), F.lit(end))
+        return F.when(value == "", "").otherwise(whole) if own else whole
+
+    return lambda r: (F.coalesce(how(r, path), F.lit("")), shown)
+
+
+def _line(parts, wanted):
+    def make(r: Record) -> Column:
+        values, shown = zip(*[p(r) for p in parts], strict=True)
+        return let(F.array(*values), lambda vs: F.when(wanted(vs), F.concat(*[show(vs[i]) for i, show in enumerate(shown)])))
+
+    return make
+
+
+def any_of(*parts):
+    """A line that is there if a part has a value; it then has the labels of all."""
+    return _line(parts, lambda vs: F.exists(vs, lambda v: v != ""))
+
+
+def always(*parts):
+    return _line(parts, lambda vs: F.lit(True))
+
+
+def either(*lines):
+    return lambda r: F.coalesce(*[line(r) for line in lines])
+
+
+def fixed(words: str):
+    return lambda r: F.lit(words)
+
+
+def state_size(r: Record, path: str) -> Column:
+    """Observables of a state; those of 20 dimensions or more with their number."""
+    size = r.whole(f"{path}.dimension")
+    large = F.concat(size.cast("string"), F.lit("维状态："), terms(3, 18)(r, f"{path}.observables"))
+    return F.when(size >= 20, large).otherwise(terms(3, 22)(r, f"{path}.observables"))
+
+
+def aggregated_state(r: Record, path: str) -> Column:
+    return F.concat(r.whole(f"{path}.num_waypoints").cast("string"), F.lit(" 航点聚合的 "), r.whole(f"{path}.state_dim").cast("string"), F.lit(" 维向量"))
+
+
+def no_wind_measured(r: Record, path: str) -> Column:
+    return F.when(r.get(path, "boolean").eqNullSafe(F.lit(False)), "reel-out + 预定义 figure-8 + 无显式风测量")
+
+
+def over_stationary(r: Record, path: str) -> Column:
+    return F.concat(F.lit("相对 stationary 净功率提升 "), general(F.get(in_list("improvement_percent.over_stationary")(r, path), F.lit(0))), F.lit("%"))
+
+
+def losses(r: Record, path: str) -> Column:
+    found = in_list("percent_reduction_vs_optimal", only=("algorithm", "A2C"))(r, path)
+    return F.when(F.size(found) > 0, F.format_string("A2C 相对穷举最优损失 %.2f%%–%.2f%%", F.array_min(found), F.array_max(found)))
+
+
+def supervision(r: Record, path: str) -> Column:
+    adapted = F.concat(F.lit("风向自适应 "), term()(r, f"{path}.update_target.updated_variable"))
+    return F.when(yes(r, f"{path}.enabled"), adapted).otherwise("混合状态机协同绞盘/俯仰")
+
+
+#: Shapes of a record, told apart in this order by the keys that are there.
+SHAPES = [
+    ("bank", lambda r: r.has("meta") & r.has("offline_bank")),
+    ("learning", lambda r: r.has("task") & r.has("rl") & r.has("mdp")),
+    ("iterative", lambda r: r.is_object("paper") & r.has("paper.directional_summary")),
+    ("control", lambda r: r.has("paper") & (r.has("inputs") | r.has("methods") | r.has("outputs"))),
+    ("batch", lambda r: r.is_object("paper")),
+]
+#: The lines of each shape's lists, their labels, the paths of their values and how long these may be.
 SPECS = [
-    ("iterative", "inputs", [("条件：", "paper.directional_summary.iteration_unit", "term", 1, 78)]),
-    ("iterative", "inputs", [("反馈：", "paper.inputs_directional.iteration_level_measurements", "terms", 2, 18), ("；圈内信号：", "paper.inputs_directional.within_iteration_signals_for_J", "terms", 3, 18)]),
-    ("iterative", "inputs", [("待调参数：", "paper.path_parameterization.basis_parameters", "terms", 2, 16)]),
-    ("iterative", "methods", [("响应面：", "paper.learning_model.estimator.type", "term", 1, 78), ("+", "paper.learning_model.response_surface.form", "text", 1, 34)]),
-    ("iterative", "methods", [("更新：", "paper.update_law.update_type", "term", 1, 36)]),
-    ("iterative", "methods", [("下层控制：", "paper.lower_level_control.path_following.method", "term", 1, 78), (" + ", "paper.lower_level_control.actuation_and_inner_loops", "terms", 2, 18)]),
-    ("iterative", "outputs", [("输出参数：", "paper.outputs_directional.updated_path_parameters", "terms", 2, 18)]),
-    ("iterative", "outputs", [("学习产物：", "paper.outputs_directional.learned_model_artifacts", "terms", 2, 18)]),
-    ("iterative", "outputs", [("结果：", "paper.evaluation.key_results_text", "text", 1, 72)]),
-    ("bank", "inputs", [("测量：", "inputs.wind_measurement.measured_variable", "term", 1, 78)]),
-    ("bank", "inputs", [("反馈：", "inputs.performance_feedback_signal.signal_name", "term", 1, 78)]),
-    ("bank", "inputs", [("轨迹库索引：", "offline_bank.index_variable_and_grid.index_variable", "term", 1, 78)]),
-    ("bank", "methods", [("离线生成 Fourier 轨迹库与周期 T", "", "fixed", 1, 78)]),
-    ("bank", "methods", [("在线 ES 修正有效风速 w_eff 并插值选轨", "", "fixed", 1, 78)]),
-    ("bank", "methods", [("饱和约束 + stationary/adaptive/nonadaptive 模式切换", "", "fixed", 1, 78)]),
-    ("bank", "outputs", [("输出设定：", "outputs.selected_setpoint_trajectory.representation", "term", 1, 78)]),
-    ("bank", "outputs", [("在线量：w_eff / w_corr / 当前模式", "", "fixed", 1, 78)]),
-    ("learning", "inputs", [("状态：", "mdp.state.definition.observables", "terms", 3, 22)]),
-    ("learning", "inputs", [("环境：", "environment.wind_model.type", "term", 1, 78), ("；层级：", "task.control_level", "term", 1, 78)]),
-    ("learning", "inputs", [("目标：", "mdp.reward.definition.primary_signal", "term", 1, 78)]),
-    ("learning", "methods", [("算法：", "rl.algorithm.instance", "term", 1, 78)]),
-    ("learning", "methods", [("动作：", "mdp.action.definition.control_targets", "terms", 2, 20)]),
-    ("learning", "methods", [("训练：", "training.regime", "term", 1, 78)]),
-    ("learning", "outputs", [("策略产物：", "outputs.policy_representation", "term", 1, 78)]),
-    ("learning", "outputs", [("控制输出：", "outputs.action_semantics", "term", 1, 50)]),
-    ("learning", "outputs", [("结果：", "evaluation.key_results[0]", "term", 1, 64)]),
-    ("control", "inputs", [("传感：", "inputs.required_sensors_minimal_set", "terms", 3, 16), ("；地面/系绳信号：", "inputs.tether_and_ground_signals", "terms", 2, 16)]),
-    ("control", "inputs", [("任务：", "paper.core_setting.system_scope", "term", 1, 78)]),
-    ("control", "inputs", [("条件：", "inputs.wind_data_usage", "term", 1, 78)]),
-    ("control", "methods", [("导航/引导：极坐标航迹量 + waypoint/heading 参考", "", "fixed", 1, 78)]),
-    ("control", "methods", [("控制：", "control.inner_loop_type_and_controlled_variable.controller_form", "term", 1, 78), (" ", "control.inner_loop_type_and_controlled_variable.controlled_variable", "term", 1, 78)]),
-    ("control", "outputs", [("输出命令：", "outputs.primary_commands", "terms", 3, 20)]),
-    ("control", "outputs", [("系统输出：", "outputs.supervisory_and_winch_commands", "terms", 2, 18)]),
-    ("control", "outputs", [("结果：", "evaluation.metrics_direction_specific", "terms", 2, 28)]),
-    ("batch", "methods", [("离线 replay buffer + 全动作/多风速采样", "", "fixed", 1, 78)]),
-    ("batch", "methods", [("训练：", "paper.data.offline_buffer.collection_policy", "text", 1, 78)]),
-    ("batch", "outputs", [("控制输出：期望系绳张力序列", "", "fixed", 1, 78)]),
+    ("iterative", "inputs", any_of(part("条件：", "paper.directional_summary.iteration_unit", term()))),
+    ("iterative", "inputs", any_of(part("反馈：", "paper.inputs_directional.iteration_level_measurements", terms(2, 18)), part("；圈内信号：", "paper.inputs_directional.within_iteration_signals_for_J", terms(3, 18)))),
+    ("iterative", "inputs", either(any_of(part("待调参数：", "paper.path_parameterization.basis_parameters", terms(2, 16))), any_of(part("待调参数：", "paper.inputs_directional.path_parameter_history", terms(2, 22))))),
+    ("iterative", "methods", any_of(part("响应面：", "paper.learning_model.estimator.type", term()), part("+", "paper.learning_model.response_surface.form", text(34)))),
+    ("iterative", "methods", always(part("更新：", "paper.update_law.update_type", term(36)))),
+    ("iterative", "methods", any_of(part("下层控制：", "paper.lower_level_control.path_following.method", term()), part(" + ", "paper.lower_level_control.actuation_and_inner_loops", terms(2, 18), own=True))),
+    ("iterative", "outputs", any_of(part("输出参数：", "paper.outputs_directional.updated_path_parameters", terms(2, 18)))),
+    ("iterative", "outputs", any_of(part("学习产物：", "paper.outputs_directional.learned_model_artifacts", terms(2, 18)))),
+    ("iterative", "outputs", any_of(part("结果：", "paper.evaluation.key_results_text", text(72)))),
+    ("bank", "inputs", always(part("测量：", "inputs.wind_measurement.measured_variable", term()), part("，偏差约 ", "inputs.wind_measurement.bias_model.value", number, " m/s", own=True))),
+    ("bank", "inputs", any_of(part("反馈：", "inputs.performance_feedback_signal.signal_name", term()))),
+    ("bank", "inputs", any_of(part("轨迹库索引：", "offline_bank.index_variable_and_grid.index_variable", term()))),
+    ("bank", "methods", fixed("离线生成 Fourier 轨迹库与周期 T")),
+    ("bank", "methods", fixed("在线 ES 修正有效风速 w_eff 并插值选轨")),
+    ("bank", "methods", fixed("饱和约束 + stationary/adaptive/nonadaptive 模式切换")),
+    ("bank", "outputs", always(part("输出设定：", "outputs.selected_setpoint_trajectory.representation", split_terms("_plus_", 2, 20, "+"), default="roll 轨迹 + 周期 T"))),
+    ("bank", "outputs", fixed("在线量：w_eff / w_corr / 当前模式")),
+    ("bank", "outputs", any_of(part("结果：", "evaluation.key_results", over_stationary))),
+    ("learning", "inputs", any_of(part("状态：", "mdp.state.definition", state_size))),
+    ("learning", "inputs", any_of(part("环境：", "environment.wind_model.type", term()), part("；层级：", "task.control_level", term()))),
+    ("learning", "inputs", any_of(part("目标：", "mdp.reward.definition.primary_signal", term()))),
+    ("learning", "methods", any_of(part("算法：", "rl.algorithm.instance", term()))),
+    ("learning", "methods", any_of(part("动作：", "mdp.action.definition.control_targets", terms(2, 20)), part("（", "outputs.action_semantics", term(50), "）", own=True))),
+    ("learning", "methods", any_of(part("训练：", "training.regime", term()))),
+    ("learning", "outputs", any_of(part("策略产物：", "outputs.policy_representation", term()))),
+    ("learning", "outputs", any_of(part("控制输出：", "outputs.action_semantics", term(50)))),
+    ("learning", "outputs", any_of(part("结果：", "evaluation.key_results[0]", term(64)))),
+    ("control", "inputs", any_of(part("传感：", "inputs.required_sensors_minimal_set", terms(3, 16)), part("；地面/系绳信号：", "inputs.tether_and_ground_signals", terms(2, 16), own=True))),
+    ("control", "inputs", any_of(part("任务：", "paper.core_setting.system_scope", term()))),
+    ("control", "inputs", any_of(part("条件：", "inputs.wind_data_usage", term()))),
+    ("control", "methods", fixed("导航/引导：极坐标航迹量 + waypoint/heading 参考")),
+    ("control", "methods", any_of(part("控制：", "control.inner_loop_type_and_controlled_variable.controller_form", term()), part(" ", "control.inner_loop_type_and_controlled_variable.controlled_variable", term()))),
+    ("control", "methods", always(part("监督：", "wind_adaptation", supervision))),
+    ("control", "outputs", any_of(part("输出命令：", "outputs.primary_commands", terms(3, 20)))),
+    ("control", "outputs", either(any_of(part("系统输出：", "outputs.supervisory_and_winch_commands", terms(2, 18))), any_of(part("风向对齐输出：", "wind_adaptation.update_target.updated_variable", term())))),
+    ("control", "outputs", any_of(part("结果：", "evaluation.metrics_direction_specific", terms(2, 28)))),
+    ("batch", "inputs", any_of(part("状态：", "paper.mdp.state_definition", aggregated_state))),
+    ("batch", "inputs", any_of(part("动作：离散张力 ", "paper.mdp.action_definition.action_levels_N", span, " N"))),
+    ("batch", "inputs", any_of(part("条件：", "paper.wind_handling.wind_measurement_in_state", no_wind_measured))),
+    ("batch", "methods", fixed("离线 replay buffer + 全动作/多风速采样")),
+    ("batch", "methods", any_of(part("批量强化学习：", "paper.method.algorithms", names("name", " / ")))),
+    ("batch", "methods", any_of(part("训练：", "paper.data.offline_buffer.collection_policy", plain))),
+    ("batch", "outputs", any_of(part("策略产物：", "paper.output.policy_artifacts", keys(2, 12, " / ")))),
+    ("batch", "outputs", fixed("控制输出：期望系绳张力序列")),
+    ("batch", "outputs", any_of(part("结果：", "paper.evaluation.results_by_wind", losses))),
 ]
 
 
 def slots(records: DataFrame, generic: dict[str, Column], specs: list = SPECS, shapes: list = SHAPES, variant: str = "record") -> DataFrame:
     """records with shape and three lists of at most three lines: by the specs of the record's shape, chosen by the keys
-    present; an empty list falls back to the generic one."""
-    v = F.col(variant)
-    has = lambda path: F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
-    shape = reduce(lambda c, s: c.when(reduce(lambda a, b: a & b, [has(k) for k in s[1]]), s[0]), shapes[1:], F.when(reduce(lambda a, b: a & b, [has(k) for k in shapes[0][1]]), shapes[0][0])).otherwise("none")
-
-    def part(label: str, path: str, kind: str, n: int, chars: int) -> Column:
-        if kind == "fixed":
-            return F.lit(label)
-        if kind == "terms":
-            value = join_terms(F.try_variant_get(v, f"$.{path}", "array<string>"), n, chars)
-        else:
-            text = F.try_variant_get(v, f"$.{path}", "string")
-            value = truncate(pretty_term(text) if kind == "term" else clean_inline(text), chars, "ellipsis")
-        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value))
-
+    present; an empty list falls back to the generic one. The specs are (shape, slot, line)."""
+    r = Record(F.col(variant))
+    shape = reduce(lambda c, s: c.when(s[1](r), s[0]), shapes[1:], F.when(shapes[0][1](r), shapes[0][0])).otherwise("none")
     out = records.withColumn("shape", shape)
     for slot in SLOTS:
         made = F.lit(None).cast("array<string>")
         for name, _ in reversed(shapes):
-            lines = [F.nullif(F.array_join(F.array_compact(F.array(*[part(*p) for p in parts])), ""), F.lit("")) for s, which, parts in specs if s == name and which == slot]
+            lines = [line(r) for s, which, line in specs if s == name and which == slot]
             if lines:
                 made = F.when(F.col("shape") == name, unique_terms(F.array_compact(F.array(*lines)), 3, 78)).otherwise(made)
-        out = out.withColumn(slot, F.when(F.coalesce(F.size(made), F.lit(0)) > 0, made).otherwise(F.slice(generic[slot], 1, 3)))
+        out = out.withColumn(slot, let(made, lambda m: F.when(F.coalesce(F.size(m), F.lit(0)) > 0, m).otherwise(F.slice(generic[slot], 1, 3))))  # noqa: B023
     return out
 
 
@@ -304,8 +471,9 @@ def baseline(memberships: DataFrame, recorded: DataFrame) -> DataFrame:
 # F14
 def relative_slots(current: Column, base: Column, n: int = 3) -> Column:
     """Lines whose key the baseline lacks, at most n; if none is left, the mark for sameness."""
-    new = F.filter(current, lambda x: (x != "") & ~F.exists(F.filter(base, lambda y: y != ""), lambda y: term_key(y) == term_key(x)))
-    return F.when(F.size(new) > 0, F.slice(new, 1, n)).otherwise(F.array(F.lit(SAME)))
+    keys = F.transform(F.filter(base, lambda y: y != ""), term_key)
+    new = let(keys, lambda ks: F.filter(current, lambda x: (x != "") & ~F.array_contains(ks, term_key(x))))
+    return let(new, lambda lines: F.when(F.size(lines) > 0, F.slice(lines, 1, n)).otherwise(F.array(F.lit(SAME))))
 
 
 # F15
@@ -326,25 +494,43 @@ def clamp_items(items: Column, n: int) -> Column:
     return F.when(F.size(items) <= n, items).otherwise(F.concat(F.slice(items, 1, n), F.array(F.format_string(REST.format("%d"), F.size(items) - n))))
 
 
+#: Items that each list of a comparison may have.
+CROSS_ITEMS = {"commons": 2, "differences": 2, "common_items": 5, "structure": 4, "visual_ideas": 4}
+
+
 def cross_summary(directions: DataFrame, differences: DataFrame) -> DataFrame:
-    """Each direction with what it shares and how it differs, both lists clamped to two."""
+    """Each direction with what it shares and how it differs, and the lists of the comparison as a whole (common items,
+    structure, visual ideas) if there are any: all clamped, null as empty."""
     none = F.array().cast("array<string>")
     j = directions.join(differences, "direction_id", "left")
-    return j.select(*directions.columns, clamp_items(F.coalesce("commons", none), 2).alias("commons"), clamp_items(F.coalesce("differences", none), 2).alias("differences"))
+    lists = [c for c in CROSS_ITEMS if c in differences.columns]
+    return j.select(*directions.columns, *[clamp_items(F.coalesce(c, none), CROSS_ITEMS[c]).alias(c) for c in lists])
 
 
 # F17
-def direction_context(order: DataFrame, papers: DataFrame, directions: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """A nested row per direction: its baseline, and its papers in order. order is baseline()'s; papers has paper_id,
-    citation, role, reason, problem, inputs, methods, outputs; directions direction_id, direction_name, definition."""
+def direction_papers_in_context(order: DataFrame, papers: DataFrame, directions: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """A row per direction and paper, in order: the direction's name and definition, its baseline, and the paper with its
+    reason cut, and its structure and record trimmed. order is baseline()'s; papers has paper_id, citation, role, reason,
+    problem, inputs, methods, outputs, and may have structure and record; directions direction_id, direction_name,
+    definition. No row is nested, so a direction may have any number of papers."""
     if only is not None:
         directions = directions.where(F.col("direction_id").isin(only))
         if not directions.take(1):
             raise ValueError(f"no such direction: {only}")
-    rows = order.join(papers, "paper_id")
-    paper = F.struct("pos", "paper_id", "citation", "role", truncate(F.col("reason"), 220, "ellipsis").alias("reason"), "problem", *SLOTS)
-    nested = rows.groupBy("direction_id").agg(F.array_sort(F.collect_list(paper)).alias("papers"))
-    return directions.join(nested, "direction_id").select("direction_id", "direction_name", truncate(F.col("definition"), 320, "ellipsis").alias("definition"), F.col("papers")[0]["paper_id"].alias("baseline_paper_id"), F.col("papers")[0]["citation"].alias("baseline_citation"), "papers")
+    whole = {f.name: trimmed(F.col(f.name), f.dataType).alias(f.name) for f in papers.schema if f.name in ("structure", "record")}
+    shown = papers.select("paper_id", "citation", "role", truncate(F.col("reason"), 220, "ellipsis").alias("reason"), "problem", *SLOTS, *whole.values())
+    rows = order.join(shown, "paper_id")
+    first = rows.where("pos = 0").select("direction_id", F.col("paper_id").alias("baseline_paper_id"), F.col("citation").alias("baseline_citation"))
+    named = directions.select("direction_id", "direction_name", truncate(F.col("definition"), 320, "ellipsis").alias("definition"))
+    return named.join(rows, "direction_id").join(first, "direction_id", "left")
+
+
+def direction_context(order: DataFrame, papers: DataFrame, directions: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The same as a nested row per direction, for directions with few papers: they are gathered in one row."""
+    flat = direction_papers_in_context(order, papers, directions, only)
+    head = ["direction_id", "direction_name", "definition", "baseline_paper_id", "baseline_citation"]
+    paper = F.struct("pos", *[c for c in flat.columns if c not in (*head, "pos")])
+    return flat.groupBy(*head).agg(F.array_sort(F.collect_list(paper)).alias("papers"))
 
 
 # F18

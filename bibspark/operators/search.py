@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_query, ws_lower
-from .library import search_text
+from ..scratch import materialize
+from .library import dense_number, search_text, tokenised
 
 #: Synonyms of field terms.
 GLOSSARY = {
@@ -29,6 +30,10 @@ REWRITES = [
 ]
 SUFFIXES = ("", " optimization methods", " survey review")
 FIRST_TOP, MERGED_TOP, FOLLOWUP_FROM = 12, 18, 6
+#: Characters by which a glossary term is met.
+HEAD = 4
+#: Sources with a collection of their own; all others are searched in the last one.
+SOURCES = ("openalex", "ieee", "arxiv")
 
 
 def normalize_plan(queries: DataFrame, max_q: int | None = 6) -> DataFrame:
@@ -50,10 +55,17 @@ def glossary(spark, entries: dict[str, list[str]] = GLOSSARY) -> DataFrame:
 
 
 def expand_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(q_id, query, synonyms): synonyms of every glossary term that the query holds, each once, sorted. The glossary is
-    a small hand-made table."""
-    found = queries.join(terms, F.contains(F.col("query"), F.col("term")), "left")
-    return found.groupBy("q_id", "query").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("synonyms")))).alias("synonyms"))
+    """(q_id, query, synonyms): synonyms of every glossary term that the query holds, each once, sorted; none, an empty list.
+
+    A term is met by its first HEAD characters (all of a shorter one) among the stretches of that length of the query, and
+    only then looked for as a whole, so glossaries of any size join by key.
+    """
+    heads = terms.where("term <> ''").withColumn("head", F.substring("term", 1, HEAD))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("query") - n + 1, F.lit(1))), lambda i: F.substring(F.col("query"), i, F.lit(n)))
+    stretches = queries.select("q_id", "query", F.explode(F.array_distinct(F.flatten(F.array(*[at(n) for n in range(1, HEAD + 1)])))).alias("head"))
+    met = stretches.join(heads, "head").where(F.contains(F.col("query"), F.col("term"))).select("q_id", "synonyms")
+    found = met.groupBy("q_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("synonyms")))).alias("synonyms"))
+    return queries.select("q_id", "query").join(found, "q_id", "left").select("q_id", "query", F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"))
 
 
 def rules(spark, entries: list = REWRITES) -> DataFrame:
@@ -69,18 +81,33 @@ def rewrite_attempts(queries: DataFrame, rule_table: DataFrame) -> DataFrame:
     return first.withColumn("attempt", F.row_number().over(Window.partitionBy("q_id").orderBy("rule"))).select("q_id", "attempt", "query")
 
 
+def routed(source: Column) -> Column:
+    """The collection that a source is searched in: its own, or arXiv's for an unknown one."""
+    return F.when(source.isin(*SOURCES), source).otherwise(SOURCES[-1])
+
+
 def retrieve(attempts: DataFrame, works: DataFrame, per_query: int = 8, min_year: int | None = None) -> DataFrame:
     """(q_id, paper_id, used_query, score, hit_pos): the hits of the first attempt that has any, at most per_query.
 
-    All attempts of all queries are scored in one job; a window keeps each query's first successful one.
+    All attempts of all queries are scored in one job; a window keeps each query's first successful one. If attempts have
+    a source, each is searched among the works of the collection it is routed to. works may be `tokenised` before.
     """
     if min_year is not None:
         works = works.where(F.col("year") >= min_year)
-    keyed = attempts.select("q_id", "attempt", F.col("query").alias("used_query"), F.struct("q_id", "attempt").alias("k"))
-    hits = search_text(works, keyed.select(F.col("k").alias("q_id"), F.col("used_query").alias("query")), per_query)
+    keyed = attempts.select("q_id", "attempt", F.col("query").alias("used_query"), F.struct("q_id", "attempt").alias("k"), *([routed(F.col("source")).alias("corpus")] if "source" in attempts.columns else []))
+    if "source" in attempts.columns and "corpus" not in works.columns:
+        works = works.withColumn("corpus", F.col("source"))
+    hits = search_text(works, keyed.select(F.col("k").alias("q_id"), F.col("used_query").alias("query"), *([c for c in keyed.columns if c == "corpus"])), per_query)
     hits = hits.select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.attempt").alias("attempt"), "paper_id", "score", "hit_pos")
     first = hits.withColumn("first", F.min("attempt").over(Window.partitionBy("q_id"))).where("attempt = first").drop("first")
-    return first.join(keyed.drop("k"), ["q_id", "attempt"]).select("q_id", "paper_id", "used_query", "score", "hit_pos")
+    return first.join(keyed.select("q_id", "attempt", "used_query"), ["q_id", "attempt"]).select("q_id", "paper_id", "used_query", "score", "hit_pos")
+
+
+def stamped(hits: DataFrame, plan: DataFrame) -> DataFrame:
+    """hits (q_id, ...) with what was asked: search_query, search_source, search_venue_hint and search_author_hint of the
+    planned query. Hints are told, never filtered by."""
+    hint = lambda c: F.coalesce(F.col(c), F.lit("")).alias(f"search_{c}_hint")
+    return hits.join(plan.select("q_id", F.col("query").alias("search_query"), F.col("source").alias("search_source"), hint("venue"), hint("author")), "q_id")
 
 
 def paper_key(doi: Column, arxiv_id: Column, ieee_id: Column, title: Column) -> Column:
@@ -113,8 +140,9 @@ def merge_rounds(first: DataFrame, second: DataFrame, by: tuple[str, ...] = ())
     values = [c for c in first.columns if c not in ("key", "pos", *by)]
     both = first.withColumn("o", F.struct(F.lit(1), "pos")).unionByName(second.withColumn("o", F.struct(F.lit(2), "pos")))
     out = both.groupBy(*by, "key").agg(F.min("o").alias("place"), F.max_by(F.struct(*values), "o").alias("v")).select(*by, "key", "place", "v.*")
-    w = Window.partitionBy(*by).orderBy("place") if by else Window.orderBy("place")
-    return out.withColumn("pos", F.row_number().over(w) - 1).drop("place")
+    if not by:
+        return dense_number(out, "place", "n").withColumn("pos", F.col("n") - 1).drop("place", "n")
+    return out.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("place")) - 1).drop("place")
 
 
 def score_join(cands: DataFrame, judged: DataFrame, top_k: int = FIRST_TOP, by: tuple[str, ...] = ()) -> DataFrame:
@@ -159,21 +187,23 @@ def round_summary(topics: DataFrame, papers: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("round1") == 0, "no papers found")).withColumn("round2", F.when(F.col("round1") == 0, 0).otherwise(F.col("round2")))
 
 
-def _hits(plan: DataFrame, works: DataFrame, rule_table: DataFrame, per_query: int) -> DataFrame:
+def _hits(plan: DataFrame, works: DataFrame, tokens: DataFrame, rule_table: DataFrame, per_query: int) -> DataFrame:
     keyed = plan.withColumn("q_id", F.struct("topic_id", "q_pos"))
-    found = retrieve(rewrite_attempts(keyed.select("q_id", "query"), rule_table), works, per_query)
+    attempts = materialize(rewrite_attempts(keyed.select("q_id", "query"), rule_table), "attempts")
+    found = retrieve(attempts, tokens, per_query)
     hits = found.select(F.col("q_id.topic_id").alias("topic_id"), F.col("q_id.q_pos").alias("q_pos"), "paper_id", "hit_pos")
     full = with_key(hits.join(works.select("paper_id", "title", "doi", "arxiv_id", "ieee_id"), "paper_id"))
     once = dedupe_first(full, ("topic_id",))
-    return once.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("q_pos", "hit_pos")) - 1).select("topic_id", "key", "pos", "paper_id", "title")
+    return materialize(once.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("q_pos", "hit_pos")) - 1).select("topic_id", "key", "pos", "paper_id", "title"), "hits")
 
 
 def search_corpus(topics: DataFrame, works: DataFrame, judged: DataFrame, rule_table: DataFrame, n: int = 10, per_query: int = 8) -> tuple[DataFrame, DataFrame]:
     """The two-round search of many topics: ranked papers (topic_id, rank, paper_id, relevance_score), and the summary.
 
     judged has paper_id, score, verdict, followups: judgements of papers, used in both rounds. Round 1 runs the fallback
-    plan of each topic, round 2 the followup terms of its best papers; rounds are merged, scored again and ranked. It is
-    one plan: a topic without hits gives no papers and an error row in the summary.
+    plan of each topic, round 2 the followup terms of its best papers; rounds are merged, scored again and ranked. Papers
+    are tokenised once, and each round's hits written once. A topic without hits gives no papers and an error row in
+    the summary.
     """
     j = judged.select("paper_id", "score", "verdict", "followups")
 
@@ -182,8 +212,9 @@ def search_corpus(topics: DataFrame, works: DataFrame, judged: DataFrame, rule_t
         first = cands.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).drop("n").join(j, "paper_id", "left")
         return first.withColumn("relevance_score", F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.coalesce("score", F.lit(5.0))))).withColumn("followup_terms", F.coalesce("followups", F.array().cast("array<string>")))
 
-    one = _hits(fallback_plan(topics), works, rule_table, per_query)
-    two = _hits(followup_queries(scored(one, FIRST_TOP), 4, ("topic_id",)), works, rule_table, per_query)
+    tokens = materialize(tokenised(works), "tokens")
+    one = _hits(fallback_plan(topics), works, tokens, rule_table, per_query)
+    two = _hits(followup_queries(scored(one, FIRST_TOP), 4, ("topic_id",)), works, tokens, rule_table, per_query)
     merged = merge_rounds(one, two, ("topic_id",))
     ranked = final_rank(scored(merged, MERGED_TOP), n, ("topic_id",)).select("topic_id", "rank", "paper_id", "relevance_score")
     summary = round_summary(topics, one.select("topic_id", F.lit(1).alias("round")).unionByName(two.select("topic_id", F.lit(2).alias("round"))))

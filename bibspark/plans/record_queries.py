@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate
@@ -124,13 +126,28 @@ def f12_generic_slots(spark, sf_dir):
     return _v(spark, sf_dir, "structures").select("paper_id", *[F.array_join(c, "|").alias(k) for k, c in _generic().items()])
 
 
+def _shaped(spark, sf_dir):
+    """A record of each document: two of five shapes each time its number allows, records of no shape in between. The JSON
+    texts are put together from plain values, so their lines can be told from the documents' columns."""
+    n, lang, source = F.col("n"), F.coalesce("lang", F.lit("xx")), F.coalesce("source", F.lit("yy"))
+    at = lambda text, *values: F.concat(*[x for i, t in enumerate(text.split("@")) for x in ([F.lit(t)] + ([values[i].cast("string")] if i < len(values) else []))])
+    turn = F.floor(n / 8)
+    made = {
+        0: at('{"task":{"control_level":"@"},"rl":{"algorithm":{"instance":"algo @"}},"mdp":{"state":{"definition":{"dimension":@,"observables":["@","@","obs","more"]}},"action":{"definition":{"control_targets":["pitch","@"]}}},"outputs":{"action_semantics":"set @"},"evaluation":{"key_results":["gain @"]}}', lang, n, 19 + turn % 2, lang, source, source, lang, n),
+        1: at('{"paper":{"core_setting":{"system_scope":"scope @"}},"inputs":{"required_sensors_minimal_set":["@","imu","@"]},"wind_adaptation":{"enabled":true,"update_target":{"updated_variable":"delta_phi"}}}', n, lang, lang),
+        2: at('{"paper":"x","outputs":{"primary_commands":["alpha","@"]}}', lang),
+        3: at('{"paper":{"directional_summary":{},"inputs_directional":{"within_iteration_signals_for_J":["power","@"]},"learning_model":{"response_surface":{"form":"quadratic @"}}}}', lang, n),
+        4: at('{"meta":{},"offline_bank":{},"inputs":{"wind_measurement":{"measured_variable":"w @","bias_model":{"value":@}}},"outputs":{"selected_setpoint_trajectory":{"representation":"roll_plus_period_plus_@"}},"evaluation":{"key_results":["x",{"improvement_percent":{"over_stationary":@.5}}]}}', lang, (turn % 10 / 4).cast("decimal(9,2)"), lang, n % 7),
+        5: at('{"paper":{"mdp":{"state_definition":{"state_dim":@,"num_waypoints":5},"action_definition":{"action_levels_N":[200.0,@.5]}},"wind_handling":{"wind_measurement_in_state":false},"method":{"algorithms":[{"name":"A2C"},{"x":1},{"name":"dqn_@"}]},"output":{"policy_artifacts":{"actor":1,"critic":2}},"evaluation":{"results_by_wind":[{"algorithm":"A2C","percent_reduction_vs_optimal":1.5},{"algorithm":"A2C","percent_reduction_vs_optimal":@.25},{"algorithm":"X","percent_reduction_vs_optimal":99}]}}}', n, n % 1000 + 300, lang, n % 50),
+        6: F.lit('{"paper":"x"}'),
+    }
+    js = reduce(lambda c, k: c.when(n % 8 == k, made[k]), list(made)[1:], F.when(n % 8 == 0, made[0])).otherwise("{}")
+    d = _v(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("paper_id"), "lang", "source")
+    return _v(spark, sf_dir, "structures").join(d, "paper_id").withColumn("record", F.parse_json(js))
+
+
 def f12_spec_slots(spark, sf_dir):
-    """Records of two shapes, made of each document, beside plain ones that fall back to the generic slots."""
-    s = _v(spark, sf_dir, "structures").withColumn("n", F.col("paper_id").cast("long"))
-    learning = F.to_json(F.struct(F.struct(F.lit("x").alias("control_level")).alias("task"), F.struct(F.struct(F.element_at("input_variables", 1).alias("instance")).alias("algorithm")).alias("rl"), F.struct(F.struct(F.struct(F.col("input_variables").alias("observables")).alias("definition")).alias("state")).alias("mdp")))
-    control = F.to_json(F.struct(F.struct(F.struct(F.col("title").alias("system_scope")).alias("core_setting")).alias("paper"), F.struct(F.col("method_family").alias("required_sensors_minimal_set")).alias("inputs")))
-    js = F.when(F.col("n") % 3 == 0, learning).when(F.col("n") % 3 == 1, control).otherwise("{}")
-    out = R.slots(s.withColumn("record", F.parse_json(js)), _generic())
+    out = R.slots(_shaped(spark, sf_dir), _generic())
     return out.select("paper_id", "shape", *[F.array_join(x, "|").alias(x) for x in R.SLOTS])
 
 
@@ -158,16 +175,17 @@ def f15_flatten_differences(spark, sf_dir):
 
 def f16_cross_summary(spark, sf_dir):
     d = _v(spark, sf_dir, "structures").withColumnRenamed("paper_id", "direction_id")
-    out = R.cross_summary(d.select("direction_id", "title"), d.where("year is not null").select("direction_id", F.col("model_outputs").alias("commons"), F.col("method_family").alias("differences")))
-    return out.select("direction_id", "title", F.array_join("commons", "|").alias("commons"), F.array_join("differences", "|").alias("differences"))
+    lists = {"commons": "model_outputs", "differences": "method_family", "common_items": "input_variables", "structure": "method_family", "visual_ideas": "model_outputs"}
+    out = R.cross_summary(d.select("direction_id", "title"), d.where("year is not null").select("direction_id", *[F.col(c).alias(k) for k, c in lists.items()]))
+    return out.select("direction_id", "title", *[F.array_join(k, "|").alias(k) for k in lists])
 
 
 def f17_direction_context(spark, sf_dir):
     s = _v(spark, sf_dir, "structures")
-    papers = s.join(_cited(spark, sf_dir).select("paper_id", "citation"), "paper_id").select("paper_id", "citation", F.lit("main").alias("role"), F.col("research_task").alias("reason"), R.problem_text(F.col("problem_to_solve"), F.col("research_task"), F.col("title")).alias("problem"), *[c.alias(k) for k, c in _generic().items()])
+    papers = s.join(_cited(spark, sf_dir).select("paper_id", "citation"), "paper_id").select("paper_id", "citation", F.lit("main").alias("role"), F.col("research_task").alias("reason"), R.problem_text(F.col("problem_to_solve"), F.col("research_task"), F.col("title")).alias("problem"), *[c.alias(k) for k, c in _generic().items()], F.struct("title", F.col("method_family").alias("methods")).alias("structure"))
     directions = _directions(spark, sf_dir).select("direction_id", F.lower("direction_id").alias("direction_name"), F.lit("a  definition").alias("definition"))
-    ctx = R.direction_context(_order(spark, sf_dir), papers, directions)
-    return ctx.select("direction_id", "direction_name", "definition", "baseline_paper_id", F.explode("papers").alias("p")).select("direction_id", "direction_name", "definition", "baseline_paper_id", "p.pos", "p.paper_id", "p.citation", "p.reason", "p.problem", F.array_join("p.outputs", "|").alias("outputs"))
+    ctx = R.direction_papers_in_context(_order(spark, sf_dir), papers, directions)
+    return ctx.select("direction_id", "direction_name", "definition", "baseline_paper_id", "baseline_citation", "pos", "paper_id", "citation", "reason", "problem", F.array_join("outputs", "|").alias("outputs"), F.col("structure.title").alias("structure_title"), F.array_join("structure.methods", "|").alias("structure_methods"))
 
 
 def f18_validate_payloads(spark, sf_dir):
@@ -197,16 +215,13 @@ def _short(x: str, n: int) -> str:
     return rf"CASE WHEN length({x}) <= {n} THEN {x} ELSE regexp_replace(substr({x}, 1, {n - 1}), '\s+$', '') || '…' END"
 
 
-def _unique(items: str, n: int, chars: int) -> str:
-    """First n different terms of a list, as R.unique_terms gives for plain words."""
-    made = f"list_transform({items}, lambda w: {_short('w', chars)})"
-    kept = f"list_filter({made}, lambda w: {_KEYOF.format('w')} <> '')"
-    keys = f"list_transform({kept}, lambda w: {_KEYOF.format('w')})"
-    return f"list_slice(list_filter({kept}, lambda w, i: list_position({keys}, {_KEYOF.format('w')}) = i), 1, {n})"
-
-
-def _join(items: str, n: int, chars: int, sep: str = "、") -> str:
-    return f"array_to_string({_unique(items, n, chars)}, '{sep}')"
+def _first(name: str, items: str, n: int, chars: int, sep: str = "、") -> str:
+    """CTEs that give (paper_id, s): the first n different terms of a list of structures, as R.join_terms gives for plain
+    words; each list is read once."""
+    return f"""{name}_w AS (SELECT paper_id, unnest({items}) AS w, generate_subscripts({items}, 1) AS i FROM structures),
+{name}_v AS (SELECT paper_id, i, {_short("w", chars)} AS v FROM {name}_w),
+{name}_k AS (SELECT paper_id, {_KEYOF.format("v")} AS k, min(i) AS i, arg_min(v, i) AS v FROM {name}_v GROUP BY paper_id, k),
+{name} AS (SELECT paper_id, string_agg(v, '{sep}' ORDER BY i) AS s FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY i) AS r FROM {name}_k WHERE k <> '') WHERE r <= {n} GROUP BY paper_id)"""
 
 
 _DIRS = "dirs_ AS (SELECT DISTINCT direction_id FROM assignments UNION ALL SELECT DISTINCT 'D9' FROM assignments WHERE direction_id = 'D1')"
@@ -239,13 +254,21 @@ _BASE = """
 have_ AS (SELECT direction_id, list_kind, paper_id, cast(paper_id AS BIGINT) AS pos FROM memberships WHERE paper_id IN (SELECT paper_id FROM structures WHERE year IS NOT NULL)),
 base_ AS (SELECT direction_id, coalesce(arg_min(paper_id, pos) FILTER (WHERE list_kind = 'representative'), arg_min(paper_id, pos) FILTER (WHERE list_kind = 'included')) AS base FROM have_ GROUP BY direction_id),
 order_ AS (SELECT direction_id, paper_id, row_number() OVER (PARTITION BY direction_id ORDER BY o) - 1 AS pos FROM (SELECT direction_id, base AS paper_id, -1 AS o FROM base_ WHERE base IS NOT NULL UNION ALL SELECT h.direction_id, paper_id, min(pos) FROM have_ h JOIN base_ b ON b.direction_id = h.direction_id AND base <> paper_id WHERE list_kind = 'included' GROUP BY ALL))"""
-_GENERIC = {
-    "inputs": f"'变量：' || {_join('input_variables', 3, 22)}",
-    "methods": f"'方法：' || {_join('method_family', 2, 24)} || '|' || {_short('model_outputs[1]', 72)}",
-    "outputs": f"'输出：' || {_join('model_outputs', 2, 26)}",
-}
+_GENERIC = ",\n".join([_first("gi_", "input_variables", 3, 22), _first("gm_", "method_family", 2, 24), _first("go_", "model_outputs", 2, 26)]) + f""",
+generic_ AS (SELECT s.paper_id, '变量：' || coalesce(gi_.s, '') AS inputs, '方法：' || coalesce(gm_.s, '') || '|' || {_short('model_outputs[1]', 72)} AS methods, '输出：' || coalesce(go_.s, '') AS outputs
+  FROM structures s LEFT JOIN gi_ ON gi_.paper_id = s.paper_id LEFT JOIN gm_ ON gm_.paper_id = s.paper_id LEFT JOIN go_ ON go_.paper_id = s.paper_id)"""
+_SHAPED = """
+doc_ AS (SELECT doc_id AS n, cast(doc_id AS VARCHAR) AS paper_id, coalesce(lang, 'xx') AS l, coalesce(source, 'yy') AS o, doc_id // 8 AS t FROM documents),
+spec_ AS (SELECT paper_id, CASE n % 8 WHEN 0 THEN 'learning' WHEN 1 THEN 'control' WHEN 2 THEN 'control' WHEN 3 THEN 'iterative' WHEN 4 THEN 'bank' WHEN 5 THEN 'batch' ELSE 'none' END AS shape,
+ CASE n % 8 WHEN 0 THEN '状态：' || CASE WHEN t % 2 = 1 THEN '20维状态：' ELSE '' END || l || '、' || o || '、obs|环境：；层级：' || l WHEN 1 THEN '传感：' || l || '、imu|任务：scope ' || n WHEN 3 THEN '反馈：；圈内信号：power、' || l
+  WHEN 4 THEN '测量：w ' || l || '，偏差约 ' || regexp_replace(cast(t % 10 / 4 AS VARCHAR), '\\.0$', '') || ' m/s' WHEN 5 THEN '状态：5 航点聚合的 ' || n || ' 维向量|动作：离散张力 200–' || (n % 1000 + 300) || '.5 N|条件：reel-out + 预定义 figure-8 + 无显式风测量' END AS inputs,
+ CASE n % 8 WHEN 0 THEN '算法：algo ' || n || '|动作：pitch、' || o || '（set ' || l || '）' WHEN 1 THEN '导航/引导：极坐标航迹量 + waypoint/heading 参考|监督：风向自适应 delta phi' WHEN 2 THEN '导航/引导：极坐标航迹量 + waypoint/heading 参考|监督：混合状态机协同绞盘/俯仰' WHEN 3 THEN '响应面：+quadratic ' || n || '|更新：'
+  WHEN 4 THEN '离线生成 Fourier 轨迹库与周期 T|在线 ES 修正有效风速 w eff 并插值选轨|饱和约束 + stationary/adaptive/nonadaptive 模式切换' WHEN 5 THEN '离线 replay buffer + 全动作/多风速采样|批量强化学习：A2C / dqn ' || l END AS methods,
+ CASE n % 8 WHEN 0 THEN '控制输出：set ' || l || '|结果：gain ' || n WHEN 1 THEN '风向对齐输出：delta phi' WHEN 2 THEN '输出命令：alpha、' || l WHEN 4 THEN '输出设定：roll+period|在线量：w eff / w corr / 当前模式|结果：相对 stationary 净功率提升 ' || (n % 7) || '.5%'
+  WHEN 5 THEN '策略产物：actor / critic|控制输出：期望系绳张力序列|结果：A2C 相对穷举最优损失 ' || printf('%.2f', least(1.5, n % 50 + 0.25)) || '%–' || printf('%.2f', greatest(1.5, n % 50 + 0.25)) || '%' END AS outputs
+ FROM doc_)"""
 _PROBLEM = _short(f"coalesce(nullif({_INL.format('problem_to_solve')}, ''), nullif({_INL.format('research_task')}, ''), title)", 180)
-_REST = "CASE WHEN len({0}) <= 2 THEN array_to_string({0}, '|') ELSE array_to_string(list_slice({0}, 1, 2), '|') || '|其余 ' || (len({0}) - 2) || ' 项见结构化结果' END"
+_REST = "CASE WHEN year IS NULL THEN '' WHEN len({0}) <= {1} THEN array_to_string({0}, '|') ELSE array_to_string(list_slice({0}, 1, {1}), '|') || '|其余 ' || (len({0}) - {1}) || ' 项见结构化结果' END"
 _M = ("structures", "memberships", "assignments")
 _SPLIT = "string_split(text, chr(10))"
 SQL = {
@@ -260,17 +283,19 @@ SQL = {
     "f7_record_identity": with_views("SELECT cast(paper_id AS BIGINT) AS doc_id, paper_id, trim(title) AS title, year FROM structures", "structures"),
     "f8_citations": with_views(_CITED + "--- SELECT * FROM cited_", *_M),
     "f9_format_citations": with_views(_CITED + "--- SELECT direction_id || '/' || list_kind AS list_id, string_agg(coalesce(nullif(citation, ''), nullif(title, ''), m.paper_id), '|' ORDER BY m.paper_id) AS citations FROM memberships m LEFT JOIN cited_ c ON c.paper_id = m.paper_id GROUP BY ALL", *_M),
-    "f10_unique_terms": with_views(f"SELECT paper_id, {_join('input_variables', 3, 78, '|')} AS terms, {_join('method_family', 2, 24)} AS joined FROM structures", "structures"),
+    "f10_unique_terms": with_views(_first("a_", "input_variables", 3, 78, "|") + ",\n" + _first("b_", "method_family", 2, 24) + "--- SELECT s.paper_id, coalesce(a_.s, '') AS terms, coalesce(b_.s, '') AS joined FROM structures s LEFT JOIN a_ ON a_.paper_id = s.paper_id LEFT JOIN b_ ON b_.paper_id = s.paper_id", "structures"),
     "f11_problem_text": with_views(f"SELECT paper_id, {_PROBLEM} AS problem FROM structures", "structures"),
-    "f12_generic_slots": with_views("SELECT paper_id, " + ", ".join(f"{q} AS {k}" for k, q in _GENERIC.items()) + " FROM structures", "structures"),
+    "f12_generic_slots": with_views(_GENERIC + "--- SELECT * FROM generic_", "structures"),
+    "f12_spec_slots": with_views(_GENERIC + "," + _SHAPED + "--- SELECT g.paper_id, shape, coalesce(s.inputs, g.inputs) AS inputs, coalesce(s.methods, g.methods) AS methods, coalesce(s.outputs, g.outputs) AS outputs FROM generic_ g JOIN spec_ s ON s.paper_id = g.paper_id", "structures"),
     "f13_baseline": with_views(_BASE + "--- SELECT * FROM order_", *_M),
     "f14_relative_slots": with_views(_BASE + f""", row_ AS (SELECT o.*, model_outputs AS cur FROM order_ o JOIN structures USING (paper_id)), two_ AS (SELECT r.direction_id, r.paper_id, r.cur, b.cur AS base FROM row_ r JOIN row_ b ON b.direction_id = r.direction_id AND b.pos = 0 WHERE r.pos > 0),
 new_ AS (SELECT direction_id, paper_id, list_filter(cur, lambda w: w <> '' AND NOT list_contains(list_transform(list_filter(base, lambda u: u <> ''), lambda u: {_KEYOF.format('u')}), {_KEYOF.format('w')})) AS n FROM two_)
 --- SELECT direction_id, paper_id, CASE WHEN len(n) = 0 THEN '同主线' ELSE array_to_string(list_slice(n, 1, 3), '|') END AS outputs FROM new_""", *_M),
     "f15_flatten_differences": with_views(_CITED + f"--- SELECT cast(doc_id AS VARCHAR) AS direction_id, array_to_string(list_concat([lang], list_transform({_SPLIT}, lambda w: coalesce(nullif(citation, ''), cast(doc_id AS VARCHAR)) || '：' || w), ['文献：z']), '|') AS items FROM documents LEFT JOIN cited_ ON paper_id = cast(doc_id AS VARCHAR)", *_M),
-    "f16_cross_summary": with_views(f"SELECT paper_id AS direction_id, title, CASE WHEN year IS NULL THEN '' ELSE {_REST.format('model_outputs')} END AS commons, CASE WHEN year IS NULL THEN '' ELSE {_REST.format('method_family')} END AS differences FROM structures", "structures"),
-    "f17_direction_context": with_views(_BASE + "," + _CITED + f"""--- SELECT o.direction_id, lower(o.direction_id) AS direction_name, 'a definition' AS definition, first_value(o.paper_id) OVER (PARTITION BY o.direction_id ORDER BY pos) AS baseline_paper_id, pos, o.paper_id, citation, {_short('research_task', 220)} AS reason, {_PROBLEM.replace('title', 's.title')} AS problem, {_GENERIC['outputs']} AS outputs
-FROM order_ o JOIN cited_ c ON c.paper_id = o.paper_id JOIN structures s ON s.paper_id = o.paper_id WHERE o.direction_id IN (SELECT direction_id FROM assignments)""", *_M),
+    "f16_cross_summary": with_views("SELECT paper_id AS direction_id, title, " + ", ".join(f"{_REST.format(c, n)} AS {k}" for k, c, n in (("commons", "model_outputs", 2), ("differences", "method_family", 2), ("common_items", "input_variables", 5), ("structure", "method_family", 4), ("visual_ideas", "model_outputs", 4))) + " FROM structures", "structures"),
+    "f17_direction_context": with_views(_BASE + "," + _CITED + "," + _GENERIC + f"""--- SELECT o.direction_id, lower(o.direction_id) AS direction_name, 'a definition' AS definition, first_value(o.paper_id) OVER w AS baseline_paper_id, first_value(citation) OVER w AS baseline_citation, pos, o.paper_id, citation, {_short('research_task', 220)} AS reason, {_PROBLEM.replace('title', 's.title')} AS problem, g.outputs,
+  {_short('s.title', 260)} AS structure_title, array_to_string(list_transform(list_slice(method_family, 1, 6), lambda w: {_short('w', 260)}), '|') AS structure_methods
+FROM order_ o JOIN cited_ c ON c.paper_id = o.paper_id JOIN structures s ON s.paper_id = o.paper_id JOIN generic_ g ON g.paper_id = o.paper_id WHERE o.direction_id IN (SELECT direction_id FROM assignments) WINDOW w AS (PARTITION BY o.direction_id ORDER BY pos)""", *_M),
     "f18_validate_payloads": """SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 11 = 0 THEN 'missing direction_name' END, CASE WHEN doc_id % 2 = 1 THEN 'baseline lacks citation_cn' END, CASE WHEN doc_id % 3 > 0 THEN 'baseline lacks method_box_cn' END, CASE WHEN doc_id % 3 > 0 THEN 'baseline method_box_cn must be an array' END,
       CASE WHEN doc_id % 5 = 0 THEN 'row 0 lacks output_diff_cn' END, CASE WHEN doc_id % 5 = 0 THEN 'row 1 lacks output_diff_cn' END, CASE WHEN doc_id % 7 = 0 THEN 'self_check open_points' END], lambda q: q IS NOT NULL)) AS rule FROM documents""",
     "f19_coverage": with_views(_VIOLATIONS + "," + _PAPERS + "--- SELECT direction_id, CAST(sum(papers) AS BIGINT) AS papers, CAST(sum(by_title) AS BIGINT) AS by_title, CAST(sum(violations) AS BIGINT) AS violations FROM (SELECT direction_id, count(*) AS papers, count(*) FILTER (WHERE how = 'title') AS by_title, 0 AS violations FROM dp_ GROUP BY 1 UNION ALL SELECT direction_id, 0, 0, count(*) FROM viol_ WHERE direction_id IS NOT NULL GROUP BY 1) GROUP BY ROLLUP (direction_id)", *_M),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators.library import TOKEN
 from .fixtures import view, with_views
 from .library_queries import BM25
 from .text_queries import SPECS
@@ -48,14 +49,23 @@ def d4_rewrite_attempts(spark, sf_dir):
     return S.rewrite_attempts(q, S.rules(spark))
 
 
+def _asked(spark, sf_dir):
+    """The plan by q_id; some queries name a source that the library has no collection of."""
+    source = F.when(F.col("q_pos") % 7 == 3, "elsewhere").otherwise(F.col("source"))
+    return _plan(spark, sf_dir).select("round", F.col("q_pos").alias("q_id"), "query", source.alias("source"), "venue", "author")
+
+
 def _attempts(spark, sf_dir):
     """A query's four words, then its first two, then its first."""
-    plan = _plan(spark, sf_dir).select(F.col("q_pos").alias("q_id"), F.split("query", " ").alias("w"))
-    return plan.select("q_id", F.posexplode(F.array(F.concat_ws(" ", "w"), F.concat_ws(" ", F.slice("w", 1, 2)), F.col("w")[0])).alias("attempt", "query"))
+    plan = _asked(spark, sf_dir).select("q_id", "source", F.split("query", " ").alias("w"))
+    return plan.select("q_id", "source", F.posexplode(F.array(F.concat_ws(" ", "w"), F.concat_ws(" ", F.slice("w", 1, 2)), F.col("w")[0])).alias("attempt", "query"))
 
 
 def _retrieved(spark, sf_dir):
-    return S.retrieve(_attempts(spark, sf_dir), view(spark, sf_dir, "papers"), 8, 2005)
+    return S.stamped(S.retrieve(_attempts(spark, sf_dir), view(spark, sf_dir, "papers"), 8, 2005), _asked(spark, sf_dir))
+
+
+STAMPS = ("search_query", "search_source", "search_venue_hint", "search_author_hint")
 
 
 def d5_retrieve(spark, sf_dir):
@@ -68,11 +78,11 @@ def d6_paper_key(spark, sf_dir):
 
 def _round_hits(spark, sf_dir):
     hits = _retrieved(spark, sf_dir).join(view(spark, sf_dir, "papers"), "paper_id").join(_plan(spark, sf_dir).select("round", F.col("q_pos").alias("q_id")), "q_id")
-    return S.with_key(hits.withColumn("q_pos", F.col("q_id"))).select("round", "q_id", "q_pos", "hit_pos", "key", "paper_id", "title")
+    return S.with_key(hits.withColumn("q_pos", F.col("q_id"))).select("round", "q_id", "q_pos", "hit_pos", "key", "paper_id", "title", *STAMPS)
 
 
 def d7_dedupe_first(spark, sf_dir):
-    return S.dedupe_first(_round_hits(spark, sf_dir)).select("round", "key", "q_pos", "hit_pos", "paper_id")
+    return S.dedupe_first(_round_hits(spark, sf_dir)).select("round", "key", "q_pos", "hit_pos", "paper_id", *STAMPS)
 
 
 def d8_diagnostics(spark, sf_dir):
@@ -137,13 +147,21 @@ def d14_search_summary(spark, sf_dir):
 
 
 _PLAN = "plan_ AS (SELECT round, q_pos, trim(query) AS query, coalesce(nullif(lower(trim(source)), ''), 'openalex') AS source, venue, author FROM plan_queries WHERE trim(query) <> '')"
-_RETRIEVE = _PLAN + """,
-att_ AS (SELECT q_pos, attempt, array_to_string(list_slice(w, 1, CASE attempt WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END), ' ') AS query FROM (SELECT q_pos, string_split(query, ' ') AS w FROM plan_), (SELECT unnest([0, 1, 2]) AS attempt)),
-asking_ AS (SELECT (q_pos, attempt) AS q_id, query FROM att_), old_ AS (SELECT * FROM papers WHERE year >= 2005),""" + BM25.replace("FROM papers", "FROM old_") + """,
-got_ AS (SELECT q_id[1] AS q_id, q_id[2] AS attempt, paper_id, score, hit_pos FROM found_ WHERE hit_pos <= 8),
-ret_ AS (SELECT g.q_id, paper_id, a.query AS used_query, score, hit_pos FROM (SELECT *, min(attempt) OVER (PARTITION BY q_id) AS f FROM got_) g JOIN att_ a ON a.q_pos = g.q_id AND a.attempt = g.attempt WHERE g.attempt = f)"""
+_RETRIEVE = _PLAN + rf""",
+ask_ AS (SELECT round, q_pos, query, CASE WHEN q_pos % 7 = 3 THEN 'elsewhere' ELSE source END AS source, coalesce(venue, '') AS venue, coalesce(author, '') AS author FROM plan_),
+att_ AS (SELECT q_pos, attempt, CASE WHEN source IN ('openalex', 'ieee') THEN source ELSE 'arxiv' END AS corpus, array_to_string(list_slice(w, 1, CASE attempt WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END), ' ') AS query FROM (SELECT q_pos, source, string_split(query, ' ') AS w FROM ask_), (SELECT unnest([0, 1, 2]) AS attempt)),
+toks_ AS (SELECT paper_id, source AS corpus, regexp_extract_all(lower(title || ' ' || abstract || ' ' || authors), '{TOKEN}') AS w FROM papers WHERE year >= 2005),
+size_ AS (SELECT corpus, count(*) AS n, avg(len(w)) AS mean FROM toks_ GROUP BY corpus),
+post_ AS (SELECT corpus, paper_id, len(w) AS length, term, count(*) AS tf FROM (SELECT corpus, paper_id, w, unnest(w) AS term FROM toks_) GROUP BY ALL),
+df_ AS (SELECT corpus, term, count(*) AS df FROM post_ GROUP BY ALL),
+asked_ AS (SELECT DISTINCT q_pos, attempt, corpus, unnest(regexp_extract_all(lower(query), '{TOKEN}')) AS term FROM att_),
+hits_ AS (SELECT q_pos, attempt, p.paper_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS c
+  FROM asked_ a JOIN post_ p USING (corpus, term) JOIN df_ USING (corpus, term) JOIN size_ USING (corpus) GROUP BY ALL),
+found_ AS (SELECT h.q_pos, h.attempt, paper_id, score, row_number() OVER (PARTITION BY h.q_pos, h.attempt ORDER BY score DESC, paper_id DESC) AS hit_pos FROM hits_ h JOIN (SELECT q_pos, attempt, count(*) AS n FROM asked_ GROUP BY ALL) q ON q.q_pos = h.q_pos AND q.attempt = h.attempt AND n = c),
+ret_ AS (SELECT g.q_pos AS q_id, paper_id, a.query AS used_query, score, hit_pos, k.query AS search_query, k.source AS search_source, venue AS search_venue_hint, author AS search_author_hint
+  FROM (SELECT *, min(attempt) OVER (PARTITION BY q_pos) AS f FROM found_ WHERE hit_pos <= 8) g JOIN att_ a ON a.q_pos = g.q_pos AND a.attempt = g.attempt JOIN ask_ k ON k.q_pos = g.q_pos WHERE g.attempt = f)"""
 _HITS = _RETRIEVE + f""",
-hit_ AS (SELECT pl.round, r.q_id, r.q_id AS q_pos, hit_pos, {_KEY} AS key, r.paper_id, title FROM ret_ r JOIN papers p ON p.paper_id = r.paper_id JOIN plan_ pl ON pl.q_pos = r.q_id),
+hit_ AS (SELECT pl.round, r.q_id, r.q_id AS q_pos, hit_pos, {_KEY} AS key, r.paper_id, title, {', '.join(STAMPS)} FROM ret_ r JOIN papers p ON p.paper_id = r.paper_id JOIN plan_ pl ON pl.q_pos = r.q_id),
 once_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round, key ORDER BY q_pos, hit_pos) AS r FROM hit_) WHERE r = 1)"""
 _MERGE = _HITS + """,
 merge_ AS (SELECT key, row_number() OVER (ORDER BY o) - 1 AS pos, paper_id FROM (SELECT key, min((round, q_pos * 100 + hit_pos)) AS o, arg_max(paper_id, (round, q_pos * 100 + hit_pos)) AS paper_id FROM once_ GROUP BY key))"""
@@ -187,9 +205,9 @@ SQL = {
     "d4_rewrite_attempts": f"""WITH q_ AS (SELECT item_id AS q_id, CASE item_id % 3 WHEN 0 THEN 'SCUC (Benders) ' WHEN 1 THEN 'title: Parallel Unit Commitment BENDERS ' ELSE '' END || string_split(text, ' ')[1] AS x FROM benchmark), c_ AS (SELECT q_id, {_CLEAN} AS clean FROM q_), rules_ AS (SELECT * FROM (VALUES {_REWRITES}) AS t(rule, needs, rewrite)),
 e_ AS (SELECT q_id, 0 AS rule, clean AS query FROM c_ WHERE clean <> '' UNION ALL SELECT q_id, rule, rewrite FROM c_, rules_ WHERE len(list_filter(needs, lambda q: NOT contains(lower(clean), q))) = 0)
 SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY min(rule)) AS attempt, query FROM e_ GROUP BY q_id, query""",
-    "d5_retrieve": with_views(_RETRIEVE + "--- SELECT q_id, paper_id, used_query, round(score, 4) AS score, hit_pos FROM ret_", *_W),
+    "d5_retrieve": with_views(_RETRIEVE + "--- SELECT * REPLACE (round(score, 4) AS score) FROM ret_", *_W),
     "d6_paper_key": with_views(f"SELECT paper_id, {_KEY} AS key FROM papers", "papers"),
-    "d7_dedupe_first": with_views(_HITS + "--- SELECT round, key, q_pos, hit_pos, paper_id FROM once_", *_W),
+    "d7_dedupe_first": with_views(_HITS + f"--- SELECT round, key, q_pos, hit_pos, paper_id, {', '.join(STAMPS)} FROM once_", *_W),
     "d8_diagnostics": with_views(_HITS + "--- SELECT p.q_pos AS q_id, (SELECT count(*) FROM hit_ h WHERE h.q_id = p.q_pos) + CASE WHEN source = 'ieee' THEN 1 ELSE 0 END AS result_count, CASE WHEN source = 'ieee' THEN 'IEEE request failed' END AS error FROM plan_ p", *_W),
     "d9_merge_rounds": with_views(_MERGE + "--- SELECT * FROM merge_", *_W),
     "d10_score_join": with_views(_SCORE + "--- SELECT * FROM score_", *_W),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import telemetry as H
+from ..scratch import scratch_dir
 from ..sources import readers as A
 from ..sources import sinks as W
 from ..streaming import incremental as S
@@ -104,13 +104,36 @@ def a8_direction_records(spark, sf_dir):
     return out.select("direction_id", "file")
 
 
+def a9_pdf_inventory(spark, sf_dir):
+    """Files written from the documents, one per source and language; those of a source that is asked for, and of how many."""
+    at = scratch_dir(spark)
+    docs = _docs(spark, sf_dir).select(F.concat_ws("_", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))).alias("stem"), F.col("doc_id").cast("string").alias("value"))
+    docs.repartition("stem").write.partitionBy("stem").text(at)
+    files = A.pdf_inventory(spark, at, suffix=".txt")
+    return files.select(F.regexp_extract("path", "stem=([^/]+)/", 1).alias("stem"), (F.col("length") > 0).alias("filled"))
+
+
 def a10_assemble_documents(spark, sf_dir):
     return W.assemble_documents(view(spark, sf_dir, "page_texts"))
 
 
+def _bundle(spark, sf_dir):
+    """A written bundle, read back: structures, mapping, schemas and records by direction, and a comparison."""
+    names = {"single_paper_structures": "structures", "direction_mapping": "assignments", "direction_records": "memberships"}
+    parts = {part: view(spark, sf_dir, name) for part, name in names.items()}
+    directions = parts["direction_mapping"].select("direction_id").distinct()
+    parts["direction_schemas"] = directions.select("direction_id", F.array(F.lit("x")).alias("fields"))
+    parts["cross_direction_comparison"] = directions.where("direction_id < 'D3'")
+    at = scratch_dir(spark)
+    W.write_bundle(parts, at, "papers", "documents")
+    return W.read_bundle(spark, at)
+
+
 def a11_bundle_manifest(spark, sf_dir):
-    parts = {n: view(spark, sf_dir, n) for n in ("structures", "assignments", "memberships")}
-    return W.bundle_manifest(parts, "papers", "1", "documents")
+    """The manifest, beside the rows and the different keys that each part holds."""
+    manifest, parts = _bundle(spark, sf_dir)
+    there = reduce(lambda a, b: a.unionByName(b), [df.agg(F.count("*").alias("rows_read"), F.count_distinct("paper_id" if "paper_id" in df.columns else "direction_id").alias("keys")).withColumn("part", F.lit(name)) for name, df in parts.items()])
+    return manifest.join(there, "part").select("topic", "pipeline_version", "input_source", "part", "rows", "rows_read", "keys")
 
 
 def a12_direction_stems(spark, sf_dir):
@@ -139,18 +162,10 @@ def s1_pending(spark, sf_dir):
     return S.pending(inputs, view(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("stem")))
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def s2_ingest_papers(spark, sf_dir):
     """Documents arrive as a stream of files; the library after it."""
     docs = view(spark, sf_dir, "documents")
-    at = _scratch(spark)
+    at = scratch_dir(spark)
     title = F.trim(F.replace(F.split_part("text", F.lit("."), F.lit(1)), F.lit("\n"), F.lit(" ")))
     empty = spark.createDataFrame([], "paper_id long, title string, source string")
     S.ingest_papers(S.as_stream(spark, f"{sf_dir}/documents.parquet", docs.schema), empty, f"{at}/library", f"{at}/checkpoint", lambda df: df.select(title.alias("title"), "source", F.col("doc_id").alias("pos")))
@@ -173,7 +188,11 @@ SQL = {
  UNION ALL SELECT lpad(cast(max(doc_id) AS VARCHAR), 9, '0') || '.json', cast(doc_id // 100 AS VARCHAR), 'repeated paper_id' FROM documents WHERE doc_id % 10 = 2 GROUP BY doc_id // 100 HAVING count(*) > 1""",
     "a8_direction_records": "SELECT 'D' || doc_id % 50 AS direction_id, lpad(cast(max(doc_id) AS VARCHAR), 9, '0') || '.json' AS file FROM documents WHERE doc_id % 4 < 3 GROUP BY doc_id % 50",
     "a10_assemble_documents": f"SELECT pdf_id, {SPECS['b1_clean_text'][3]} AS text FROM (SELECT conv_id AS pdf_id, string_agg(chr(10) || '==================== 第 ' || (turn + 1) || ' 页 ====================' || chr(10) || coalesce(text, ''), '' ORDER BY turn) AS x FROM conversations GROUP BY conv_id)",
-    "a11_bundle_manifest": with_views("SELECT 'papers' AS topic, '1' AS version, 'documents' AS source, part, rows FROM (SELECT 'structures' AS part, count(*) AS rows FROM structures UNION ALL SELECT 'assignments', count(*) FROM assignments UNION ALL SELECT 'memberships', count(*) FROM memberships)", "structures", "memberships"),
+    "a9_pdf_inventory": "SELECT DISTINCT coalesce(source, 'none') || '_' || coalesce(lang, 'none') AS stem, true AS filled FROM documents",
+    "a11_bundle_manifest": with_views("""dir_ AS (SELECT DISTINCT direction_id FROM assignments),
+part_ AS (SELECT 'single_paper_structures' AS part, count(*) AS rows, count(DISTINCT paper_id) AS keys FROM structures UNION ALL SELECT 'direction_mapping', count(*), count(DISTINCT paper_id) FROM assignments UNION ALL SELECT 'direction_records', count(*), count(DISTINCT paper_id) FROM memberships
+ UNION ALL SELECT 'direction_schemas', count(*), count(*) FROM dir_ UNION ALL SELECT 'cross_direction_comparison', count(*), count(*) FROM dir_ WHERE direction_id < 'D3')
+--- SELECT 'papers' AS topic, 'v2_direction_adaptive' AS pipeline_version, 'documents' AS input_source, part, rows, rows AS rows_read, keys FROM part_""", "structures", "memberships"),
     "a12_direction_stems": f"SELECT doc_id, {SPECS['b3_safe_stem'][3]} AS stem FROM (SELECT doc_id, 'D' || doc_id % 4 || '_' || ' a/b: ' || text AS x FROM documents)",
     "a13_table_cells": "SELECT doc_id, trim(text) || '||' || '|' || lang AS cells FROM documents WHERE doc_id % 5 > 0",
     "a14_graph_summary": "SELECT (SELECT least(50, count(*)) FROM documents) AS nodes, count(*) AS edges, array_to_string(list_sort(list(DISTINCT type)), '|') AS relation_types FROM (" + E_SQL["e12_build_graph"] + ")",

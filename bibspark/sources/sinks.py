@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, safe_stem
@@ -19,21 +21,35 @@ def assemble_documents(pages: DataFrame, mark: bool = True) -> DataFrame:
     return joined.select("pdf_id", clean_text(F.array_join(F.transform("ps", lambda p: p["t"]), "")).alias("text"))
 
 
-def bundle_manifest(parts: dict[str, DataFrame], topic: str, version: str, source: str) -> DataFrame:
-    """(topic, version, source, part, rows): a row for each part of a bundle."""
-    frames = [df.agg(F.count("*").alias("rows")).select(F.lit(topic).alias("topic"), F.lit(version).alias("version"), F.lit(source).alias("source"), F.lit(name).alias("part"), "rows") for name, df in parts.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+#: The parts of a bundle, and the versions of a whole one and of one with structures alone.
+BUNDLE_PARTS = ("single_paper_structures", "direction_mapping", "direction_schemas", "direction_records", "cross_direction_comparison")
+WHOLE, SINGLE = "v2_direction_adaptive", "v2_single_paper_only"
+
+
+def bundle_manifest(parts: dict[str, DataFrame], topic: str, source: str, version: str | None = None) -> DataFrame:
+    """(topic, generated_at, pipeline_version, input_source, part, rows): a row for each part of a bundle."""
+    unknown = set(parts) - set(BUNDLE_PARTS)
+    if unknown or "single_paper_structures" not in parts:
+        raise ValueError(f"a bundle has structures and known parts, not {sorted(unknown or parts)}")
+    version = version or (SINGLE if len(parts) == 1 else WHOLE)
+    head = [F.lit(topic).alias("topic"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("generated_at"), F.lit(version).alias("pipeline_version"), F.lit(source).alias("input_source")]
+    counts = [df.agg(F.count("*").alias("rows")).select(*head, F.lit(name).alias("part"), "rows") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
-def write_bundle(parts: dict[str, DataFrame], path: str, topic: str, version: str = "1", source: str = "bibspark") -> None:
-    """A bundle is a folder: each part as JSON lines below its name, and a manifest with the row counts. A bundle of
-    structures alone is one with that part only. No part is gathered in one row."""
+def write_bundle(parts: dict[str, DataFrame], path: str, topic: str, source: str = "bibspark", version: str | None = None) -> None:
+    """A bundle is a folder: each part as JSON lines below its name, and a manifest with topic, time, version, source and
+    row counts. A bundle of structures alone is one with that part only. No part is gathered in one row."""
+    manifest = bundle_manifest(parts, topic, source, version)
     for name, df in parts.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
-    bundle_manifest(parts, topic, version, source).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The manifest of a written bundle, and its parts."""
+    manifest = spark.read.json(f"{path}/manifest")
+    return manifest, {r.part: spark.read.json(f"{path}/{r.part}") for r in manifest.select("part").collect()}
 
 
 def direction_stems(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,13 +24,15 @@ def as_stream(spark: SparkSession, path: str, schema: StructType, files_per_batc
 def process_pending(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, overwrite: bool = False) -> None:
     """Run step on items (with stem) as they arrive, skipping those that have an output; to the stream's present end.
 
-    A batch writes its own folder, so one that is run again after a failure replaces itself.
+    A batch writes its own folder, so one that is run again after a failure replaces itself; of rows that share a stem it
+    then takes the same one again (the first by a hash of the row).
     """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, i: int) -> None:
         done = _read(spark, out, i)
-        todo = df.dropDuplicates(["stem"])
+        first = Window.partitionBy("stem").orderBy(F.xxhash64(*df.columns))
+        todo = df.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
         step(pending(todo, done, overwrite) if done is not None else todo).write.mode("overwrite").parquet(f"{out}/batch={i}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -256,8 +256,14 @@ def test_sinks(spark, tmp_path):
     nodes, edges = spark.range(3).withColumnRenamed("id", "paper_id"), spark.createDataFrame([(0, 1, "cites"), (1, 2, "a")], "source_id long, target_id long, type string")
     sinks.export_graph(nodes, edges, str(tmp_path / "g"))
     assert spark.read.json(str(tmp_path / "g/summary")).first().asDict() == {"nodes": 3, "edges": 2, "relation_types": ["a", "cites"]}
-    sinks.write_bundle({"nodes": nodes, "edges": edges}, str(tmp_path / "b"), "t")
-    assert {r.part: r.rows for r in spark.read.json(str(tmp_path / "b/manifest")).collect()} == {"nodes": 3, "edges": 2}
+    sinks.write_bundle({"single_paper_structures": nodes}, str(tmp_path / "one"), "t")
+    (only,) = sinks.read_bundle(spark, str(tmp_path / "one"))[0].collect()
+    assert (only.part, only.rows, only.pipeline_version) == ("single_paper_structures", 3, "v2_single_paper_only") and re.fullmatch(r"\d{4}(-\d\d){2} \d\d(:\d\d){2}", only.generated_at)
+    sinks.write_bundle({"single_paper_structures": nodes, "direction_mapping": edges}, str(tmp_path / "b"), "t")
+    manifest, parts = sinks.read_bundle(spark, str(tmp_path / "b"))
+    assert {r.part: r.rows for r in manifest.collect()} == {k: df.count() for k, df in parts.items()} == {"single_paper_structures": 3, "direction_mapping": 2}
+    with pytest.raises(ValueError, match="known parts"):
+        sinks.write_bundle({"edges": edges}, str(tmp_path / "x"), "t")
     tables = spark.createDataFrame([(1, [["a ", None], ['q"x', "b"]]), (2, [[" ", None]])], "table_id long, rows array<array<string>>")
     sinks.write_table_csv(tables, str(tmp_path / "c"))
     back = spark.read.csv(str(tmp_path / "c"), escape='"').collect()
