@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,23 +124,33 @@ def with_next(docs: DataFrame, rows_per_range: int = 5_000) -> DataFrame:
 
     Ranges are cut at document ids that are there (near quantiles of the narrow id column, which are doubles: the smallest
     id from each on), and the first row of each range is also sent, as its tail, to the range before it; the first of all
-    goes to the last. So every row's successor is in
-    its own range, and nothing is sorted as a whole. Rows with a null doc_id come first; ties go by text.
+    goes to the last. So every row's successor is in its own range, and nothing is sorted as a whole. A row finds its range
+    by binary search among the cuts, of which there is one for rows_per_range rows. Rows with a null doc_id come first;
+    ties go by text.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     n = base.count()
     parts = max(1, -(-n // rows_per_range))
-    cuts = sorted(set(base.stat.approxQuantile("key", [i / parts for i in range(parts)], 0.1 / parts))) if n else []
-    # a few numbers a range: an array literal that is searched per row
-    literal = lambda cuts: F.array(*[F.lit(c).cast("long") for c in cuts])
-    at = lambda bounds: F.size(F.filter(bounds, lambda c: c <= F.col("key"))) - 1
-    rough = literal(sorted({-(2**63), *(min(int(c), 2**63 - 1) for c in cuts)}))
-    cuts = sorted(r.k for r in base.groupBy(at(rough).alias("rng")).agg(F.min("key").alias("k")).collect()) if n else [0]
-    bounds = literal(cuts)
-    ranged = base.withColumn("rng", at(bounds)).withColumn("tail", F.lit(False))
-    firsts = F.array_contains(bounds, F.col("key"))
-    tails = ranged.where(firsts).withColumn("rng", F.pmod(F.col("rng") - 1, F.lit(len(cuts)))).withColumn("tail", F.lit(True))
-    return ranged.unionByName(tails).repartition(4 * parts, "rng").sortWithinPartitions("rng", "tail", "key", "text")
+    cuts = base.stat.approxQuantile("key", [i / parts for i in range(parts)], 0.1 / parts) if n else []
+    rough = place_among(docs.sparkSession, sorted({-(2**63), *(min(int(c), 2**63 - 1) for c in cuts)}))
+    cuts = sorted(r.k for r in base.select("key", rough("key")["rng"].alias("rng")).groupBy("rng").agg(F.min("key").alias("k")).collect()) if n else [0]
+    at = F.col("at")
+    own = F.struct(at["rng"].alias("rng"), F.lit(False).alias("tail"))
+    before = F.struct(F.pmod(at["rng"] - 1, F.lit(len(cuts))).alias("rng"), F.lit(True).alias("tail"))
+    placed = base.withColumn("at", place_among(docs.sparkSession, cuts)("key")).withColumn("p", F.explode(F.when(at["first"], F.array(own, before)).otherwise(F.array(own))))
+    return placed.select("p.rng", "key", "p.tail", "doc_id", "text").repartition(4 * parts, "rng").sortWithinPartitions("rng", "tail", "key", "text")
+
+
+def place_among(spark: SparkSession, cuts: list[int]):
+    """A function of a long column: (rng, first), the place of the last cut that isn't above it, and whether it is that cut."""
+    shared = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.pandas_udf("rng int, first boolean")
+    def place(key: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(shared.value, key.to_numpy(np.int64), side="right") - 1
+        return pd.DataFrame({"rng": at.astype(np.int32), "first": shared.value[at] == key.to_numpy(np.int64)})
+
+    return place
 
 
 def fingerprints(docs: DataFrame, rows_per_range: int = 5_000) -> DataFrame:
