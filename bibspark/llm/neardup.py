@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, discard, materialize, small, table, vacate
+from .common import bounded_batches, connected_components, discard, join_sliced, materialize, small, table, vacate
 
 WORDS, KEYS = 5, 4
 #: Documents under SMALL tokens have all tokens met, larger ones the share SAMPLED of the hash range. SMALL_SELF is the
@@ -201,12 +201,13 @@ SIMILAR = "100 * common >= 80 * (an + bn - common)"
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, an, bn, common) of the pairs whose sizes allow a link."""
+    """(a, b, an, bn, common) of the pairs whose sizes allow a link. b may be the same in any share of the pairs."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
     common: Column = F.size(F.array_intersect("at", "bt"))
-    near = pairs.join(left.select("a", "an"), "a").join(right.select("b", "bn"), "b").where("5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b")
-    return near.join(left, "a").join(right, "b").select("a", "b", "an", "bn", common.alias("common"))
+    per_b = pairs.groupBy("b").agg(F.count("*").alias("rows"))
+    near = join_sliced(pairs.join(left.select("a", "an"), "a"), right.select("b", "bn"), "b", "a", counts=per_b).where("5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b")
+    return join_sliced(near.join(left, "a"), right, "b", "a", counts=per_b).select("a", "b", "an", "bn", common.alias("common"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,9 +223,12 @@ def groups_and_links(sets: DataFrame, standing: DataFrame) -> tuple[DataFrame, D
     """
     keyed = sets.select("id", F.explode("keys").alias("key"))
     ranked = keyed.join(standing, "id")
-    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("share", "copies", -F.col("id"))).alias("b"), F.count("*").alias("c")).where("c > 1")
-    pairs = keyed.join(leaders, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    counted = materialize(overlaps(materialize(pairs, "pairs"), sets), "counted")
+    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("share", "copies", -F.col("id"))).alias("b"), F.count("*").alias("rows")).where("rows > 1")
+    leaders = materialize(leaders, "leaders")
+    pairs = join_sliced(keyed, leaders.select("key", "b"), "key", "id", counts=leaders.select("key", "rows")).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = materialize(pairs, "pairs")
+    counted = materialize(overlaps(pairs, sets), "counted")
+    discard(leaders, pairs, collect=False)
     links = counted.where(SIMILAR).select("a", "b")
     groups = connected_components(links)
     return materialize(sets.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("g")), "groups"), links, counted
@@ -244,23 +248,33 @@ def references(counted: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(best.select(F.col("a").alias("id"), F.col("r.b").alias("ref"), F.col("r.bn").alias("rn"), F.col("r.common").alias("common")), "refs")
 
 
-def pairs_of_one_reference(known: DataFrame, refs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups with the same reference that its overlaps don't rule out.
+def pairs_of_one_reference(known: DataFrame, refs: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups with the same reference that may link.
 
-    Let d be the tokens by which a document and the reference differ, and s those of them that another group may share.
-    Two documents differ in d + d' - 2 min(s, s') tokens at least; linked ones in a ninth of their sizes' sum at most,
-    and they have four ninths of that sum in common, which is no more than either shares with other groups.
+    Let d be the number of tokens in which a document and the reference differ. Two documents of n and m tokens differ in
+    d + d' - 2 s, if s of those are the same for both; linked ones in a ninth of n + m at most. So s is at least o = (d +
+    d' - (n + m) / 9) / 2, which is positive for every pair of which one doesn't link to the reference. Hence, with each
+    document's d tokens ordered by the number of documents around the reference that have them, the first common one is
+    among the first d - o + 1 of either. What few share comes first, so edits that were made apart hardly ever meet. A
+    link also has four ninths of n + m in common, which is no more than either shares with other groups.
     """
     at = groups.select(F.col("id").alias("ref"), F.col("g").alias("rg"))
-    shared = known.select(F.col("id").alias("ref"), F.col("c").alias("rc"))
-    own = F.col("n") - F.col("c") - F.when(F.col("g") == F.col("rg"), F.col("rn") - F.least(F.coalesce("rc", F.lit(0)), "rn")).otherwise(0)
-    placed = known.where("most > 0").join(refs, "id").join(at, "ref").join(shared, "ref", "left")
-    placed = placed.withColumn("d", F.col("n") + F.col("rn") - 2 * F.col("common")).withColumn("s", F.col("d") - F.when(F.col("id") == F.col("ref"), 0).otherwise(F.greatest(own, F.lit(0))))
-    placed = materialize(placed.select("ref", "rg", "id", "g", "n", "c", "d", "s"), "placed")
+    placed = known.where("most > 0").join(refs.select("id", "ref"), "id").join(at, "ref").select("ref", "rg", "id", "g", "n", "c")
+    of_ref = sets.select(F.col("id").alias("ref"), F.col("tokens").alias("rt"))
+    differing = F.array_union(F.array_except("tokens", "rt"), F.array_except("rt", "tokens"))
+    met = join_sliced(placed.join(sets.select("id", "tokens"), "id"), of_ref, "ref", "id").select("ref", "rg", "id", "g", "n", "c", differing.alias("t"))
+    each = materialize(met.select("ref", "rg", "id", "g", "n", "c", F.size("t").alias("d"), F.explode("t").alias("token")), "differing")
+    several = each.groupBy("ref", "token").agg(F.count("*").alias("df")).where("df > 1")
+    by_doc = Window.partitionBy("ref", "id")
+    shared = each.join(several, ["ref", "token"])
+    # tokens that no other document has come first of all
+    ranked = shared.withColumn("rank", F.row_number().over(by_doc.orderBy("df", "token")) + F.col("d") - F.count("*").over(by_doc)).where("rank <= floor(n / 4) + 1")
+    ranked = materialize(ranked.select("ref", "token", "rg", "id", "g", "n", "c", "d", "rank"), "ranked")
     # of two groups, one isn't the reference's
-    x = placed.where("g <> rg").select("ref", *(F.col(k).alias(f"x{k}") for k in ("id", "g", "n", "c", "d", "s")))
-    may = "xg <> g and 5 * least(xn, n) >= 4 * greatest(xn, n) and 9 * least(xc, c) >= 4 * (xn + n) and 9 * (xd + d - 2 * least(xs, s)) <= xn + n"
-    met = x.join(placed.withColumnRenamed("ref", "pref"), (F.col("ref") == F.col("pref")) & F.expr(may))
+    x = ranked.where("g <> rg").select(F.col("ref").alias("xref"), F.col("token").alias("xtoken"), *(F.col(k).alias(f"x{k}") for k in ("id", "g", "n", "c", "d", "rank")))
+    least = "9 * (xd + d) - (xn + n)"
+    may = f"xg <> g and (g = rg or xid < id) and 5 * least(xn, n) >= 4 * greatest(xn, n) and 9 * least(xc, c) >= 4 * (xn + n) and 18 * (xd - xrank + 1) >= {least} and 18 * (d - rank + 1) >= {least}"
+    met = x.join(ranked, (F.col("xref") == F.col("ref")) & (F.col("xtoken") == F.col("token")) & F.expr(may))
     return met.select(F.greatest("xid", "id").alias("a"), F.least("xid", "id").alias("b"))
 
 
@@ -273,8 +287,8 @@ def links_between(sets: DataFrame, groups: DataFrame, refs: DataFrame) -> DataFr
     keeps, with each group, the largest n that any of its documents allows.
 
     Where many documents are edits of one text, too far from it to be of its group, each shares nearly all tokens with
-    each other. Their overlaps with that text, their reference, are known, and bound those among them. So a document
-    doesn't ask about groups all of whose documents have its own reference: such pairs come from those bounds.
+    each other. What they don't share with that text, their reference, is little, and tells them apart. So a document
+    doesn't ask about groups all of whose documents have its own reference: such pairs come from those differences.
     """
     tokens = sets.select("id", "n", F.explode("tokens").alias("token")).join(groups, "id")
     spread = tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
@@ -305,9 +319,9 @@ def links_between(sets: DataFrame, groups: DataFrame, refs: DataFrame) -> DataFr
     opened = materialize(named.where("members = 1").select("id", "g", "qn").unionByName(bound.select("id", "g", "qn")), "opened")
     partners = known.select(F.col("id").alias("other"), "g", "n", "most")
     pairs = opened.join(partners, "g").where("n >= qn and most >= qn").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-    pairs = pairs.unionByName(pairs_of_one_reference(known, refs, groups)).distinct()
-    found = materialize(linked(materialize(pairs, "open_pairs"), sets), "between")
-    discard(matrix, asking)
+    pairs = materialize(pairs.unionByName(pairs_of_one_reference(known, refs, groups, sets)).distinct(), "open_pairs")
+    found = materialize(linked(pairs, sets), "between")
+    discard(matrix, asking, known, named, opened, pairs)
     return found
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import BROADCAST_ROWS, bounded_batches, join_sliced, materialize, small, table
 
 CHUNK_BYTES, MIN_REVISIT_BYTES = 1 << 20, 0
 CHUNK_SCHEMA = "page_id long, archive int, record long, chunk int, last boolean, data binary, sha1_so_far binary"
@@ -33,13 +33,21 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     """Pages with their payload and refers_to: null for a response, else the smallest page_id of equal payload.
 
     Payloads are equal if SHA-1 and length are. Counting is combined per task, so a payload that fills a third of the
-    table costs a row a task; only digests are shuffled for it. Null pages ids are responses of their own.
+    table costs a row a task; only digests are shuffled for it. Pages then meet the repeated digests, which are broadcast
+    if they are small; else pages of a digest with very many are dealt over slices. Pages without an id are responses of
+    their own; of rows that repeat the smallest id of a payload, all are responses.
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("sha1"), F.octet_length(html).alias("bytes"))
     firsts = base.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    repeated = firsts.where(f"n > 1 and bytes >= {min_bytes}").select("sha1", F.col("bytes").alias("b"), "first_id")
-    joined = base.join(repeated, (base["sha1"] == repeated["sha1"]) & (base["bytes"] == repeated["b"]), "left")
+    repeated = materialize(firsts.where(f"n > 1 and bytes >= {min_bytes}").select(F.struct("sha1", "bytes").alias("payload"), "first_id", "n"), "repeated")
+    base = base.withColumn("payload", F.struct("sha1", "bytes"))
+    few = small(repeated.select("payload", "first_id"))
+    if repeated.count() <= BROADCAST_ROWS:
+        joined = base.join(few, "payload", "left")
+    else:
+        once = base.join(few, "payload", "left_anti").withColumn("first_id", F.lit(None).cast("long"))
+        joined = join_sliced(base, few, "payload", "page_id", counts=repeated.select("payload", F.col("n").alias("rows"))).select(*once.columns).unionByName(once)
     return joined.select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 

@@ -11,7 +11,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
-from bibspark.llm import bpe, chat, exactdedup, fuzzyhash, langid, neardup, packing, privacy, secrets, warc
+from bibspark.llm import bpe, chat, common, exactdedup, fuzzyhash, langid, neardup, packing, privacy, secrets, warc
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -106,6 +106,44 @@ def test_fingerprints_follow_the_order(spark):
     assert fuzzyhash.fingerprints(docs(spark, [])).count() == 0
 
 
+def plain_likeness(x, y):
+    """By the definition: prints of one block size, or of neighbouring ones, by the share of edits; 7 in a row must agree."""
+    if x == y:
+        return 1.0
+    a, b, best = x.split(":"), y.split(":"), 0.0
+    for i, p in enumerate(a[1:]):
+        for j, q in enumerate(b[1:]):
+            if int(a[0]) << i != int(b[0]) << j:
+                continue
+            row = list(range(len(q) + 1))
+            for m, c in enumerate(p, 1):
+                diagonal, row[0] = row[0], m
+                for k, d in enumerate(q, 1):
+                    diagonal, row[k] = row[k], diagonal if c == d else 1 + min(row[k], row[k - 1])
+            run = min(7, len(p), len(q))
+            if p == q:
+                best = 1.0
+            elif run and any(p[k : k + run] in q for k in range(len(p) - run + 1)):
+                best = max(best, 1 - row[-1] / (len(p) + len(q)))
+    return best
+
+
+def test_fingerprints_likeness_end_to_end(spark):
+    r = random.Random(12)
+    base = " ".join("".join(r.choices("abcdefgh", k=r.randint(1, 9))) for _ in range(400))
+    rows = [(i, base[r.randint(0, 300) :][: r.choice([40, 300, 900, 1800])] + "".join(r.choices("xyz ", k=r.randint(0, 30)))) for i in range(90)]
+    after = {i: rows[(k + 1) % len(rows)] for k, (i, _) in enumerate(rows)}
+    texts, seen = dict(rows), set()
+    for x in fuzzyhash.fingerprints(docs(spark, rows), 20).collect():
+        text, following = texts[x.doc_id], after[x.doc_id][1]
+        half = len(text) // 2
+        own, edited, other = (fuzzyhash.fingerprint(t.encode()) for t in (text, text[: len(text) - half] + following[:half], following))
+        assert (x.fingerprint, x.edited_fingerprint, x.n_chars) == (own, edited, len(text))
+        assert abs(x.near_edited - plain_likeness(own, edited)) < 1e-12 and abs(x.near_next - plain_likeness(own, other)) < 1e-12
+        seen |= {x.near_edited > 0.4, x.near_next > 0}
+    assert seen == {True, False}
+
+
 def test_fingerprints_of_ids_beyond_doubles(spark):
     rows = [(i, f"text number {i} " * 3) for k in range(120) for i in (2**62 + 37 * k + 1, -(2**62) - 41 * k - 3)] + [(2**63 - 1, "last"), (None, "no id")]
     got = {r.doc_id: r.edited_sha256 for r in fuzzyhash.fingerprints(docs(spark, rows), 20).collect()}
@@ -544,6 +582,31 @@ def test_warc(spark):
     assert warc.read_records(warc.archive_pages(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_warc_hot_payload(spark, monkeypatch, rows):
+    """One payload fills most pages; ids repeat and are missing. The same records come out by slices and by broadcast."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
+    made = [(i % 50 if i % 7 else None, "u", "hot" if i % 3 else f"p{i % 20}") for i in range(3600)]
+    got = sorted(((r.page_id, r.payload_digest, r.refers_to) for r in warc.read_records(warc.archive_pages(spark.createDataFrame(made, "page_id long, url string, html string").repartition(6))).collect()), key=repr)
+    least = defaultdict(list)
+    for i, _, h in made:
+        if i is not None:
+            least[h].append(i)
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    assert got == sorted(((i, digest(h), min(least[h]) if i is not None and i > min(least[h]) else None) for i, _, h in made), key=repr)
+
+
+def test_joins_of_bounded_size(spark):
+    left = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(4000)], "key int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(6)], "key int, r string")
+    want = sorted(map(tuple, left.join(right, "key").select("key", "v", "r").collect()))
+    assert sorted(map(tuple, common.join_sliced(left, right, "key", "v", 300).select("key", "v", "r").collect())) == want
+    assert sorted(map(tuple, common.join_sliced(left, right, "key", "v", 10**6).select("key", "v", "r").collect())) == want
+    wide = spark.createDataFrame([(1, "x" * 5000)], "a int, b string")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.small(wide)) and not hinted(common.small(spark.range(20_000).select(F.lit("x" * 5000).alias("b"))))
+
+
 def test_warc_small_payloads_are_responses(spark):
     df = spark.createDataFrame([(1, "", "ab"), (2, "", "ab"), (3, "", "abcd"), (4, "", "abcd")], "page_id long, url string, html string")
     got = {r.page_id: r.refers_to for r in warc.read_records(warc.archive_pages(df, min_bytes=3)).collect()}
