@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rects as R
 from ..operators import pages as P
+from ..scratch import materialize
 from .fixtures import view, with_views
 
 _SIDES = ", ".join(f"{{0}}.{s} AS {{1}}{s}" for s in R.SIDES)
@@ -48,13 +49,26 @@ def g4_columns_by_gap(spark, sf_dir):
     return g.select("pdf_id", "page", *[F.round(c, 4).alias(c) for c in ("gutter_x0", "gutter_x1", "left_x0", "left_x1", "right_x0", "right_x1")])
 
 
-def _layout(spark, sf_dir):
+class _Once(dict):
+    """Tables of a query that several steps read: each is written once, when it is first asked for."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__()
+        self.where = spark, sf_dir
+
+    def __call__(self, make):
+        if make not in self:
+            self[make] = materialize(make(*self.where, self), make.__name__.strip("_"))
+        return self[make]
+
+
+def _layout(spark, sf_dir, once=None):
     return P.layouts(_v(spark, sf_dir, "page_lines"), _v(spark, sf_dir, "page_words"), _dims(spark, sf_dir))
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, once=None):
     lines = _v(spark, sf_dir, "page_lines").withColumn("rect", R.of()).drop(*R.SIDES)
-    return P.assign_column(lines, _layout(spark, sf_dir))
+    return P.assign_column(lines, once(_layout) if once else _layout(spark, sf_dir))
 
 
 def g5_assign_column(spark, sf_dir):
@@ -65,18 +79,16 @@ def g6_caption_starts(spark, sf_dir):
     return P.caption_starts(_lines(spark, sf_dir)).select("line_id", "kind", "number_token")
 
 
-def _captions(spark, sf_dir):
-    c = P.captions(_lines(spark, sf_dir))
-    # a caption's id: its place among all captions of the document and page, by position
-    return c.withColumn("caption_id", (F.col("pdf_id") * 10_000_000 + F.col("page") * 100_000 + F.col("rect.y0") * 50 + F.col("rect.x0") / 10).cast("long"))
+def _captions(spark, sf_dir, once):
+    return P.captions(once(_lines))
 
 
 def g7_captions(spark, sf_dir):
-    c = _captions(spark, sf_dir)
+    c = _captions(spark, sf_dir, _Once(spark, sf_dir))
     return c.select("pdf_id", "page", "column_id", "kind", *_flat(c, "rect"), F.md5("text").alias("text_md5"), "number_token", "lines")
 
 
-def _tables(spark, sf_dir):
+def _tables(spark, sf_dir, once=None):
     regions = _v(spark, sf_dir, "page_regions").withColumn("rows", F.array(F.array(F.lit(None).cast("string"), "cell")))
     return P.table_regions(regions, _dims(spark, sf_dir))
 
@@ -89,43 +101,42 @@ def g9_table_regions(spark, sf_dir):
     return _tables(spark, sf_dir).select("region_id")
 
 
-def _figures(spark, sf_dir):
-    prims = P.figure_primitives(_v(spark, sf_dir, "page_regions"), _tables(spark, sf_dir), _dims(spark, sf_dir)).withColumn("source", F.col("kind"))
-    return P.merge_primitives(P.assign_column(prims, _layout(spark, sf_dir)))
+def _figures(spark, sf_dir, once):
+    prims = P.figure_primitives(_v(spark, sf_dir, "page_regions"), once(_tables), _dims(spark, sf_dir)).withColumn("source", F.col("kind"))
+    return P.merge_primitives(P.assign_column(prims, once(_layout)))
 
 
 def g10_merge_primitives(spark, sf_dir):
-    f = _figures(spark, sf_dir)
+    f = _figures(spark, sf_dir, _Once(spark, sf_dir))
     return f.select("pdf_id", "page", "region_id", "column_id", *_flat(f, "rect"), F.array_join("sources", "|").alias("sources"))
 
 
-def _candidates(spark, sf_dir):
-    tables = P.assign_column(_tables(spark, sf_dir), _layout(spark, sf_dir)).select("pdf_id", "page", "region_id", F.lit("table").alias("kind"), "rect", "column_id")
-    return _figures(spark, sf_dir).select("pdf_id", "page", "region_id", F.lit("figure").alias("kind"), "rect", "column_id").unionByName(tables)
+def _candidates(spark, sf_dir, once):
+    tables = P.assign_column(once(_tables), once(_layout)).select("pdf_id", "page", "region_id", F.lit("table").alias("kind"), "rect", "column_id")
+    return _figures(spark, sf_dir, once).select("pdf_id", "page", "region_id", F.lit("figure").alias("kind"), "rect", "column_id").unionByName(tables)
 
 
-def _scores(spark, sf_dir):
-    return P.caption_region_scores(_captions(spark, sf_dir), _candidates(spark, sf_dir), _dims(spark, sf_dir))
+def _scores(spark, sf_dir, once):
+    return P.caption_region_scores(once(_captions), once(_candidates), _dims(spark, sf_dir))
 
 
 def g11_caption_region_scores(spark, sf_dir):
     """Every line against every valid region of its page: lines of even number stand for figure captions."""
     caps = _lines(spark, sf_dir).select("pdf_id", "page", F.col("line_id").alias("caption_id"), F.when(F.col("line_id") % 2 == 0, "figure").otherwise("table").alias("kind"), "rect", "column_id")
-    regions = P.valid_regions(_v(spark, sf_dir, "page_regions"), _dims(spark, sf_dir)).select("pdf_id", "page", "region_id", F.when(F.col("kind") == "table", "table").otherwise("figure").alias("kind"), "rect", F.lit("full").alias("column_id"))
-    return P.caption_region_scores(caps, regions, _dims(spark, sf_dir)).select("caption_id", "region_id", F.round("score", 6).alias("score"))
+    return P.caption_region_scores(caps, _regions(spark, sf_dir), _dims(spark, sf_dir)).select("caption_id", "region_id", F.round("score", 6).alias("score"))
 
 
-def _assigned(spark, sf_dir):
-    return P.assign_regions(_captions(spark, sf_dir), _candidates(spark, sf_dir), _scores(spark, sf_dir))
+def _assigned(spark, sf_dir, once):
+    return P.assign_regions(once(_captions), once(_candidates), _scores(spark, sf_dir, once))
 
 
 def g12_assign_regions(spark, sf_dir):
-    return _assigned(spark, sf_dir).select("caption_id", F.array_join("region_ids", "|").alias("region_ids"), F.round("confidence", 6).alias("confidence"))
+    return _assigned(spark, sf_dir, _Once(spark, sf_dir)).select("pdf_id", "page", "caption_id", F.array_join("region_ids", "|").alias("region_ids"), F.round("confidence", 6).alias("confidence"))
 
 
-def _labelled(spark, sf_dir):
+def _labelled(spark, sf_dir, once=None):
     """Caption starts as captions, for the jobs that follow."""
-    return P.caption_starts(_lines(spark, sf_dir)).withColumnRenamed("line_id", "caption_id")
+    return P.caption_starts(once(_lines) if once else _lines(spark, sf_dir)).withColumnRenamed("line_id", "caption_id")
 
 
 def g13_caption_ids(spark, sf_dir):
@@ -133,25 +144,61 @@ def g13_caption_ids(spark, sf_dir):
 
 
 def g14_fallback_band(spark, sf_dir):
-    b = P.fallback_band(_labelled(spark, sf_dir), _layout(spark, sf_dir))
+    once = _Once(spark, sf_dir)
+    b = P.fallback_band(_labelled(spark, sf_dir, once), once(_layout))
     return b.select("caption_id", *[F.round(f"content.{s}", 4).alias(s) for s in R.SIDES])
 
 
-def g15_items(spark, sf_dir):
-    caps = P.caption_ids(_captions(spark, sf_dir))
-    out = P.items(caps, _assigned(spark, sf_dir), P.fallback_band(caps, _layout(spark, sf_dir)), _dims(spark, sf_dir))
+def _shown(out):
     return out.select("pdf_id", "page", "label_id", "kind", "status", "confidence", "needs_review", *_flat(out, "content_bbox", "content_"), *_flat(out, "crop_bbox", "crop_"))
 
 
+def g15_items(spark, sf_dir):
+    once = _Once(spark, sf_dir)
+    caps = P.caption_ids(once(_captions))
+    return _shown(P.items(caps, once(_assigned), P.fallback_band(caps, once(_layout)), _dims(spark, sf_dir)))
+
+
+def _starts(spark, sf_dir, once):
+    return P.caption_ids(_labelled(spark, sf_dir, once)).drop("text")
+
+
+def _regions(spark, sf_dir, once=None):
+    v = P.valid_regions(_v(spark, sf_dir, "page_regions"), _dims(spark, sf_dir))
+    return v.select("pdf_id", "page", "region_id", F.when(F.col("kind") == "table", "table").otherwise("figure").alias("kind"), "rect", F.lit("full").alias("column_id"))
+
+
+def _given(spark, sf_dir, once):
+    """An assignment made without a walk: each caption start has its best region, which others may have too."""
+    scores = P.caption_region_scores(once(_starts), once(_regions), _dims(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    best = scores.groupBy("pdf_id", "page", "caption_id", "kind").agg(F.max_by(F.struct("region_id", "score"), F.struct("score", "region_id")).alias("b"))
+    named = best.select("pdf_id", "page", "caption_id", "kind", "b.region_id", "b.score").join(once(_regions).select("pdf_id", "page", "region_id", "rect"), ["pdf_id", "page", "region_id"])
+    return named.select("pdf_id", "page", "caption_id", "kind", F.array("region_id").alias("region_ids"), "rect", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 115)).alias("confidence"))
+
+
+def g15_items_given(spark, sf_dir):
+    """Items of a given assignment; captions of every third number have none."""
+    once = _Once(spark, sf_dir)
+    caps = once(_starts)
+    out = _shown(P.items(caps, once(_given).where("caption_id % 3 > 0"), P.fallback_band(caps, once(_layout)), _dims(spark, sf_dir)))
+    return out.select("pdf_id", "page", "label_id", "kind", "status", "confidence", "needs_review", *[F.round(c, 2).alias(c) for c in out.columns if c.startswith(("content_", "crop_"))])
+
+
 def g16_orphans(spark, sf_dir):
-    kinds = _captions(spark, sf_dir).select("caption_id", "kind")
-    o = P.orphans(_candidates(spark, sf_dir), _assigned(spark, sf_dir).join(kinds, "caption_id"))
+    once = _Once(spark, sf_dir)
+    kinds = once(_captions).select("pdf_id", "page", "caption_id", "kind")
+    o = P.orphans(once(_candidates), once(_assigned).join(kinds, ["pdf_id", "page", "caption_id"]))
     return o.select("pdf_id", "page", "kind", "region_id")
 
 
+def g16_orphans_given(spark, sf_dir):
+    once = _Once(spark, sf_dir)
+    return P.orphans(once(_regions), once(_given)).select("pdf_id", "page", "kind", "region_id")
+
+
 def g17_page_summary(spark, sf_dir):
-    regions = P.valid_regions(_v(spark, sf_dir, "page_regions"), _dims(spark, sf_dir))
-    return P.page_summary(_layout(spark, sf_dir), _labelled(spark, sf_dir), regions.where("kind <> 'table'"), _tables(spark, sf_dir))
+    once, regions = _Once(spark, sf_dir), P.valid_regions(_v(spark, sf_dir, "page_regions"), _dims(spark, sf_dir))
+    return P.page_summary(once(_layout), _labelled(spark, sf_dir, once), regions.where("kind <> 'table'"), _tables(spark, sf_dir))
 
 
 def g18_item_order(spark, sf_dir):
@@ -195,6 +242,29 @@ start_ AS (SELECT *, line_id AS caption_id, CASE WHEN lower(substr(text, 1, 3))
 tok_ AS (SELECT *, CASE WHEN num = 'IV' THEN '4' ELSE regexp_replace(lower(num), '^0+(\\d)', '\\1') END AS number_token FROM start_),
 lab_ AS (SELECT *, base || CASE WHEN r > 1 THEN '_' || r ELSE '' END AS label_id FROM (SELECT *, row_number() OVER (PARTITION BY pdf_id, kind, base ORDER BY page, y0, x0, caption_id) AS r FROM (SELECT *, CASE kind WHEN 'figure' THEN 'fig' ELSE 'tab' END || number_token AS base FROM tok_)))"""
 _L = ("page_dims", "page_regions", "page_words")
+#: Captions and the lines that follow each, line by line: those that fit join, far ones end it.
+_WALKED = """
+order_ AS (SELECT *, row_number() OVER (PARTITION BY pdf_id, page, column_id ORDER BY y0, x0, line_id) AS r, regexp_matches(text, '^(?:Fig|Figure|FIG|FIGURE|Table|TABLE)\\.?\\s*(?:\\d+|[IVXLCDMivxlcdm]+)(?:[A-Za-z])?\\b') AS opens FROM line_),
+go_ AS (SELECT o.pdf_id, o.page, o.column_id, o.line_id AS caption_id, o.r, o.line_id, o.x0 AS sx0, o.x1 AS sx1, o.font_size AS sf, o.y1 AS ly1, o.font_size AS lf, 1 AS n, true AS took FROM order_ o JOIN tok_ t ON t.line_id = o.line_id
+  UNION ALL SELECT pdf_id, page, column_id, caption_id, r, line_id, sx0, sx1, sf, CASE WHEN fits THEN y1 ELSE ly1 END, CASE WHEN fits THEN font_size ELSE lf END, CASE WHEN fits THEN n + 1 ELSE n END, fits
+  FROM (SELECT g.pdf_id, g.page, g.column_id, caption_id, o.r, o.line_id, sx0, sx1, sf, ly1, lf, n, o.y1, o.font_size, o.y0 - ly1 AS gap,
+    NOT opens AND o.y0 - ly1 <= greatest(5, 1.45 * greatest(sf, lf)) AND abs(o.font_size - sf) <= 1.6 AND (abs(o.x0 - sx0) <= 40 OR (least(o.x1, sx1) > greatest(o.x0, sx0) AND (least(o.x1, sx1) - greatest(o.x0, sx0)) / least(o.x1 - o.x0, sx1 - sx0) >= 0.25)) AS fits
+    FROM go_ g JOIN order_ o ON o.pdf_id = g.pdf_id AND o.page = g.page AND o.column_id = g.column_id AND o.r = g.r + 1 WHERE n < 8) WHERE fits OR gap <= greatest(8, 1.8 * sf)),
+cap_ AS (SELECT g.pdf_id, g.page, g.column_id, t.kind, min(o.x0) AS x0, min(o.y0) AS y0, max(o.x1) AS x1, max(o.y1) AS y1, md5(string_agg(o.text, ' ' ORDER BY g.n)) AS text_md5, t.number_token, count(*) AS lines
+  FROM go_ g JOIN order_ o ON o.line_id = g.line_id JOIN tok_ t ON t.line_id = g.caption_id WHERE took GROUP BY g.pdf_id, g.page, g.column_id, g.caption_id, t.kind, t.number_token)"""
+_BAND = """
+b_ AS (SELECT c.*, (SELECT max(o.y1) FROM tok_ o WHERE o.pdf_id = c.pdf_id AND o.page = c.page AND o.caption_id <> c.caption_id AND (o.column_id = c.column_id OR o.column_id = 'full' OR c.column_id = 'full') AND o.y1 <= c.y0) AS upper_, (SELECT min(o.y0) FROM tok_ o WHERE o.pdf_id = c.pdf_id AND o.page = c.page AND o.caption_id <> c.caption_id AND (o.column_id = c.column_id OR o.column_id = 'full' OR c.column_id = 'full') AND o.y0 >= c.y1) AS lower_ FROM tok_ c),
+ x_ AS (SELECT *, CASE WHEN column_id = 'left' AND layout_type = 'two_column' THEN greatest(8, lx0 - 8) WHEN column_id = 'right' AND layout_type = 'two_column' THEN greatest(8, rx0 - 8) ELSE 8 END AS bx0, CASE WHEN column_id = 'left' AND layout_type = 'two_column' THEN least(width - 8, lx1 + 8) WHEN column_id = 'right' AND layout_type = 'two_column' THEN least(width - 8, rx1 + 8) ELSE width - 8 END AS bx1,
+  CASE WHEN kind = 'figure' THEN greatest(greatest(8, greatest(24, y0 - 4) - least(height * 0.4, 260)), coalesce(upper_ + 4, -1e9)) ELSE least(height - 28, y1 + 4) END AS by0, CASE WHEN kind = 'figure' THEN greatest(24, y0 - 4) ELSE least(least(height - 8, least(height - 28, y1 + 4) + least(height * 0.34, 230)), coalesce(lower_ - 4, 1e9)) END AS by1 FROM b_),
+ f_ AS (SELECT *, least(by1, height) - greatest(by0, 0) < greatest(72, height * 0.12) AS low FROM x_),
+ band_ AS (SELECT caption_id, bx0 AS cx0, CASE WHEN NOT low THEN by0 WHEN kind = 'figure' THEN greatest(8, y0 - 140) ELSE least(height - 44, y1 + 4) END AS cy0, bx1 AS cx1, CASE WHEN NOT low THEN by1 WHEN kind = 'figure' THEN greatest(44, y0 - 4) ELSE least(height - 8, y1 + 140) END AS cy1 FROM f_)"""
+#: The best region of each caption start, and where the content of each start should be.
+_GIVEN = """
+gs_ AS (SELECT c.pdf_id, c.page, c.caption_id, c.kind, c.column_id AS cc, v.region_id, v.x0, v.y0, v.x1, v.y1, abs((v.x0 + v.x1) / 2 - (c.x0 + c.x1) / 2) AS dx, CASE WHEN least(v.x1, c.x1) > greatest(v.x0, c.x0) THEN (least(v.x1, c.x1) - greatest(v.x0, c.x0)) / least(v.x1 - v.x0, c.x1 - c.x0) ELSE 0 END AS ov,
+  v.y1 <= c.y0 + 8 AS above, v.y0 >= c.y1 - 8 AS below, c.y0 - v.y1 AS ga, v.y0 - c.y1 AS gb FROM tok_ c JOIN valid_ v ON v.pdf_id = c.pdf_id AND v.page = c.page AND c.kind = CASE WHEN v.kind = 'table' THEN 'table' ELSE 'figure' END),
+gt_ AS (SELECT *, CASE WHEN kind = 'figure' THEN CASE WHEN above THEN 100 WHEN below THEN 45 ELSE 25 END ELSE CASE WHEN below THEN 100 WHEN above THEN 45 ELSE 25 END END AS bonus, CASE WHEN kind = 'figure' THEN CASE WHEN above THEN ga WHEN below THEN gb ELSE 0 END ELSE CASE WHEN below THEN gb WHEN above THEN ga ELSE 0 END END AS gap FROM gs_),
+gu_ AS (SELECT *, round(bonus + ov * 28 + least((x1 - x0) * (y1 - y0) / (612 * 792), 0.3) * 50 - gap * 0.2 - dx / 612 * 24, 6) AS score FROM gt_ WHERE NOT gap > 792 * CASE WHEN kind = 'figure' THEN 0.52 ELSE 0.4 END AND NOT (cc <> 'full' AND ov < 0.05 AND dx > 612 * 0.22)),
+given_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pdf_id, page, caption_id ORDER BY score DESC, region_id DESC) AS q FROM gu_) WHERE q = 1)"""
 _CAPS = """
 c_ AS (SELECT pdf_id, page, line_id, column_id AS cc, x0 AS cx0, y0 AS cy0, x1 AS cx1, y1 AS cy1, CASE WHEN line_id % 2 = 0 THEN 'figure' ELSE 'table' END AS ck FROM line_),
 s_ AS (SELECT c.*, v.region_id, v.x0, v.y0, v.x1, v.y1, abs((x0 + x1) / 2 - (cx0 + cx1) / 2) AS dx, CASE WHEN least(x1, cx1) > greatest(x0, cx0) THEN (least(x1, cx1) - greatest(x0, cx0)) / least(x1 - x0, cx1 - cx0) ELSE 0 END AS ov, y1 <= cy0 + 8 AS above, y0 >= cy1 - 8 AS below FROM c_ c JOIN valid_ v ON v.pdf_id = c.pdf_id AND v.page = c.page AND ck = CASE WHEN v.kind = 'table' THEN 'table' ELSE 'figure' END),
@@ -214,11 +284,15 @@ FROM page_regions a JOIN page_regions b ON a.pdf_id = b.pdf_id AND a.page = b.pa
     "g9_table_regions": with_views(_VALID + "--- SELECT region_id FROM tab_", "page_dims", "page_regions"),
     "g11_caption_region_scores": "WITH RECURSIVE " + with_views(_LAYOUT + "," + _CAPS + "--- SELECT line_id AS caption_id, region_id, round(bonus + ov * 28 + least((x1 - x0) * (y1 - y0) / (612 * 792), 0.3) * 50 - gap * 0.2 - dx / 612 * 24, 6) AS score FROM t_ WHERE NOT gap > 792 * CASE WHEN ck = 'figure' THEN 0.52 ELSE 0.4 END AND NOT (cc <> 'full' AND ov < 0.05 AND dx > 612 * 0.22)", *_L)[5:],
     "g13_caption_ids": "WITH RECURSIVE " + with_views(_LAYOUT + "--- SELECT caption_id, label_id FROM lab_", *_L)[5:],
-    "g14_fallback_band": "WITH RECURSIVE " + with_views(_LAYOUT + """, b_ AS (SELECT c.*, (SELECT max(o.y1) FROM tok_ o WHERE o.pdf_id = c.pdf_id AND o.page = c.page AND o.caption_id <> c.caption_id AND (o.column_id = c.column_id OR o.column_id = 'full' OR c.column_id = 'full') AND o.y1 <= c.y0) AS upper_, (SELECT min(o.y0) FROM tok_ o WHERE o.pdf_id = c.pdf_id AND o.page = c.page AND o.caption_id <> c.caption_id AND (o.column_id = c.column_id OR o.column_id = 'full' OR c.column_id = 'full') AND o.y0 >= c.y1) AS lower_ FROM tok_ c),
- x_ AS (SELECT *, CASE WHEN column_id = 'left' AND layout_type = 'two_column' THEN greatest(8, lx0 - 8) WHEN column_id = 'right' AND layout_type = 'two_column' THEN greatest(8, rx0 - 8) ELSE 8 END AS bx0, CASE WHEN column_id = 'left' AND layout_type = 'two_column' THEN least(width - 8, lx1 + 8) WHEN column_id = 'right' AND layout_type = 'two_column' THEN least(width - 8, rx1 + 8) ELSE width - 8 END AS bx1,
-  CASE WHEN kind = 'figure' THEN greatest(greatest(8, greatest(24, y0 - 4) - least(height * 0.4, 260)), coalesce(upper_ + 4, -1e9)) ELSE least(height - 28, y1 + 4) END AS by0, CASE WHEN kind = 'figure' THEN greatest(24, y0 - 4) ELSE least(least(height - 8, least(height - 28, y1 + 4) + least(height * 0.34, 230)), coalesce(lower_ - 4, 1e9)) END AS by1 FROM b_),
- f_ AS (SELECT *, least(by1, height) - greatest(by0, 0) < greatest(72, height * 0.12) AS low FROM x_)
---- SELECT caption_id, round(bx0, 4) AS x0, round(CASE WHEN NOT low THEN by0 WHEN kind = 'figure' THEN greatest(8, y0 - 140) ELSE least(height - 44, y1 + 4) END, 4) AS y0, round(bx1, 4) AS x1, round(CASE WHEN NOT low THEN by1 WHEN kind = 'figure' THEN greatest(44, y0 - 4) ELSE least(height - 8, y1 + 140) END, 4) AS y1 FROM f_""", *_L)[5:],
+    "g14_fallback_band": "WITH RECURSIVE " + with_views(_LAYOUT + "," + _BAND + "--- SELECT caption_id, round(cx0, 4) AS x0, round(cy0, 4) AS y0, round(cx1, 4) AS x1, round(cy1, 4) AS y1 FROM band_", *_L)[5:],
+    "g7_captions": "WITH RECURSIVE " + with_views(_LAYOUT + "," + _WALKED + "--- SELECT * FROM cap_", *_L)[5:],
+    "g15_items_given": "WITH RECURSIVE " + with_views(_LAYOUT + "," + _BAND + "," + _GIVEN + """,
+ it_ AS (SELECT l.pdf_id, l.page, l.label_id, l.kind, l.x0, l.y0, l.x1, l.y1, g.caption_id IS NOT NULL AS matched, coalesce(least(1, greatest(0, g.score / 115)), 0) AS conf,
+  CASE WHEN g.caption_id IS NULL THEN cx0 ELSE greatest(0, g.x0 - 2) END AS bx0, CASE WHEN g.caption_id IS NULL THEN b.cy0 ELSE greatest(0, g.y0 - 2) END AS by0, CASE WHEN g.caption_id IS NULL THEN cx1 ELSE least(612, g.x1 + 2) END AS bx1, CASE WHEN g.caption_id IS NULL THEN b.cy1 ELSE least(792, g.y1 + 2) END AS by1
+  FROM lab_ l JOIN band_ b ON b.caption_id = l.caption_id LEFT JOIN (SELECT * FROM given_ WHERE caption_id % 3 > 0) g ON g.caption_id = l.caption_id)
+--- SELECT pdf_id, page, label_id, kind, CASE WHEN matched THEN 'matched' ELSE 'fallback' END AS status, round_even(conf, 3) AS confidence, NOT matched OR conf < 0.6 AS needs_review, round(bx0, 2) AS content_x0, round(by0, 2) AS content_y0, round(bx1, 2) AS content_x1, round(by1, 2) AS content_y1,
+ round(greatest(0, least(x0, bx0) - 4), 2) AS crop_x0, round(greatest(0, least(y0, by0) - 4), 2) AS crop_y0, round(least(612, greatest(x1, bx1) + 4), 2) AS crop_x1, round(least(792, greatest(y1, by1) + 4), 2) AS crop_y1 FROM it_""", *_L)[5:],
+    "g16_orphans_given": "WITH RECURSIVE " + with_views(_LAYOUT + "," + _GIVEN + "--- SELECT pdf_id, page, CASE WHEN kind = 'table' THEN 'table' ELSE 'figure' END AS kind, region_id FROM valid_ v WHERE NOT EXISTS (SELECT 1 FROM given_ g WHERE g.pdf_id = v.pdf_id AND g.page = v.page AND g.region_id = v.region_id)", *_L)[5:],
     "g17_page_summary": "WITH RECURSIVE " + with_views(_LAYOUT + "--- SELECT pdf_id, page, layout_type, (SELECT count(*) FROM tok_ t WHERE t.pdf_id = y.pdf_id AND t.page = y.page) AS captions, (SELECT count(*) FROM valid_ t WHERE t.pdf_id = y.pdf_id AND t.page = y.page AND kind <> 'table') AS figures, (SELECT count(*) FROM tab_ t WHERE t.pdf_id = y.pdf_id AND t.page = y.page) AS tables FROM lay_ y", *_L)[5:],
     "g18_item_order": "WITH RECURSIVE " + with_views(_LAYOUT + "--- SELECT caption_id, label_id, CAST(regexp_extract(label_id, '^[a-z]+([0-9]+)', 1) AS BIGINT) AS n, regexp_extract(label_id, '^[a-z]+[0-9]+(.*)$', 1) AS suffix FROM lab_", *_L)[5:],
 }

@@ -1,7 +1,9 @@
 """Hand examples and properties of the library's operators."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from bibspark.functions import text as T
 from bibspark.operators import graph as G
@@ -204,7 +206,7 @@ def test_merge_primitives_plain(spark):
 def test_assignment_takes_each_region_once(spark):
     from bibspark.plans import page_queries as Q
 
-    got = Q._assigned(spark, SF).collect()
+    got = Q._assigned(spark, SF, Q._Once(spark, SF)).collect()
     taken = [(r.pdf_id, r.page, i, "f" if len(r.region_ids) > 1 else None) for r in got for i in r.region_ids]
     assert len({t[:3] for t in taken}) == len(taken) and all(0 <= r.confidence <= 1 for r in got)
 
@@ -218,6 +220,62 @@ def test_assignment_prefers_the_later_of_equals_and_grows(spark):
     assert got == {10: ([1, 0], round(90 / 115, 4)), 11: ([3], 1.0)}
 
 
+def plain_figure(anchor, caption, lane, boxes, lanes, free):
+    """The rule by one region after the other, until a whole round adds none."""
+    group, grown = [anchor], list(boxes[anchor])
+    share = lambda a0, a1, b0, b1: max(0, min(a1, b1) - max(a0, b0)) / min(a1 - a0, b1 - b0)
+    apart = lambda a0, a1, b0, b1: max(0, b0 - a1, a0 - b1)
+    above, more = boxes[anchor][3] <= caption[1] + 8, True
+    while more:
+        more = False
+        for i, b in enumerate(boxes):
+            lane_fits = lane == lanes[i] or "full" in (lane, lanes[i])
+            if i in group or not free[i] or not lane_fits or (b[3] > caption[1] + 12 if above else b[1] < caption[3] - 12):
+                continue
+            rows = share(b[1], b[3], grown[1], grown[3]) >= 0.35 and apart(b[0], b[2], grown[0], grown[2]) <= (180 if lane == "full" else 56)
+            edges = abs(b[1] - boxes[anchor][1]) <= 56 or abs(b[3] - boxes[anchor][3]) <= 56
+            stack = apart(b[1], b[3], grown[1], grown[3]) <= 36 and share(b[0], b[2], grown[0], grown[2]) >= 0.18
+            if rows or edges or stack:
+                group.append(i)
+                grown = [*map(min, grown[:2], b[:2]), *map(max, grown[2:], b[2:])]
+                more = True
+    return group
+
+
+def test_figures_equal_the_plain_rule():
+    r, several = random.Random(31), 0
+    for _ in range(1500):
+        starts = [(r.choice([50, 60, 120, 200, 320, 330]), r.randint(40, 700)) for _ in range(r.randint(1, 9))]
+        boxes = sorted((x, y, x + r.randint(30, 250), y + r.randint(20, 160)) for x, y in starts)
+        lanes, free = [r.choice(["left", "right", "full"]) for _ in boxes], [r.random() < 0.85 for _ in boxes]
+        anchor, lane, y = r.randrange(len(boxes)), r.choice(["left", "right", "full"]), r.randint(40, 760)
+        free[anchor] = True
+        got = P.figure_of(anchor, [50, y, 300, y + 20], lane, np.array(boxes, float), np.array(lanes, object), np.array(free))
+        assert got == plain_figure(anchor, [50, y, 300, y + 20], lane, boxes, lanes, free)
+        several += len(got) > 2
+    assert several > 100
+
+
+def test_captions_of_late_pages_keep_apart(spark):
+    """Line ids count within a page, and page 100 of one document isn't page 0 of the next."""
+    rect = lambda y: {"x0": 50.0, "y0": y, "x1": 250.0, "y1": y + 10}
+    places = [(d, p) for d in (1, 2) for p in (0, 1, 100, 1000)]
+    lines = [(d, p, i, rect(100.0 + 30 * i), f"Fig. {i + 1} of {d} {p}", 9.0) for d, p in places for i in range(2)]
+    df = spark.createDataFrame(lines, f"pdf_id long, page long, line_id long, rect {P.RECT}, text string, font_size double").withColumn("column_id", F.lit("full"))
+    caps = P.captions(df)
+    assert sorted(r.text for r in caps.collect()) == sorted(x[4] for x in lines)
+    layout = spark.createDataFrame(places, "pdf_id long, page long").select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit("single").alias("layout_type"), F.lit(None).cast(P.RECT).alias("left"), F.lit(None).cast(P.RECT).alias("right"))
+    bands = P.fallback_band(caps, layout)
+    regions = spark.createDataFrame([(d, p, 7, "figure", rect(20.0), "full") for d, p in places], f"pdf_id long, page long, region_id long, kind string, rect {P.RECT}, column_id string")
+    first = caps.where("caption_id = 0 and page = 100")
+    scores = first.select("pdf_id", "page", "caption_id", F.lit(7).cast("long").alias("region_id"), "kind", F.lit(100.0).alias("score"))
+    assigned = P.assign_regions(caps, regions, scores)
+    items = P.items(P.caption_ids(caps), assigned, bands, layout.select("pdf_id", "page", "width", "height")).collect()
+    assert len(items) == len(lines) and sorted((r.pdf_id, r.page, r.caption_id) for r in items if r.status == "matched") == [(1, 100, 0), (2, 100, 0)]
+    left = P.orphans(regions, assigned.withColumn("kind", F.lit("figure"))).collect()
+    assert len(left) == len(places) - 2
+
+
 def test_caption_lines(spark):
     rect = lambda y, x=50.0: {"x0": x, "y0": y, "x1": x + 200, "y1": y + 10}
     lines = [(1, 1, 0, rect(100.0), "Fig. 2 First", 9.0), (1, 1, 1, rect(113.0), "second", 9.0), (1, 1, 2, rect(126.0), "large", 14.0), (1, 1, 3, rect(200.0), "far", 9.0), (1, 1, 4, rect(300.0), "TABLE IV Top", 9.0), (1, 1, 5, rect(311.0), "Fig. 9 not a start", 9.0)]
