@@ -2,7 +2,8 @@
 
 A string that a tokenizer's vocabulary can't compress, so that it spends few characters a token, is likely random.
 Runs of key characters and their parts between separators are tested. UUIDs, digests (hex of a usual length), numbers,
-words and camel-case names under 20 letters, and runs of mostly such parts, like paths, are excluded before the test.
+words and camel-case names under 20 letters, runs of mostly such parts, and runs of many short parts of different
+lengths (paths, dotted and numbered names, time stamps) are excluded before the test.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ DIGEST_LENGTHS = frozenset((16, 32, 40, 56, 64, 96, 128))
 CHARS_PER_TOKEN = 2.2
 #: Characters from which the ratio tells random strings (at 12, 99 in 100 stay at 2.0 or less) and word-like ones.
 LEAST, LEAST_WORD = 12, 20
+#: A run of at least so many parts, of so many characters on average at most and not all of one length, is a name.
+NAME_PARTS, NAME_PART = 4, 6
 
 
 def known(part: str) -> bool:
@@ -55,6 +58,8 @@ def is_random(s: str, enc, ratio: float = CHARS_PER_TOKEN) -> bool:
         return False
     else:
         size = sum(map(len, parts))
+        if len(parts) >= NAME_PARTS and size <= NAME_PART * len(parts) and len(set(map(len, parts))) > 1:
+            return False
         odd = size - sum(len(p) for p in parts if known(p))
         if len(parts) > 1 and not (len(s) >= LEAST_WORD and any(c.isdigit() for c in s) and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s)):
             odd -= sum(len(p) for p in parts if _WORD.fullmatch(p))
@@ -101,7 +106,11 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, vocabulary: str, ratio: float = CHARS_PER_TOKEN) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans, for each row of docs. Repeated rows give repeated rows."""
+    """doc_id, counts of base spans, their digest, and all spans, for each row of docs. Repeated rows give repeated rows.
+
+    A text is scanned as a whole, however long, in time linear in its length but for the spans of one run among each
+    other; Arrow batches are bounded by bytes, so a very long text comes alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
