@@ -7,7 +7,7 @@ each language's count is corrected for the share of foreign n-grams that its sli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, small, table
 
-#: Bounds of the learning sample and of the model; all parameters of `learn`.
-SAMPLE_PER_LANG, GRAMS_PER_LANG, SLOT_BITS, HASHES, MIN_DF = 1500, 20_000, 19, 3, 2
+#: The bound of the learning sample, the hashes, the slots for each n-gram of the largest language, and the documents that
+#: an n-gram needs; parameters of `learn`.
+SAMPLE_PER_LANG, HASHES, SLOTS_PER_GRAM, MIN_DF = 1500, 3, 32, 2
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 BLOCK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -54,8 +55,11 @@ def positions(g: np.ndarray, bits: int, hashes: int) -> Iterator[np.ndarray]:
         yield (((wide + np.uint64(1)) * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def build(by_lang: dict[str, list[int]], bits: int = SLOT_BITS, hashes: int = HASHES) -> Model:
+def build(by_lang: dict[str, Sequence[int]], bits: int | None = None, hashes: int = HASHES) -> Model:
+    """The filters of languages and their n-grams; without bits they are sized by the largest language."""
     langs = list(by_lang)
+    if bits is None:
+        bits = max(16, (SLOTS_PER_GRAM * max(map(len, by_lang.values()), default=1)).bit_length())
     slots = np.zeros((max(1, -(-len(langs) // 64)), 1 << bits), np.uint64)
     fp = np.zeros(len(langs))
     for i, lang in enumerate(langs):
@@ -87,10 +91,11 @@ def predict(text: str | None, model: Model) -> tuple[str, float]:
     return model.langs[best], float(counts[best] / whole) if whole > 0 else 0.0
 
 
-def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG, bits: int = SLOT_BITS, hashes: int = HASHES) -> Model:
+def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, bits: int | None = None, hashes: int = HASHES) -> Model:
     """Fit on at most per_lang labelled documents of each language, chosen by a hash of doc_id.
 
-    Rows with a null lang, text or doc_id teach nothing. The driver receives at most grams_per_lang n-grams a language.
+    Rows with a null lang, text or doc_id teach nothing. Every n-gram of two documents of the sample is in the filters; the
+    driver receives them as numbers, and the sample bounds how many.
     Languages are ordered by learned documents, then name; ties of a prediction go to the earlier.
     """
     bounded_batches(docs.sparkSession)
@@ -114,19 +119,15 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, grams_per_lang: int
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(g) + 1)), "gram": pa.array([-1, *g.astype(np.int64)], pa.int64()), "df": pa.array([docs_of[lang], *n.astype(np.int64)], pa.int64())})
 
     df = texts.mapInArrow(count, "lang string, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
-    best = Window.partitionBy("lang").orderBy(F.col("gram") >= 0, F.desc("df"), "gram")
-    kept = df.where(f"gram < 0 or df >= {MIN_DF}").withColumn("r", F.row_number().over(best)).where(F.col("r") <= grams_per_lang + 1)
-    rows = kept.select("lang", "gram", "df").collect()  # bounded: grams_per_lang + 1 rows a language
-    size = {r.lang: r.df for r in rows if r.gram < 0}
-    by_lang: dict[str, list[int]] = {lang: [] for lang in sorted(size, key=lambda x: (-size[x], x))}
-    for r in rows:
-        if r.gram >= 0:
-            by_lang[r.lang].append(r.gram)
+    kept = df.where(f"gram < 0 or df >= {MIN_DF}").groupBy("lang").agg(F.max(F.when(F.col("gram") < 0, F.col("df"))).alias("n"), F.collect_list(F.when(F.col("gram") >= 0, F.col("gram"))).alias("grams"))
+    learned = {r["lang"]: (r["n"], r["grams"]) for r in kept.toArrow().to_pylist()}
+    by_lang = {lang: learned[lang][1] for lang in sorted(learned, key=lambda x: (-learned[x][0], x))}
     return build(by_lang, bits, hashes)
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep plus lang_pred and score, a row for each row of docs, from the whole text alone."""
+    """The columns in keep plus lang_pred and score, a row for each row of docs, from the whole text alone. Repeated rows
+    give repeated rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
