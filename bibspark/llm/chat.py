@@ -58,7 +58,8 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     messages has conv_id, turn, role and parts (an array of PART). Each message is written before the shuffle; a
     conversation's row holds what the conversation holds. Turns go by number (null first), then role and body. A null
-    role counts as empty. Loss spans (start, length, in code points, of escaped text) are the assistant's bodies.
+    role counts as empty. Repeated rows are turns of their own. Loss spans (start, length, in code points, of escaped text)
+    are the assistant's bodies.
     """
     seen = visit(F.col("parts"))
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), seen.alias("v"))

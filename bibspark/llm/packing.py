@@ -157,7 +157,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """The pieces of all documents (null text: empty, so just the end id). Sequence ids count within a partition, whose
-    number is above bit 32. Repeated rows and ids are packed as they come."""
+    number is above bit 32. Repeated rows and ids are packed as they come. A very long text is cut into whole windows and
+    one rest; its ids are held at once in the task that reads it, but with no other text of that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, first = tokens(vocabulary), TaskContext.get().partitionId() << 32

@@ -45,6 +45,13 @@ def test_language_without_labels(spark):
     assert {r.text for r in cp.language(spark, docs, SF).collect()} == {"some words", "中文", "no id"}
 
 
+def test_near_stage_loses_no_text_of_a_shared_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (5, " ".join([*words[:-1], "x"])), (5, "a text of its own that shares the id"), (7, " ".join([*words[1:], "y"])), (None, " ".join(words[2:])), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(((r.doc_id, r.text) for r in cp.near(spark, docs, SF).collect()), key=repr) == sorted((r for r in rows if r[0] != 7), key=repr)
+
+
 def test_run_is_the_stages(spark):
     out = cp.run(spark, SF)
     assert out.count() > 0 and [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "near_duplicates", "personal_data", "packing"]
