@@ -6,53 +6,9 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import public_tokenizers
-from bibspark.llm import exactdedup, langid, neardup, packing, privacy
-from bibspark.llm.common import materialize, scratch_dir, small, table
+from bibspark.llm.common import materialize, table
+from bibspark.llm.stages import COLUMNS, exact, language, near, packed, private
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: a null text or one without a letter, also if no language was learned."""
-    model = langid.learn(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
-    named = F.col("lang_pred") != "und" if model.langs else F.col("text").rlike(r"\p{L}")
-    return langid.identify(docs, model, COLUMNS).where(named).select(*COLUMNS)
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the row with the largest doc_id; one without an id only if no equal text has one."""
-    at = scratch_dir(spark)
-    docs.select("doc_id", "text").write.parquet(f"{at}/docs")
-    rows = spark.read.parquet(f"{at}/docs")
-    state = materialize(exactdedup.digest_state(spark, f"{at}/docs", rows.schema), "state")
-    dropped = exactdedup.deduplicate(rows, state).where("not kept").select(F.col("doc_id").alias("x_id"), F.col("text_sha256").alias("x_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("x_key"))
-    return docs.select(*COLUMNS).join(small(materialize(dropped, "dropped")), same, "left_anti").select(*COLUMNS)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keeps the row with the smallest doc_id."""
-    dropped = neardup.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(small(materialize(dropped, "dropped")), "doc_id", "left_anti").select(*COLUMNS)
-
-
-def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data, and terms that disclose it, by placeholders; n_chars follows the new text."""
-    terms = materialize(privacy.disclosing_terms(docs), "terms")
-    found = privacy.with_spans(docs, terms).where(F.size("spans") > 0).select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key"), "spans").dropDuplicates(["x_id", "x_key"])
-    rows = docs.select(*COLUMNS)
-    joined = rows.join(small(materialize(found, "found")), rows["doc_id"].eqNullSafe(F.col("x_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("x_key")), "left")
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(privacy.redacted(F.col("text"), F.col("spans")))
-    return joined.withColumn("clean", clean).select("doc_id", F.col("clean").alias("text"), "lang", "source", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("clean")).cast("long").alias("n_chars"))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
-
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_duplicates", near), ("personal_data", private), ("packing", packed)]
 #: A learned language model and a tokenizer can't be written in SQL; tests hold each stage against a brute-force version.
