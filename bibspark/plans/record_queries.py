@@ -38,11 +38,21 @@ def f3_trim_nested(spark, sf_dir):
     return t.select("paper_id", F.col("bibliography.title").alias("title"), F.col("problem_context.problem_to_solve").alias("problem"), F.array_join("methods.method_family", "|").alias("methods"))
 
 
+#: Papers that a nested list of these queries may hold, so that none grows with the corpus.
+LIST_IDS = 500
+_PART = F.floor(F.col("paper_id").cast("long") / LIST_IDS)
+
+
 def f4_explode_mapping(spark, sf_dir):
-    m = _v(spark, sf_dir, "memberships")
-    lists = m.groupBy("direction_id").pivot("list_kind", list(R.LISTS)).agg(F.array_sort(F.collect_list("paper_id")))
-    d = lists.select(F.array(F.struct("direction_id", F.col("direction_id").alias("direction_name"), F.lit("").alias("direction_definition"), *[F.col(k).alias(f"{k}_paper_ids") for k in R.LISTS])).alias("directions"), F.array().cast("array<struct<paper_id:string,direction_id:string>>").alias("paper_assignments"))
-    return R.explode_mapping(d)[1]
+    """Mappings of LIST_IDS papers each; of one, all three tables are told apart by kind."""
+    m = _v(spark, sf_dir, "memberships").withColumn("part", _PART)
+    lists = m.groupBy("part", "direction_id").pivot("list_kind", list(R.LISTS)).agg(F.array_sort(F.collect_list("paper_id")))
+    d = lists.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("direction_id", F.col("direction_id").alias("direction_name"), F.lit("").alias("direction_definition"), *[F.col(k).alias(f"{k}_paper_ids") for k in R.LISTS]))).alias("directions"))
+    a = _v(spark, sf_dir, "assignments").withColumn("part", _PART).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("paper_id", "direction_id"))).alias("paper_assignments"))
+    directions, memberships, assignments = R.explode_mapping(d.join(a, "part", "full"))
+    none = F.lit(None).cast("string")
+    out = [directions.select("direction_id", F.lit("direction").alias("list_kind"), F.col("direction_pos").alias("pos"), none.alias("paper_id")), memberships.select("direction_id", "list_kind", "pos", "paper_id"), assignments.select("direction_id", F.lit("assignment").alias("list_kind"), "pos", "paper_id")]
+    return reduce(lambda x, y: x.unionByName(y), out)
 
 
 def _directions(spark, sf_dir):
@@ -105,7 +115,7 @@ def f8_citations(spark, sf_dir):
 
 
 def f9_format_citations(spark, sf_dir):
-    lists = _v(spark, sf_dir, "memberships").groupBy(F.concat_ws("/", "direction_id", "list_kind").alias("list_id")).agg(F.array_sort(F.collect_list("paper_id")).alias("paper_ids"))
+    lists = _v(spark, sf_dir, "memberships").groupBy(F.concat_ws("/", "direction_id", "list_kind", _PART.cast("string")).alias("list_id")).agg(F.array_sort(F.collect_list("paper_id")).alias("paper_ids"))
     return R.format_citations(lists, _cited(spark, sf_dir)).withColumn("citations", F.array_join("citations", "|"))
 
 
@@ -275,14 +285,17 @@ SQL = {
     "f1_parse_replies": "SELECT doc_id, status, CASE WHEN status IN ('ok', 'repaired') THEN lang END AS lang, CASE WHEN status IN ('ok', 'repaired') THEN md5(text) END AS text_md5 FROM (SELECT *, CASE doc_id % 5 WHEN 3 THEN 'no_json' WHEN 4 THEN 'unclosed' WHEN 2 THEN CASE WHEN contains(text, chr(10)) THEN 'repaired' ELSE 'ok' END ELSE 'ok' END AS status FROM documents)",
     "f2_compact": with_views("SELECT paper_id, title, year, problem_to_solve AS problem, len(input_variables) AS n_inputs, CAST(NULL AS VARCHAR) AS evaluation FROM structures", "structures"),
     "f3_trim_nested": with_views(f"SELECT paper_id, {_short('title', 260)} AS title, {_short('problem_to_solve', 260)} AS problem, array_to_string(list_transform(list_slice(method_family, 1, 6), lambda w: {_short('w', 260)}), '|') AS methods FROM structures", "structures"),
-    "f4_explode_mapping": with_views("SELECT direction_id, list_kind, row_number() OVER (PARTITION BY direction_id, list_kind ORDER BY paper_id) - 1 AS pos, paper_id FROM memberships", "memberships"),
+    "f4_explode_mapping": with_views(f"""m_ AS (SELECT DISTINCT cast(paper_id AS BIGINT) // {LIST_IDS} AS part, direction_id FROM memberships)
+--- SELECT direction_id, list_kind, row_number() OVER (PARTITION BY cast(paper_id AS BIGINT) // {LIST_IDS}, direction_id, list_kind ORDER BY paper_id) - 1 AS pos, paper_id FROM memberships
+UNION ALL SELECT direction_id, 'direction', row_number() OVER (PARTITION BY part ORDER BY direction_id) - 1, NULL FROM m_
+UNION ALL SELECT direction_id, 'assignment', row_number() OVER (PARTITION BY cast(paper_id AS BIGINT) // {LIST_IDS} ORDER BY paper_id, direction_id) - 1, paper_id FROM assignments""", "memberships"),
     "f5_validate_mapping": with_views(_VIOLATIONS + "--- SELECT * FROM viol_", *_M),
     "f5_type_violations": """SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 2 = 1 THEN 'direction_mapping must be an object' END, CASE WHEN doc_id % 5 = 0 THEN 'direction_schemas must be an array' END, 'direction_records must be an array',
       CASE WHEN NOT (doc_id % 2 = 0 AND doc_id % 3 = 0) THEN 'directions must be an array' END, CASE WHEN doc_id % 2 = 1 THEN 'paper_assignments must be an array' END], lambda q: q IS NOT NULL)) AS rule FROM documents""",
     "f6_direction_papers": with_views(_PAPERS + "--- SELECT * FROM dp_", *_M),
     "f7_record_identity": with_views("SELECT cast(paper_id AS BIGINT) AS doc_id, paper_id, trim(title) AS title, year FROM structures", "structures"),
     "f8_citations": with_views(_CITED + "--- SELECT * FROM cited_", *_M),
-    "f9_format_citations": with_views(_CITED + "--- SELECT direction_id || '/' || list_kind AS list_id, string_agg(coalesce(nullif(citation, ''), nullif(title, ''), m.paper_id), '|' ORDER BY m.paper_id) AS citations FROM memberships m LEFT JOIN cited_ c ON c.paper_id = m.paper_id GROUP BY ALL", *_M),
+    "f9_format_citations": with_views(_CITED + "--- SELECT direction_id || '/' || list_kind || '/' || cast(m.paper_id AS BIGINT) // 500 AS list_id, string_agg(coalesce(nullif(citation, ''), nullif(title, ''), m.paper_id), '|' ORDER BY m.paper_id) AS citations FROM memberships m LEFT JOIN cited_ c ON c.paper_id = m.paper_id GROUP BY ALL", *_M),
     "f10_unique_terms": with_views(_first("a_", "input_variables", 3, 78, "|") + ",\n" + _first("b_", "method_family", 2, 24) + "--- SELECT s.paper_id, coalesce(a_.s, '') AS terms, coalesce(b_.s, '') AS joined FROM structures s LEFT JOIN a_ ON a_.paper_id = s.paper_id LEFT JOIN b_ ON b_.paper_id = s.paper_id", "structures"),
     "f11_problem_text": with_views(f"SELECT paper_id, {_PROBLEM} AS problem FROM structures", "structures"),
     "f12_generic_slots": with_views(_GENERIC + "--- SELECT * FROM generic_", "structures"),
