@@ -255,7 +255,7 @@ def filled(c: Column) -> Column:
 def general(x: Column) -> Column:
     """A number with six significant digits at most and no zeros at its end."""
     digits = F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(?=e|$)", "$1")
-    return F.regexp_replace(digits, r"\.(?=e|$)", "")
+    return F.when(x.isNotNull(), F.regexp_replace(digits, r"\.(?=e|$)", ""))
 
 
 # Readers of a part's value: each makes a function of the record and the part's path.

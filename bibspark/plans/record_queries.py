@@ -40,15 +40,18 @@ def f3_trim_nested(spark, sf_dir):
 
 #: Papers that a nested list of these queries may hold, so that none grows with the corpus.
 LIST_IDS = 500
-_PART = F.floor(F.col("paper_id").cast("long") / LIST_IDS)
+
+
+def _part():
+    return F.floor(F.col("paper_id").cast("long") / LIST_IDS)
 
 
 def f4_explode_mapping(spark, sf_dir):
     """Mappings of LIST_IDS papers each; of one, all three tables are told apart by kind."""
-    m = _v(spark, sf_dir, "memberships").withColumn("part", _PART)
+    m = _v(spark, sf_dir, "memberships").withColumn("part", _part())
     lists = m.groupBy("part", "direction_id").pivot("list_kind", list(R.LISTS)).agg(F.array_sort(F.collect_list("paper_id")))
     d = lists.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("direction_id", F.col("direction_id").alias("direction_name"), F.lit("").alias("direction_definition"), *[F.col(k).alias(f"{k}_paper_ids") for k in R.LISTS]))).alias("directions"))
-    a = _v(spark, sf_dir, "assignments").withColumn("part", _PART).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("paper_id", "direction_id"))).alias("paper_assignments"))
+    a = _v(spark, sf_dir, "assignments").withColumn("part", _part()).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("paper_id", "direction_id"))).alias("paper_assignments"))
     directions, memberships, assignments = R.explode_mapping(d.join(a, "part", "full"))
     none = F.lit(None).cast("string")
     out = [directions.select("direction_id", F.lit("direction").alias("list_kind"), F.col("direction_pos").alias("pos"), none.alias("paper_id")), memberships.select("direction_id", "list_kind", "pos", "paper_id"), assignments.select("direction_id", F.lit("assignment").alias("list_kind"), "pos", "paper_id")]
@@ -115,7 +118,7 @@ def f8_citations(spark, sf_dir):
 
 
 def f9_format_citations(spark, sf_dir):
-    lists = _v(spark, sf_dir, "memberships").groupBy(F.concat_ws("/", "direction_id", "list_kind", _PART.cast("string")).alias("list_id")).agg(F.array_sort(F.collect_list("paper_id")).alias("paper_ids"))
+    lists = _v(spark, sf_dir, "memberships").groupBy(F.concat_ws("/", "direction_id", "list_kind", _part().cast("string")).alias("list_id")).agg(F.array_sort(F.collect_list("paper_id")).alias("paper_ids"))
     return R.format_citations(lists, _cited(spark, sf_dir)).withColumn("citations", F.array_join("citations", "|"))
 
 

@@ -175,6 +175,37 @@ def share(a0, a1, b0, b1):
     return n / base if n > 0 and base > 0 else 0.0
 
 
+RECORDS = [
+    ('{"paper":{"a":1},"methods":{},"outputs":{"primary_commands":["alpha"]}}', "control", ["g"], ["导航/引导：极坐标航迹量 + waypoint/heading 参考", "监督：混合状态机协同绞盘/俯仰"], ["输出命令：alpha"]),
+    ('{"paper":"x"}', "none", ["g"], ["g"], ["g"]),
+    ('{"paper":{}}', "batch", ["g"], ["离线 replay buffer + 全动作/多风速采样"], ["控制输出：期望系绳张力序列"]),
+    ('{"paper":null,"inputs":{}}', "control", ["g"], ["导航/引导：极坐标航迹量 + waypoint/heading 参考", "监督：混合状态机协同绞盘/俯仰"], ["g"]),
+    ('{"paper":{"directional_summary":{},"inputs_directional":{"within_iteration_signals_for_J":["power"],"path_parameter_history":["h_1"]},"learning_model":{"response_surface":{"form":"quadratic  form"}}}}', "iterative", ["反馈：；圈内信号：power", "待调参数：h 1"], ["响应面：+quadratic form", "更新："], ["g"]),
+    ('{"meta":1,"offline_bank":{},"paper":{},"inputs":{"wind_measurement":{"measured_variable":"w","bias_model":{"value":"1"}}}}', "bank", ["测量：w"], ["离线生成 Fourier 轨迹库与周期 T", "在线 ES 修正有效风速 w eff 并插值选轨", "饱和约束 + stationary/adaptive/nonadaptive 模式切换"], ["输出设定：roll 轨迹 + 周期 T", "在线量：w eff / w corr / 当前模式"]),
+    ('{"task":{},"rl":{},"mdp":{"state":{"definition":{"dimension":24,"observables":["a","b"]}}},"environment":{"wind_model":{"type":"turbulent"}},"outputs":{"action_semantics":"s"}}', "learning", ["状态：24维状态：a、b", "环境：湍流风场；层级："], ["动作：（s）"], ["控制输出：s"]),
+    ('{"paper":{},"outputs":{},"wind_adaptation":{"enabled":false,"update_target":{"updated_variable":"d"}},"control":{"inner_loop_type_and_controlled_variable":{"controlled_variable":"roll"}}}', "control", ["g"], ["导航/引导：极坐标航迹量 + waypoint/heading 参考", "控制： roll", "监督：混合状态机协同绞盘/俯仰"], ["风向对齐输出：d"]),
+]
+
+
+def test_record_shapes_and_lines(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(RECORDS)], "i int, js string").select("i", F.parse_json("js").alias("record"))
+    got = R.slots(df, {k: F.array(F.lit("g")) for k in R.SLOTS}).orderBy("i").collect()
+    for row, (_, *want) in zip(got, RECORDS, strict=True):
+        assert [row.shape, row.inputs, row.methods, row.outputs] == want
+
+
+def test_numbers_as_texts(spark):
+    values = [0.0, 0.25, 2.0, -1.5, 1234567.0, 0.00001234, 3.14159265, 100.0, 1e20]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", R.general(F.col("x")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [f"{v:g}" for v in values]
+
+
+def test_stop_words_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "the whereupon method", "of", "")], "paper_id long, title string, abstract string, authors string")
+    terms = lambda **k: {r.term for r in G.tokens(df, **k).collect()}
+    assert terms() == {"whereupon", "method", "whereupon method"} and terms(stop_words=["the", "of", "whereupon"]) == {"method"}
+
+
 def test_merge_primitives_plain(spark):
     r = random.Random(1)
     rows = [(p, 1, i, box, col, f"s{i % 3}") for p in range(6) for i, box, col in boxes(r, 12)]
