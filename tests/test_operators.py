@@ -200,6 +200,20 @@ def test_numbers_as_texts(spark):
     assert [r.t for r in got] == [f"{v:g}" for v in values]
 
 
+def test_vectors_meet_alike_in_any_blocks(spark):
+    r = random.Random(5)
+    rows = [(i, [round(r.gauss(0, 1), 1) for _ in range(3)]) for i in range(120)] + [(200, [1.0, 0.0, 0.0]), (201, [2.0, 0.0, 0.0]), (202, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [sorted(map(tuple, G.vector_knn_edges(df, 0.9, 2, blocks=b).collect())) for b in (1, 5)]
+    unit = {i: np.array(v, np.float32).astype(float) / n for i, v in rows if (n := np.linalg.norm(np.array(v, np.float32).astype(float)))}
+    best = {}
+    for i in unit:
+        near = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in unit if j != i and unit[i] @ unit[j] >= 0.9)[:2]
+        for s, j in near:
+            best.setdefault((min(i, j), max(i, j)), (i, j, round(-s, 3)))
+    assert got[0] == got[1] and [x[:2] for x in got[0]] == sorted(x[:2] for x in best.values())
+
+
 def test_stop_words_are_a_parameter(spark):
     df = spark.createDataFrame([(1, "the whereupon method", "of", "")], "paper_id long, title string, abstract string, authors string")
     terms = lambda **k: {r.term for r in G.tokens(df, **k).collect()}
