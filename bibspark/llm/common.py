@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import materialize, scratch_dir
 
-__all__ = ["bounded_batches", "connected_components", "discard", "join_sliced", "materialize", "resident", "scratch_dir", "small", "table", "vacate"]
+__all__ = ["bounded_batches", "connected_components", "discard", "give_back", "join_sliced", "materialize", "resident", "scratch_dir", "small", "table", "vacate"]
 Made = TypeVar("Made")
 #: Rows and bytes of a side up to which it is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
@@ -24,7 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of long texts stay small, so a Python worker's memory doesn't follow the texts' length times rows."""
+    """Arrow batches of long texts stay small, so a Python worker's memory doesn't follow the texts' length times rows.
+
+    These settings count when a query runs, not when it is made, so the session keeps them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -40,9 +46,18 @@ def resident(key: object, make: Callable[[], Made]) -> Made:
     return _resident[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; else a worker keeps its largest task's memory through the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def vacate() -> None:
     """A task that needs its worker's memory for its own rows frees what an earlier stage has left there."""
     _resident.clear()
+    give_back()
 
 
 def discard(*tables: DataFrame, collect: bool = True) -> None:

@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, discard, join_sliced, materialize, small, table, vacate
+from .common import bounded_batches, connected_components, discard, give_back, join_sliced, materialize, small, table, vacate
 
 WORDS, KEYS = 5, 4
 #: Documents under SMALL tokens have all tokens met, larger ones the share SAMPLED of the hash range. SMALL_SELF is the
 #: size up to which every possible partner is under SMALL.
 SMALL, SMALL_SELF, SAMPLED = 128, 100, 0.4
 #: Documents for each hash bucket, tokens that a task holds before it sends them, word hashes a worker remembers.
-DOCS_PER_BUCKET, HELD, REMEMBERED = 50_000, 500_000, 100_000
+DOCS_PER_BUCKET, HELD, REMEMBERED = 50_000, 200_000, 50_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NOBODY = -(2**63)
 _LIMIT = np.uint64(int(SAMPLED * 2**64))
@@ -134,6 +134,8 @@ def send(buckets: int):
                     rows, found, who, held = [], [], [], 0
         if rows:
             yield flush(rows, found, who)
+        rows = found = who = shingler = None
+        give_back()
 
     return run
 
@@ -193,6 +195,8 @@ def token_sets(docs: DataFrame) -> DataFrame:
             # a key belongs to its own min-hash only
             keys = [[k ^ i for i, k in enumerate(x)] for x in keys]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int32()), pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "tokens", "keys"])
+        shingler = sets = keys = None
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, n int, tokens array<long>, keys array<long>")
 
