@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -27,7 +28,8 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 _KEYWORD = re.compile(r"(?ai)password|passwd|secret|token|api_?key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _PART = re.compile(r"[A-Za-z0-9]+")
-_WORD = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+|[A-Za-z]?")
+#: Possessive, so that a run is read once: an upper-case run of two or more is taken whole before the lower-case one.
+_WORD = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)++|[A-Za-z]?")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Hex lengths of common digests: CRC-64, MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
@@ -68,18 +70,34 @@ def is_random(s: str, enc, ratio: float = CHARS_PER_TOKEN) -> bool:
     return len(s) / max(1, len(enc.encode_ordinary(s))) < ratio
 
 
+def outside(taken: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span meets none of the taken ones, found by bisection among their union."""
+    starts, ends = [], []
+    for s, e in sorted(taken):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end) - 1
+        return before < 0 or ends[before] <= start
+
+    return free
+
+
 def random_spans(text: str, enc, ratio: float, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """Random runs, or else the random parts of a run, that don't meet a taken span."""
-    free = lambda start, end: not any(s < end and start < e for _, s, e in taken)
+    free = outside((s, e) for _, s, e in taken)
     for m in _CANDIDATE.finditer(text):
         if free(*m.span()) and is_random(m.group(), enc, ratio):
             yield "random", m.start(), m.end()
             continue
-        uuids = [u.span() for u in _UUID.finditer(m.group())]
+        apart = outside(u.span() for u in _UUID.finditer(m.group()))
         for p in _PART.finditer(m.group()):
             start, end = m.start() + p.start(), m.start() + p.end()
-            within = any(s < p.end() and p.start() < e for s, e in uuids)
-            if p.span() != (0, len(m.group())) and not within and free(start, end) and is_random(p.group(), enc, ratio):
+            if p.span() != (0, len(m.group())) and apart(*p.span()) and free(start, end) and is_random(p.group(), enc, ratio):
                 yield "random", start, end
 
 
@@ -108,8 +126,8 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 def find_secrets(docs: DataFrame, vocabulary: str, ratio: float = CHARS_PER_TOKEN) -> DataFrame:
     """doc_id, counts of base spans, their digest, and all spans, for each row of docs. Repeated rows give repeated rows.
 
-    A text is scanned as a whole, however long, in time linear in its length but for the spans of one run among each
-    other; Arrow batches are bounded by bytes, so a very long text comes alone.
+    A text is scanned as a whole, however long, in time linear in its length but for the sorting of spans; Arrow batches
+    are bounded by bytes, so a very long text comes alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
