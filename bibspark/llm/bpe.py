@@ -40,12 +40,38 @@ def decimals(path: str) -> list[str]:
 
 
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: A letter, a number and a sign that are of the same class for every library.
+_PLAIN = {r"\p{L}": "é", r"\p{N}": "²", "": "§"}
+
+
+@lru_cache(maxsize=1)
+def unlike() -> tuple[regex.Pattern, dict[int, str]]:
+    """The characters whose class differs between tiktoken and the library that looks for boundaries here, since their
+    Unicode tables are of different years: a pattern of them, and for each a character of the class it has for tiktoken."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    of, bytewise = {}, {bytes([b]): b for b in range(256)}
+    differ: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        only = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=bytewise, special_tokens={})
+        theirs = set(only.decode_bytes(only.encode_ordinary(every)).decode())  # it passes over all but the class
+        of |= dict.fromkeys(theirs, kind)
+        differ |= theirs ^ set(regex.findall(kind, every))
+    table = {ord(c): " " if of.get(c) == r"\s" else _PLAIN[of.get(c, "")] for c in differ}
+    return regex.compile("[" + "".join(map(regex.escape, sorted(differ))) + "]" if differ else "(?!)"), table
+
+
+def as_tiktoken(text: str) -> str:
+    """text, with the same length, as one in which both libraries see tiktoken's boundaries."""
+    if text.isascii():
+        return text
+    odd, table = unlike()
+    return text.translate(table) if odd.search(text) else text
 
 
 def boundaries(text: str, low: int, high: int) -> list[int]:
-    """Ends of pre-tokens of text that lie in [low, high)."""
+    """Ends of pre-tokens of text that lie in [low, high), as tiktoken takes them."""
     out = []
-    for m in _PATTERN.finditer(text):
+    for m in _PATTERN.finditer(as_tiktoken(text)):
         if m.end() >= high:
             break
         if m.end() >= low:

@@ -5,7 +5,9 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -122,6 +124,23 @@ def test_bpe_pieces_of_a_task(chunk, overlap):
     assert max(n) > (3 if chunk >= 40 else 1) and n[-2] == 1  # an endless run of blanks has no boundaries
 
 
+@pytest.mark.parametrize(("chunk", "overlap"), [(9, 7), (40, 12), (300, 60), (bpe.CHUNK, bpe.OVERLAP)])
+def test_bpe_pieces_over_all_of_unicode(chunk, overlap):
+    """Characters whose class differs between libraries, assigned or not, beside contractions, blanks and each other."""
+    r, enc, (odd, table) = random.Random(chunk), bpe.encoding(RANKS), bpe.unlike()
+    rare = [*map(chr, table), "\u1c89", "\u1c8a", *map(chr, range(0xA7CB, 0xA7DD))]
+    plain = ["'t", "v", "'ll", "l", " ", "  ", "\n", "12", "a", "...", "é", "中", "don't"]
+    point = lambda: chr(r.choice([r.randint(0, 0xD7FF), r.randint(0xE000, 0x10FFFF)]))
+    assert all(len(c) == 1 for c in table.values()) and not any(odd.search(c) for c in bpe._PLAIN.values())
+    several = 0
+    for _ in range(3000 if chunk < 1000 else 300):
+        text = "".join(r.choice(rare) if (x := r.random()) < 0.25 else point() if x < 0.4 else r.choice(plain) for _ in range(r.randint(1, 3 * chunk)))
+        pieces = bpe.stitched(text, chunk, overlap)
+        assert "".join(pieces) == text and [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+        several += len(pieces) > 1
+    assert several > 30
+
+
 # 3
 def test_fingerprints_follow_the_order(spark):
     rows = [(i * 3, f"text number {i} " * (i % 9 + 1)) for i in range(200)] + [(1, None), (2, ""), (300, "tie"), (300, "tie"), (None, "no id")]
@@ -550,7 +569,12 @@ def plain_secrets(text, enc):
                 yield start, i
                 start = None
 
-    word = lambda p: re.fullmatch(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+|[A-Za-z]?", p) is not None
+    def word(p):
+        """Letters in word or camel case: no lower-case letter stands alone, nor an upper-case one but before two lower ones."""
+        cases = [(low, len(list(g))) for low, g in groupby(p, str.islower)]
+        alone = [not low and (i + 1 == len(cases)) or low for i, (low, n) in enumerate(cases) if n == 1]
+        return len(p) < 2 and p.isalpha() or p == "" or p.isascii() and p.isalpha() and not any(alone)
+
     digest = lambda p: len(p) in (16, 32, 40, 56, 64, 96, 128) and (set(p) <= set("0123456789abcdef") or set(p) <= set("0123456789ABCDEF"))
     uuid = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
 
@@ -617,6 +641,19 @@ def test_secrets_of_fewer_classes_and_in_longer_runs():
         assert found(f"the {plain} here") == [], plain
 
 
+def test_secret_scans_are_linear():
+    enc, r = bpe.encoding(RANKS), random.Random(90)
+    took = lambda t: (lambda began: (secrets.scan(t, enc), time.process_time() - began)[1])(time.process_time())
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdeABCDE", "a"):
+        for k in (20, 42, 43, 1000, 100_000):
+            s = "".join(r.choices(letters, k=k))
+            assert took(f"see the {s}1 x") < 1 and took(f"see the {s} x") < 1
+    assert took('password="aBcdefgh" ' * 20_000) < 4 and took("deadbeef" * 3 + " " + "0f8fad5b-d9cb-469f-a165-70867728950e_" * 4000) < 4
+    for _ in range(20_000):  # the possessive pattern takes what the plain one takes
+        s = "".join(r.choices("abABz", k=r.randint(0, 9)))
+        assert (secrets._WORD.fullmatch(s) is None) == (re.fullmatch(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+|[A-Za-z]?", s) is None)
+
+
 # 9
 def test_word_ids_equal_the_library(spark):
     coder = packing.tokens(WORD_VOCABULARY)
