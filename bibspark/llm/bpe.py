@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -45,9 +46,9 @@ _PLAIN = {r"\p{L}": "é", r"\p{N}": "²", "": "§"}
 
 
 @lru_cache(maxsize=1)
-def unlike() -> tuple[regex.Pattern, dict[int, str]]:
+def unlike() -> dict[int, str]:
     """The characters whose class differs between tiktoken and the library that looks for boundaries here, since their
-    Unicode tables are of different years: a pattern of them, and for each a character of the class it has for tiktoken."""
+    Unicode tables are of different years, and for each a character of the class it has for tiktoken."""
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     of, bytewise = {}, {bytes([b]): b for b in range(256)}
     differ: set[str] = set()
@@ -56,16 +57,22 @@ def unlike() -> tuple[regex.Pattern, dict[int, str]]:
         theirs = set(only.decode_bytes(only.encode_ordinary(every)).decode())  # it passes over all but the class
         of |= dict.fromkeys(theirs, kind)
         differ |= theirs ^ set(regex.findall(kind, every))
-    table = {ord(c): " " if of.get(c) == r"\s" else _PLAIN[of.get(c, "")] for c in differ}
-    return regex.compile("[" + "".join(map(regex.escape, sorted(differ))) + "]" if differ else "(?!)"), table
+    return {ord(c): " " if of.get(c) == r"\s" else _PLAIN[of.get(c, "")] for c in differ}
+
+
+@lru_cache(maxsize=1)
+def _classed() -> np.ndarray:
+    table = np.arange(0x110000, dtype="<u4")
+    for c, plain in unlike().items():
+        table[c] = ord(plain)
+    return table
 
 
 def as_tiktoken(text: str) -> str:
     """text, with the same length, as one in which both libraries see tiktoken's boundaries."""
     if text.isascii():
         return text
-    odd, table = unlike()
-    return text.translate(table) if odd.search(text) else text
+    return _classed()[np.frombuffer(text.encode("utf-32-le"), "<u4")].tobytes().decode("utf-32-le")
 
 
 def boundaries(text: str, low: int, high: int) -> list[int]:
