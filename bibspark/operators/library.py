@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import portable_path
 from ..scratch import materialize
 
 K1, B = 1.2, 0.75
+#: Buckets of a stored index, papers of a block by id, and blocks of a query that are scored first.
+BUCKETS, PAPER_BLOCK, SEED_BLOCKS = 64, 4096, 4
 TOKEN = r"[\p{L}\p{N}_]+"
 FIELDS = ("title", "abstract", "authors")
 DEFAULTS = {"authors": "", "abstract": "", "arxiv_id": "", "doi": "", "ieee_id": "", "source": "unknown"}
@@ -68,19 +72,103 @@ def tokenised(library: DataFrame) -> DataFrame:
     return library.select("paper_id", corpus, words(*[F.coalesce(F.col(f), F.lit("")) for f in FIELDS]).alias("w")).withColumn("length", F.size("w"))
 
 
-def postings(library: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The full-text index: (term, paper_id, tf) and (paper_id, length)."""
-    tokens = tokenised(library)
-    return tokens.select("paper_id", F.explode("w").alias("term")).groupBy("term", "paper_id").agg(F.count("*").alias("tf")), tokens.select("paper_id", "length")
+class Index(NamedTuple):
+    """A stored inverted index.
+
+    postings has a row for each term of a corpus and block of papers: how many papers (n), the largest tf, the smallest
+    length, and their ids, tfs and lengths as arrays. It is stored by part (what was added at once) and bucket (a hash of
+    the term), sorted by term. sizes has the papers and words (n, words) of each corpus and part.
+    """
+
+    postings: DataFrame
+    sizes: DataFrame
+    buckets: int
+
+
+def build_index(library: DataFrame, path: str, part: int = 0, buckets: int = BUCKETS, block: int = PAPER_BLOCK) -> Index:
+    """Index a library's papers into a folder, as one part of the index there; parts are of different papers.
+
+    Appended papers are a new part, and a part that is written again replaces itself. Each file holds a range of buckets
+    and terms, so a bucket of any size is spread and a term's blocks lie together.
+    """
+    spark = library.sparkSession
+    words = library if "w" in library.columns else tokenised(library)
+    tokens = materialize(words, "tokens")
+    tf = tokens.select("corpus", "paper_id", "length", F.explode("w").alias("term")).groupBy("corpus", "term", "paper_id", "length").agg(F.count("*").alias("tf"))
+    lists = F.array_sort(F.collect_list(F.struct("paper_id", F.col("tf").cast("int").alias("tf"), "length")))
+    blocks = tf.groupBy("corpus", "term", F.floor(F.col("paper_id") / block).alias("block")).agg(lists.alias("l"))
+    rows = blocks.select(
+        _bucket(F.col("term"), buckets).alias("bucket"), "corpus", "term", "block", F.size("l").cast("long").alias("n"), F.array_max("l.tf").alias("max_tf"), F.array_min("l.length").alias("min_length"),
+        F.col("l.paper_id").alias("ids"), F.col("l.tf").alias("tfs"), F.col("l.length").alias("lengths"),
+    )
+    rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/part={part}")
+    tokens.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("length").alias("words")).write.mode("overwrite").parquet(f"{path}/sizes/part={part}")
+    return open_index(spark, path, buckets)
+
+
+def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
+    """The index in a folder, with all its parts; buckets is what it was built with."""
+    listed = "bucket int, corpus string, term string, block long, n long, max_tf int, min_length int, ids array<long>, tfs array<int>, lengths array<int>, part int"
+    return Index(spark.read.schema(listed).parquet(f"{path}/postings"), spark.read.schema("corpus string, n long, words long, part int").parquet(f"{path}/sizes"), buckets)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _bm25(n: Column, df: Column, tf: Column, length: Column, mean: Column) -> Column:
+    """A term's part of the score; it grows with tf and falls with the length."""
+    return F.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def search_text(library: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
+def search_index(index: Index, queries: DataFrame, k: int | None = 10, seeds: int = SEED_BLOCKS) -> DataFrame:
+    """What `search_text` gives, from a stored index.
+
+    Only the buckets of asked terms are read, and first only the figures of their blocks. A block of papers is a query's
+    candidate if it has all of its terms; the largest tf and smallest length of each bound the score there. The most
+    promising blocks of each query are scored first; of the others only those whose bound reaches the k-th score so
+    far. Nothing is approximate.
+    """
+    corpus = F.col("corpus") if "corpus" in queries.columns else F.lit("").alias("corpus")
+    asked = materialize(queries.select("q_id", corpus, F.explode(F.array_distinct(words(F.col("query")))).alias("term")).withColumn("bucket", _bucket(F.col("term"), index.buckets)), "asked")
+    n_terms = asked.groupBy("q_id").agg(F.count("*").alias("n_terms"))
+    terms = asked.select("bucket", "corpus", "term").distinct()
+    read = index.postings.where(F.col("bucket").isin([r.bucket for r in asked.select("bucket").distinct().collect()]))
+    figures = materialize(read.select("bucket", "corpus", "term", "block", "n", "max_tf", "min_length").join(terms, ["bucket", "corpus", "term"], "left_semi"), "figures")
+    size = index.sizes.groupBy("corpus").agg(F.sum("n").alias("papers"), (F.sum("words") / F.sum("n")).alias("mean"))
+    df = materialize(figures.groupBy("corpus", "term").agg(F.sum("n").alias("df")).join(size, "corpus"), "df")
+    bound = figures.groupBy("corpus", "term", "block").agg(F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length")).join(df, ["corpus", "term"])
+    bound = bound.select("corpus", "term", "block", _bm25(F.col("papers"), F.col("df"), F.col("max_tf"), F.col("min_length"), F.col("mean")).alias("bound"))
+    found = bound.join(asked, ["corpus", "term"]).groupBy("q_id", "block").agg(F.sum("bound").alias("bound"), F.count("*").alias("c")).join(n_terms, "q_id").where("c = n_terms")
+    best = Window.partitionBy("q_id").orderBy(F.desc("bound"), "block")
+    blocks = materialize(found.select("q_id", "block", "bound", F.row_number().over(best).alias("turn")), "blocks")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.select("q_id", "block").join(asked, "q_id")
+        lists = wanted.join(read.drop("n", "max_tf", "min_length"), ["bucket", "corpus", "term", "block"]).select("q_id", "corpus", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
+        part = lists.join(df, ["corpus", "term"]).select("q_id", F.col("p.ids").alias("paper_id"), _bm25(F.col("papers"), F.col("df"), F.col("p.tfs"), F.col("p.lengths"), F.col("mean")).alias("w"))
+        sums = part.groupBy("q_id", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c"))
+        return sums.join(n_terms, "q_id").where("c = n_terms").select("q_id", "paper_id", "score")
+
+    hits = Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("paper_id"))
+    if k is None:
+        return scored(blocks).withColumn("hit_pos", F.row_number().over(hits)).select("q_id", "paper_id", "score", "hit_pos")
+    first = materialize(scored(blocks.where(F.col("turn") <= seeds)).withColumn("hit_pos", F.row_number().over(hits)).where(F.col("hit_pos") <= k), "first")
+    least = first.where(F.col("hit_pos") == k).select("q_id", F.col("score").alias("least"))
+    open_ = blocks.where(F.col("turn") > seeds).join(least, "q_id", "left").where("least is null or bound >= least - 0.00001")
+    every = first.drop("hit_pos").unionByName(scored(open_))
+    return every.withColumn("hit_pos", F.row_number().over(hits)).where(F.col("hit_pos") <= k).select("q_id", "paper_id", "score", "hit_pos")
+
+
+def search_text(library: DataFrame | Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """(q_id, paper_id, score, hit_pos): papers that hold all terms of a query, by BM25, best first; equal scores newest first.
 
-    Only postings of query terms are kept before the shuffle. A query without terms has no hits. library may be
-    `tokenised` before. With a corpus column in queries (and library), a query searches its corpus alone, which has
-    its own statistics.
+    A stored index (`build_index`) is read where the terms are; without one, the whole library is, and only occurrences of
+    query terms are kept before the shuffle. A query without terms has no hits. library may be `tokenised` before. With a
+    corpus column in queries (and library), a query searches its corpus alone, which has its own statistics.
     """
+    if isinstance(library, Index):
+        return search_index(library, queries, k)
     tokens = library if "w" in library.columns else tokenised(library)
     corpus = F.col("corpus") if "corpus" in queries.columns else F.lit("").alias("corpus")
     asked = queries.select("q_id", corpus, F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
@@ -89,7 +177,7 @@ def search_text(library: DataFrame, queries: DataFrame, k: int | None = 10) -> D
     terms = asked.select("corpus", "term").distinct()
     hits = tokens.select("paper_id", "corpus", "length", F.explode("w").alias("term")).join(terms, ["corpus", "term"], "left_semi").groupBy("corpus", "term", "paper_id", "length").agg(F.count("*").alias("tf"))
     df = hits.groupBy("corpus", "term").agg(F.count("*").alias("df"))
-    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weight = _bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("length"), F.col("mean"))
     scored = hits.join(df.join(F.broadcast(size), "corpus"), ["corpus", "term"]).select("corpus", "term", "paper_id", weight.alias("w"))
     found = scored.join(asked, ["corpus", "term"]).groupBy("q_id", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c")).join(n_terms, "q_id").where("c = n_terms")
     ranked = found.withColumn("hit_pos", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("paper_id"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_query, ws_lower
 from ..scratch import materialize
-from .library import dense_number, search_text, tokenised
+from .library import Index, dense_number, search_text, tokenised
 
 #: Synonyms of field terms.
 GLOSSARY = {
@@ -86,16 +86,18 @@ def routed(source: Column) -> Column:
     return F.when(source.isin(*SOURCES), source).otherwise(SOURCES[-1])
 
 
-def retrieve(attempts: DataFrame, works: DataFrame, per_query: int = 8, min_year: int | None = None) -> DataFrame:
+def retrieve(attempts: DataFrame, works: DataFrame | Index, per_query: int = 8, min_year: int | None = None) -> DataFrame:
     """(q_id, paper_id, used_query, score, hit_pos): the hits of the first attempt that has any, at most per_query.
 
     All attempts of all queries are scored in one job; a window keeps each query's first successful one. If attempts have
-    a source, each is searched among the works of the collection it is routed to. works may be `tokenised` before.
+    a source, each is searched among the works of the collection it is routed to. works may be `tokenised` before, or a
+    stored index, of the works of min_year if that is asked for.
     """
-    if min_year is not None:
+    stored = isinstance(works, Index)
+    if min_year is not None and not stored:
         works = works.where(F.col("year") >= min_year)
     keyed = attempts.select("q_id", "attempt", F.col("query").alias("used_query"), F.struct("q_id", "attempt").alias("k"), *([routed(F.col("source")).alias("corpus")] if "source" in attempts.columns else []))
-    if "source" in attempts.columns and "corpus" not in works.columns:
+    if "source" in attempts.columns and not stored and "corpus" not in works.columns:
         works = works.withColumn("corpus", F.col("source"))
     hits = search_text(works, keyed.select(F.col("k").alias("q_id"), F.col("used_query").alias("query"), *([c for c in keyed.columns if c == "corpus"])), per_query)
     hits = hits.select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.attempt").alias("attempt"), "paper_id", "score", "hit_pos")
@@ -187,7 +189,7 @@ def round_summary(topics: DataFrame, papers: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("round1") == 0, "no papers found")).withColumn("round2", F.when(F.col("round1") == 0, 0).otherwise(F.col("round2")))
 
 
-def _hits(plan: DataFrame, works: DataFrame, tokens: DataFrame, rule_table: DataFrame, per_query: int) -> DataFrame:
+def _hits(plan: DataFrame, works: DataFrame, tokens: DataFrame | Index, rule_table: DataFrame, per_query: int) -> DataFrame:
     keyed = plan.withColumn("q_id", F.struct("topic_id", "q_pos"))
     attempts = materialize(rewrite_attempts(keyed.select("q_id", "query"), rule_table), "attempts")
     found = retrieve(attempts, tokens, per_query)
@@ -197,7 +199,7 @@ def _hits(plan: DataFrame, works: DataFrame, tokens: DataFrame, rule_table: Data
     return materialize(once.withColumn("pos", F.row_number().over(Window.partitionBy("topic_id").orderBy("q_pos", "hit_pos")) - 1).select("topic_id", "key", "pos", "paper_id", "title"), "hits")
 
 
-def search_corpus(topics: DataFrame, works: DataFrame, judged: DataFrame, rule_table: DataFrame, n: int = 10, per_query: int = 8) -> tuple[DataFrame, DataFrame]:
+def search_corpus(topics: DataFrame, works: DataFrame, judged: DataFrame, rule_table: DataFrame, n: int = 10, per_query: int = 8, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """The two-round search of many topics: ranked papers (topic_id, rank, paper_id, relevance_score), and the summary.
 
     judged has paper_id, score, verdict, followups: judgements of papers, used in both rounds. Round 1 runs the fallback
@@ -212,7 +214,7 @@ def search_corpus(topics: DataFrame, works: DataFrame, judged: DataFrame, rule_t
         first = cands.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).drop("n").join(j, "paper_id", "left")
         return first.withColumn("relevance_score", F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.coalesce("score", F.lit(5.0))))).withColumn("followup_terms", F.coalesce("followups", F.array().cast("array<string>")))
 
-    tokens = materialize(tokenised(works), "tokens")
+    tokens = index or materialize(tokenised(works), "tokens")
     one = _hits(fallback_plan(topics), works, tokens, rule_table, per_query)
     two = _hits(followup_queries(scored(one, FIRST_TOP), 4, ("topic_id",)), works, tokens, rule_table, per_query)
     merged = merge_rounds(one, two, ("topic_id",))

@@ -9,6 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.library import Index, build_index
+from ..scratch import scratch_dir
 
 TABLES = ("documents", "labels", "benchmark", "conversations", "embeddings", "events", "part", "pages")
 
@@ -106,6 +110,20 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_indexes: dict[tuple, Index] = {}
+
+
+def paper_index(spark: SparkSession, sf_dir: str, since: int | None = None) -> Index:
+    """The stored index of the papers, built by the first query of a session that asks for it. With since, of the papers
+    of that year or later, each source a collection of its own."""
+    key = (spark.sparkContext.applicationId, sf_dir, since)
+    if key not in _indexes:
+        papers = view(spark, sf_dir, "papers")
+        papers = papers if since is None else papers.where(F.col("year") >= since).withColumn("corpus", F.col("source"))
+        _indexes[key] = build_index(papers, f"{scratch_dir(spark)}/index")
+    return _indexes[key]
+
+
 def with_views(sql: str, *names: str) -> str:
     """A DuckDB query with the views it names in front. sql may start with further "name AS (...)" parts and a bar of
     three dashes before its SELECT."""

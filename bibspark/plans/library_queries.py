@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.text import title_key
 from ..operators import graph as G
 from ..operators import library as L
-from .fixtures import view, with_views
+from ..scratch import scratch_dir
+from .fixtures import paper_index, view, with_views
 
 _PATH = r"""(CASE WHEN pdf_path IS NULL THEN NULL WHEN pdf_path LIKE '/home/u/library/%' THEN substr(pdf_path, 17) WHEN pdf_path LIKE 'pdfs/%' THEN pdf_path ELSE 'pdfs/' || pdf_path END)"""
 _STOP = "[" + ", ".join(f"'{w}'" for w in G.STOP_WORDS) + "]"
@@ -185,7 +186,15 @@ def _queries(spark, sf_dir):
 
 
 def c4_search_text(spark, sf_dir):
-    return L.search_text(_papers(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    return L.search_text(paper_index(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+def c4_index_appended(spark, sf_dir):
+    """The index in two parts: papers of even years first, the others appended. Hits are those of one index."""
+    papers, path = _papers(spark, sf_dir), f"{scratch_dir(spark)}/index"
+    L.build_index(papers.where("year % 2 = 0"), path)
+    index = L.build_index(papers.where("year % 2 = 1"), path, part=1)
+    return L.search_text(index, _queries(spark, sf_dir), None).select("q_id", "paper_id", F.round("score", 4).alias("score"), "hit_pos")
 
 
 def c5_search_like(spark, sf_dir):
@@ -227,6 +236,7 @@ C_SQL = {
     "c3_get_papers": with_views("""ids_ AS (SELECT DISTINCT CASE WHEN source <> 'openalex' THEN source WHEN id LIKE '10.%' THEN 'doi' ELSE 'arxiv' END AS kind, id FROM (SELECT source, unnest([doi, arxiv_id, ieee_id]) AS id FROM papers) WHERE id <> '')
 --- SELECT kind, id, min(paper_id) AS paper_id, arg_min(title, paper_id) AS title FROM ids_ JOIN papers ON id = CASE kind WHEN 'doi' THEN doi WHEN 'ieee' THEN ieee_id ELSE arxiv_id END GROUP BY kind, id""", "papers"),
     "c4_search_text": with_views("asking_ AS (SELECT q_pos AS q_id, query FROM plan_queries)," + BM25 + "--- SELECT q_id, paper_id, round(score, 4) AS score, hit_pos FROM found_ WHERE hit_pos <= 10", "papers", "plan_queries"),
+    "c4_index_appended": with_views("asking_ AS (SELECT q_pos AS q_id, query FROM plan_queries)," + BM25 + "--- SELECT q_id, paper_id, round(score, 4) AS score, hit_pos FROM found_", "papers", "plan_queries"),
     "c5_search_like": with_views("SELECT paper_id, year FROM papers WHERE title ILIKE '%THE_and%of%' OR abstract ILIKE '%THE_and%of%' OR authors ILIKE '%THE_and%of%'", "papers"),
     "c6_update_paths": with_views("SELECT paper_id, coalesce((SELECT 'new/' || min(doc_id) || '.pdf' FROM labels WHERE doc_id = paper_id HAVING count(*) > 0), pdf_path) AS pdf_path FROM papers", "papers"),
     "c7_normalize_paths": with_views(_NORM + "--- SELECT paper_id, coalesce(norm, f1, f2) AS pdf_path FROM n_", "papers"),
@@ -249,5 +259,5 @@ one_ AS (SELECT k.paper_id, b.work_id, 'doi' AS how FROM key_ k JOIN bydoi_ b ON
 try_ AS (SELECT k.paper_id, w.paper_id AS work_id, hit_pos, w.title_key = k.title_key OR contains(w.title_key, substr(k.title_key, 1, 80)) AS fits FROM key_ k JOIN found_ f ON f.q_id = k.paper_id AND hit_pos <= 3 JOIN works_ w ON w.paper_id = f.paper_id WHERE k.title_key <> '' AND k.paper_id NOT IN (SELECT paper_id FROM one_))
 --- SELECT * FROM one_ UNION ALL SELECT paper_id, arg_min(work_id, (NOT fits, hit_pos)), CASE WHEN arg_min(fits, (NOT fits, hit_pos)) THEN 'title' ELSE 'first hit' END FROM try_ GROUP BY paper_id"""
 
-QUERIES = {f.__name__: f for f in (e1_tokens, e2_tfidf, e3_cosine_pairs, e4_top_terms, e5_knn_edges, e6_vector_knn_edges, e7_shared_keywords, e8_citation_edges, e9_merge_relations, e10_judgement_candidates, e11_node_metrics, e12_build_graph, c1_add_papers, c2_list_papers, c3_get_papers, c4_search_text, c5_search_like, c6_update_paths, c7_normalize_paths, c7_normalize_counts, d15_resolve_metadata)}
+QUERIES = {f.__name__: f for f in (e1_tokens, e2_tfidf, e3_cosine_pairs, e4_top_terms, e5_knn_edges, e6_vector_knn_edges, e7_shared_keywords, e8_citation_edges, e9_merge_relations, e10_judgement_candidates, e11_node_metrics, e12_build_graph, c1_add_papers, c2_list_papers, c3_get_papers, c4_search_text, c4_index_appended, c5_search_like, c6_update_paths, c7_normalize_paths, c7_normalize_counts, d15_resolve_metadata)}
 SQL = E_SQL | C_SQL | {"d15_resolve_metadata": with_views(D15, "papers")}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from ..operators.library import TOKEN
-from .fixtures import view, with_views
+from .fixtures import paper_index, view, with_views
 from .library_queries import BM25
 from .text_queries import SPECS
 
@@ -62,7 +62,7 @@ def _attempts(spark, sf_dir):
 
 
 def _retrieved(spark, sf_dir):
-    return S.stamped(S.retrieve(_attempts(spark, sf_dir), view(spark, sf_dir, "papers"), 8, 2005), _asked(spark, sf_dir))
+    return S.stamped(S.retrieve(_attempts(spark, sf_dir), paper_index(spark, sf_dir, since=2005), 8), _asked(spark, sf_dir))
 
 
 STAMPS = ("search_query", "search_source", "search_venue_hint", "search_author_hint")
@@ -139,11 +139,11 @@ def _corpus_judged(spark, sf_dir):
 
 
 def d14_search_corpus(spark, sf_dir):
-    return S.search_corpus(_topics(spark, sf_dir), view(spark, sf_dir, "papers"), _corpus_judged(spark, sf_dir), S.rules(spark))[0]
+    return S.search_corpus(_topics(spark, sf_dir), view(spark, sf_dir, "papers"), _corpus_judged(spark, sf_dir), S.rules(spark), index=paper_index(spark, sf_dir))[0]
 
 
 def d14_search_summary(spark, sf_dir):
-    return S.search_corpus(_topics(spark, sf_dir), view(spark, sf_dir, "papers"), _corpus_judged(spark, sf_dir), S.rules(spark))[1]
+    return S.search_corpus(_topics(spark, sf_dir), view(spark, sf_dir, "papers"), _corpus_judged(spark, sf_dir), S.rules(spark), index=paper_index(spark, sf_dir))[1]
 
 
 _PLAN = "plan_ AS (SELECT round, q_pos, trim(query) AS query, coalesce(nullif(lower(trim(source)), ''), 'openalex') AS source, venue, author FROM plan_queries WHERE trim(query) <> '')"

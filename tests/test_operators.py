@@ -418,3 +418,23 @@ def test_plan_without_a_cap(spark):
     rows = spark.range(1_000_013).selectExpr("0L round", "id q_pos", "if(id % 500000 = 1, ' ', concat(' q', id)) query", "'X ' source")
     assert S.normalize_plan(rows, None).count() == 1_000_010 and S.normalize_plan(rows).count() == 6
     assert "Window" not in S.normalize_plan(rows, None)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_gives_what_the_whole_library_gives(spark, tmp_path):
+    """Blocks of two papers and one seed block, so that most blocks are left out by their bounds; ties, nulls, empty and
+    repeated texts, a corpus of its own, an appended part, and a part that is written again."""
+    r = random.Random(11)
+    words = ["alpha", "beta", "gamma", "Été", "x_1", "delta"]
+    rows = [(i, " ".join(r.choices(words, [9, 5, 3, 2, 1, 1], k=r.randint(0, 12))) if i % 9 else None, None if i % 7 else "beta beta", "", r.choice(["a", "b"])) for i in range(120)]
+    papers = spark.createDataFrame(rows, "paper_id long, title string, abstract string, authors string, corpus string")
+    asked = [(i, " ".join(r.choices([*words, "unknown"], k=r.randint(0, 3))), r.choice(["a", "b", "c"])) for i in range(60)]
+    queries = spark.createDataFrame(asked, "q_id long, query string, corpus string")
+    path = f"{tmp_path}/index"
+    for part in (0, 1, 1):
+        index = L.build_index(papers.where(F.col("paper_id") % 2 == part), path, part, buckets=7, block=2)
+    got = lambda k: sorted(map(tuple, L.search_index(index, queries, k, seeds=1).collect()))
+    for k in (1, 3, None):
+        want = sorted(map(tuple, L.search_text(papers, queries, k).collect()))
+        assert got(k) == want and len(want) > 20
+    empty = L.build_index(papers.limit(0), f"{tmp_path}/none")
+    assert L.search_text(empty, queries).count() == 0 and L.search_text(index, queries.limit(0)).count() == 0

@@ -3,6 +3,7 @@
 import pytest
 from bibspark.plans import library_queries, page_queries
 from bibspark.plans.fixtures import view
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +34,17 @@ def test_no_python_in_relational_jobs(spark):
     for f in (library_queries.e3_cosine_pairs, library_queries.c4_search_text, page_queries.g3_columns_by_anchor):
         p = plan(f(spark, SF))
         assert "Python" not in p and "Arrow" not in p and "Pandas" not in p
+
+
+def test_index_reads_the_buckets_of_asked_terms_only(spark, tmp_path):
+    from bibspark.operators import library as L
+
+    papers = view(spark, SF, "papers")
+    index = L.build_index(papers, f"{tmp_path}/index")
+    term = L.tokenised(papers).selectExpr("explode(w) as t").first().t
+    asked = spark.createDataFrame([(1, term)], "q_id int, query string")
+    p = plan(L.search_text(index, asked))
+    scans = [x for x in p.split("PartitionFilters: [")[1:] if "bucket" in x.split("]")[0]]
+    bucket = asked.select(L._bucket(F.col("query"), L.BUCKETS).alias("b")).first().b
+    assert scans and all(f"(bucket#" in x.split("]")[0] and f" = {bucket})" in x.split("]")[0] for x in scans)
+    assert index.postings.select("bucket").distinct().count() > 10
