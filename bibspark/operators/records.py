@@ -17,27 +17,68 @@ SAME, REST, PAPER = "同主线", "其余 {} 项见结构化结果", "文献"
 
 
 # F1
-def json_body(reply: Column) -> Column:
-    """The JSON part of a free-text reply: a fenced block, else all from the first bracket; null without a bracket."""
-    t = F.trim(reply)
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\}|\[.*\])\s*```", 1)
-    open_ = F.regexp_extract(t, r"(?s)([{\[].*)", 1)
-    return F.when(fenced != "", fenced).when(open_ != "", open_)
+#: Brackets, quotes, and what a backslash takes with it.
+_MARK = r"(?s)\\.|[\"{}\[\]]"
+
+
+def first_value(text: Column) -> Column:
+    """struct(end, bad) of a text that starts with a bracket: the length of its first JSON value, null if that is never
+    closed, and whether brackets of different kinds meet. A fold over the brackets outside strings."""
+    found, between = F.regexp_extract_all(text, F.lit(_MARK), F.lit(0)), F.split(text, _MARK, -1)
+    steps = F.slice(F.arrays_zip(between.alias("b"), found.alias("f")), 1, F.size(found))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("quoted"), F.lit("").alias("open"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("bad"))
+
+    def step(a: Column, p: Column) -> Column:
+        mark = F.right(p["f"], F.lit(1))
+        at = (a["at"] + F.length(p["b"]) + F.length(p["f"])).cast("int")
+        closes, fits = mark.isin("}", "]"), F.right(a["open"], F.lit(1)) == F.translate(mark, "}]", "{[")
+        left = F.left(a["open"], F.length(a["open"]) - 1)
+        inside = F.struct(at.alias("at"), (p["f"] != '"').alias("quoted"), a["open"].alias("open"), a["end"].alias("end"), a["bad"].alias("bad"))
+        outside = F.struct(
+            at.alias("at"),
+            (mark == '"').alias("quoted"),
+            F.when(mark.isin("{", "["), F.concat(a["open"], mark)).when(closes, left).otherwise(a["open"]).alias("open"),
+            F.when(closes & fits & (F.length(a["open"]) == 1), at).cast("int").alias("end"),
+            (closes & ~fits).alias("bad"),
+        )
+        return F.when(a["end"].isNotNull() | a["bad"], a).when(a["quoted"], inside).otherwise(outside)
+
+    return F.aggregate(steps, start, step, lambda a: F.struct(a["end"].alias("end"), a["bad"].alias("bad")))
 
 
 def parse_replies(df: DataFrame, schema: str, reply: str = "reply") -> DataFrame:
-    """df with record (a struct of the schema) and status: ok, repaired (control characters inside strings), no_json,
-    unclosed. Text after the first JSON value is ignored."""
-    full = T.StructType.fromDDL(schema).add("_bad", "string")
-    body = json_body(F.col(reply))
-    strict = F.from_json(body, full, {"columnNameOfCorruptRecord": "_bad"})
-    loose = F.from_json(body, full, {"columnNameOfCorruptRecord": "_bad", "allowUnquotedControlChars": "true"})
-    names = [f.name for f in full if f.name != "_bad"]
-    pick = lambda s: F.struct(*[s[n].alias(n) for n in names])
-    out = df.withColumn("__s", strict).withColumn("__l", loose)
-    ok, fixed = F.col("__s._bad").isNull() & F.col("__s").isNotNull(), F.col("__l._bad").isNull() & F.col("__l").isNotNull()
-    none = body.isNull()
-    return out.withColumn("status", F.when(none, "no_json").when(ok, "ok").when(fixed, "repaired").otherwise("unclosed")).withColumn("record", F.when(none, None).when(ok, pick(F.col("__s"))).when(fixed, pick(F.col("__l")))).drop("__s", "__l")
+    """df with record (a struct of the schema, of a reply that is an object), records (an array of them, of one that is a
+    list; null for members that aren't objects) and status.
+
+    The JSON part is a fenced block, else it starts at the first bracket, which also says whether it is an object or a
+    list, and ends where that is closed. Status: ok, repaired (control characters inside strings), no_json (no bracket),
+    unclosed, mismatched (a bracket closes one of the other kind), invalid (no JSON between balanced brackets). Text after
+    the first value is ignored, in a fenced block after an object only. Lists of lists aren't repaired. A null reply has
+    no JSON.
+    """
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+    t = F.trim(F.col(reply))
+    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\}|\[.*\])\s*```", 1)
+    rest = F.regexp_extract(t, r"(?s)([{\[].*)", 1)
+    out = df.withColumn("__fenced", fenced != "").withColumn("__body", F.when(fenced != "", fenced).when(rest != "", rest)).withColumn("__list", F.startswith("__body", F.lit("[")))
+    bad = {"columnNameOfCorruptRecord": "_bad"}
+    parsed = lambda text, fields, **more: F.from_json(text, f"{fields}, _bad string", bad | more)
+    an_object = F.when(~F.col("__list"), F.col("__body"))
+    out = out.withColumn("__s", parsed(an_object, schema)).withColumn("__l", parsed(an_object, schema, allowUnquotedControlChars="true"))
+    good = lambda c: F.coalesce(F.col(f"{c}._bad").isNull() & F.col(c).isNotNull(), F.lit(False))
+    single = ~F.col("__list") & (good("__s") | good("__l"))
+    out = out.withColumn("__v", F.when(F.col("__body").isNotNull() & ~F.col("__fenced") & ~single, first_value(F.col("__body"))))
+    whole = F.when(F.col("__list"), F.when(F.col("__fenced"), F.col("__body")).otherwise(F.expr("left(__body, __v.end)")))
+    out = out.withColumn("__m", F.try_parse_json(whole)).withColumn("__r", parsed(F.when(F.col("__m").isNull(), F.concat(F.lit('{"items":'), whole, F.lit("}"))), f"items array<struct<{schema}>>", allowUnquotedControlChars="true"))
+    members = F.transform(F.try_variant_get("__m", "$", "array<variant>"), lambda v: F.try_variant_get(v, "$", f"struct<{schema}>"))
+    status = (
+        F.when(F.col("__body").isNull(), "no_json").when(good("__s") | F.col("__m").isNotNull(), "ok").when(good("__l") | good("__r"), "repaired")
+        .when(F.col("__v.bad"), "mismatched").when(~F.col("__fenced") & F.col("__v.end").isNull(), "unclosed").otherwise("invalid")
+    )
+    pick = lambda c: F.struct(*[F.col(c)[n].alias(n) for n in names])
+    out = out.withColumn("status", status).withColumn("record", F.when(good("__s"), pick("__s")).when(good("__l"), pick("__l")))
+    out = out.withColumn("records", F.when(F.col("__m").isNotNull(), members).when(good("__r"), F.col("__r.items")))
+    return out.drop("__fenced", "__body", "__list", "__s", "__l", "__v", "__m", "__r")
 
 
 # F2

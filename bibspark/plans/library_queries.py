@@ -124,6 +124,15 @@ def e10_judgement_candidates(spark, sf_dir):
     return G.judgement_candidates(_similar(spark, sf_dir), _papers(spark, sf_dir))
 
 
+def e10_document_attempts(spark, sf_dir):
+    """A graph for each source and year of the citing papers; documents exist where the cited paper is labelled, and the
+    good ones are successes."""
+    papers, labels = _papers(spark, sf_dir), view(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("target_id")).agg((F.max("quality") == 1).alias("ok"))
+    graph = papers.select(F.col("paper_id").alias("source_id"), F.concat_ws(" ", "source", "year").alias("graph"))
+    edges = _refs(spark, sf_dir).select(F.col("paper_id").alias("source_id"), F.col("ref_id").alias("target_id")).distinct().join(graph, "source_id").withColumn("pos", F.struct("source_id", "target_id"))
+    return G.document_attempts(edges, edges.select("graph", "source_id", "target_id").join(labels, "target_id"), 3, ("graph",)).select("graph", "source_id", "target_id", "ok")
+
+
 def e11_node_metrics(spark, sf_dir):
     return G.node_metrics(_papers(spark, sf_dir), _cites(spark, sf_dir).select(F.col("citing_id").alias("source_id"), F.col("cited_id").alias("target_id")))
 
@@ -159,6 +168,10 @@ E_SQL = {
     "e8_citation_edges": with_views(_CITES + "--- SELECT citing_id, cited_id, cites FROM cites_", "papers", "work_refs"),
     "e9_merge_relations": with_views(_E9 + "---" + _E9_SELECT, "papers", "work_refs"),
     "e10_judgement_candidates": with_views(_pairs(0.18) + _knn() + f"""--- SELECT cast(source_id AS VARCHAR) || '--' || cast(target_id AS VARCHAR) AS edge_id, source_id, target_id, weight, (SELECT {_CUT.format(_FLAT)} FROM papers p WHERE p.paper_id = source_id) AS source_text, (SELECT {_CUT.format(_FLAT)} FROM papers p WHERE p.paper_id = target_id) AS target_text FROM (SELECT * FROM knn_ ORDER BY weight DESC, source_id, target_id LIMIT 12)""", "papers"),
+    "e10_document_attempts": with_views("""ok_ AS (SELECT doc_id AS target_id, max(quality) = 1 AS ok FROM labels GROUP BY doc_id),
+edge_ AS (SELECT DISTINCT p.source || ' ' || p.year AS graph, r.paper_id AS source_id, r.ref_id AS target_id FROM work_refs r JOIN papers p ON p.paper_id = r.paper_id),
+turn_ AS (SELECT e.*, ok, row_number() OVER w AS turn, coalesce(sum(ok::INT) OVER (PARTITION BY graph ORDER BY source_id, e.target_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM edge_ e JOIN ok_ o ON o.target_id = e.target_id WINDOW w AS (PARTITION BY graph ORDER BY source_id, e.target_id))
+--- SELECT graph, source_id, target_id, ok FROM turn_ WHERE turn <= 9 AND done < 3""", "papers", "work_refs"),
     "e11_node_metrics": with_views(_CITES + ", ends_ AS (SELECT citing_id AS paper_id FROM cites_ UNION ALL SELECT cited_id FROM cites_) --- SELECT p.paper_id, count(e.paper_id) AS degree, round_even(count(e.paper_id) / ((SELECT count(*) FROM papers) - 1), 3) AS centrality FROM papers p LEFT JOIN ends_ e ON p.paper_id = e.paper_id GROUP BY p.paper_id", "papers", "work_refs"),
     "e12_build_graph": with_views(_newest50(_pairs(0.18) + _knn() + _TOP + "," + _CITES + """, m_ AS (SELECT coalesce(k.source_id, c.first_citing_id) AS source_id, coalesce(k.target_id, c.first_cited_id) AS target_id, CASE WHEN c.a IS NOT NULL THEN 'cites' ELSE 'metadata_similarity' END AS type, coalesce(k.weight, 1.0) AS weight FROM knn_ k FULL JOIN cites_ c ON least(k.source_id, k.target_id) = c.a AND greatest(k.source_id, k.target_id) = c.b)""").replace("papers50_ p ON p.paper_id = r.paper_id", "place_ p ON p.paper_id = r.paper_id") + "--- SELECT m.*, coalesce(array_to_string(list_slice(list_filter(t.terms, lambda q: list_contains(s.terms, q)), 1, 6), '|'), '') AS shared_keywords FROM m_ m LEFT JOIN top_ s ON s.paper_id = source_id LEFT JOIN top_ t ON t.paper_id = target_id", "papers", "work_refs"),
 }
@@ -259,5 +272,5 @@ one_ AS (SELECT k.paper_id, b.work_id, 'doi' AS how FROM key_ k JOIN bydoi_ b ON
 try_ AS (SELECT k.paper_id, w.paper_id AS work_id, hit_pos, w.title_key = k.title_key OR contains(w.title_key, substr(k.title_key, 1, 80)) AS fits FROM key_ k JOIN found_ f ON f.q_id = k.paper_id AND hit_pos <= 3 JOIN works_ w ON w.paper_id = f.paper_id WHERE k.title_key <> '' AND k.paper_id NOT IN (SELECT paper_id FROM one_))
 --- SELECT * FROM one_ UNION ALL SELECT paper_id, arg_min(work_id, (NOT fits, hit_pos)), CASE WHEN arg_min(fits, (NOT fits, hit_pos)) THEN 'title' ELSE 'first hit' END FROM try_ GROUP BY paper_id"""
 
-QUERIES = {f.__name__: f for f in (e1_tokens, e2_tfidf, e3_cosine_pairs, e4_top_terms, e5_knn_edges, e6_vector_knn_edges, e7_shared_keywords, e8_citation_edges, e9_merge_relations, e10_judgement_candidates, e11_node_metrics, e12_build_graph, c1_add_papers, c2_list_papers, c3_get_papers, c4_search_text, c4_index_appended, c5_search_like, c6_update_paths, c7_normalize_paths, c7_normalize_counts, d15_resolve_metadata)}
+QUERIES = {f.__name__: f for f in (e1_tokens, e2_tfidf, e3_cosine_pairs, e4_top_terms, e5_knn_edges, e6_vector_knn_edges, e7_shared_keywords, e8_citation_edges, e9_merge_relations, e10_judgement_candidates, e10_document_attempts, e11_node_metrics, e12_build_graph, c1_add_papers, c2_list_papers, c3_get_papers, c4_search_text, c4_index_appended, c5_search_like, c6_update_paths, c7_normalize_paths, c7_normalize_counts, d15_resolve_metadata)}
 SQL = E_SQL | C_SQL | {"d15_resolve_metadata": with_views(D15, "papers")}

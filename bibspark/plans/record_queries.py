@@ -23,6 +23,19 @@ def f1_parse_replies(spark, sf_dir):
     return out.select("doc_id", "status", F.col("record.lang").alias("lang"), F.md5("record.text").alias("text_md5"))
 
 
+def f1_parse_lists(spark, sf_dir):
+    """Replies that are lists: plain, fenced, after which an object comes, never closed, closed by the wrong bracket, and
+    with line breaks inside strings."""
+    js, k = F.to_json(F.struct("doc_id", "lang", "text")), F.col("doc_id") % 6
+    first = F.expr("left(to_json(struct(doc_id, lang, text)), length(to_json(struct(doc_id, lang, text))) - 1)")
+    reply = (
+        F.when(k == 0, F.concat(F.lit("Answer: ["), js, F.lit(', {"doc_id": -1}] thanks }'))).when(k == 1, F.concat(F.lit("```json\n["), js, F.lit("]\n``` ok"))).when(k == 2, F.concat(F.lit("see [1] then "), js))
+        .when(k == 3, F.concat(F.lit("["), js)).when(k == 4, F.concat(F.lit("["), first, F.lit("]"))).otherwise(F.concat(F.lit("["), F.replace(js, F.lit("\\n"), F.lit("\n")), F.lit("]")))
+    )
+    out = R.parse_replies(_v(spark, sf_dir, "documents").withColumn("reply", reply), "doc_id long, lang string, text string")
+    return out.select("doc_id", "status", F.size("records").alias("n"), F.md5(F.try_element_at("records", F.lit(1))["text"]).alias("text_md5"))
+
+
 def _nested(spark, sf_dir):
     s = _v(spark, sf_dir, "structures")
     return s.select("paper_id", F.struct("title", "year").alias("bibliography"), F.struct("problem_to_solve").alias("problem_context"), F.struct("research_task").alias("task_object"), F.struct("input_variables").alias("inputs"), F.struct("method_family").alias("methods"), F.struct("model_outputs").alias("outputs"))
@@ -285,6 +298,8 @@ _REST = "CASE WHEN year IS NULL THEN '' WHEN len({0}) <= {1} THEN array_to_strin
 _M = ("structures", "memberships", "assignments")
 _SPLIT = "string_split(text, chr(10))"
 SQL = {
+    "f1_parse_lists": """SELECT doc_id, CASE doc_id % 6 WHEN 3 THEN 'unclosed' WHEN 4 THEN 'mismatched' WHEN 5 THEN CASE WHEN contains(text, chr(10)) THEN 'repaired' ELSE 'ok' END ELSE 'ok' END AS status,
+CASE doc_id % 6 WHEN 0 THEN 2 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 1 END AS n, CASE WHEN doc_id % 6 IN (0, 1, 5) THEN md5(text) END AS text_md5 FROM documents""",
     "f1_parse_replies": "SELECT doc_id, status, CASE WHEN status IN ('ok', 'repaired') THEN lang END AS lang, CASE WHEN status IN ('ok', 'repaired') THEN md5(text) END AS text_md5 FROM (SELECT *, CASE doc_id % 5 WHEN 3 THEN 'no_json' WHEN 4 THEN 'unclosed' WHEN 2 THEN CASE WHEN contains(text, chr(10)) THEN 'repaired' ELSE 'ok' END ELSE 'ok' END AS status FROM documents)",
     "f2_compact": with_views("SELECT paper_id, title, year, problem_to_solve AS problem, len(input_variables) AS n_inputs, CAST(NULL AS VARCHAR) AS evaluation FROM structures", "structures"),
     "f3_trim_nested": with_views(f"SELECT paper_id, {_short('title', 260)} AS title, {_short('problem_to_solve', 260)} AS problem, array_to_string(list_transform(list_slice(method_family, 1, 6), lambda w: {_short('w', 260)}), '|') AS methods FROM structures", "structures"),

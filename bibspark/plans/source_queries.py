@@ -162,13 +162,32 @@ def s1_pending(spark, sf_dir):
     return S.pending(inputs, view(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("stem")))
 
 
+def _arrivals(spark, sf_dir, run, parts=3):
+    """Documents arrive in a folder by ranges of doc_id, the first of them twice; after each arrival run takes up the
+    stream of the folder where it stopped."""
+    docs, at = view(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/arriving"
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    place = F.least(F.floor((F.col("doc_id") - low) * parts / (high - low + 1)), F.lit(parts - 1))
+    for i in [*range(parts), 0]:
+        docs.where(place == i).write.mode("append").parquet(at)
+        run(S.as_stream(spark, at, docs.schema, 100_000))
+
+
+def s1_process_pending(spark, sf_dir):
+    """The same items as a stream."""
+    at, done = scratch_dir(spark), view(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("stem"))
+    item = lambda stream: stream.select("doc_id", F.col("doc_id").cast("string").alias("stem"))
+    _arrivals(spark, sf_dir, lambda stream: S.process_pending(item(stream), lambda df: df.select("doc_id", "stem"), f"{at}/done", f"{at}/checkpoint", outputs=done))
+    return spark.read.parquet(f"{at}/done").drop("batch")
+
+
 def s2_ingest_papers(spark, sf_dir):
-    """Documents arrive as a stream of files; the library after it."""
-    docs = view(spark, sf_dir, "documents")
+    """Documents arrive as a stream of files, in several batches; the library after it."""
     at = scratch_dir(spark)
     title = F.trim(F.replace(F.split_part("text", F.lit("."), F.lit(1)), F.lit("\n"), F.lit(" ")))
     empty = spark.createDataFrame([], "paper_id long, title string, source string")
-    S.ingest_papers(S.as_stream(spark, f"{sf_dir}/documents.parquet", docs.schema), empty, f"{at}/library", f"{at}/checkpoint", lambda df: df.select(title.alias("title"), "source", F.col("doc_id").alias("pos")))
+    paper = lambda df: df.select(title.alias("title"), "source", F.col("doc_id").alias("pos"))
+    _arrivals(spark, sf_dir, lambda stream: S.ingest_papers(stream, empty, f"{at}/library", f"{at}/checkpoint", paper))
     return S.library_of(spark, f"{at}/library")
 
 
@@ -198,6 +217,7 @@ part_ AS (SELECT 'single_paper_structures' AS part, count(*) AS rows, count(DIST
     "a14_graph_summary": "SELECT (SELECT least(50, count(*)) FROM documents) AS nodes, count(*) AS edges, array_to_string(list_sort(list(DISTINCT type)), '|') AS relation_types FROM (" + E_SQL["e12_build_graph"] + ")",
     "h1_stage_totals": with_views("SELECT stage, count(*) AS runs, count(*) FILTER (WHERE status = 'error') AS errors, CAST(round(sum(CAST(coalesce(elapsed_seconds, 0) AS DECIMAL(28, 9))), 3) AS DOUBLE) AS elapsed_seconds FROM run_records GROUP BY ROLLUP (stage)", "run_records"),
     "s1_pending": "SELECT doc_id, cast(doc_id AS VARCHAR) AS stem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "s1_process_pending": "SELECT doc_id, cast(doc_id AS VARCHAR) AS stem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "s2_ingest_papers": with_views("SELECT row_number() OVER (ORDER BY pos) AS paper_id, title, source FROM (SELECT title, min(paper_id) AS pos, arg_min(p.authors, paper_id) AS source FROM papers p GROUP BY title)", "papers"),
 }
 QUERIES = {k: f for k, f in globals().items() if k[0] in "ahs" and k[1:2].isdigit()}

@@ -1,7 +1,9 @@
 """Hand examples and properties of the library's operators."""
 
+import json
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
@@ -113,6 +115,22 @@ def test_document_attempts_stop(spark):
     assert [r.pos for r in G.document_attempts(e, ok, 3).orderBy("pos").collect()] == [1, 2, 3, 4, 5, 6]
 
 
+def test_document_attempts_of_many_graphs(spark):
+    r = random.Random(13)
+    rows = [(f"g{g}", i, i + 1000, i, r.random() < 0.3) for g in range(6) for i in range(r.choice([0, 2, 5, 40]))]
+    e = spark.createDataFrame(rows, "graph string, source_id long, target_id long, pos long, ok boolean")
+    got = {}
+    for x in G.document_attempts(e.drop("ok"), e.drop("pos"), 3, ("graph",)).collect():
+        got.setdefault(x.graph, []).append(x.pos)
+    for g in {x[0] for x in rows}:
+        want, good = [], 0
+        for x in [x for x in rows if x[0] == g][:9]:
+            if good < 3:
+                want.append(x[3])
+                good += x[4]
+        assert sorted(got[g]) == want
+
+
 def test_library_insert(spark):
     lib = spark.createDataFrame([(7, "A", "s")], "paper_id long, title string, source string")
     batch = spark.createDataFrame([("B", None, 5), ("A", "new", 1), ("a", "z", 9), ("B", "later", 6)], "title string, source string, pos long")
@@ -128,6 +146,59 @@ def test_replies(spark):
     assert got == {1: ("ok", (1, "t")), 2: ("ok", (2, "p")), 3: ("repaired", (3, "line\nbreak")), 4: ("no_json", None), 5: ("unclosed", None), 6: ("no_json", None)}
 
 
+def plain_reply(text):
+    """(status, value) of a reply, read character by character."""
+    text = (text or "").strip(" ")
+    fence = re.search(r"```(?:json)?\s*(\{.*\}|\[.*\])\s*```", text, re.DOTALL)
+    at = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=None)
+    if not fence and at is None:
+        return "no_json", None
+    body, stack, inside, skip, end = fence and fence.group(1), [], False, False, None
+    if not fence:
+        for i in range(at, len(text)):
+            c = text[i]
+            if inside:
+                inside, skip = (skip or c != '"'), (not skip and c == "\\")
+            elif c == '"':
+                inside = True
+            elif c in "{[":
+                stack.append(c)
+            elif c in "}]":
+                if stack.pop() + c not in ("{}", "[]"):
+                    return "mismatched", None
+                if not stack:
+                    end = i + 1
+                    break
+        if end is None:
+            return "unclosed", None
+        body = text[at:end]
+    for strict in (True, False):
+        try:
+            value = json.JSONDecoder(strict=strict).raw_decode(body)[0] if body[0] == "{" else json.loads(body, strict=strict)
+            if strict or isinstance(value, dict) or not any(isinstance(x, list) for x in value):
+                return "ok" if strict else "repaired", value
+        except ValueError:
+            pass
+    return "invalid", None
+
+
+def test_list_replies(spark):
+    r = random.Random(12)
+    bits = ['{"a": 1, "b": "x"}', '{"a": 2}', "[", "]", "{", "}", ", ", '"', "\\", '\\"', "1", "text ", '{"b": "q [ } \\" ]"}', "```json\n", "\n```", '[{"a": 3, "b": "y"}, {"a": 4}]', "null", '{"b": "l\nm"}', '[{"b": "t\tu"}]', ":"]
+    texts = [None, "", "see [1] then {}", "[]", "[1, {\"a\": 5}]", '```json\n[{"a": 1}]\n```', '[{"a":1}]', '[{"a":1]', "[[{]]", *("".join(r.choices(bits, k=r.randint(1, 6))) for _ in range(3000))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = R.parse_replies(spark.createDataFrame(rows, "id int, reply string"), "a int, b string").collect()
+    seen = set()
+    for row in out:
+        status, value = plain_reply(row.reply)
+        assert row.status == status, row
+        seen.add((status, type(value)))
+        part = lambda x: (x.get("a"), x.get("b")) if isinstance(x, dict) else None
+        assert (row.record and tuple(row.record)) == (part(value) if isinstance(value, dict) else None), row
+        assert (None if row.records is None else [x and tuple(x) for x in row.records]) == ([part(x) for x in value] if isinstance(value, list) else None), row
+    assert len(seen) >= 8
+
+
 def test_mapping_rules(spark):
     s = spark.createDataFrame([("p1",), ("p2",)], "paper_id string")
     d = spark.createDataFrame([("D1",), ("D2",)], "direction_id string")
@@ -394,14 +465,50 @@ def test_ingest_equals_one_insert(spark, tmp_path):
     assert ids == list(range(1, docs.select("title").distinct().count() + 1)) and lib.select("title").distinct().count() == len(ids)
 
 
+def test_ingest_goes_on_after_a_stop(spark, tmp_path):
+    """A batch that dies and is run again gives the same ids, and reads nothing that others have written but one number."""
+    write = lambda *rows: spark.createDataFrame(rows, "title string, source string, pos long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    lib = spark.createDataFrame([(7, "Old", "s")], "paper_id long, title string, source string")
+    write(("B", None, 5), ("A", "x", 9), ("B", "late", 6), (None, "n", 1))
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    run = lambda: incremental.ingest_papers(incremental.as_stream(spark, f"{tmp_path}/in", schema), lib, f"{tmp_path}/lib", f"{tmp_path}/cp")
+    got = lambda: sorted(tuple(r) for r in incremental.library_of(spark, f"{tmp_path}/lib").collect())
+    run()
+    assert got() == [(8, "B", "unknown"), (9, "A", "x")]
+    write(("A", "again", 1), ("C", "y", 3), ("Old", "z", 2), ("D", "y", 1))
+    run()
+    want = [(8, "B", "unknown"), (9, "A", "x"), (10, "D", "y"), (11, "C", "y")]
+    assert got() == want
+    (tmp_path / "cp/commits/1").unlink()  # as if it had died before the batch was committed
+    (tmp_path / "cp/commits/.1.crc").unlink(missing_ok=True)
+    shutil.rmtree(tmp_path / "lib/papers/batch=0")  # no later batch needs it
+    run()
+    assert got() == want[2:]
+
+
 def test_process_pending_skips_done(spark, tmp_path):
-    spark.createDataFrame([("a",), ("b",), ("b",)], "stem string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    run = lambda: incremental.process_pending(incremental.as_stream(spark, str(tmp_path / "in"), schema), lambda df: df.withColumn("out", F.upper("stem")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    write = lambda *stems: spark.createDataFrame([(x,) for x in stems], "stem string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    write("a", "b", "b", None, "old")
+    schema, ran, dies = spark.read.parquet(f"{tmp_path}/in").schema, [], []
+
+    def step(df):
+        if dies:
+            raise RuntimeError(dies.pop())
+        ran.append(sorted(r.stem for r in df.collect() if r.stem))
+        return df.withColumn("out", F.upper("stem"))
+
+    done = spark.createDataFrame([("old",)], "stem string")
+    run = lambda **more: incremental.process_pending(incremental.as_stream(spark, f"{tmp_path}/in", schema), step, f"{tmp_path}/out", f"{tmp_path}/cp", outputs=done, **more)
     run()
-    spark.createDataFrame([("b",), ("c",)], "stem string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write("b", "c")
+    dies.append("killed")
+    with pytest.raises(Exception, match="killed"):
+        run()
     run()
-    assert sorted(r.stem for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    assert ran == [["a", "b"], ["c"]]
+    assert sorted(r.out for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["A", "B", "C"]
+    incremental.process_pending(incremental.as_stream(spark, f"{tmp_path}/in", schema), step, f"{tmp_path}/all", f"{tmp_path}/cp2", True, done)
+    assert ran[2] == ["a", "b", "c", "old"]
 
 
 def test_windowed_telemetry(spark):
