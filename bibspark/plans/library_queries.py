@@ -79,7 +79,7 @@ def e4_top_terms(spark, sf_dir):
 
 
 def _similar(spark, sf_dir):
-    return G.knn_edges(G.cosine_pairs(_weights(spark, sf_dir)), G.newest(_papers(spark, sf_dir), None).select("paper_id", "pos"))
+    return G.similar_edges(_weights(spark, sf_dir), G.newest(_papers(spark, sf_dir), None))
 
 
 def e5_knn_edges(spark, sf_dir):

@@ -6,6 +6,7 @@ import re
 import shutil
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from bibspark.functions import text as T
 from bibspark.operators import graph as G
@@ -545,3 +546,43 @@ def test_index_gives_what_the_whole_library_gives(spark, tmp_path):
         assert got(k) == want and len(want) > 20
     empty = L.build_index(papers.limit(0), f"{tmp_path}/none")
     assert L.search_text(empty, queries).count() == 0 and L.search_text(index, queries.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 3, 10**9])
+def test_block_products_equal_brute_force(spark, dense, monkeypatch):
+    """Entry by entry or in dense columns, in one block or many, with few products at once; ties by place in the list."""
+    monkeypatch.setattr(G, "DENSE", dense)
+    monkeypatch.setattr(G, "PRODUCTS", 5)
+    r = random.Random(dense)
+    vectors = {i: {f"t{x}": r.random() for x in r.sample(range(30), r.randint(1, 6))} for i in range(40)} | {100 + i: {"same": 1.0} for i in range(15)} | {200: {"alone": 1.0}}
+    for v in vectors.values():
+        norm = sum(w * w for w in v.values()) ** 0.5
+        v.update({t: w / norm for t, w in v.items()})
+    score = lambda a, b: sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items())
+    weights = spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()], "paper_id long, term string, w double")
+    places = spark.createDataFrame([(i, -i) for i in vectors], "paper_id long, pos long")
+    want = {(a, b): round(score(a, b), 9) for a in vectors for b in vectors if a < b and score(a, b) >= 0.4}
+    best = {a: sorted(((-round(score(a, b), 9), -b, b) for b in vectors if b != a and score(a, b) >= 0.4))[:2] for a in vectors}
+    edges = {}
+    for a in sorted(vectors, key=lambda x: -x):
+        for s, _, b in best[a]:
+            edges.setdefault((min(a, b), max(a, b)), (a, b))
+    for blocks in (1, 4):
+        assert {(x.a, x.b): round(x.score, 9) for x in G.cosine_pairs(weights, 0.4, blocks).collect()} == want
+        got = G.similar_edges(weights, places, 0.4, 2, blocks).collect()
+        assert sorted((x.source_id, x.target_id) for x in got) == sorted(edges.values())
+        assert sorted((x.source_id, x.target_id) for x in G.knn_edges(G.cosine_pairs(weights, 0.4, blocks), places, 2).collect()) == sorted(edges.values())
+
+
+def test_copies_give_no_more_than_k_neighbours():
+    """3,000 copies of one vector: each has k neighbours of a pair of blocks, the first in the list."""
+    n, k = 3000, 3
+    ids = np.arange(n)
+    out = G.directed(np.ones((n, n)), ids, -ids, ids, -ids, True, 0.18, k)
+    assert len(out) == n * k and set(out["t"].to_pylist()) == {n - 1, n - 2, n - 3, n - 4}
+
+
+def test_far_blocks_are_skipped():
+    block = lambda words: G.Block.of(pa.table({"terms": [[1, 2], [words]], "ws": [[0.1, 0.2], [0.1]], "paper_id": [1, 2], "pos": [0, 0]}))
+    assert G.block_scores(block(7), block(8), 0.18) is None and G.block_scores(block(7), block(7), 0.04) is not None
+    assert G.block_scores(block(7), G.Block.of(pa.table({"terms": pa.array([[]], pa.list_(pa.int64())), "ws": pa.array([[]], pa.list_(pa.float64())), "paper_id": [3], "pos": [0]})), 0.1) is None

@@ -23,6 +23,16 @@ def test_top_k_is_cut_before_the_exchange(spark):
     assert "TakeOrderedAndProject" in plan(library_queries.c2_list_papers(spark, SF))
 
 
+def test_block_products_shuffle_vectors_once(spark):
+    """Of the similar pairs only the vectors are exchanged after the weights: by paper for the vector, by pair of blocks."""
+    weights = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0)], "paper_id long, term string, w double")
+    from bibspark.operators.graph import cosine_pairs
+
+    p = plan(cosine_pairs(weights, blocks=2))
+    p = p.split("== Initial Plan ==")[-1]
+    assert p.count("Exchange") == 2 and "FlatMapGroupsInArrow" in p and "Join" not in p
+
+
 def test_scan_reads_the_needed_columns(spark):
     from bibspark.operators.telemetry import stage_totals
 
@@ -31,7 +41,7 @@ def test_scan_reads_the_needed_columns(spark):
 
 
 def test_no_python_in_relational_jobs(spark):
-    for f in (library_queries.e3_cosine_pairs, library_queries.c4_search_text, page_queries.g3_columns_by_anchor):
+    for f in (library_queries.e2_tfidf, library_queries.c4_search_text, page_queries.g3_columns_by_anchor):
         p = plan(f(spark, SF))
         assert "Python" not in p and "Arrow" not in p and "Pandas" not in p
 
