@@ -95,13 +95,15 @@ def build_index(library: DataFrame, path: str, part: int = 0, buckets: int = BUC
     words = library if "w" in library.columns else tokenised(library)
     tokens = materialize(words, "tokens")
     tf = tokens.select("corpus", "paper_id", "length", F.explode("w").alias("term")).groupBy("corpus", "term", "paper_id", "length").agg(F.count("*").alias("tf"))
-    lists = F.array_sort(F.collect_list(F.struct("paper_id", F.col("tf").cast("int").alias("tf"), "length")))
-    blocks = tf.groupBy("corpus", "term", F.floor(F.col("paper_id") / block).alias("block")).agg(lists.alias("l"))
-    rows = blocks.select(
-        _bucket(F.col("term"), buckets).alias("bucket"), "corpus", "term", "block", F.size("l").cast("long").alias("n"), F.array_max("l.tf").alias("max_tf"), F.array_min("l.length").alias("min_length"),
+    tf = tf.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", F.floor(F.col("paper_id") / block).alias("block"), "corpus", "paper_id", F.col("tf").cast("int").alias("tf"), "length")
+    # the ranges of the files are those of the groups, so lists are made where they are written
+    tf = tf.repartitionByRange("bucket", "term", "block")
+    lists = F.array_sort(F.collect_list(F.struct("paper_id", "tf", "length")))
+    rows = tf.groupBy("bucket", "term", "block", "corpus").agg(lists.alias("l")).select(
+        "bucket", "corpus", "term", "block", F.size("l").cast("long").alias("n"), F.array_max("l.tf").alias("max_tf"), F.array_min("l.length").alias("min_length"),
         F.col("l.paper_id").alias("ids"), F.col("l.tf").alias("tfs"), F.col("l.length").alias("lengths"),
     )
-    rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/part={part}")
+    rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/part={part}")
     tokens.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("length").alias("words")).write.mode("overwrite").parquet(f"{path}/sizes/part={part}")
     return open_index(spark, path, buckets)
 
