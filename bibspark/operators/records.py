@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_inline, let, pretty_term, term_key, truncate
+from ..scratch import materialize
 
 LISTS = ("included", "borderline", "representative")
 SLOTS = ("inputs", "methods", "outputs")
@@ -120,53 +121,85 @@ def explode_mapping(mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 # F5
+def mapping_facts(structures: DataFrame, directions: DataFrame, memberships: DataFrame, assignments: DataFrame, schemas: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """(kind, list_kind, direction_id, paper_id): a row for each row of the inputs. Ids are trimmed; blank means missing."""
+    inputs = {"structure": structures, "direction": directions, "list": memberships, "assignment": assignments, "schema": schemas, "record": records}
+    there = {"structure": ("paper_id",), "list": ("list_kind", "direction_id", "paper_id"), "assignment": ("direction_id", "paper_id")}
+    clean = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    of = lambda kind, c: (F.col(c) if c == "list_kind" else clean(c)) if c in there.get(kind, ("direction_id",)) else F.lit(None).cast("string")
+    made = [t.select(F.lit(k).alias("kind"), *[of(k, c).alias(c) for c in ("list_kind", "direction_id", "paper_id")]) for k, t in inputs.items() if t is not None]
+    return reduce(DataFrame.unionByName, made)
+
+
 def validate_mapping(structures: DataFrame, directions: DataFrame, memberships: DataFrame, assignments: DataFrame, schemas: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
-    """(rule, direction_id, paper_id): a row for each violation. A valid mapping gives none.
+    """(rule, direction_id, paper_id, detail): a row for each violation. A valid mapping gives none.
 
     structures has paper_id; directions direction_id; memberships direction_id, list_kind, paper_id; assignments
-    paper_id, direction_id; schemas and records direction_id. Ids are trimmed; blank means missing. Each rule is an anti
-    join or a grouped count, so it runs at the size of the tables.
+    paper_id, direction_id; schemas and records direction_id. detail tells what the ids don't: how often an id is there,
+    which list or table a row is of, in which directions' lists a paper stands; else it is null.
+
+    All inputs are read once, as facts, which are written. Then missing ids are told row by row, ids that nothing defines
+    by one anti join of all references, and the rest by one aggregate by paper and direction, in which a key with any
+    share of the rows is a row a task. A paper's set of directions is the only list that is gathered.
     """
-    no = F.lit(None).cast("string")
-    clean = lambda df: df.select(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) if c in ("paper_id", "direction_id") else F.col(c) for c in df.columns])
-    structures, directions, memberships, assignments = map(clean, (structures.select("paper_id"), directions.select("direction_id"), memberships.select("direction_id", "list_kind", "paper_id"), assignments.select("paper_id", "direction_id")))
-    rules: list[DataFrame] = []
-
-    def add(rule: str, df: DataFrame, direction: Column = no, paper: Column = no) -> None:
-        rules.append(df.select(F.lit(rule).alias("rule"), direction.alias("direction_id"), paper.alias("paper_id")))
-
-    def repeated(df: DataFrame, c: str) -> DataFrame:
-        return df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where("n > 1")
-
-    p, d = F.col("paper_id"), F.col("direction_id")
-    known, dirs = structures.where(p.isNotNull()).distinct(), directions.where(d.isNotNull()).distinct()
-    add("structure id repeated", repeated(structures, "paper_id"), paper=p)
-    add("structure id missing", structures.where(p.isNull()))
-    add("direction id missing", directions.where(d.isNull()))
-    add("direction id repeated", repeated(directions, "direction_id"), d)
-    listed = memberships.where(p.isNotNull() & d.isNotNull())
-    add("list holds unknown paper", listed.join(known, "paper_id", "left_anti"), d, p)
-    add("direction is empty", dirs.join(listed.where("list_kind in ('included', 'borderline')").select("direction_id").distinct(), "direction_id", "left_anti"), d)
-    add("direction has no papers", dirs.join(listed.select("direction_id").distinct(), "direction_id", "left_anti"), d)
-    add("assignment without paper", assignments.where(p.isNull()), d)
-    given = assignments.where(p.isNotNull())
-    add("assignment repeated", repeated(given, "paper_id"), paper=p)
-    add("assignment of unknown paper", given.join(known, "paper_id", "left_anti"), d, p)
-    add("assignment without direction", given.where(d.isNull()), paper=p)
-    add("assignment to unknown direction", given.where(d.isNotNull()).join(dirs, "direction_id", "left_anti"), d, p)
-    add("structure without assignment", known.join(given.select("paper_id").distinct(), "paper_id", "left_anti"), paper=p)
-    per = listed.groupBy("paper_id").agg(F.collect_set("direction_id").alias("ds"))
-    add("paper in several directions", per.where(F.size("ds") > 1), paper=p)
-    last = given.groupBy("paper_id").agg(F.max("direction_id").alias("direction_id"))
-    add("assignment not in its lists", last.join(per, "paper_id").where(~F.array_contains("ds", F.coalesce(d, F.lit("")))), d, p)
-    for name, table in (("schema", schemas), ("record", records)):
-        if table is not None:
-            t = clean(table.select("direction_id"))
-            add(f"{name} without direction", t.where(d.isNull()))
-            add(f"{name} repeated", repeated(t, "direction_id"), d)
-            add(f"{name} of unknown direction", t.where(d.isNotNull()).join(dirs, "direction_id", "left_anti"), d)
-            add(f"direction without {name}", dirs.join(t.where(d.isNotNull()).distinct(), "direction_id", "left_anti"), d)
-    return reduce(DataFrame.unionByName, rules)
+    facts = materialize(mapping_facts(structures, directions, memberships, assignments, schemas, records), "facts")
+    kind, d, p, no = F.col("kind"), F.col("direction_id"), F.col("paper_id"), F.lit(None).cast("string")
+    tables = [name for name, t in (("schema", schemas), ("record", records)) if t is not None]
+
+    def violation(rule: str, when: Column, direction: Column = no, paper: Column = no, detail: Column = no) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), direction.alias("direction_id"), paper.alias("paper_id"), detail.alias("detail")))
+
+    def told(df: DataFrame, *rules: Column) -> DataFrame:
+        return df.select(F.inline(F.array_compact(F.array(*rules))))
+
+    by_row = told(
+        facts,
+        violation("structure id missing", (kind == "structure") & p.isNull()),
+        violation("direction id missing", (kind == "direction") & d.isNull()),
+        violation("assignment without paper", (kind == "assignment") & p.isNull(), d),
+        violation("assignment without direction", (kind == "assignment") & p.isNotNull() & d.isNull(), paper=p),
+        *[violation(f"{name} without direction", (kind == name) & d.isNull()) for name in tables],
+    )
+
+    whole = (kind != "list") | (p.isNotNull() & d.isNotNull())
+    key = F.explode(F.array(F.struct(F.lit("paper").alias("by"), p.alias("key")), F.struct(F.lit("direction").alias("by"), d.alias("key"))))
+    keyed = facts.where(whole).select("*", key.alias("k")).select("*", "k.by", "k.key").drop("k").where("key is not null")
+    defines = ((F.col("by") == "paper") & (kind == "structure")) | ((F.col("by") == "direction") & (kind == "direction"))
+    refers = ((F.col("by") == "paper") & kind.isin("list", "assignment")) | ((F.col("by") == "direction") & p.isNotNull() & (kind == "assignment")) | ((F.col("by") == "direction") & kind.isin(*tables))
+    unknown = keyed.where(refers).join(keyed.where(defines).select("by", "key"), ["by", "key"], "left_anti")
+    paper = F.col("by") == "paper"
+    by_reference = told(
+        unknown,
+        violation("list holds unknown paper", paper & (kind == "list"), d, p, F.concat(F.lit("list="), "list_kind")),
+        violation("assignment of unknown paper", paper & (kind == "assignment"), d, p),
+        violation("assignment to unknown direction", ~paper & (kind == "assignment"), d, p),
+        *[violation(f"{name} of unknown direction", ~paper & (kind == name), d) for name in tables],
+    )
+
+    count = lambda when: F.count(F.when(when, 1))
+    n = {k: count(kind == k).alias(k) for k in ("structure", "direction", "list", "assignment", "schema", "record")}
+    held = count((kind == "list") & F.col("list_kind").isin("included", "borderline")).alias("held")
+    in_lists = F.array_sort(F.collect_set(F.when(paper & (kind == "list"), d))).alias("ds")
+    assigned = F.max(F.when(kind == "assignment", d)).alias("assigned")
+    states = keyed.groupBy("by", "key").agg(*n.values(), held, in_lists, assigned)
+    k = F.col("key")
+    n = {name: F.col(name) for name in n}
+    times = lambda name: F.concat(F.lit("times="), n[name].cast("string"))
+    listed = F.concat(F.lit("lists="), F.array_join("ds", ","))
+    by_key = told(
+        states,
+        violation("structure id repeated", paper & (n["structure"] > 1), paper=k, detail=times("structure")),
+        violation("assignment repeated", paper & (n["assignment"] > 1), paper=k, detail=times("assignment")),
+        violation("structure without assignment", paper & (n["structure"] > 0) & (n["assignment"] == 0), paper=k),
+        violation("paper in several directions", paper & (F.size("ds") > 1), paper=k, detail=listed),
+        violation("assignment not in its lists", paper & (n["assignment"] > 0) & (F.size("ds") > 0) & ~F.array_contains("ds", F.coalesce("assigned", F.lit(""))), F.col("assigned"), k, listed),
+        violation("direction id repeated", ~paper & (n["direction"] > 1), k, detail=times("direction")),
+        violation("direction is empty", ~paper & (n["direction"] > 0) & (F.col("held") == 0), k),
+        violation("direction has no papers", ~paper & (n["direction"] > 0) & (n["list"] == 0), k),
+        *[violation(f"{name} repeated", ~paper & (n[name] > 1), k, detail=times(name)) for name in tables],
+        *[violation(f"direction without {name}", ~paper & (n["direction"] > 0) & (n[name] == 0), k) for name in tables],
+    )
+    return by_row.unionByName(by_reference).unionByName(by_key)
 
 
 #: (rule, path, kind) of a whole synthesis reply: kinds as schema_of_variant names them.

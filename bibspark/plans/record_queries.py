@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import truncate
 from ..operators import records as R
+from ..scratch import materialize
 from .fixtures import view, with_views
 
 
@@ -77,7 +78,7 @@ def _directions(spark, sf_dir):
 
 
 def _violations(spark, sf_dir):
-    d = _directions(spark, sf_dir)
+    d = materialize(_directions(spark, sf_dir), "directions")
     schemas = d.where("direction_id <> 'D2'").unionByName(d.where("direction_id = 'D1'").select(F.lit("D7").alias("direction_id"))).unionByName(d.where("direction_id = 'D3'"))
     return R.validate_mapping(_v(spark, sf_dir, "structures"), d, _v(spark, sf_dir, "memberships"), _v(spark, sf_dir, "assignments"), schemas, d.where("direction_id <> 'D4'"))
 
@@ -253,19 +254,19 @@ def _first(name: str, items: str, n: int, chars: int, sep: str = "、") -> str:
 _DIRS = "dirs_ AS (SELECT DISTINCT direction_id FROM assignments UNION ALL SELECT DISTINCT 'D9' FROM assignments WHERE direction_id = 'D1')"
 _VIOLATIONS = _DIRS + """,
 sch_ AS (SELECT * FROM dirs_ WHERE direction_id <> 'D2' UNION ALL SELECT 'D7' FROM dirs_ WHERE direction_id = 'D1' UNION ALL SELECT * FROM dirs_ WHERE direction_id = 'D3'), rec_ AS (SELECT * FROM dirs_ WHERE direction_id <> 'D4'),
-per_ AS (SELECT paper_id, list(DISTINCT direction_id) AS ds FROM memberships GROUP BY paper_id),
+per_ AS (SELECT paper_id, list_sort(list(DISTINCT direction_id)) AS ds FROM memberships GROUP BY paper_id),
 viol_ AS (
-SELECT 'list holds unknown paper' AS rule, direction_id, paper_id FROM memberships WHERE paper_id NOT IN (SELECT paper_id FROM structures)
-UNION ALL SELECT 'direction is empty', direction_id, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM memberships WHERE list_kind IN ('included', 'borderline'))
-UNION ALL SELECT 'direction has no papers', direction_id, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM memberships)
-UNION ALL SELECT 'assignment repeated', NULL, paper_id FROM assignments GROUP BY paper_id HAVING count(*) > 1
-UNION ALL SELECT 'structure without assignment', NULL, paper_id FROM structures WHERE paper_id NOT IN (SELECT paper_id FROM assignments)
-UNION ALL SELECT 'paper in several directions', NULL, paper_id FROM per_ WHERE len(ds) > 1
-UNION ALL SELECT 'assignment not in its lists', a.direction_id, a.paper_id FROM (SELECT paper_id, max(direction_id) AS direction_id FROM assignments GROUP BY paper_id) a JOIN per_ p USING (paper_id) WHERE NOT list_contains(ds, a.direction_id)
-UNION ALL SELECT 'schema repeated', direction_id, NULL FROM sch_ GROUP BY direction_id HAVING count(*) > 1
-UNION ALL SELECT 'schema of unknown direction', direction_id, NULL FROM sch_ WHERE direction_id NOT IN (SELECT direction_id FROM dirs_)
-UNION ALL SELECT 'direction without schema', direction_id, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM sch_)
-UNION ALL SELECT 'direction without record', direction_id, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM rec_))"""
+SELECT 'list holds unknown paper' AS rule, direction_id, paper_id, 'list=' || list_kind AS detail FROM memberships WHERE paper_id NOT IN (SELECT paper_id FROM structures)
+UNION ALL SELECT 'direction is empty', direction_id, NULL, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM memberships WHERE list_kind IN ('included', 'borderline'))
+UNION ALL SELECT 'direction has no papers', direction_id, NULL, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM memberships)
+UNION ALL SELECT 'assignment repeated', NULL, paper_id, 'times=' || count(*) FROM assignments GROUP BY paper_id HAVING count(*) > 1
+UNION ALL SELECT 'structure without assignment', NULL, paper_id, NULL FROM structures WHERE paper_id NOT IN (SELECT paper_id FROM assignments)
+UNION ALL SELECT 'paper in several directions', NULL, paper_id, 'lists=' || array_to_string(ds, ',') FROM per_ WHERE len(ds) > 1
+UNION ALL SELECT 'assignment not in its lists', a.direction_id, a.paper_id, 'lists=' || array_to_string(ds, ',') FROM (SELECT paper_id, max(direction_id) AS direction_id FROM assignments GROUP BY paper_id) a JOIN per_ p USING (paper_id) WHERE NOT list_contains(ds, a.direction_id)
+UNION ALL SELECT 'schema repeated', direction_id, NULL, 'times=' || count(*) FROM sch_ GROUP BY direction_id HAVING count(*) > 1
+UNION ALL SELECT 'schema of unknown direction', direction_id, NULL, NULL FROM sch_ WHERE direction_id NOT IN (SELECT direction_id FROM dirs_)
+UNION ALL SELECT 'direction without schema', direction_id, NULL, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM sch_)
+UNION ALL SELECT 'direction without record', direction_id, NULL, NULL FROM dirs_ WHERE direction_id NOT IN (SELECT direction_id FROM rec_))"""
 _PAPERS = """
 want_ AS (SELECT direction_id, paper_id, min((CASE list_kind WHEN 'included' THEN 0 WHEN 'borderline' THEN 1 WHEN 'representative' THEN 2 ELSE 3 END, cast(paper_id AS BIGINT))) AS o FROM (SELECT direction_id, list_kind, paper_id FROM memberships UNION ALL SELECT direction_id, 'z', paper_id FROM assignments) GROUP BY ALL),
 direct_ AS (SELECT direction_id, paper_id, o, 'id' AS how FROM want_ WHERE paper_id IN (SELECT paper_id FROM structures)),

@@ -4,6 +4,7 @@ import json
 import random
 import re
 import shutil
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -222,6 +223,60 @@ def test_mapping_rules(spark):
     assert {r.rule for r in R.validate_mapping(s, d, *frames(m, a), d.where("direction_id = 'D1'"), d.union(d)).collect()} == {"direction without schema", "record repeated"}
 
 
+def plain_violations(structures, directions, lists, assigned, schemas, records):
+    """validate_mapping, rule by rule over Python lists."""
+    clean = lambda x: (x or "").strip() or None
+    structures, directions = [clean(x) for x in structures], [clean(x) for x in directions]
+    lists, assigned = [(clean(d), k, clean(p)) for d, k, p in lists], [(clean(p), clean(d)) for p, d in assigned]
+    out = [("structure id missing", None, None, None) for x in structures if not x] + [("direction id missing", None, None, None) for x in directions if not x]
+    many = lambda rule, ids, paper: [(rule, None if paper else x, x if paper else None, f"times={n}") for x, n in Counter(filter(None, ids)).items() if n > 1]
+    out += many("structure id repeated", structures, True) + many("direction id repeated", directions, False) + many("assignment repeated", [p for p, _ in assigned], True)
+    lists = [x for x in lists if x[0] and x[2]]
+    out += [("list holds unknown paper", d, p, f"list={k}") for d, k, p in lists if p not in structures]
+    known = set(filter(None, directions))
+    out += [("direction is empty", d, None, None) for d in known if not any(x[0] == d and x[1] != "representative" for x in lists)]
+    out += [("direction has no papers", d, None, None) for d in known if not any(x[0] == d for x in lists)]
+    for p, d in assigned:
+        out += [("assignment without paper", d, None, None)] if not p else []
+        out += [("assignment of unknown paper", d, p, None)] if p and p not in structures else []
+        out += [("assignment without direction", None, p, None)] if p and not d else []
+        out += [("assignment to unknown direction", d, p, None)] if p and d and d not in known else []
+    out += [("structure without assignment", None, p, None) for p in set(filter(None, structures)) if p not in [x for x, _ in assigned]]
+    for p in {x[2] for x in lists}:
+        ds = sorted({x[0] for x in lists if x[2] == p})
+        out += [("paper in several directions", None, p, "lists=" + ",".join(ds))] if len(ds) > 1 else []
+        mine = [d for q, d in assigned if q == p]
+        last = max(filter(None, mine), default=None)
+        out += [("assignment not in its lists", last, p, "lists=" + ",".join(ds))] if mine and last not in ds else []
+    for name, ids in (("schema", schemas), ("record", records)):
+        if ids is not None:
+            ids = [clean(x) for x in ids]
+            out += [(f"{name} without direction", None, None, None) for x in ids if not x] + many(f"{name} repeated", ids, False)
+            out += [(f"{name} of unknown direction", x, None, None) for x in ids if x and x not in known]
+            out += [(f"direction without {name}", d, None, None) for d in known if d not in ids]
+    return Counter(out)
+
+
+def test_mapping_rules_against_plain_ones(spark):
+    r, seen = random.Random(5), set()
+    ids, dirs, kinds = ["p1", " p2", "p2", "p3", "", None, "px"], ["D1", "D2 ", "D2", "D3", " ", None, "D9"], ["included", "borderline", "representative"]
+    one = lambda c, rows: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    for i in range(8):
+        n = 0 if i == 0 else 6
+        some = lambda xs, n=n: r.choices(xs, k=r.randint(0, n))
+        structures, directions, schemas, records = some(ids), some(dirs), some(dirs), some(dirs) if i % 3 else None
+        lists = [(r.choice(dirs), r.choice(kinds), r.choice(ids)) for _ in some(ids)]
+        assigned = [(r.choice(ids), r.choice(dirs)) for _ in some(ids)]
+        got = R.validate_mapping(
+            one("paper_id", structures), one("direction_id", directions), spark.createDataFrame(lists, "direction_id string, list_kind string, paper_id string"),
+            spark.createDataFrame(assigned, "paper_id string, direction_id string"), one("direction_id", schemas), None if records is None else one("direction_id", records),
+        )
+        want = plain_violations(structures, directions, lists, assigned, schemas, records)
+        assert Counter(map(tuple, got.collect())) == want
+        seen |= {x[0] for x in want}
+    assert len(seen) >= 20
+
+
 def test_unique_terms(spark):
     got = spark.createDataFrame([(["A b", "a_B", None, "unknown", "...", "c", "d", "e"],)], "x array<string>").select(R.unique_terms(F.col("x")).alias("t"), R.clamp_items(F.col("x"), 6).alias("c")).first()
     assert got.t == ["A b", "c", "d"] and got.c[-1] == "其余 2 项见结构化结果"

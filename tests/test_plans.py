@@ -1,7 +1,7 @@
 """Plans: no cross products where keys exist, top-k cut before the exchange, columns pruned at the scan."""
 
 import pytest
-from bibspark.plans import library_queries, page_queries
+from bibspark.plans import library_queries, page_queries, record_queries
 from bibspark.plans.fixtures import view
 from pyspark.sql import functions as F
 
@@ -58,3 +58,9 @@ def test_index_reads_the_buckets_of_asked_terms_only(spark, tmp_path):
     bucket = asked.select(L._bucket(F.col("query"), L.BUCKETS).alias("b")).first().b
     assert scans and all(f"(bucket#" in x.split("]")[0] and f" = {bucket})" in x.split("]")[0] for x in scans)
     assert index.postings.select("bucket").distinct().count() > 10
+
+
+def test_mapping_is_checked_in_one_pass(spark):
+    """Facts are read as written: one aggregate, one anti join, none for each rule."""
+    p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
+    assert p.count("Exchange") <= 3 and p.count("FileScan") <= 4 and "NestedLoop" not in p
