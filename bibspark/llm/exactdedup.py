@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, scratch_dir, small, table
+from .common import join_sliced, materialize, scratch_dir, small, table
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -22,35 +22,40 @@ ROCKSDB = {
     # many small stores: no preallocated log files
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Micro-batches that a table is read in at least (if it has so many files), and the files of one at most.
-BATCHES, FILES_PER_BATCH = 3, 10_000
+#: Micro-batches that a table is read in at least (if it has so many rows), and at most: rows of a file, files of a batch.
+BATCHES, ROWS_PER_FILE, FILES_PER_BATCH = 3, 10_000_000, 10_000
+#: Rows of a digest that one task meets in the joins to the state; a digest of more is dealt over several.
+DEALT_ROWS = 100_000
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
-    """Null texts count as empty; nothing else is changed. docs is read from Parquet: file is the row's own."""
+    """Null texts count as empty; nothing else is changed. docs is read from Parquet: file and row are the row's own."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.col("_metadata.file_path").alias("file"))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.col("_metadata.file_path").alias("file"), F.xxhash64(place).alias("place"))
 
 
 def digest_state(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """(digest, keep_id, group_size, keep_file) of all files of a Parquet table, read as a stream to its end.
+    """(digest, keep_id, group_size, keep_file) of all rows of a Parquet table, met as a stream to its end.
 
-    Rows are combined per task before they reach the state, so a text with a third of all rows costs a row a task. The
-    stream checkpoint and each batch's changed keys are in the shared folder; a batch that is run again overwrites its
-    own output, and the last version of a key is the one with the largest count. Without files_per_batch a table is
-    read in BATCHES batches or more, so that rows meet the state of earlier ones.
+    Digests, ids and files, without texts, are written first, in files of so many rows that any table of BATCHES rows or
+    more comes in BATCHES batches or more: rows meet the state of earlier ones whatever files the table has, and a batch
+    is bounded. Rows are combined per task before they reach the state, so a text with a third of all rows costs a row a
+    task. The stream checkpoint and each batch's changed keys are in the shared folder; a batch that is run again
+    overwrites its own output, and the last version of a key is the one with the largest count.
     """
-    if files_per_batch is None:
-        files_per_batch = min(FILES_PER_BATCH, max(1, -(-len(spark.read.schema(schema).parquet(path).inputFiles()) // BATCHES)))
     at = scratch_dir(spark)
-    # as a pattern, the path may name a file or a folder
+    docs = spark.read.schema(schema).parquet(path)
+    per_file = min(ROWS_PER_FILE, max(1, -(-docs.count() // BATCHES)))
+    with_digest(docs).select("doc_id", "digest", "file").write.option("maxRecordsPerFile", per_file).parquet(f"{at}/keys")
+    keys = spark.read.parquet(f"{at}/keys")
+    if files_per_batch is None:
+        files_per_batch = min(FILES_PER_BATCH, max(1, len(keys.inputFiles()) // BATCHES))
     old = {k: spark.conf.get(k, None) for k in ROCKSDB}
     for k, v in ROCKSDB.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
-        text = F.coalesce("text", F.lit(""))
-        rows = stream.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.col("_metadata.file_path").alias("file"))
+        rows = spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{at}/keys")
         state = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("file", F.coalesce("doc_id", F.lit(-(2**63)))).alias("keep_file"))
         query = (
             state.writeStream.outputMode("update")
@@ -63,11 +68,7 @@ def digest_state(spark: SparkSession, path: str, schema: StructType, files_per_b
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if not spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(at).select("path").take(1):
-        return spark.createDataFrame([], "digest binary, keep_id long, group_size long, keep_file string")
-    changes = spark.read.parquet(f"{at}/changes")
-    if changes.agg(F.max("batch")).first()[0] == 0:
-        return changes.drop("batch")
+    changes = spark.read.schema(f"digest binary, keep_id {schema['doc_id'].dataType.simpleString()}, group_size long, keep_file string, batch int").parquet(f"{at}/changes")
     return changes.groupBy("digest").agg(F.max_by(F.struct("keep_id", "group_size", "keep_file"), "group_size").alias("s")).select("digest", "s.*")
 
 
@@ -79,7 +80,9 @@ def classes_of_hits(docs: DataFrame, state: DataFrame) -> DataFrame:
     as many as the state has counted.
     """
     hits = state.where("group_size > 1").select("digest", F.col("keep_id").alias("at_id"), F.col("keep_file").alias("at_file"), F.col("group_size").alias("counted"))
-    rows = with_digest(docs).join(small(hits), "digest")
+    few = small(hits)
+    rows = with_digest(docs)
+    rows = rows.join(few, "digest") if few is not hits else join_sliced(rows, hits, "digest", "place", DEALT_ROWS, hits.select("digest", F.col("counted").alias("rows")))
     stored = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("file") == F.col("at_file"))
     by_bytes = rows.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(stored).alias("stored"), F.max("counted").alias("counted"))
     one = F.struct((~F.col("stored")).alias("other"), F.md5("text").alias("text_key"), "keep_id", "group_size")
@@ -99,8 +102,9 @@ def deduplicate(docs: DataFrame, state: DataFrame) -> DataFrame:
     split = checked.where("size(c) > 1").select("digest", F.explode("c").alias("c")).select("digest", "c.text_key", "c.keep_id", "c.group_size")
     split = materialize(split, "split")
     whole = state.join(small(split.select("digest").distinct()), "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("text_key"), "keep_id", "group_size")
-    rows = with_digest(docs).select("doc_id", "digest", F.md5("text").alias("own_key"))
-    joined = rows.join(whole.unionByName(split), "digest").where("text_key is null or text_key = own_key")
+    rows = with_digest(docs).select("doc_id", "digest", "place", F.md5("text").alias("own_key"))
+    counts = state.select("digest", F.col("group_size").alias("rows"))
+    joined = join_sliced(rows, whole.unionByName(split), "digest", "place", DEALT_ROWS, counts).where("text_key is null or text_key = own_key")
     return joined.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -381,9 +381,10 @@ def test_exact_dedup(spark, tmp_path):
     assert got[0] == got[1] == sorted(want, key=repr)
 
 
-def test_exact_dedup_state_meets_later_batches(spark, tmp_path, monkeypatch):
-    """A table of several files is read in several batches; the state carries what earlier ones have seen."""
-    docs(spark, [(i, f"t{i % 7}") for i in range(60)]).repartition(6, "doc_id").write.parquet(str(tmp_path / "d"))
+@pytest.mark.parametrize("files", [1, 6])
+def test_exact_dedup_state_meets_later_batches(spark, tmp_path, monkeypatch, files):
+    """A table is met in several batches, of one file too; the state carries what earlier ones have seen."""
+    docs(spark, [(i, f"t{i % 7}") for i in range(60)]).repartition(files, "doc_id").write.parquet(str(tmp_path / "d"))
     back, seen = spark.read.parquet(str(tmp_path / "d")), []
     fixed = exactdedup.scratch_dir(spark)
     monkeypatch.setattr(exactdedup, "scratch_dir", lambda _: fixed)
@@ -394,6 +395,18 @@ def test_exact_dedup_state_meets_later_batches(spark, tmp_path, monkeypatch):
     assert sorted(r.text for r in located.collect()) == [f"t{i}" for i in range(7)]
 
 
+def test_exact_dedup_deals_hot_digests(spark, tmp_path, monkeypatch):
+    """Digests of many rows, some without ids, are dealt over tasks, and hits that aren't few are shuffled."""
+    rows = [*((i if i % 3 else None, "hot") for i in range(300)), *((1000 + i, f"t{i % 9}") for i in range(50)), (None, None), (7, "")]
+    docs(spark, rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    back = spark.read.parquet(str(tmp_path / "d"))
+    state = exactdedup.digest_state(spark, str(tmp_path / "d"), back.schema)
+    want = sorted((tuple(r) for r in exactdedup.deduplicate(back, state).collect()), key=repr)
+    monkeypatch.setattr(exactdedup, "DEALT_ROWS", 20)
+    monkeypatch.setattr(exactdedup, "small", lambda df: df)
+    assert sorted((tuple(r) for r in exactdedup.deduplicate(back, state).collect()), key=repr) == want and len(want) == len(rows)
+
+
 def test_exact_dedup_checks_bytes(spark, tmp_path):
     """Two texts under one digest, as if SHA-256 had failed, come apart; a state of another table is an error."""
     docs(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "c")]).coalesce(1).write.parquet(str(tmp_path / "d"))
