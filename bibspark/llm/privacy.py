@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from ..functions.text import let
+from .common import join_sliced, materialize, small, table
 
 #: kind: (a sign that must be there, pattern, test of a match). Possessive forms give the plain ones' matches without
 #: the regular-expression engine's recursion; \G and the look-behinds keep it from starting inside a run again.
@@ -38,6 +39,11 @@ DOCUMENTS, CHANCE = 2, 0.05
 #: times in ten at 0.99.
 GENERALISE, REMOVE = 0.95, 0.99
 TERM = r"\p{L}{3,}+"
+#: Copies are told by bands of min-hashes of five-word shingles: two texts of similarity s share one of BANDS bands with
+#: probability 1 - (1 - s^BAND)^BANDS: 0.997 at 0.8, 0.05 at 0.19.
+BANDS, BAND, SHINGLE = 8, 3, 5
+#: Rows of a pair that one task meets, if the pairs aren't few.
+DEALT_ROWS = 100_000
 
 
 def matches(text: Column, pattern: str, kind: int | Callable[[Column], Column]) -> Column:
@@ -103,15 +109,47 @@ def entities(span: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(entity, row, term): terms beside an entity, once for each document; and a row with a null term for the entity
-    itself. Rows that repeat an id and a text are one document."""
+    """(entity, row, text_key, term): terms beside an entity, once for each document; and a row with a null term for the
+    entity itself. Rows that repeat an id and a text are one document."""
     spans = found_in(docs).where(F.size("base") > 0).select("doc_id", "text_key", "text", F.explode("base").alias("s"))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
     left = words(F.expr(f"substring(text, greatest(s.start - {NEAR_CHARS}, 0) + 1, least(s.start, {NEAR_CHARS}))"))
     right = words(F.expr(f"substring(text, s.end + 1, {NEAR_CHARS})"))
     near = spans.select("doc_id", "text_key", F.explode(entities(F.col("s"))).alias("entity"), F.slice(left, F.greatest(F.size(left) - NEAR_TERMS + 1, F.lit(1)), NEAR_TERMS).alias("l"), F.slice(right, 1, NEAR_TERMS).alias("r"))
     terms = F.concat(F.array(F.lit(None).cast("string")), "l", "r")
-    return near.select("entity", F.xxhash64("doc_id", "text_key").alias("row"), F.explode(terms).alias("term")).distinct()
+    return near.select("entity", F.xxhash64("doc_id", "text_key").alias("row"), "text_key", F.explode(terms).alias("term")).distinct()
+
+
+def bands(text: Column) -> Column:
+    """array<long> of BANDS keys: texts that are near copies share one, others don't. The least of the shingles' hashes
+    after an exclusive or with a constant is a min-hash; BAND of them make a key. A text of fewer words is one shingle."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    last = lambda w: F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), last(w)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+    least = lambda h, i: F.array_min(F.transform(h, lambda x: x.bitwiseXOR(F.xxhash64(F.lit(i)))))
+    key = lambda h, b: F.xxhash64(*[least(h, b * BAND + j) for j in range(BAND)])
+    return let(words, lambda w: let(hashes(w), lambda h: F.array(*[key(h, b) for b in range(BANDS)])))
+
+
+def independent(docs: DataFrame, near: DataFrame, held: DataFrame) -> DataFrame:
+    """(entity, term, alone): for pairs of held (entity, term, both), the documents that hold the pair, near copies of one
+    another counted once: the least number of different keys in any band.
+
+    Bands are made of texts that hold such a pair only; a text with any share of the rows is a row a task.
+    """
+    pair = F.xxhash64("entity", "term").alias("pair")
+    rows, asked = near.where("term is not null").select("entity", "term", "text_key", pair), held.select(pair, F.col("both").alias("rows"))
+    pairs = asked.select("pair")
+    few = small(pairs)
+    hits = rows.join(few, "pair") if few is not pairs else join_sliced(rows, pairs, "pair", "text_key", DEALT_ROWS, asked)
+    hits = materialize(hits.select("entity", "term", "text_key"), "hits")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    keys = materialize(hits.select("text_key").distinct(), "keys")
+    some = small(keys)
+    drawn = texts if some is keys else texts.join(some, "text_key")
+    drawn = materialize(drawn.select("text_key", bands(F.col("text")).alias("b")).dropDuplicates(["text_key"]), "bands")
+    counts = [F.count_distinct(F.col("b")[i]) for i in range(BANDS)]
+    return hits.join(drawn, "text_key").groupBy("entity", "term").agg(F.least(*counts).alias("alone"))
 
 
 def disclosing_terms(docs: DataFrame, documents: int = DOCUMENTS, generalise: float = GENERALISE, remove: float = REMOVE, chance: float = CHANCE) -> DataFrame:
@@ -121,8 +159,8 @@ def disclosing_terms(docs: DataFrame, documents: int = DOCUMENTS, generalise: fl
     documents that hold the entity, the term, and the one beside the other. Two rules keep chance out: the pair stands in
     two documents at least, and the count of joint documents, k where x are expected, has a Poisson tail (by its Chernoff
     bound, exp(k - x) (x / k)^k) below the chance that is allowed, shared out over all pairs. The best share of a term
-    decides its kind. Documents count as they are, copies too: where copies shouldn't count, they are dropped before, as
-    the pipeline does.
+    decides its kind. Both rules take documents as independent, so near copies that hold a pair count once, and the rest
+    of them is taken from all counts of the pair.
 
     Pairs are counted by groups with map-side partial sums, so an entity with a third of all rows costs a row a task; term
     frequencies are counted for the terms of pairs in enough documents only. A null or empty corpus has none.
@@ -134,12 +172,18 @@ def disclosing_terms(docs: DataFrame, documents: int = DOCUMENTS, generalise: fl
     held = materialize(beside.where(F.col("both") >= documents), "held")
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     by_word = text.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    df = by_word.join(small(held.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    asked = held.select("term").distinct()
+    few = small(asked)
+    # where the terms aren't few, words are counted before they meet them: a stop word is a row a task
+    df = (by_word if few is asked else by_word.join(few, "term")).groupBy("term").agg(F.count("*").alias("df"))
     entity_df = near.where("term is null").groupBy("entity").agg(F.count("*").alias("entity_df"))
-    scored = held.join(df, "term").join(entity_df, "entity").withColumn("df", F.greatest("df", "both"))
-    k, expected = F.col("both"), F.col("entity_df") * F.col("df") / F.lit(n)
+    alone = independent(docs, near, held)
+    scored = held.join(alone, ["entity", "term"]).where(F.col("alone") >= documents).join(df, "term").join(entity_df, "entity")
+    copies = F.col("both") - F.col("alone")
+    k, with_term, with_entity, whole = F.col("alone"), F.greatest("df", "both") - copies, F.col("entity_df") - copies, F.lit(n) - copies
+    expected = with_entity * with_term / whole
     sure = k * F.ln(k / expected) - k + expected >= F.ln(F.lit(pairs / chance))
-    share = F.log2(k / expected) / F.log2(F.lit(n) / F.col("entity_df"))
+    share = F.log2(k / expected) / F.log2(whole / with_entity)
     best = scored.where(sure & (F.col("entity_df") < n)).groupBy("term").agg(F.max(share).alias("share"))
     return best.where(F.col("share") >= generalise).select("term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
 

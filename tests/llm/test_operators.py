@@ -461,7 +461,8 @@ def test_personal_data_equals_plain_patterns(spark):
 
 
 def plain_terms(rows, documents=2, chance=0.05):
-    """Disclosing terms by counting, for rows of different ids."""
+    """Disclosing terms by counting, for rows of different ids; near duplicates that hold a pair count once."""
+    copy_of = {i: c for i, (_, c) in brute_components(rows).items()}
     beside, words, held = defaultdict(set), defaultdict(set), defaultdict(set)
     for i, t in rows:
         for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
@@ -480,12 +481,14 @@ def plain_terms(rows, documents=2, chance=0.05):
                     beside[e, w].add(i)
     n, best = len(rows), {}
     for (e, w), ids in beside.items():
-        k, df, of = len(ids), max(len(words[w]), len(ids)), len(held[e])
-        if k < documents or of == n:
+        k = len({copy_of[i] for i in ids})
+        extra = len(ids) - k
+        df, of, whole = max(len(words[w]), len(ids)) - extra, len(held[e]) - extra, n - extra
+        if k < documents or len(held[e]) == n:
             continue
-        expected = of * df / n
+        expected = of * df / whole
         if k * np.log(k / expected) - k + expected >= np.log(len(beside) / chance):
-            best[w] = max(best.get(w, 0), np.log2(k / expected) / np.log2(n / of))
+            best[w] = max(best.get(w, 0), np.log2(k / expected) / np.log2(whole / of))
     return {w: 5 if s >= 0.99 else 4 for w, s in best.items() if s >= 0.95}
 
 
@@ -507,11 +510,31 @@ def test_disclosing_terms_equal_counting(spark):
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, "copied words near zed@copies.org here") for i in range(20)]
     rows += [(2000 + i, f"edited words near yan@edits.org here variant{chr(97 + i)}") for i in range(9)]
+    long = [f"{chr(97 + j // 26)}{chr(97 + j % 26)}passage" for j in range(70)]
+    for i in range(12):
+        rows.append((3000 + i, " ".join([*long[:40], "nearterm", "kim@near.org", f"edit{chr(97 + i)}x", *long[40:]])))
+    for i in range(6):  # three documents of their own hold it besides as many copies of a fourth
+        own = " ".join(f"{'own' if i < 3 else 'fourth'}{chr(97 + i if i < 3 else 97)}{chr(97 + j)}" for j in range(30))
+        rows.append((4000 + i, f"{own} truetie lee@ties.org {own[::-1]}"))
     want = plain_terms(rows)
     got = {x.term: x.kind for x in privacy.disclosing_terms(docs(spark, rows)).collect()}
     assert got == want
     assert set(want.values()) <= {4, 5}
-    assert {"bson", "bville", "sixteam", "serverroom", "edited", "copied"} <= set(want) and not {"else", "office"} & set(want)
+    assert {"bson", "bville", "sixteam", "serverroom", "edited", "truetie"} <= set(want) and not {"else", "office", "copied", "nearterm", "aapassage"} & set(want)
+
+
+def test_bands_tell_near_copies(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(60):
+        w = [word() for _ in range(80)]
+        texts.append((" ".join(w), " ".join([*w[:30], word(), *w[31:]]), " ".join([*w[:20], *(word() for _ in range(60))])))
+    rows = spark.createDataFrame(texts, "a string, b string, c string").select(*[privacy.bands(F.col(x)).alias(x) for x in "abc"]).collect()
+    share = lambda x, y: sum(any(p == q for p, q in zip(m[x], m[y], strict=True)) for m in rows)
+    assert share("a", "b") >= 58 and share("a", "c") <= 3
+    odd = spark.createDataFrame([("",), (" ",), ("one",), ("One",)], "t string").select(privacy.bands(F.col("t")).alias("b")).collect()
+    assert odd[0] == odd[1] != odd[2] and odd[2] == odd[3] and len(odd[0].b) == privacy.BANDS
 
 
 def test_disclosing_terms(spark):

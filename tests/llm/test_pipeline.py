@@ -62,3 +62,18 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 10 for i in range(10, 61)}, 90: 90, 95: 90, 100: 90, 7: 7}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_private_stage_removes_terms_of_independent_documents(spark):
+    """After the stages before it, a term beside one address in documents of their own goes; one beside copies doesn't."""
+    own = lambda i, n: " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}word" for j in range(n))
+    rows = [(i, f"{own(i, 20)} projectx ann@corp.org {own(i + 300, 20)}") for i in range(6)]
+    rows += [(10 + i, f"{own(400, 20)} copyterm bob@corp.net {own(401, 20)}{' end' * (i > 3)}") for i in range(6)]
+    rows += [(100 + i, own(i + 100, 30)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES[1:4]:
+        docs = materialize(stage(spark, docs, SF), name)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(texts) == 207  # one of the copies
+    assert not any("projectx" in t or "@" in t for t in texts.values())
+    assert any("copyterm [EMAIL]" in t for t in texts.values())
