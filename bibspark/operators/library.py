@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from ..scratch import materialize
 K1, B = 1.2, 0.75
 #: Buckets of a stored index, papers of a block by id, and blocks of a query that are scored first.
 BUCKETS, PAPER_BLOCK, SEED_BLOCKS = 64, 4096, 4
+#: Blocks of a file of the index, and words that are listed at once.
+SPAN, WORDS_AT_ONCE = 64, 1 << 21
 TOKEN = r"[\p{L}\p{N}_]+"
 FIELDS = ("title", "abstract", "authors")
 DEFAULTS = {"authors": "", "abstract": "", "arxiv_id": "", "doi": "", "ieee_id": "", "source": "unknown"}
@@ -86,28 +92,66 @@ class Index(NamedTuple):
 
 
 def build_index(library: DataFrame, path: str, part: int = 0, buckets: int = BUCKETS, block: int = PAPER_BLOCK) -> Index:
-    """Index a library's papers into a folder, as one part of the index there; parts are of different papers.
+    """Index a library's papers (one row an id) into a folder, as one part of the index there; parts are of different papers.
 
-    Appended papers are a new part, and a part that is written again replaces itself. Each file holds a range of buckets
-    and terms, so a bucket of any size is spread and a term's blocks lie together.
+    Appended papers are a new part, and a part that is written again replaces itself. Words are counted and listed where the
+    texts are read (`_listed`), so a term crosses the network once for many papers, with three numbers for each. A file
+    holds one bucket's terms for so many blocks of papers, so none grows with the library, however frequent a term is.
     """
     spark = library.sparkSession
     words = library if "w" in library.columns else tokenised(library)
-    tokens = materialize(words, "tokens")
-    tf = tokens.select("corpus", "paper_id", "length", F.explode("w").alias("term")).groupBy("corpus", "term", "paper_id", "length").agg(F.count("*").alias("tf"))
-    tf = tf.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", F.floor(F.col("paper_id") / block).alias("block"), "corpus", "paper_id", F.col("tf").cast("int").alias("tf"), "length")
-    # the ranges of the files are those of the groups, so lists are made where they are written
-    tf = tf.repartitionByRange("bucket", "term", "block")
-    lists = F.array_sort(F.collect_list(F.struct("paper_id", "tf", "length")))
-    rows = tf.groupBy("bucket", "term", "block", "corpus").agg(lists.alias("l")).select(
-        "bucket", "corpus", "term", "block", F.size("l").cast("long").alias("n"), F.array_max("l.tf").alias("max_tf"), F.array_min("l.length").alias("min_length"),
-        F.col("l.paper_id").alias("ids"), F.col("l.tf").alias("tfs"), F.col("l.length").alias("lengths"),
+    lists = words.where("corpus is not null").select("corpus", "paper_id", "w").mapInArrow(lambda batches: (t for b in batches for t in _listed(b, block)), LISTED)
+    lists = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("span", F.floor(F.col("block") / SPAN)).repartition("bucket", "span")
+    # the groups hold the keys of the exchange, so nothing is moved again
+    whole = lists.groupBy("bucket", "span", "term", "block", "corpus").agg(F.array_sort(F.collect_list(F.struct("ids", "tfs", "lengths"))).alias("l"))
+    rows = whole.select("bucket", "corpus", "term", "block", *[F.flatten(F.col(f"l.{c}")).alias(c) for c in ("ids", "tfs", "lengths")]).select(
+        "bucket", "corpus", "term", "block", F.size("ids").cast("long").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length"), "ids", "tfs", "lengths",
     )
     rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/part={part}")
-    tokens.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("length").alias("words")).write.mode("overwrite").parquet(f"{path}/sizes/part={part}")
+    said = spark.read.schema("corpus string, tfs array<int>").parquet(f"{path}/postings/part={part}").groupBy("corpus").agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words"))
+    sizes = words.groupBy("corpus").agg(F.count("*").alias("n")).join(said, "corpus", "left").select("corpus", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes/part={part}")
     return open_index(spark, path, buckets)
 
 
+LISTED = "corpus string, term string, block long, ids array<long>, tfs array<int>, lengths array<int>"
+
+
+def _listed(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+    """The lists of a batch of papers (corpus, paper_id, w): a row for each corpus, term and block of papers, ids ascending.
+
+    So many papers are worked on at once that their words stay below a bound; a longer paper is one by itself.
+    """
+    size = pc.fill_null(pc.list_value_length(batch["w"]), 0).to_numpy().astype(np.int64)
+    ends, start = np.cumsum(size), 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + WORDS_AT_ONCE, "right")))
+        some, n = batch.slice(start, stop - start), size[start:stop]
+        start = stop
+        terms = some["w"].flatten().dictionary_encode()
+        if not len(terms):
+            continue
+        corpus, paper = some["corpus"].dictionary_encode(), some["paper_id"].to_numpy()
+        code = corpus.indices.to_numpy()
+        order = np.lexsort((paper, code))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        # one number an occurrence, by term and then the paper's place
+        key, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * len(order) + np.repeat(place, n), return_counts=True)
+        term, at = np.divmod(key, len(order))
+        at = order[at]
+        of = (term, code[at], paper[at] // block)
+        first = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in of], axis=0)]))
+        offsets = pa.array(np.append(first, len(key)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                corpus.dictionary.take(pa.array(of[1][first])), terms.dictionary.take(pa.array(term[first])), pa.array(of[2][first], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(paper[at], pa.int64())),
+                pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n[at], pa.int32())),
+            ],
+            ["corpus", "term", "block", "ids", "tfs", "lengths"],
+        )
+
+
 def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
     """The index in a folder, with all its parts; buckets is what it was built with."""
     listed = "bucket int, corpus string, term string, block long, n long, max_tf int, min_length int, ids array<long>, tfs array<int>, lengths array<int>, part int"
