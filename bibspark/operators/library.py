@@ -178,9 +178,11 @@ def search_index(index: Index, queries: DataFrame, k: int | None = 10, seeds: in
     corpus = F.col("corpus") if "corpus" in queries.columns else F.lit("").alias("corpus")
     asked = materialize(queries.select("q_id", corpus, F.explode(F.array_distinct(words(F.col("query")))).alias("term")).withColumn("bucket", _bucket(F.col("term"), index.buckets)), "asked")
     n_terms = asked.groupBy("q_id").agg(F.count("*").alias("n_terms"))
-    terms = asked.select("bucket", "corpus", "term").distinct()
+    terms = materialize(asked.select("bucket", "corpus", "term").distinct(), "terms")
     read = index.postings.where(F.col("bucket").isin([r.bucket for r in asked.select("bucket").distinct().collect()]))
     figures = materialize(read.select("bucket", "corpus", "term", "block", "n", "max_tf", "min_length").join(terms, ["bucket", "corpus", "term"], "left_semi"), "figures")
+    # a table of terms as small as the optimizer's own bound is broadcast, so other terms' lists are never moved
+    read = read.drop("n", "max_tf", "min_length").join(terms, ["bucket", "corpus", "term"], "left_semi")
     size = index.sizes.groupBy("corpus").agg(F.sum("n").alias("papers"), (F.sum("words") / F.sum("n")).alias("mean"))
     df = materialize(figures.groupBy("corpus", "term").agg(F.sum("n").alias("df")).join(size, "corpus"), "df")
     bound = figures.groupBy("corpus", "term", "block").agg(F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length")).join(df, ["corpus", "term"])
@@ -191,7 +193,7 @@ def search_index(index: Index, queries: DataFrame, k: int | None = 10, seeds: in
 
     def scored(chosen: DataFrame) -> DataFrame:
         wanted = chosen.select("q_id", "block").join(asked, "q_id")
-        lists = wanted.join(read.drop("n", "max_tf", "min_length"), ["bucket", "corpus", "term", "block"]).select("q_id", "corpus", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
+        lists = wanted.join(read, ["bucket", "corpus", "term", "block"]).select("q_id", "corpus", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
         part = lists.join(df, ["corpus", "term"]).select("q_id", F.col("p.ids").alias("paper_id"), _bm25(F.col("papers"), F.col("df"), F.col("p.tfs"), F.col("p.lengths"), F.col("mean")).alias("w"))
         sums = part.groupBy("q_id", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c"))
         return sums.join(n_terms, "q_id").where("c = n_terms").select("q_id", "paper_id", "score")
