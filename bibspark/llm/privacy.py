@@ -210,7 +210,9 @@ def with_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, materialize(disclosing_terms(docs), "terms"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
+    # a second parameter of the lambda would be the element's index, whatever its default
+    of_kind = lambda i: lambda s: s["kind"] == i
+    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

@@ -460,6 +460,14 @@ def test_personal_data_equals_plain_patterns(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_personal_data_counts_each_kind(spark, tmp_path):
+    rows = [*odd_rows(), (20, "a@b.cd, e@f.gh and i@j.kl"), (21, "1.2.3.4 then 5.6.7.8 256.1.1.1"), (22, "4539 1488 0343 6467"), (23, "+1 (017) 555-7713, +1 (017) 555-7714 a@b.cd"), (None, "9.9.9.9"), (20, "8.8.8.8")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = privacy.op7_personal_data(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    plain = [(i, plain_base(t or "")) for i, t in rows]
+    assert all_columns(got) == sorted(((i, *[sum(s.startswith(k + ":") for s in p) for k in PLAIN], hashlib.sha256(",".join(p).encode()).hexdigest()) for i, p in plain), key=repr)
+
+
 def plain_terms(rows, documents=2, chance=0.05):
     """Disclosing terms by counting, for rows of different ids; near duplicates that hold a pair count once."""
     copy_of = {i: c for i, (_, c) in brute_components(rows).items()}
