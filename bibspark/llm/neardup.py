@@ -8,9 +8,10 @@ A document's tokens are 64-bit hashes of its distinct word shingles. Three steps
 2. Groups. Documents with a min-hash in common are compared with the smallest of them; those that link, and what
    hangs together by such links, form a group. The matrix holds the union of each group's tokens.
 3. Opening. A document can link to one of its size or larger in another group only if the group's union holds n - n / 9
-   of its tokens. Its rarest tokens, by number of groups, name the groups to bound; groups within the bound are opened
-   and their members compared exactly. Pairs inside a group need no comparison: they are already connected. Documents
-   around one text, but outside its group, are bounded by their overlaps with that text instead.
+   of its tokens. Its rarest tokens, by number of groups, name the groups to bound; groups within the bound are opened,
+   and members that hold one of its n / 9 + 1 rarest tokens there are compared exactly. Pairs inside a group need no
+   comparison: they are already connected. Documents around one text, but in different groups, are bounded by their
+   overlaps with that text instead.
 
 Nothing is approximate but the equality of tokens by a 64-bit hash, and no group, list or bucket is capped.
 """
@@ -34,6 +35,8 @@ WORDS, KEYS = 5, 4
 SMALL, SMALL_SELF, SAMPLED = 128, 100, 0.4
 #: Documents for each hash bucket, tokens that a task holds before it sends them, word hashes a worker remembers.
 DOCS_PER_BUCKET, HELD, REMEMBERED = 50_000, 200_000, 50_000
+#: Rounds in which leaders are looked for; links that these leave are found by the opening.
+ROUNDS = 2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NOBODY = -(2**63)
 _LIMIT = np.uint64(int(SAMPLED * 2**64))
@@ -224,16 +227,24 @@ def groups_and_links(sets: DataFrame, standing: DataFrame) -> tuple[DataFrame, D
 
     The leader of a key is the document most of whose tokens occur elsewhere, then the one with most copies: where many
     documents are edits of one text, that is the text itself. standing has id, share and copies.
+
+    Documents that link to no leader are dealt leaders of their own in further rounds: many copies of an edit may have all
+    their keys in common with the text, so they'd stay apart, and all their pairs would be compared later.
     """
-    keyed = sets.select("id", F.explode("keys").alias("key"))
-    ranked = keyed.join(standing, "id")
-    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("share", "copies", -F.col("id"))).alias("b"), F.count("*").alias("rows")).where("rows > 1")
-    leaders = materialize(leaders, "leaders")
-    pairs = join_sliced(keyed, leaders.select("key", "b"), "key", "id", counts=leaders.select("key", "rows")).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    pairs = materialize(pairs, "pairs")
-    counted = materialize(overlaps(pairs, sets), "counted")
-    discard(leaders, pairs, collect=False)
-    links = counted.where(SIMILAR).select("a", "b")
+    keyed, links, first = sets.select("id", F.explode("keys").alias("key")), None, None
+    for _ in range(ROUNDS):
+        leaders = keyed.join(standing, "id").groupBy("key").agg(F.max_by("id", F.struct("share", "copies", -F.col("id"))).alias("b"), F.count("*").alias("rows")).where("rows > 1")
+        leaders = materialize(leaders, "leaders")
+        pairs = join_sliced(keyed, leaders.select("key", "b"), "key", "id", counts=leaders.select("key", "rows")).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        pairs = materialize(pairs, "pairs")
+        counted = materialize(overlaps(pairs, sets), "counted")
+        discard(leaders, pairs, collect=False)
+        found = counted.where(SIMILAR).select("a", "b")
+        links, first = (found, counted) if links is None else (links.unionByName(found), first)
+        if found.isEmpty():
+            break
+        keyed = keyed.join(small(materialize(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "placed")), "id", "left_anti")
+    counted = first
     groups = connected_components(links)
     return materialize(sets.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("g")), "groups"), links, counted
 
@@ -293,6 +304,10 @@ def links_between(sets: DataFrame, groups: DataFrame, refs: DataFrame) -> DataFr
     Where many documents are edits of one text, too far from it to be of its group, each shares nearly all tokens with
     each other. What they don't share with that text, their reference, is little, and tells them apart. So a document
     doesn't ask about groups all of whose documents have its own reference: such pairs come from those differences.
+
+    A partner lacks at most n / 9 of the document's tokens, so it holds one of any n / 9 + 1 of them. In an opened group
+    these are the rarest there, tokens that the group hasn't first: members of a large group that have only what all of
+    them have in common with the document aren't met, whatever references the group's other documents have.
     """
     tokens = sets.select("id", "n", F.explode("tokens").alias("token")).join(groups, "id")
     spread = tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
@@ -301,31 +316,38 @@ def links_between(sets: DataFrame, groups: DataFrame, refs: DataFrame) -> DataFr
     one_ref = F.when((F.count("*") == F.count("ref")) & (F.min("ref") == F.max("ref")), F.min("ref"))
     of_group = groups.join(refs.select("id", "ref"), "id", "left").groupBy("g").agg(one_ref.alias("only"), F.count("*").alias("members"))
     reach = known.groupBy("g").agg(F.max("most").alias("most")).where("most > 0").join(of_group.select("g", "only"), "g")
-    matrix = materialize(seen.select("token", "g").distinct().join(reach.select("g", "most", "only"), "g"), "matrix")
+    matrix = materialize(seen.groupBy("token", "g").agg(F.count("*").alias("df")).join(reach.select("g", "most", "only"), "g"), "matrix")
     able = known.where("c >= n - floor(n / 9)").withColumn("e", F.floor(F.col("n") / 18) + 1).select("id", "e", (F.floor(F.col("n") / 9) - (F.col("n") - F.col("c")) + F.col("e")).alias("take"))
     spread_of = matrix.groupBy("token").agg(F.count("*").alias("gdf"))
     asking = materialize(seen.join(small(materialize(able, "able")), "id").join(spread_of, "token", "left").withColumn("gdf", F.coalesce("gdf", F.lit(0))), "asking")
-    discard(seen)
     rare = asking.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("gdf", "token"))).where("r <= take")
     rare = rare.select("id", F.col("n").alias("qn"), "e", "token", F.col("g").alias("own")).join(small(refs.select("id", "ref")), "id", "left")
     met = rare.join(matrix, "token").where("g <> own and most >= qn and not coalesce(ref = only, false)")
     members = of_group.select("g", "members")
     named = materialize(met.groupBy("id", "g", "qn", "e").agg(F.count("*").alias("c")).where("c >= e").join(members, "g").select("id", "g", "qn", "members"), "named")
     # the union of a single document is the document: comparing it is the bound
+    held = Window.partitionBy("id", "g", "qn")
     bound = (
         named.where("members > 1")
         .join(asking.select("id", "token"), "id")
-        .join(matrix.select("token", "g"), ["token", "g"])
-        .groupBy("id", "g", "qn")
-        .agg(F.count("*").alias("c"))
+        .join(matrix.select("token", "g", "df"), ["token", "g"])
+        .withColumn("c", F.count("*").over(held))
         .where("c >= qn - floor(qn / 9)")
+        .withColumn("r", F.row_number().over(held.orderBy("df", "token")))
+        .where("r <= floor(qn / 9) + 1 - (qn - c)")
     )
-    opened = materialize(named.where("members = 1").select("id", "g", "qn").unionByName(bound.select("id", "g", "qn")), "opened")
-    partners = known.select(F.col("id").alias("other"), "g", "n", "most")
-    pairs = opened.join(partners, "g").where("n >= qn and most >= qn").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
+    bound = materialize(bound.select("id", "g", "qn", "token"), "opened")
+    ref_of = refs.select("id", "ref")
+    partners = known.select(F.col("id").alias("other"), "g", "n", "most").where("most > 0").join(ref_of.select(F.col("id").alias("other"), F.col("ref").alias("other_ref")), "other", "left")
+    listed = seen.select(F.col("id").alias("other"), "g", "token").join(partners, ["other", "g"])
+    asked = lambda x: x.join(ref_of, "id", "left")
+    may = "n >= qn and most >= qn and not coalesce(ref = other_ref, false)"
+    alone = asked(named.where("members = 1").select("id", "g", "qn")).join(partners, "g").where(may)
+    within = asked(bound).join(listed, ["token", "g"]).where(may)
+    pairs = alone.select("id", "other").unionByName(within.select("id", "other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
     pairs = materialize(pairs.unionByName(pairs_of_one_reference(known, refs, groups, sets)).distinct(), "open_pairs")
     found = materialize(linked(pairs, sets), "between")
-    discard(matrix, asking, known, named, opened, pairs)
+    discard(seen, matrix, asking, known, named, bound, pairs)
     return found
 
 

@@ -431,6 +431,32 @@ def test_exact_dedup_of_nothing(spark, tmp_path):
     assert exactdedup.deduplicate(back, exactdedup.digest_state(spark, str(tmp_path / "d"), back.schema)).count() == 0
 
 
+def test_copies_of_an_edit_meet_their_own_leader(spark, monkeypatch):
+    """Many near copies of an edit whose min-hashes are all the text's own: links stay whole, and pairs linear."""
+    r, sh = random.Random(4), neardup.Shingler()
+    least = lambda t: [int(neardup.mixed(t * s + s).min()) for s in neardup._SEEDS]
+    while True:
+        text = [f"w{r.random()}" for _ in range(200)]
+        edit = text[:165] + [f"e{r.random()}" for _ in range(35)]
+        a, b = (sh.tokens(" ".join(x)) for x in (text, edit))
+        if least(a) == least(b) and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.78:
+            break
+    near = lambda of, i: " ".join([*of, f"u{i}a", f"u{i}b"])
+    rows = [(1, " ".join(text)), (2, near(text, 2)), (3, " ".join(text + text[:40])), *((i, near(edit, i)) for i in range(10, 70))]
+    seen, write = [], neardup.materialize
+
+    def counted(df, label):
+        made = write(df, label)
+        if label == "open_pairs":
+            seen.append(made.count())
+        return made
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+    assert seen[0] < 200
+
+
 # 7
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
