@@ -64,3 +64,13 @@ def test_mapping_is_checked_in_one_pass(spark):
     """Facts are read as written: one aggregate, one anti join, none for each rule."""
     p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
     assert p.count("Exchange") <= 3 and p.count("FileScan") <= 4 and "NestedLoop" not in p
+
+
+def test_merged_relations_work_out_the_products_once(spark, monkeypatch):
+    from bibspark.operators import graph
+
+    calls, similar = [], graph.similar_edges
+    monkeypatch.setattr(graph, "similar_edges", lambda *a, **k: calls.append("edges") or similar(*a, **k))
+    monkeypatch.setattr(graph, "cosine_pairs", lambda *a, **k: calls.append("pairs"))
+    library_queries.QUERIES["e9_merge_relations"](spark, "/root/testdata/sf0.001")
+    assert calls == ["edges"]
