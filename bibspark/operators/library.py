@@ -224,10 +224,18 @@ def search_text(library: DataFrame | Index, queries: DataFrame, k: int | None =
     size = tokens.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     terms = asked.select("corpus", "term").distinct()
     hits = tokens.select("paper_id", "corpus", "length", F.explode("w").alias("term")).join(terms, ["corpus", "term"], "left_semi").groupBy("corpus", "term", "paper_id", "length").agg(F.count("*").alias("tf"))
+    hits = materialize(hits, "hits")
     df = hits.groupBy("corpus", "term").agg(F.count("*").alias("df"))
     weight = _bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("length"), F.col("mean"))
-    scored = hits.join(df.join(F.broadcast(size), "corpus"), ["corpus", "term"]).select("corpus", "term", "paper_id", weight.alias("w"))
-    found = scored.join(asked, ["corpus", "term"]).groupBy("q_id", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c")).join(n_terms, "q_id").where("c = n_terms")
+    scored = materialize(hits.join(df.join(F.broadcast(size), "corpus"), ["corpus", "term"]).select("corpus", "term", "paper_id", weight.alias("w")), "scored")
+    # papers come from a query's rarest term, and only those that hold the next one too meet all of its terms
+    by_df = asked.join(df, ["corpus", "term"]).groupBy("q_id", "corpus").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("l")).join(n_terms, "q_id").where(F.size("l") == F.col("n_terms"))
+    rarest = by_df.select("q_id", "corpus", "n_terms", F.col("l")[0]["term"].alias("term"), F.try_element_at("l", F.lit(2))["term"].alias("next"))
+    holding = rarest.join(scored.select("corpus", "term", "paper_id"), ["corpus", "term"]).drop("term")
+    second = scored.select("corpus", F.col("term").alias("next"), "paper_id")
+    some = holding.where("next is null").unionByName(holding.join(second, ["corpus", "next", "paper_id"], "left_semi")).select("q_id", "corpus", "n_terms", "paper_id").distinct()
+    each = some.join(asked, ["q_id", "corpus"]).join(scored, ["corpus", "term", "paper_id"])
+    found = each.groupBy("q_id", "paper_id", "n_terms").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c")).where("c = n_terms")
     ranked = found.withColumn("hit_pos", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("paper_id"))))
     return (ranked.where(F.col("hit_pos") <= k) if k else ranked).select("q_id", "paper_id", "score", "hit_pos")
 
