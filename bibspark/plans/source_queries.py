@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.text import positions
 from ..operators import graph as G
 from ..operators import telemetry as H
 from ..scratch import scratch_dir
@@ -21,15 +22,13 @@ def _docs(spark, sf_dir):
     return view(spark, sf_dir, "documents").withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
 
 
-def _index(docs):
-    """(doc_id, index): the inverted index of each text."""
-    words = docs.select("doc_id", F.posexplode("words").alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
-    return words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+def _index():
+    """The inverted index of each text, made where the text is read; null without words."""
+    return F.map_from_entries(positions(F.col("words"), "w", "ps"))
 
 
 def _openalex(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    d = d.join(_index(d), "doc_id", "left")
+    d = _docs(spark, sf_dir).withColumn("index", _index())
     k = F.col("doc_id")
     name = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
     raw = d.select(
@@ -46,8 +45,7 @@ def a1_read_openalex(spark, sf_dir):
 
 
 def a2_inverted_index(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.select("doc_id").join(_index(d), "doc_id", "left").select("doc_id", A.abstract_from_inverted_index(F.col("index")).alias("abstract"))
+    return _docs(spark, sf_dir).withColumn("index", _index()).select("doc_id", A.abstract_from_inverted_index(F.col("index")).alias("abstract"))
 
 
 def _crossref(spark, sf_dir):
