@@ -74,3 +74,41 @@ def test_merged_relations_work_out_the_products_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "cosine_pairs", lambda *a, **k: calls.append("pairs"))
     library_queries.QUERIES["e9_merge_relations"](spark, "/root/testdata/sf0.001")
     assert calls == ["edges"]
+
+
+def test_terms_are_counted_where_texts_are_read(spark):
+    """No term is exchanged to be counted, and once only, by term, for the weights; copies of an id are added up."""
+    papers = view(spark, SF, "papers")
+    from bibspark.operators import graph as G
+
+    assert "Exchange" not in plan(G.tokens(papers))
+    p = plan(G.tfidf(G.tokens(papers), 100)).split("== Initial Plan ==")[-1]
+    assert p.count("hashpartitioning(term#") == p.count("Window [") and p.count("hashpartitioning(paper_id#") == 1 and "BroadcastHashJoin" in p
+    rows = [(1, "Deep nets", "deep", None), (1, None, "nets deep", ""), (2, "", "of the", ""), (None, "x1", "", ""), (None, "x1 x1", "", "")]
+    df = spark.createDataFrame(rows, "paper_id long, title string, abstract string, authors string")
+    got = {(r.paper_id, r.term): r.tf for r in G.tokens(df).collect()}
+    assert got == {(1, "deep"): 3, (1, "nets"): 2, (1, "deep nets"): 1, (1, "nets deep"): 2, (None, "x1"): 3, (None, "x1 x1"): 1}
+
+
+def test_terms_of_one_paper_count_for_norms_only(spark):
+    from bibspark.operators import graph as G
+
+    papers = view(spark, SF, "papers")
+    counts, n = G.tokens(papers).cache(), papers.count()
+    every, met = ({(r.paper_id, r.term): round(r.w, 9) for r in G.tfidf(counts, n, **how).collect()} for how in ({}, {"for_papers": True, "shared": True}))
+    df = {}
+    for _, term in every:
+        df[term] = df.get(term, 0) + 1
+    assert met == {k: w for k, w in every.items() if df[k[1]] > 1} and met != every
+
+
+def test_inverted_indexes_are_made_within_rows(spark):
+    from bibspark.plans import source_queries
+
+    for f in (source_queries.a1_read_openalex, source_queries.a2_inverted_index):
+        assert "Exchange" not in plan(f(spark, SF))
+    from bibspark.functions.text import positions
+
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None)], "k long, w array<string>")
+    got = {r.k: r.m for r in df.select("k", F.map_from_entries(positions(F.col("w"), "w", "p")).alias("m")).collect()}
+    assert got == {1: {"a": [1], "b": [0, 2]}, 2: None, 3: None}
