@@ -112,3 +112,18 @@ def test_inverted_indexes_are_made_within_rows(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None)], "k long, w array<string>")
     got = {r.k: r.m for r in df.select("k", F.map_from_entries(positions(F.col("w"), "w", "p")).alias("m")).collect()}
     assert got == {1: {"a": [1], "b": [0, 2]}, 2: None, 3: None}
+
+
+@pytest.mark.parametrize(("levels", "compared"), [((0.999, 0.8), 0), ((0.95,), 0), ((), 1)])
+def test_heaviest_edges_are_those_of_all_pairs(spark, monkeypatch, levels, compared):
+    """Copies in order and out of order, edits, short and empty texts; the pairs of all papers are left alone if they can be."""
+    from bibspark.operators import graph as G
+
+    text = [" ".join(f"w{(i * j) % 97}x{i}" if j % 4 else f"c{j}" for j in range(1, 60)) for i in range(6)]
+    rows = [(i, text[i % 6] + (" more" if i % 5 == 4 else f" u{i} v{i}" if i % 7 == 6 else "")) for i in range(40)] + [(50, ""), (51, "the of"), (52, "x9"), (53, "x9")]
+    papers = spark.createDataFrame([(i, "", t, "") for i, t in rows], "paper_id long, title string, abstract string, authors string").withColumn("pos", (F.col("paper_id") * 7) % 53)
+    every = G.similar_edges(G.tfidf(G.tokens(papers), papers.count()), papers)
+    best = lambda edges: [tuple(r) for r in edges.orderBy(F.desc("weight"), "source_id", "target_id").limit(12).collect()]
+    want, calls, similar = best(every), [], G.similar_edges
+    monkeypatch.setattr(G, "similar_edges", lambda *a, **k: calls.append(1) or similar(*a, **k))
+    assert best(G.heaviest_edges(papers, levels=levels)) == want and len(want) == 12 and len(calls) == compared
