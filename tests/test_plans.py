@@ -1,5 +1,6 @@
 """Plans: no cross products where keys exist, top-k cut before the exchange, columns pruned at the scan."""
 
+import pyarrow as pa
 import pytest
 from bibspark.plans import library_queries, page_queries, record_queries
 from bibspark.plans.fixtures import view
@@ -127,3 +128,23 @@ def test_heaviest_edges_are_those_of_all_pairs(spark, monkeypatch, levels, compa
     want, calls, similar = best(every), [], G.similar_edges
     monkeypatch.setattr(G, "similar_edges", lambda *a, **k: calls.append(1) or similar(*a, **k))
     assert best(G.heaviest_edges(papers, levels=levels)) == want and len(want) == 12 and len(calls) == compared
+
+
+def test_blocks_are_few_and_compared_part_by_part(spark, monkeypatch):
+    """What is shuffled is rows times blocks: 512,820 papers meet in 33 blocks, not in 257; parts of three rows give what
+    one part gives, and no more than top_k rows of a paper leave a task."""
+    from bibspark.operators import graph as G
+
+    assert G.block_count(512_820, G.PAPERS) == 33 and G.block_count(512_820, G.VECTORS) == 9
+    assert [G.block_count(n, G.PAPERS) for n in (0, 1, 2_001, 10_000, 100_000)] == [1, 1, 2, 5, 8]
+    papers = view(spark, SF, "papers").limit(60)
+    weights, places = G.tfidf(G.tokens(papers), 60).cache(), G.newest(papers, None)
+    vectors = view(spark, SF, "embeddings").limit(60)
+    got = []
+    for part in (2_000, 3):
+        monkeypatch.setattr(G, "BLOCK", part)
+        made = (G.cosine_pairs(weights, 0.05, 2).selectExpr("a", "b", "round(score, 9)"), G.similar_edges(weights, places, 0.05, 3, 2), G.vector_knn_edges(vectors, 0.1, 3, 2))
+        got.append([sorted(map(tuple, df.collect())) for df in made])
+    assert got[0] == got[1] and all(len(x) > 30 for x in got[0])
+    rows = [pa.table({"s": [1, 1, 1, 2], "t": [i, i + 3, i + 6, 9], "score": [0.5, 0.5, 0.9, 0.2], "ps": [0] * 4, "pt": [i, i + 3, i + 6, 9]}) for i in (2, 1)]
+    assert [(r["s"], r["t"]) for r in G.best_of(rows, 2).to_pylist()] == [(1, 7), (1, 8), (2, 9), (2, 9)]
