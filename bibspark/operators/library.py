@@ -17,8 +17,8 @@ from ..scratch import materialize
 K1, B = 1.2, 0.75
 #: Buckets of a stored index, papers of a block by id, and blocks of a query that are scored first.
 BUCKETS, PAPER_BLOCK, SEED_BLOCKS = 64, 4096, 4
-#: Blocks of a file of the index, and words that are listed at once.
-SPAN, WORDS_AT_ONCE = 64, 1 << 21
+#: Blocks of a file of the index, words that are listed at once, and places of terms that a task scores, about.
+SPAN, WORDS_AT_ONCE, PLACES = 64, 1 << 21, 1_000_000
 TOKEN = r"[\p{L}\p{N}_]+"
 FIELDS = ("title", "abstract", "authors")
 DEFAULTS = {"authors": "", "abstract": "", "arxiv_id": "", "doi": "", "ieee_id": "", "source": "unknown"}
@@ -101,9 +101,11 @@ def build_index(library: DataFrame, path: str, part: int = 0, buckets: int = BUC
     spark = library.sparkSession
     words = library if "w" in library.columns else tokenised(library)
     lists = words.where("corpus is not null").select("corpus", "paper_id", "w").mapInArrow(lambda batches: (t for b in batches for t in _listed(b, block)), LISTED)
-    lists = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("span", F.floor(F.col("block") / SPAN)).repartition("bucket", "span")
-    # the groups hold the keys of the exchange, so nothing is moved again
-    whole = lists.groupBy("bucket", "span", "term", "block", "corpus").agg(F.array_sort(F.collect_list(F.struct("ids", "tfs", "lengths"))).alias("l"))
+    # as many tasks as there are files, each with one of them if ids are dense
+    tasks = buckets * (1 + words.count() // (block * SPAN))
+    lists = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("file", F.pmod(F.floor(F.col("block") / SPAN) * buckets + F.col("bucket"), F.lit(tasks)).cast("int")).repartitionById(tasks, "file")
+    # the groups hold the key of the exchange, so nothing is moved again
+    whole = lists.groupBy("file", "bucket", "term", "block", "corpus").agg(F.array_sort(F.collect_list(F.struct("ids", "tfs", "lengths"))).alias("l"))
     rows = whole.select("bucket", "corpus", "term", "block", *[F.flatten(F.col(f"l.{c}")).alias(c) for c in ("ids", "tfs", "lengths")]).select(
         "bucket", "corpus", "term", "block", F.size("ids").cast("long").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length"), "ids", "tfs", "lengths",
     )
@@ -185,29 +187,40 @@ def search_index(index: Index, queries: DataFrame, k: int | None = 10, seeds: in
     read = read.drop("n", "max_tf", "min_length").join(terms, ["bucket", "corpus", "term"], "left_semi")
     size = index.sizes.groupBy("corpus").agg(F.sum("n").alias("papers"), (F.sum("words") / F.sum("n")).alias("mean"))
     df = materialize(figures.groupBy("corpus", "term").agg(F.sum("n").alias("df")).join(size, "corpus"), "df")
-    bound = figures.groupBy("corpus", "term", "block").agg(F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length")).join(df, ["corpus", "term"])
-    bound = bound.select("corpus", "term", "block", _bm25(F.col("papers"), F.col("df"), F.col("max_tf"), F.col("min_length"), F.col("mean")).alias("bound"))
-    found = bound.join(asked, ["corpus", "term"]).groupBy("q_id", "block").agg(F.sum("bound").alias("bound"), F.count("*").alias("c")).join(n_terms, "q_id").where("c = n_terms")
+    bound = figures.groupBy("corpus", "term", "block").agg(F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"), F.sum("n").alias("places")).join(df, ["corpus", "term"])
+    bound = bound.select("corpus", "term", "block", "places", _bm25(F.col("papers"), F.col("df"), F.col("max_tf"), F.col("min_length"), F.col("mean")).alias("bound"))
+    found = bound.join(asked, ["corpus", "term"]).groupBy("q_id", "block").agg(F.sum("bound").alias("bound"), F.sum("places").alias("places"), F.count("*").alias("c")).join(n_terms, "q_id").where("c = n_terms")
     best = Window.partitionBy("q_id").orderBy(F.desc("bound"), "block")
-    blocks = materialize(found.select("q_id", "block", "bound", F.row_number().over(best).alias("turn")), "blocks")
+    blocks = materialize(found.select("q_id", "n_terms", "block", "bound", "places", F.row_number().over(best).alias("turn")), "blocks")
 
     def scored(chosen: DataFrame) -> DataFrame:
-        wanted = chosen.select("q_id", "block").join(asked, "q_id")
-        lists = wanted.join(read, ["bucket", "corpus", "term", "block"]).select("q_id", "corpus", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
-        part = lists.join(df, ["corpus", "term"]).select("q_id", F.col("p.ids").alias("paper_id"), _bm25(F.col("papers"), F.col("df"), F.col("p.tfs"), F.col("p.lengths"), F.col("mean")).alias("w"))
-        sums = part.groupBy("q_id", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c"))
-        return sums.join(n_terms, "q_id").where("c = n_terms").select("q_id", "paper_id", "score")
+        # a query's lists of one block meet in one task, and there are as many tasks as the places on all lists ask for:
+        # places are opened and summed where the lists are, and neither they nor a task's papers grow with the library
+        places = chosen.agg(F.sum("places")).first()[0] or 0
+        lists = chosen.select("q_id", "n_terms", "block").join(asked.join(df, ["corpus", "term"]), "q_id").join(read, ["bucket", "corpus", "term", "block"])
+        dealt = lists.select("q_id", "n_terms", "block", "papers", "df", "mean", "ids", "tfs", "lengths").repartition(1 + places // PLACES, "q_id", "block")
+        part = dealt.select("q_id", "n_terms", "block", "papers", "df", "mean", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).select("q_id", "n_terms", "block", F.col("ids").alias("paper_id"), _bm25(F.col("papers"), F.col("df"), F.col("tfs"), F.col("lengths"), F.col("mean")).alias("w"))
+        sums = part.groupBy("q_id", "block", "paper_id", "n_terms").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c"))
+        return sums.where("c = n_terms").select("q_id", "paper_id", "score")
 
-    hits = Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("paper_id"))
     if k is None:
-        return scored(blocks).withColumn("hit_pos", F.row_number().over(hits)).select("q_id", "paper_id", "score", "hit_pos")
+        return numbered_hits(materialize(scored(blocks), "every"))
+    hits = Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("paper_id"))
     first = materialize(scored(blocks.where(F.col("turn") <= seeds)).withColumn("hit_pos", F.row_number().over(hits)).where(F.col("hit_pos") <= k), "first")
     least = first.where(F.col("hit_pos") == k).select("q_id", F.col("score").alias("least"))
-    open_ = blocks.where(F.col("turn") > seeds).join(least, "q_id", "left").where("least is null or bound >= least - 0.00001")
+    open_ = materialize(blocks.where(F.col("turn") > seeds).join(least, "q_id", "left").where("least is null or bound >= least - 0.00001"), "open")
     every = first.drop("hit_pos").unionByName(scored(open_))
     return every.withColumn("hit_pos", F.row_number().over(hits)).where(F.col("hit_pos") <= k).select("q_id", "paper_id", "score", "hit_pos")
 
 
+def numbered_hits(hits: DataFrame) -> DataFrame:
+    """hits (q_id, paper_id, score) with hit_pos, however many one query has: all are numbered by query and place in
+    ranges, and a query's first number is taken away."""
+    placed = dense_number(hits.select("*", F.struct("q_id", -F.col("score"), -F.col("paper_id")).alias("o")), "o", "n").drop("o")
+    first = placed.groupBy("q_id").agg(F.min("n").alias("first"))
+    return placed.join(first, "q_id").select("q_id", "paper_id", "score", (F.col("n") - F.col("first") + 1).cast("int").alias("hit_pos"))
+
+
 def search_text(library: DataFrame | Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """(q_id, paper_id, score, hit_pos): papers that hold all terms of a query, by BM25, best first; equal scores newest first.
 

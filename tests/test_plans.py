@@ -61,6 +61,24 @@ def test_index_reads_the_buckets_of_asked_terms_only(spark, tmp_path):
     assert index.postings.select("bucket").distinct().count() > 10
 
 
+def test_places_of_terms_are_summed_where_their_lists_are(spark, tmp_path, monkeypatch):
+    """Lists move by query and block, to as many tasks as their places ask for; no place moves alone, and the hits of a
+    query without a bound are numbered in ranges, not in one group."""
+    from bibspark.operators import library as L
+
+    monkeypatch.setattr(L, "PLACES", 20)
+    papers = spark.range(300).selectExpr("id as paper_id", "'alpha beta' as title", "'' as abstract", "'' as authors")
+    index = L.build_index(papers, f"{tmp_path}/index", buckets=3, block=16)
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "q_id int, query string")
+    p = plan(L.search_text(index, asked, 5)).split("== Initial Plan ==")[-1]
+    dealt = [x.split("(", 1)[1] for x in p.split("Exchange hashpartitioning")[1:] if "REPARTITION_BY_NUM" in x.split("\n")[0]]
+    assert dealt and all("block" in x.split("REPARTITION")[0] for x in dealt) and any(int(x.split("), REPARTITION")[0].rsplit(" ", 1)[-1]) > 5 for x in dealt)
+    assert not any("paper_id" in x.split("\n")[0] for x in p.split("Exchange hashpartitioning")[1:])
+    every = L.search_text(index, asked, None)
+    assert "row_number" not in plan(every)
+    assert sorted((x.q_id, x.hit_pos, x.paper_id) for x in every.collect()) == [(q, i + 1, 299 - i) for q in (1, 2) for i in range(300)]
+
+
 def test_mapping_is_checked_in_one_pass(spark):
     """Facts are read as written: one aggregate, one anti join, none for each rule."""
     p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
