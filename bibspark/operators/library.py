@@ -18,7 +18,7 @@ K1, B = 1.2, 0.75
 #: Buckets of a stored index, papers of a block by id, and blocks of a query that are scored first.
 BUCKETS, PAPER_BLOCK, SEED_BLOCKS = 64, 4096, 4
 #: Blocks of a file of the index, words that are listed at once, and places of terms that a task scores, about.
-SPAN, WORDS_AT_ONCE, PLACES = 64, 1 << 21, 1_000_000
+SPAN, WORDS_AT_ONCE, PLACES = 64, 1 << 19, 1_000_000
 TOKEN = r"[\p{L}\p{N}_]+"
 FIELDS = ("title", "abstract", "authors")
 DEFAULTS = {"authors": "", "abstract": "", "arxiv_id": "", "doi": "", "ieee_id": "", "source": "unknown"}
@@ -99,6 +99,9 @@ def build_index(library: DataFrame, path: str, part: int = 0, buckets: int = BUC
     holds one bucket's terms for so many blocks of papers, so none grows with the library, however frequent a term is.
     """
     spark = library.sparkSession
+    # a Python worker gets papers in small bunches, whatever a task reads
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     words = library if "w" in library.columns else tokenised(library)
     lists = words.where("corpus is not null").select("corpus", "paper_id", "w").mapInArrow(lambda batches: (t for b in batches for t in _listed(b, block)), LISTED)
     # as many tasks as there are files, each with one of them if ids are dense

@@ -79,6 +79,14 @@ def test_places_of_terms_are_summed_where_their_lists_are(spark, tmp_path, monke
     assert sorted((x.q_id, x.hit_pos, x.paper_id) for x in every.collect()) == [(q, i + 1, 299 - i) for q in (1, 2) for i in range(300)]
 
 
+def test_papers_are_listed_in_small_bunches(spark, tmp_path):
+    from bibspark.operators import library as L
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    L.build_index(view(spark, SF, "papers"), f"{tmp_path}/index", buckets=2)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
 def test_mapping_is_checked_in_one_pass(spark):
     """Facts are read as written: one aggregate, one anti join, none for each rule."""
     p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
