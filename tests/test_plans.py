@@ -87,6 +87,14 @@ def test_papers_are_listed_in_small_bunches(spark, tmp_path):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
 
 
+def test_both_rounds_read_hits_found_once(spark):
+    from bibspark.plans import search_queries
+
+    for half in search_queries._rounds(spark, SF):
+        p = plan(half)
+        assert "Join" not in p and "Window" not in p and "Exchange" not in p
+
+
 def test_mapping_is_checked_in_one_pass(spark):
     """Facts are read as written: one aggregate, one anti join, none for each rule."""
     p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
