@@ -170,11 +170,13 @@ def _shaped(spark, sf_dir):
     }
     js = reduce(lambda c, k: c.when(n % 8 == k, made[k]), list(made)[1:], F.when(n % 8 == 0, made[0])).otherwise("{}")
     d = _v(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("paper_id"), "lang", "source")
-    return _v(spark, sf_dir, "structures").join(d, "paper_id").withColumn("record", F.parse_json(js))
+    # lists are made where the texts are, so no text meets its record
+    lists = _v(spark, sf_dir, "structures").select("paper_id", *[c.alias(f"generic_{k}") for k, c in _generic().items()])
+    return lists.join(d, "paper_id").withColumn("record", F.parse_json(js))
 
 
 def f12_spec_slots(spark, sf_dir):
-    out = R.slots(_shaped(spark, sf_dir), _generic())
+    out = R.slots(_shaped(spark, sf_dir), {k: F.col(f"generic_{k}") for k in R.SLOTS})
     return out.select("paper_id", "shape", *[F.array_join(x, "|").alias(x) for x in R.SLOTS])
 
 

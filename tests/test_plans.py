@@ -95,6 +95,21 @@ def test_both_rounds_read_hits_found_once(spark):
         assert "Join" not in p and "Window" not in p and "Exchange" not in p
 
 
+def test_no_text_meets_its_record(spark):
+    p = plan(record_queries.f12_spec_slots(spark, SF)).split("== Initial Plan ==")[-1]
+    assert "Join" in p and "model_outputs#" not in p.split("Join")[0]
+
+
+def test_long_lists_are_read_ahead_only(spark):
+    """The same terms, whether the first items give enough, too few, or blanks and repeats."""
+    from bibspark.operators import records as R
+
+    r = [["a", "b", "c", "d"] * 9, ["", "x", "X", "x_"] * 9 + ["y", "z"], [""] * 40, [], None, ["q"], [None, "m", "n", "o"]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(r)], "i int, v array<string>")
+    got = df.select("i", R.unique_terms(F.col("v"), 3, 20, 4).alias("ahead"), R.unique_terms(F.col("v"), 3, 20).alias("whole")).orderBy("i").collect()
+    assert all(x.ahead == x.whole for x in got) and got[0].ahead == ["a", "b", "c"] and got[1].ahead == ["x", "y", "z"]
+
+
 def test_mapping_is_checked_in_one_pass(spark):
     """Facts are read as written: one aggregate, one anti join, none for each rule."""
     p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
