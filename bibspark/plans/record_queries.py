@@ -190,9 +190,10 @@ def f13_baseline(spark, sf_dir):
 
 def f14_relative_slots(spark, sf_dir):
     s = _v(spark, sf_dir, "structures").select("paper_id", "model_outputs")
-    rows = _order(spark, sf_dir).join(s, "paper_id")
-    base = rows.where("pos = 0").select("direction_id", F.col("model_outputs").alias("base"))
-    return rows.where("pos > 0").join(base, "direction_id").select("direction_id", "paper_id", F.array_join(R.relative_slots(F.col("model_outputs"), F.col("base")), "|").alias("outputs"))
+    order = materialize(_order(spark, sf_dir), "order")
+    base = order.where("pos = 0").join(s, "paper_id").select("direction_id", F.col("model_outputs").alias("base"))
+    rows = R.with_base(order.where("pos > 0"), s, base)
+    return rows.select("direction_id", "paper_id", F.array_join(R.relative_slots(F.col("model_outputs"), F.col("base")), "|").alias("outputs"))
 
 
 def f15_flatten_differences(spark, sf_dir):

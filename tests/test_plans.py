@@ -110,6 +110,16 @@ def test_long_lists_are_read_ahead_only(spark):
     assert all(x.ahead == x.whole for x in got) and got[0].ahead == ["a", "b", "c"] and got[1].ahead == ["x", "y", "z"]
 
 
+def test_a_baseline_is_copied_for_its_papers(spark):
+    from bibspark.operators import records as R
+
+    order = spark.range(1, 40).selectExpr("if(id < 35, 'a', 'b') as direction_id", "id as paper_id", "if(id < 35, id, id - 34) as pos")
+    papers = spark.range(100).selectExpr("id as paper_id", "id * 2 as own")
+    base = spark.createDataFrame([("a", 7), ("b", 8)], "direction_id string, base int")
+    out = R.with_base(order, papers, base, 10)
+    assert sorted((x.direction_id, x.paper_id, x.own, x.base) for x in out.collect()) == [("a" if i < 35 else "b", i, 2 * i, 7 if i < 35 else 8) for i in range(1, 40)]
+
+
 def test_mapping_is_checked_in_one_pass(spark):
     """Facts are read as written: one aggregate, one anti join, none for each rule."""
     p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
