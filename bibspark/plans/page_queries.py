@@ -20,7 +20,7 @@ def _flat(df, column: str, prefix: str = ""):
     return [F.col(f"{column}.{s}").alias(f"{prefix}{s}") for s in R.SIDES]
 
 
-def _dims(spark, sf_dir):
+def _dims(spark, sf_dir, once=None):
     """Pages of lines and of regions, all of one size."""
     regions = _v(spark, sf_dir, "page_regions").select("pdf_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
     return _v(spark, sf_dir, "page_dims").union(regions).distinct()
@@ -62,8 +62,12 @@ class _Once(dict):
         return self[make]
 
 
+def _sizes(spark, sf_dir, once):
+    return once(_dims) if once else _dims(spark, sf_dir)
+
+
 def _layout(spark, sf_dir, once=None):
-    return P.layouts(_v(spark, sf_dir, "page_lines"), _v(spark, sf_dir, "page_words"), _dims(spark, sf_dir))
+    return P.layouts(_v(spark, sf_dir, "page_lines"), _v(spark, sf_dir, "page_words"), _sizes(spark, sf_dir, once))
 
 
 def _lines(spark, sf_dir, once=None):
@@ -90,7 +94,7 @@ def g7_captions(spark, sf_dir):
 
 def _tables(spark, sf_dir, once=None):
     regions = _v(spark, sf_dir, "page_regions").withColumn("rows", F.array(F.array(F.lit(None).cast("string"), "cell")))
-    return P.table_regions(regions, _dims(spark, sf_dir))
+    return P.table_regions(regions, _sizes(spark, sf_dir, once))
 
 
 def g8_figure_primitives(spark, sf_dir):
@@ -102,7 +106,7 @@ def g9_table_regions(spark, sf_dir):
 
 
 def _figures(spark, sf_dir, once):
-    prims = P.figure_primitives(_v(spark, sf_dir, "page_regions"), once(_tables), _dims(spark, sf_dir)).withColumn("source", F.col("kind"))
+    prims = P.figure_primitives(_v(spark, sf_dir, "page_regions"), once(_tables), once(_dims)).withColumn("source", F.col("kind"))
     return P.merge_primitives(P.assign_column(prims, once(_layout)))
 
 
@@ -117,7 +121,7 @@ def _candidates(spark, sf_dir, once):
 
 
 def _scores(spark, sf_dir, once):
-    return P.caption_region_scores(once(_captions), once(_candidates), _dims(spark, sf_dir))
+    return P.caption_region_scores(once(_captions), once(_candidates), once(_dims))
 
 
 def g11_caption_region_scores(spark, sf_dir):
@@ -153,10 +157,14 @@ def _shown(out):
     return out.select("pdf_id", "page", "label_id", "kind", "status", "confidence", "needs_review", *_flat(out, "content_bbox", "content_"), *_flat(out, "crop_bbox", "crop_"))
 
 
+def _numbered(spark, sf_dir, once):
+    return P.caption_ids(once(_captions).drop("text"))
+
+
 def g15_items(spark, sf_dir):
     once = _Once(spark, sf_dir)
-    caps = P.caption_ids(once(_captions))
-    return _shown(P.items(caps, once(_assigned), P.fallback_band(caps, once(_layout)), _dims(spark, sf_dir)))
+    caps = once(_numbered)
+    return _shown(P.items(caps, once(_assigned), P.fallback_band(caps, once(_layout)), once(_dims)))
 
 
 def _starts(spark, sf_dir, once):

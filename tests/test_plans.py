@@ -120,6 +120,12 @@ def test_a_baseline_is_copied_for_its_papers(spark):
     assert sorted((x.direction_id, x.paper_id, x.own, x.base) for x in out.collect()) == [("a" if i < 35 else "b", i, 2 * i, 7 if i < 35 else 8) for i in range(1, 40)]
 
 
+def test_items_read_page_sizes_and_caption_numbers_once(spark):
+    """They are written once: no step of the last plan reads the given tables or numbers the captions again."""
+    p = plan(page_queries.g15_items(spark, SF))
+    assert "documents.parquet" not in p and "part.parquet" not in p and "row_number" not in p
+
+
 def test_mapping_is_checked_in_one_pass(spark):
     """Facts are read as written: one aggregate, one anti join, none for each rule."""
     p = plan(record_queries.f5_validate_mapping(spark, SF)).split("== Initial Plan ==")[-1]
