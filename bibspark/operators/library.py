@@ -19,6 +19,9 @@ K1, B = 1.2, 0.75
 BUCKETS, PAPER_BLOCK, SEED_BLOCKS = 64, 4096, 4
 #: Blocks of a file of the index, words that are listed at once, and places of terms that a task scores, about.
 SPAN, WORDS_AT_ONCE, PLACES = 64, 1 << 19, 1_000_000
+#: Papers of a block that queries stream past, blocks that there are at least, of so many papers, and places that are looked
+#: up at once.
+MATCH_BLOCK, MATCH_SHARES, MATCH_LEAST, AT_ONCE = 16_384, 16, 512, 1 << 21
 TOKEN = r"[\p{L}\p{N}_]+"
 FIELDS = ("title", "abstract", "authors")
 DEFAULTS = {"authors": "", "abstract": "", "arxiv_id": "", "doi": "", "ieee_id": "", "source": "unknown"}
@@ -227,33 +230,183 @@ def numbered_hits(hits: DataFrame) -> DataFrame:
 def search_text(library: DataFrame | Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """(q_id, paper_id, score, hit_pos): papers that hold all terms of a query, by BM25, best first; equal scores newest first.
 
-    A stored index (`build_index`) is read where the terms are; without one, the whole library is, and only occurrences of
-    query terms are kept before the shuffle. A query without terms has no hits. library may be `tokenised` before. With a
-    corpus column in queries (and library), a query searches its corpus alone, which has its own statistics.
+    A stored index (`build_index`) is read where the terms are; without one, the whole library is matched with the queries
+    block by block (`match_blocks`), which suits as many queries as papers. A query without terms has no hits. library may
+    be `tokenised` before. With a corpus column in queries (and library), a query searches its corpus alone, which has its
+    own statistics.
     """
     if isinstance(library, Index):
         return search_index(library, queries, k)
-    tokens = library if "w" in library.columns else tokenised(library)
+    tokens = (library if "w" in library.columns else tokenised(library)).where("corpus is not null")
     corpus = F.col("corpus") if "corpus" in queries.columns else F.lit("").alias("corpus")
-    asked = queries.select("q_id", corpus, F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    n_terms = asked.groupBy("q_id").agg(F.count("*").alias("n_terms"))
-    size = tokens.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = asked.select("corpus", "term").distinct()
-    hits = tokens.select("paper_id", "corpus", "length", F.explode("w").alias("term")).join(terms, ["corpus", "term"], "left_semi").groupBy("corpus", "term", "paper_id", "length").agg(F.count("*").alias("tf"))
-    hits = materialize(hits, "hits")
-    df = hits.groupBy("corpus", "term").agg(F.count("*").alias("df"))
-    weight = _bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("length"), F.col("mean"))
-    scored = materialize(hits.join(df.join(F.broadcast(size), "corpus"), ["corpus", "term"]).select("corpus", "term", "paper_id", weight.alias("w")), "scored")
-    # papers come from a query's rarest term, and only those that hold the next one too meet all of its terms
-    by_df = asked.join(df, ["corpus", "term"]).groupBy("q_id", "corpus").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("l")).join(n_terms, "q_id").where(F.size("l") == F.col("n_terms"))
-    rarest = by_df.select("q_id", "corpus", "n_terms", F.col("l")[0]["term"].alias("term"), F.try_element_at("l", F.lit(2))["term"].alias("next"))
-    holding = rarest.join(scored.select("corpus", "term", "paper_id"), ["corpus", "term"]).drop("term")
-    second = scored.select("corpus", F.col("term").alias("next"), "paper_id")
-    some = holding.where("next is null").unionByName(holding.join(second, ["corpus", "next", "paper_id"], "left_semi")).select("q_id", "corpus", "n_terms", "paper_id").distinct()
-    each = some.join(asked, ["q_id", "corpus"]).join(scored, ["corpus", "term", "paper_id"])
-    found = each.groupBy("q_id", "paper_id", "n_terms").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("c")).where("c = n_terms")
-    ranked = found.withColumn("hit_pos", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("paper_id"))))
-    return (ranked.where(F.col("hit_pos") <= k) if k else ranked).select("q_id", "paper_id", "score", "hit_pos")
+    asked = queries.select("q_id", corpus, words(F.col("query")).alias("ws")).where("corpus is not null").groupBy("q_id", "corpus").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("ws"))
+    # queries of equal terms are one set
+    asked = materialize(asked.where(F.size("ws") > 0).withColumn("said", F.sha2(F.concat_ws(" ", "corpus", "ws"), 256)), "asked")
+    sets = asked.groupBy("said").agg(F.first(F.struct("corpus", "ws")).alias("a")).select("said", "a.corpus", "a.ws").withColumn("set", F.monotonically_increasing_id())
+    sets = materialize(sets, "sets")
+    found = materialize(match_blocks(tokens, sets.select("set", "corpus", "ws"), k), "found")
+    # a set's hits are numbered once for all its queries
+    ranked = found.withColumn("hit_pos", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("score"), F.desc("paper_id"))))
+    kept = (ranked.where(F.col("hit_pos") <= k) if k else ranked).join(sets.select("set", "said"), "set")
+    return asked.select("q_id", "said").join(kept, "said").select("q_id", "paper_id", "score", "hit_pos")
+
+
+def match_blocks(tokens: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+    """(set, paper_id, score): papers that hold all words of a set (set, corpus, ws); of a block of papers at most the k best.
+
+    Papers are hashed into blocks of bounded size. A block is a task: it lists its papers by term, and the sets stream past
+    it. So words are exchanged once with their paper, the sets once for each block, and neither a pair of a set and a
+    paper nor a list of a term is ever exchanged. Terms are met by 64-bit hashes.
+    """
+    spark = tokens.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    again = tokens.groupBy("paper_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("paper_id").alias("again"))
+    if not again.isEmpty():  # rows of a paper that are as long are one
+        same = tokens["paper_id"] == F.col("again")
+        whole = tokens.join(again, same, "left_semi").groupBy("paper_id", "corpus", "length").agg(F.flatten(F.collect_list("w")).alias("w"))
+        tokens = tokens.join(again, same, "left_anti").select("paper_id", "corpus", "length", "w").unionByName(whole)
+    hashed = lambda c: F.transform(c, lambda t: F.xxhash64("corpus", t))
+    size = materialize(tokens.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("length").alias("mean")), "size")
+    rows = size.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, min(MATCH_SHARES, -(-rows // MATCH_LEAST)), -(-rows // MATCH_BLOCK))
+    papers = tokens.select("paper_id", "corpus", "length", F.sort_array(hashed("w")).alias("terms")).join(F.broadcast(size), "corpus")
+    papers = papers.select(F.pmod(F.xxhash64("paper_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("paper_id").cast("long").alias("id"), (K1 * (1 - B + B * F.col("length") / F.col("mean"))).alias("x"), "terms", F.array().cast("array<long>").alias("dfs"))
+    df = tokens.select(F.explode(F.array_distinct(hashed("w"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    of = sets.join(F.broadcast(size), "corpus").select("set", "n", F.size("ws").alias("size"), F.explode(hashed("ws")).alias("t")).join(df, "t")
+    # a set with a word that no paper has is left out
+    asked = of.groupBy("set", "n", "size").agg(F.collect_list(F.struct("t", "df")).alias("l")).where(F.size("l") == F.col("size"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.col("set").alias("id"), F.col("n").cast("double").alias("x"), F.col("l.t").alias("terms"), F.col("l.df").alias("dfs"))
+    dealt = papers.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+    return dealt.mapInArrow(lambda batches: matches(batches, k), "set long, paper_id long, score double")
+
+
+class Posted:
+    """The papers of a block by term: for each term (at first) its rows in order, as keys of term and row, with their tfs."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        self.id, self.x, self.n = rows["id"].to_numpy(), rows["x"].to_numpy(), len(rows)
+        lists = rows["terms"].combine_chunks()
+        row = np.repeat(np.arange(self.n, dtype=np.int32), pc.list_value_length(lists).to_numpy())
+        term = lists.flatten().to_numpy()
+        order = np.argsort(term, kind="stable")
+        self.terms, number = np.unique(term[order], return_inverse=True)
+        key = number * self.n + row[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.tf = key[at], np.diff(np.append(at, len(key)))
+        self.first = np.searchsorted(self.keys, np.arange(len(self.terms) + 1) * self.n)
+        self.paper, count = np.unique(self.id, return_inverse=True, return_counts=True)[1:]
+        self.several = count[self.paper] > 1
+
+    def place(self, term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where rows are in their terms' lists, and whether they are there."""
+        key = term * self.n + row
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, self.keys[at] == key
+
+    def expand(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places on the lists of terms, and of which of the terms each is."""
+        n = self.first[term + 1] - self.first[term]
+        return np.repeat(self.first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(term)), n)
+
+    def weight(self, idf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        tf = self.tf[at]
+        return idf * tf * (K1 + 1) / (tf + self.x[self.keys[at] % self.n])
+
+    def found(self, sets: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(set's number in the batch, row, score) of all rows that hold a set's terms, all of a set's at once."""
+        if not len(self.keys):
+            return
+        size = pc.list_value_length(sets["terms"]).to_numpy().astype(np.int64)
+        q = np.repeat(np.arange(len(size)), size)
+        term, df, n = sets["terms"].flatten().to_numpy(), sets["dfs"].flatten().to_numpy(), sets["x"].to_numpy()[q]
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        there = self.terms[at] == term
+        if self.several.any():  # papers of several rows: terms count in each of them
+            whole = np.ones(len(size), bool)
+        else:
+            whole = np.bincount(q[there], minlength=len(size)) == size
+        use = there & whole[q]
+        q, at, idf = q[use], at[use], idf[use]
+        count = self.first[at + 1] - self.first[at]
+        order = np.lexsort((count, q))  # the rarest here first
+        q, at, idf, count = q[order], at[order], idf[order], count[order]
+        some, start, here = np.unique(q, return_index=True, return_counts=True)
+        load = np.cumsum(np.add.reduceat(count, start) if self.several.any() else count[start]) if len(some) else np.zeros(0)
+        begin = 0
+        while begin < len(some):
+            stop = max(begin + 1, int(np.searchsorted(load, (load[begin - 1] if begin else 0) + AT_ONCE, "right")))
+            s, first = slice(begin, stop), start[begin:stop]
+            of, row = self.holders(at, first, here[s], here[s] == size[some[s]])
+            score = np.zeros(len(of))
+            ends, lo = np.cumsum(here[s][of]), 0
+            while lo < len(of):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+                m = here[s][of[lo:hi]]
+                e = np.repeat(np.arange(hi - lo), m)
+                t = np.repeat(first[of[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                place, _ = self.place(at[t], row[lo:hi][e])
+                score[lo:hi] = np.bincount(e, self.weight(idf[t], place), hi - lo)
+                lo = hi
+            parts = [(some[s][of], row, score)]
+            if self.several.any():
+                t = np.arange(first[0], first[-1] + here[s][-1])
+                parts.append(self.in_several(q[t], at[t], idf[t], size))
+            yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+            begin = stop
+
+    def holders(self, at: np.ndarray, first: np.ndarray, here: np.ndarray, able: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, row) of rows that hold all terms of a set: those on its rarest term's list that are on each other one."""
+        able = np.flatnonzero(able)
+        place, of = self.expand(at[first[able]])
+        of, row = able[of], self.keys[place] % self.n
+        alone = ~self.several[row]
+        of, row, j = of[alone], row[alone], 1
+        while (more := here[of] > j).any():
+            keep = np.ones(len(of), bool)
+            keep[more] = self.place(at[first[of[more]] + j], row[more])[1]
+            of, row, j = of[keep], row[keep], j + 1
+        return of, row
+
+    def in_several(self, q: np.ndarray, at: np.ndarray, idf: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As found, for papers of several rows, which have as many places on the lists of a set's terms as it has terms."""
+        place, of = self.expand(at)
+        keep = self.several[self.keys[place] % self.n]
+        place, of = place[keep], of[keep]
+        row = self.keys[place] % self.n
+        pair, one, back, c = np.unique(q[of] * self.n + self.paper[row], return_index=True, return_inverse=True, return_counts=True)
+        score = np.bincount(back, self.weight(idf[of], place), len(pair))
+        s, fits = pair // self.n, c == size[pair // self.n]
+        return s[fits], row[one][fits], score[fits]
+
+
+def matches(batches: Iterator[pa.RecordBatch], k: int | None) -> Iterator[pa.RecordBatch]:
+    """The hits of rows (block, kind, id, x, terms, dfs) in order of block and kind: papers (0), then sets of words (1)."""
+    block, papers, posted = None, [], None
+    for batch in batches:
+        of = batch["block"].to_numpy() * 2 + batch["kind"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            now, kind = divmod(int(of[a]), 2)
+            if now != block:
+                block, papers, posted = now, [], None
+            if not kind:
+                papers.append(batch.slice(a, b - a))
+                continue
+            if posted is None and papers:
+                posted, papers = Posted(papers), []
+            for s, row, score in posted.found(batch.slice(a, b - a)) if posted else ():
+                ids, score = posted.id[row], np.round(score, 6)
+                if k:
+                    order = np.lexsort((-ids, -score, s))
+                    s, ids, score = s[order], ids[order], score[order]
+                    best = np.arange(len(s)) - np.searchsorted(s, s) < k
+                    s, ids, score = s[best], ids[best], score[best]
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a).take(pa.array(s)), pa.array(ids), pa.array(score)], ["set", "paper_id", "score"])
 
 
 def search_like(library: DataFrame, keyword: str) -> DataFrame:

@@ -213,3 +213,45 @@ def test_blocks_are_few_and_compared_part_by_part(spark, monkeypatch):
     assert got[0] == got[1] and all(len(x) > 30 for x in got[0])
     rows = [pa.table({"s": [1, 1, 1, 2], "t": [i, i + 3, i + 6, 9], "score": [0.5, 0.5, 0.9, 0.2], "ps": [0] * 4, "pt": [i, i + 3, i + 6, 9]}) for i in (2, 1)]
     assert [(r["s"], r["t"]) for r in G.best_of(rows, 2).to_pylist()] == [(1, 7), (1, 8), (2, 9), (2, 9)]
+
+
+def test_as_many_queries_as_papers_write_no_postings(spark, monkeypatch):
+    """Neither occurrences of words nor pairs of a query and a paper are written: what a query keeps is its best hits."""
+    from bibspark.operators import library as L
+
+    papers = spark.range(100).selectExpr("id paper_id", "concat('own', id) title", "concat_ws(' ', transform(sequence(1, 60), i -> concat('w', i))) abstract", "'' authors")
+    written, write = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, label: written.append(out := write(df, label)) or out)
+    hits = L.search_text(papers, papers.selectExpr("paper_id q_id", "concat(abstract, ' ', title) query"), 3)
+    assert sorted((r.q_id, r.paper_id, r.hit_pos) for r in hits.collect()) == [(i, i, 1) for i in range(100)]
+    assert max(df.count() for df in written) <= 100
+
+
+@pytest.mark.parametrize("k", [2, None])
+def test_matched_blocks_are_all_hits(spark, monkeypatch, k):
+    """Small blocks and few places at once, collections, papers of several rows and queries of equal words."""
+    import math
+    from collections import Counter
+
+    from bibspark.operators import library as L
+
+    monkeypatch.setattr(L, "MATCH_LEAST", 7)
+    monkeypatch.setattr(L, "AT_ONCE", 5)
+    rows = [(i, "ab"[i % 2], " ".join(f"w{j}" for j in range(12) if (i * 7 + j * j) % 5 < 3) + " w1" * (i % 3)) for i in range(40)]
+    rows += [(3, "b", "w1 w2"), (4, "a", "w0 w3 w5"), (5, "b", rows[5][2]), (99, None, "w1"), (98, "a", "")]
+    asked = [(q, "ab"[q % 2], " ".join(f"w{j}" for j in range(12) if (q >> j % 4) & 1)) for q in range(24)] + [(50, "a", "w1 none"), (51, None, "w1")]
+    papers = spark.createDataFrame(rows, "paper_id long, corpus string, title string").selectExpr("*", "'' abstract", "'' authors")
+    got = L.search_text(papers, spark.createDataFrame(asked, "q_id long, corpus string, query string"), k).collect()
+    want = set()
+    for q, c, text in asked:
+        whole = {}
+        for i, d, t in rows:  # rows of a paper that are as long count together
+            if d == c and c is not None:
+                whole.setdefault((i, len(t.split())), Counter()).update(t.split())
+        n, mean, df = len(whole), sum(x[1] for x in whole) / max(1, len(whole)), Counter(t for w in whole.values() for t in w)
+        terms, met = set(text.split()), {}
+        for (i, length), w in whole.items():
+            met.setdefault(i, []).extend(math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * length / mean)) for t in terms & set(w))
+        hits = sorted(((round(sum(s), 6), i) for i, s in met.items() if terms and len(s) == len(terms)), reverse=True)
+        want |= {(q, i, s, at) for at, (s, i) in enumerate(hits[:k], 1)}
+    assert {(r.q_id, r.paper_id, round(r.score, 6), r.hit_pos) for r in got} == want and len(want) > 20
