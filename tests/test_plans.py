@@ -255,3 +255,39 @@ def test_matched_blocks_are_all_hits(spark, monkeypatch, k):
         hits = sorted(((round(sum(s), 6), i) for i, s in met.items() if terms and len(s) == len(terms)), reverse=True)
         want |= {(q, i, s, at) for at, (s, i) in enumerate(hits[:k], 1)}
     assert {(r.q_id, r.paper_id, round(r.score, 6), r.hit_pos) for r in got} == want and len(want) > 20
+
+
+def test_later_parts_add_few_cells(spark, monkeypatch):
+    """Once a vector has its neighbours, only better ones are looked at: all cells over the threshold were before."""
+    import numpy as np
+    from bibspark.operators import graph as G
+
+    r = np.random.default_rng(3)
+    v = r.random((400, 6))
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    v[50] = v[150] = v[250] = v[350]
+    parts = [G.Dense(v[a : a + 100], np.arange(a, a + 100), np.arange(a, a + 100)) for a in range(0, 400, 100)]
+    cells, nearest = [], G.nearest
+    monkeypatch.setattr(G, "nearest", lambda i, *a: cells.append(len(i)) or nearest(i, *a))
+    got = G.best_neighbours(((a, parts[a], b, parts[b]) for a in range(4) for b in range(a, 4)), lambda x, y, least: x.v @ y.v.T, 0.1, 3)
+    scores = np.round(v @ v.T, 9)
+    want = {(s, t) for s in range(400) for t in sorted((t for t in range(400) if t != s), key=lambda t: (-scores[s, t], t))[:3]}
+    assert set(zip(got["s"].to_pylist(), got["t"].to_pylist(), strict=True)) == want
+    assert sum(cells) < 400 * 399 / 2
+
+
+def test_parts_of_many_papers_are_stored_once(spark, monkeypatch):
+    """Beyond a block's papers no vector is copied for each block that it meets; the rows are those of the blocks."""
+    from bibspark.operators import graph as G
+
+    papers = view(spark, SF, "papers")
+    hashed = G.tokens(papers).withColumn("term", F.xxhash64("term"))
+    weights, places = G.tfidf(hashed, papers.count(), for_papers=True, shared=True).cache(), G.newest(papers, None)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ways = (lambda **how: rows(G.cosine_pairs(weights, 0.18, **how).selectExpr("a", "b", "round(score, 9)")), lambda **how: rows(G.similar_edges(weights, places, 0.18, 3, **how)))
+    want, written, write = [f(blocks=3) for f in ways], [], G.materialize
+    monkeypatch.setattr(G, "PAPERS", 20)
+    monkeypatch.setattr(G, "materialize", lambda df, label: written.append((label, out := write(df, label))) or out)
+    monkeypatch.setattr(G, "_blocks", None)
+    assert [f() for f in ways] == want and all(len(x) > 100 for x in want)
+    assert [label for label, _ in written] == ["parts", "parts"] and all(1 < df.count() <= papers.count() for _, df in written)
