@@ -32,7 +32,7 @@ def _openalex(spark, sf_dir):
     k = F.col("doc_id")
     name = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
     raw = d.select(
-        F.concat(F.lit("https://openalex.org/W"), k).alias("id"), F.when(k % 10 > 0, F.col("words")[0]).alias("title"), F.when(k % 3 > 0, F.concat(F.lit("https://doi.org/10.1/"), k)).alias("doi"), F.when(k % 2 == 0, F.col("text")).otherwise("").alias("abstract"),
+        F.concat(F.lit("https://openalex.org/W"), k).alias("id"), F.when(k % 10 > 0, F.get("words", F.lit(0))).alias("title"), F.when(k % 3 > 0, F.concat(F.lit("https://doi.org/10.1/"), k)).alias("doi"), F.when(k % 2 == 0, F.col("text")).otherwise("").alias("abstract"),
         (k % 30 + 1990).cast("int").alias("publication_year"), F.when(k % 4 > 0, k).alias("cited_by_count"), F.array(name(F.col("source")), name(F.lit(None).cast("string")), name(F.lit("")), name(F.col("lang"))).alias("authorships"),
         F.when(k % 5 > 0, F.struct(F.struct(F.col("lang").alias("display_name"), F.lit("journal").alias("type")).alias("source"))).alias("primary_location"), F.transform(F.slice("words", 1, 12), lambda w: F.struct(w.alias("display_name"))).alias("concepts"),
         F.when(k % 7 > 0, F.struct((k % 2 == 0).alias("is_oa"), F.lit("u").alias("oa_url"))).alias("open_access"), F.col("index").alias("abstract_inverted_index"), F.array(F.concat(F.lit("W"), k)).alias("referenced_works"),
@@ -52,7 +52,7 @@ def _crossref(spark, sf_dir):
     d, k = _docs(spark, sf_dir), F.col("doc_id")
     date = F.struct(F.array(F.array((k % 30 + 1990).cast("int"), F.lit(1))).alias("date-parts"))
     raw = d.select(
-        F.when(k % 9 > 0, F.array("text", "lang")).alias("title"), F.array(F.struct(F.col("words")[0].alias("given"), F.col("lang").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.col("source").alias("family"))).alias("author"), F.col("text").alias("abstract"), F.concat(F.lit("10.1/"), k).alias("DOI"),
+        F.when(k % 9 > 0, F.array("text", "lang")).alias("title"), F.array(F.struct(F.get("words", F.lit(0)).alias("given"), F.col("lang").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.col("source").alias("family"))).alias("author"), F.col("text").alias("abstract"), F.concat(F.lit("10.1/"), k).alias("DOI"),
         F.when(k % 2 == 0, F.concat(F.lit("http://arxiv.org/abs/"), k, F.lit("v2"))).otherwise(F.concat(F.lit("http://x.org/"), k)).alias("URL"), F.when(k % 3 == 0, date).alias("published-print"), F.when(k % 3 == 1, date).alias("published-online"), F.when(k % 5 == 0, F.struct(F.struct(F.concat(F.lit("https://arxiv.org/abs/r"), k).alias("url")).alias("arxiv"))).alias("relation"),
     )
     return A.crossref_works(raw)
@@ -64,7 +64,7 @@ def a3_read_crossref(spark, sf_dir):
 
 def _arxiv(spark, sf_dir):
     k = F.col("doc_id")
-    raw = _docs(spark, sf_dir).select(F.col("words")[0].alias("title"), F.array(F.struct(F.col("source").alias("name")), F.struct(F.col("lang").alias("name"))).alias("authors"), F.col("text").alias("summary"), F.concat(F.lit("http://arxiv.org/abs/"), k, F.lit("v1")).alias("entry_id"), F.timestamp_seconds(k * 86_400 * 10).alias("published"), F.when(k % 2 == 0, F.concat(F.lit("10.2/"), k)).alias("doi"))
+    raw = _docs(spark, sf_dir).select(F.get("words", F.lit(0)).alias("title"), F.array(F.struct(F.col("source").alias("name")), F.struct(F.col("lang").alias("name"))).alias("authors"), F.col("text").alias("summary"), F.concat(F.lit("http://arxiv.org/abs/"), k, F.lit("v1")).alias("entry_id"), F.timestamp_seconds(k * 86_400 * 10).alias("published"), F.when(k % 2 == 0, F.concat(F.lit("10.2/"), k)).alias("doi"))
     return A.arxiv_works(raw)
 
 
@@ -74,7 +74,7 @@ def a4_read_arxiv(spark, sf_dir):
 
 def _ieee(spark, sf_dir):
     k = F.col("doc_id")
-    raw = _docs(spark, sf_dir).select(F.col("words")[0].alias("title"), F.struct(F.array(F.struct(F.col("source").alias("name")), F.struct(F.col("lang").alias("name"))).alias("authors")).alias("authors"), F.col("text").alias("abstract"), F.when(k % 2 == 0, k.cast("string")).alias("article_number"), F.when(k % 2 == 1, k.cast("string")).alias("articleNumber"), F.lit(None).cast("string").alias("doi"), (k % 30 + 1990).cast("int").alias("year"), F.when(k % 2 == 0, F.col("lang")).alias("publication_title"), F.when(k % 2 == 1, F.col("source")).alias("publicationTitle"))
+    raw = _docs(spark, sf_dir).select(F.get("words", F.lit(0)).alias("title"), F.struct(F.array(F.struct(F.col("source").alias("name")), F.struct(F.col("lang").alias("name"))).alias("authors")).alias("authors"), F.col("text").alias("abstract"), F.when(k % 2 == 0, k.cast("string")).alias("article_number"), F.when(k % 2 == 1, k.cast("string")).alias("articleNumber"), F.lit(None).cast("string").alias("doi"), (k % 30 + 1990).cast("int").alias("year"), F.when(k % 2 == 0, F.col("lang")).alias("publication_title"), F.when(k % 2 == 1, F.col("source")).alias("publicationTitle"))
     return A.ieee_works(raw)
 
 

@@ -291,3 +291,14 @@ def test_parts_of_many_papers_are_stored_once(spark, monkeypatch):
     monkeypatch.setattr(G, "_blocks", None)
     assert [f() for f in ways] == want and all(len(x) > 100 for x in want)
     assert [label for label, _ in written] == ["parts", "parts"] and all(1 < df.count() <= papers.count() for _, df in written)
+
+
+def test_texts_without_words_are_read(spark, tmp_path):
+    """A blank text has no first word, which was an error of all four readers."""
+    from bibspark.plans import source_queries as Q
+
+    rows = [(0, "a b a", "en", "web", 5), (1, "", "en", "web", 0), (2, None, "en", "web", 0), (3, " \n ", "fr", "x", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for f in (Q.a1_read_openalex, Q.a3_read_crossref, Q.a4_read_arxiv, Q.a5_read_ieee):
+        assert f(spark, str(tmp_path)).count() == len(f(spark, str(tmp_path)).collect()) == 4
+    assert {(r.openalex_id[-1], r.title, r.concepts) for r in Q.a1_read_openalex(spark, str(tmp_path)).collect()} == {("0", "", "a|b|a"), ("1", "", ""), ("2", "", ""), ("3", "", "")}
