@@ -302,3 +302,24 @@ def test_texts_without_words_are_read(spark, tmp_path):
     for f in (Q.a1_read_openalex, Q.a3_read_crossref, Q.a4_read_arxiv, Q.a5_read_ieee):
         assert f(spark, str(tmp_path)).count() == len(f(spark, str(tmp_path)).collect()) == 4
     assert {(r.openalex_id[-1], r.title, r.concepts) for r in Q.a1_read_openalex(spark, str(tmp_path)).collect()} == {("0", "", "a|b|a"), ("1", "", ""), ("2", "", ""), ("3", "", "")}
+
+
+def test_top_terms_are_cut_before_they_go_to_their_paper(spark, monkeypatch):
+    from bibspark.operators import graph as G
+
+    papers = view(spark, SF, "papers")
+    counts, n = G.tokens(papers).cache(), papers.count()
+    want = sorted(map(tuple, G.top_terms(G.tfidf(counts, n)).collect()))
+    moved, rank = [], G.top_terms
+    monkeypatch.setattr(G, "top_terms", lambda weights, k: moved.append(weights.count()) or rank(weights, k))
+    assert sorted(map(tuple, G.top_terms_of(counts, n).collect())) == want and len(want) == n
+    assert len(moved) == 1 and moved[0] < counts.count() / 4
+
+
+def test_near_pairs_exchange_vectors_of_met_papers_only(spark, monkeypatch):
+    from bibspark.operators import graph as G
+
+    plans, near = [], G.near_pairs
+    monkeypatch.setattr(G, "near_pairs", lambda *a: plans.append(plan(out := near(*a))) or out)
+    assert library_queries.e10_judgement_candidates(spark, SF).count() == 12
+    assert plans and all("Window" not in p and p.count("LeftSemi") == 2 for p in plans)
