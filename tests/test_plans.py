@@ -323,3 +323,11 @@ def test_near_pairs_exchange_vectors_of_met_papers_only(spark, monkeypatch):
     monkeypatch.setattr(G, "near_pairs", lambda *a: plans.append(plan(out := near(*a))) or out)
     assert library_queries.e10_judgement_candidates(spark, SF).count() == 12
     assert plans and all("Window" not in p and p.count("LeftSemi") == 2 for p in plans)
+
+
+def test_norms_are_added_up_in_a_bounded_number_of_tasks(spark):
+    """Each task that adds up squares has most papers, so as many tasks as partitions would exchange partitions times papers."""
+    from bibspark.operators import graph as G
+
+    p = plan(G.tfidf(G.tokens(view(spark, SF, "papers")), 100)).split("== Initial Plan ==")[-1]
+    assert p.count(f"Coalesce {G.SUMS}") == 1 and p.index("hashpartitioning(paper_id#") < p.index(f"Coalesce {G.SUMS}")
